@@ -8,7 +8,7 @@ LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
 OP8 = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
 keyed AS (SELECT *, {LOW.format(f"trim(line, {WS})")} AS key FROM lines),
 often AS (
@@ -16,7 +16,7 @@ often AS (
   GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
 marked AS (SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.last_doc AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing
+from . import bpe, lines, mixing
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
 }

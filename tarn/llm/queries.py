@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing
+from . import bpe, lines, mixing, tokenfiles
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
+    "op7_token_files": tokenfiles.op7_token_files,
     "op8_line_dedup": lines.op8_line_dedup,
 }

@@ -27,7 +27,7 @@ from .common import table
 NEVER = 1 << 30
 #: Texts are split and looked up in slices of this many bytes, and so many encoded words are remembered.
 SLICE_BYTES = 4 << 20
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 800_000
 MEMORY_BYTES = 48
 #: Texts of letters below this one are cut by the file's pattern here.
 PLAIN = "\u0250"
@@ -58,7 +58,10 @@ class WordBPE:
             (self.end if last else self.mid)[raw] = i
         n = max([*vocab.values(), *self.specials.values()]) + 1
         self.n = n
-        self.longest = max(map(len, [*self.mid, *self.end]))
+        self.longest = max(map(len, self.end))
+        self.reach: dict[bytes, int] = {}  # by the first three bytes, the longest entry inside a word
+        for raw in self.mid:
+            self.reach[raw[:3]] = max(len(raw), self.reach.get(raw[:3], 0))
         self.rank = np.full(n, -1, np.int64)
         self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -126,12 +129,12 @@ class WordBPE:
     def propose(self, word: bytes) -> list[int] | None:
         """Greedy longest match; None if a piece has no entry (then only merging tells)."""
         n, i, out = len(word), 0, []
-        mid, end, longest = self.mid, self.end, self.longest
+        mid, end, longest, reach = self.mid, self.end, self.longest, self.reach
         while i < n:
             if n - i <= longest and (t := end.get(word[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(word[i : i + 3], 2)), i, -1):
                 if (t := mid.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -194,6 +197,10 @@ class WordBPE:
         return [g if good else self.merge(w) for w, g, good in zip(words, guess, ok.tolist(), strict=True)]
 
     def _pieces(self, part: str) -> list[bytes]:
+        if part.isalpha() and part.isascii():
+            return [part.lower().encode()]
+        if part[:-1].isalpha() and part.isascii() and not part[-1].isalnum():
+            return [part[:-1].lower().encode(), part[-1].encode()]
         if max(part, default="") < PLAIN:
             return [p.encode() for p in self._find(unicodedata.normalize("NFC", part).lower())]
         # beyond Latin letters Unicode versions differ in what a letter is: the tokenizer's own steps decide
@@ -213,13 +220,15 @@ class WordBPE:
         plans = []
         for raw in parts:
             text = raw.decode("utf-8", "replace")
+            if "<" not in text or not self._special:
+                plans.append(self._pieces(text))
+                continue
             plan: list[int | bytes] = []
             at = 0
-            if self._special and "<" in text:
-                for m in self._special.finditer(text):
-                    plan += self._pieces(text[at : m.start()])
-                    plan.append(self.specials[m.group()])
-                    at = m.end()
+            for m in self._special.finditer(text):
+                plan += self._pieces(text[at : m.start()])
+                plan.append(self.specials[m.group()])
+                at = m.end()
             plan += self._pieces(text[at:])
             plans.append(plan)
         words = {p for plan in plans for p in plan if isinstance(p, bytes)}
@@ -227,19 +236,34 @@ class WordBPE:
         if len(self._words) + len(new) > MEMORY_WORDS:
             self._words.clear()
             new = list(words)
-        self._words.update(zip(new, [np.array(x, "<u4").tobytes() for x in self.encode_words(new)], strict=True))
+        found = self.encode_words(new)
+        flat, ends = np.array([t for x in found for t in x], "<u4").tobytes(), np.cumsum([4 * len(x) for x in found]).tolist()
+        self._words.update(zip(new, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for raw, plan in zip(parts, plans, strict=True):
             self._memory[raw] = b"".join(self._words[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in plan)
         for w in new:
             if len(w) > MEMORY_BYTES:
                 del self._words[w]
 
+    def _folded(self, raw: bytes) -> bytes:
+        """Lower case beforehand where that is all that normalisation does, so that fewer words are new: Latin-1 without special tokens."""
+        if b"<|" in raw:
+            return raw
+        if raw.isascii():
+            return raw.lower()
+        text = raw.decode("utf-8", "replace")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return raw
+        return text.lower().encode()
+
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Whole texts to their ids, as little-endian unsigned 32-bit integers.
 
         Normalisation and word rules never reach across ASCII white space, so what stands between is encoded once and remembered.
         """
-        split = [t.split() for t in texts]
+        split = [self._folded(t).split() for t in texts]
         new = set().union(*split) - self._memory.keys()
         if len(self._memory) + len(new) > MEMORY_WORDS:
             self._memory.clear()

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, quality, simhash, superkmers, tokenfiles, topk
+from . import bpe, extract, lines, mixing, quality, simhash, superkmers, tokenfiles, topk
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_html": extract.op4_html,
     "op5_substring_dedup": superkmers.op5_substring_dedup,
     "op6_quality": quality.op6_quality,
     "op7_token_files": tokenfiles.op7_token_files,

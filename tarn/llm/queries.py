@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, lines, mixing, quality, simhash, superkmers, tokenfiles, topk
+from . import bpe, extract, katz, lines, mixing, quality, simhash, superkmers, tokenfiles, topk
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": superkmers.op5_substring_dedup,
     "op6_quality": quality.op6_quality,
     "op7_token_files": tokenfiles.op7_token_files,
+    "op9_katz": katz.op9_katz,
     "op10_topk": topk.op10_topk,
     "op8_line_dedup": lines.op8_line_dedup,
 }

@@ -53,7 +53,8 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """The number of words, without keeping them: every word with the white space after it shrinks to one mark."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*", "w")).cast("long")
+    marks = F.regexp_replace(text, rf"[\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*", "w")
+    return F.when(text.rlike(WORD), F.length(marks)).otherwise(0).cast("long")
 
 
 def module_bytes(name: str) -> bytes:

@@ -164,8 +164,8 @@ class LineIndex:
         doc_id is a document too, smaller than all others. An empty table gives an empty result.
         """
         names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept", "drops")]
-        drops = self.drops(docs).withColumnRenamed("doc_id", "_id")
-        both = docs.select(*names).join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        drops = self.drops(docs).withColumnRenamed("doc_id", "_tarn_id")
+        both = docs.select(*names).join(drops, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left").drop("_tarn_id")
         rest = [both.schema[c] for c in names]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_lines long, n_dropped long, kept string"
         min_chars = self.min_chars

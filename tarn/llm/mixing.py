@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, share_num: int = 3, share_den: int = 2, cap: int =
 
 
 def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None) -> DataFrame:
-    """Adds ``size``, ``source_size``, ``target`` and ``copies`` (how often the mix takes the row) to ``docs``.
+    """(doc_id, source, _tarn_draw, size, source_size, target, copies) of each row of ``docs``; copies is how often the mix takes it.
 
     ``copies`` is the whole part of target / source_size, plus one for the rows that a systematic
     sample in seeded hash order picks: those whose running size, at their middle, lies below the
@@ -56,11 +56,10 @@ def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: i
     """
     size = n_words(F.col("text")) if size is None else size
     slices = F.greatest(F.lit(MIN_SLICES), F.ceil(F.count(F.lit(1)) / SLICE_ROWS))
-    inner = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    keyed = docs.select(*inner, size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_draw"))
-    sizes = saved(keyed.select("doc_id", "source", "size", "_draw"), "mix-sizes")
+    keyed = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_tarn_draw"))
+    sizes = saved(keyed, "mix-sizes")
     n = sizes.agg(slices.cast("long").alias("n")).first()["n"]
-    sizes = sizes.withColumn("_slice", F.pmod(F.col("_draw"), F.lit(n)))
+    sizes = sizes.withColumn("_slice", F.pmod(F.col("_tarn_draw"), F.lit(n)))
     # the slices are what is summed first: rows of one source meet in many tasks
     part = sizes.groupBy("source", "_slice").agg(F.sum("size").alias("_in"))
     run = W.partitionBy("source").orderBy("_slice")
@@ -70,14 +69,14 @@ def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: i
     goal = goal.withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
     p, g = part.alias("p"), goal.alias("g")
     offsets = p.join(g, same((F.col("p.source"), F.col("g.source")))).select("p.source", "p._slice", "p._before", "g.source_size", "g.target", "g._whole", "g._left")
-    at = W.partitionBy("source", "_slice").orderBy("_draw", "doc_id", "size")
+    at = W.partitionBy("source", "_slice").orderBy("_tarn_draw", "doc_id", "size")
     sizes = sizes.withColumn("_run", F.sum("size").over(at.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     s, o = sizes.alias("s"), offsets.alias("o")
     both = s.join(o, same((F.col("s.source"), F.col("o.source"))) & (F.col("s._slice") == F.col("o._slice")))
     middle = F.col("o._before") + F.col("s._run") + F.col("s.size") / 2
     extra = F.when((F.col("s.size") > 0) & (middle < F.col("o._left")), 1).otherwise(0)
     copies = F.when(F.col("s.size") > 0, F.col("o._whole") + extra).otherwise(0).cast("int")
-    return both.select("s.doc_id", "s.source", "s._draw", "s.size", "o.source_size", "o.target", copies.alias("copies"))
+    return both.select("s.doc_id", "s.source", "s._tarn_draw", "s.size", "o.source_size", "o.target", copies.alias("copies"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -90,9 +89,9 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as ``mix`` takes it."""
     cols = docs.columns
-    picks = mix(docs, **kw).filter("copies > 0").groupBy("doc_id", "_draw").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    d = docs.withColumn("_draw", F.xxhash64(F.lit(kw.get("seed", 42)), F.col("doc_id"), F.col("text"))).alias("d")
+    picks = mix(docs, **kw).filter("copies > 0").groupBy("doc_id", "_tarn_draw").agg(F.sum("copies").alias("_tarn_copies"), F.count(F.lit(1)).alias("_tarn_rows"))
+    d = docs.withColumn("_tarn_draw", F.xxhash64(F.lit(kw.get("seed", 42)), F.col("doc_id"), F.col("text"))).alias("d")
     p = picks.alias("p")
-    both = d.join(p, same((F.col("d.doc_id"), F.col("p.doc_id"))) & (F.col("d._draw") == F.col("p._draw")))
+    both = d.join(p, same((F.col("d.doc_id"), F.col("p.doc_id"))) & (F.col("d._tarn_draw") == F.col("p._tarn_draw")))
     # rows alike in id and text share their copies; each takes the rounded-up part
-    return both.withColumn("_i", F.explode(F.expr("sequence(1, cast(ceil(_copies / _rows) as int))"))).select(*[F.col(f"d.{c}").alias(c) for c in cols])
+    return both.withColumn("_tarn_i", F.explode(F.expr("sequence(1, cast(ceil(_tarn_copies / _tarn_rows) as int))"))).select(*[F.col(f"d.{c}").alias(c) for c in cols])

@@ -164,5 +164,5 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected. Rows that share a doc_id stay if one of them does."""
-    keep = judged(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = judged(docs).filter("kept").select(F.col("doc_id").alias("_tarn_id")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left_semi")

@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays."""
-    keep = near_duplicates(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keep = near_duplicates(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tarn_id")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
 

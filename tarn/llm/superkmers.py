@@ -290,16 +290,16 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     larger than another, so its row loses nothing and removes nothing. Rows that share a doc_id don't affect
     each other. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_spans", "_mark")]
-    spans = repeated_spans(docs, k, m).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_spans"))
-    marked = docs.select(*names, F.xxhash64("text").alias("_mark"))
-    both = marked.join(spans, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_m")), "left").drop("_id", "_m", "_mark")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_tarn_spans", "_tarn_mark")]
+    spans = repeated_spans(docs, k, m).groupBy(F.col("doc_id").alias("_tarn_id"), F.col("mark").alias("_tarn_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_tarn_spans"))
+    marked = docs.select(*names, F.xxhash64("text").alias("_tarn_mark"))
+    both = marked.join(spans, (F.col("doc_id") == F.col("_tarn_id")) & (F.col("_tarn_mark") == F.col("_tarn_m")), "left").drop("_tarn_id", "_tarn_m", "_tarn_mark")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("_tarn_spans"), strict=True):
                 w = (text.as_py() or "").encode().split()
                 left = w
                 if spans.is_valid:

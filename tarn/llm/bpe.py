@@ -27,7 +27,7 @@ from .common import table
 NEVER = 1 << 30
 #: Texts are split and looked up in slices of this many bytes, and so many encoded words are remembered.
 SLICE_BYTES = 4 << 20
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
 MEMORY_BYTES = 48
 #: Texts of letters below this one are cut by the file's pattern here.
 PLAIN = "\u0250"
@@ -245,25 +245,12 @@ class WordBPE:
             if len(w) > MEMORY_BYTES:
                 del self._words[w]
 
-    def _folded(self, raw: bytes) -> bytes:
-        """Lower case beforehand where that is all that normalisation does, so that fewer words are new: Latin-1 without special tokens."""
-        if b"<|" in raw:
-            return raw
-        if raw.isascii():
-            return raw.lower()
-        text = raw.decode("utf-8", "replace")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return raw
-        return text.lower().encode()
-
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Whole texts to their ids, as little-endian unsigned 32-bit integers.
 
         Normalisation and word rules never reach across ASCII white space, so what stands between is encoded once and remembered.
         """
-        split = [self._folded(t).split() for t in texts]
+        split = [folded(t).split() for t in texts]
         new = set().union(*split) - self._memory.keys()
         if len(self._memory) + len(new) > MEMORY_WORDS:
             self._memory.clear()
@@ -280,6 +267,20 @@ class WordBPE:
         return b" ".join(map(self._texts.__getitem__, ids.tolist()))
 
 
+def folded(raw: bytes) -> bytes:
+    """Lower case beforehand where that is all that normalisation does, so that fewer words are new: Latin-1 without special tokens."""
+    if b"<|" in raw:
+        return raw
+    if raw.isascii():
+        return raw.lower()
+    text = raw.decode("utf-8", "replace")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return raw
+    return text.lower().encode()
+
+
 def default_path() -> str:
     import public_tokenizers
 

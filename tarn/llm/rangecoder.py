@@ -3,7 +3,7 @@
 Every block starts from the same empty model, so blocks decode on their own. For each id the model offers
 the id last seen after the two ids before (order 2), after the one before (order 1), and 64 frequent ids of
 the block (order 0). One symbol says which of them was right, or how long the id's plain bits are; its
-distribution mixes two adaptive ones, by the candidates' confidence and by the symbol before, with weights
+distribution mixes two adaptive ones, by the confidence of the candidates and of the block as a whole, with weights
 that follow whichever did better. A slot of order 0 or the plain bits follow. All arithmetic is integer.
 """
 
@@ -35,11 +35,11 @@ class _Model:
         self.id0, self.sure0 = np.full(n << SLOT_BITS, -1, np.int32), np.zeros(n << SLOT_BITS, np.int8)
         start = (np.arange(SYMBOLS + 1) * (TOTAL - SYMBOLS) // SYMBOLS).astype(np.int16)
         self.by_sure = np.tile(start, (n * 16, 1))
-        self.by_last = np.tile(start, (n * SYMBOLS, 1))
+        self.by_all = np.tile(start, (n, 1))
         slots = 1 << SLOT_BITS
         self.by_slot = np.tile((np.arange(slots + 1) * (TOTAL - slots) // slots).astype(np.int16), (n, 1))
         self.weight = np.full(n, 128, np.int16)
-        self.lane, self.last = lane, np.zeros(n, np.int64)
+        self.lane = lane
         self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.steps, self.slot_steps = np.arange(SYMBOLS + 1, dtype=np.int16), np.arange(slots + 1, dtype=np.int16)
 
@@ -49,8 +49,7 @@ class _Model:
         self.c1, self.c2 = self.id1[self.h1], self.id2[self.h2]
         self.s1, self.s2 = self.sure1[self.h1], self.sure2[self.h2]
         self.row_a = (self.lane << 4) + (self.s2.astype(np.int64) << 2) + self.s1
-        self.row_b = self.lane * SYMBOLS + self.last
-        self.a, self.b = self.by_sure[self.row_a], self.by_last[self.row_b]
+        self.a, self.b = self.by_sure[self.row_a], self.by_all
         # quarters, so that 16 bits hold the sum; every symbol keeps a share of one
         w = (1 + (self.weight >= 88).astype(np.uint16) + (self.weight >= 168))[:, None].astype(np.uint16)
         self.cum = ((self.a.view(np.uint16) * w + self.b.view(np.uint16) * (4 - w)) >> 2).view(np.int16) + self.steps
@@ -67,8 +66,7 @@ class _Model:
         self.weight = np.clip(self.weight + 4 * np.sign(pa - pb), 16, 240).astype(np.int16)
         goal = (self.steps > sym[:, None].astype(np.int16)) * np.int16(TOTAL - SYMBOLS)
         self.by_sure[self.row_a] = self.a + ((goal - self.a) >> RATE)
-        self.by_last[self.row_b] = self.b + ((goal - self.b) >> RATE)
-        self.last = sym
+        self.by_all = self.b + ((goal - self.b) >> RATE)
 
     def slot_cum(self, lanes: np.ndarray) -> np.ndarray:
         return self.by_slot[lanes] + self.slot_steps

@@ -9,9 +9,11 @@ Parquet table, so any store that Spark writes to will do and the commit protocol
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .bpe import MEMORY_BYTES, MEMORY_WORDS, default_path, slices
+from .bpe import MEMORY_BYTES, default_path, folded, slices
 from .common import saved, table
 
 END_ID = 1
@@ -29,10 +31,18 @@ HEAD = struct.Struct("<4sHIQII")  # magic, version, documents, ids, ids a block,
 #: A chunk is closed at this many ids; with blocks of up to 1,024 ids it fills 2,048 lanes of the coder.
 CHUNK_IDS = 2 << 20
 LANES = 2048
+#: Encoded words that a worker remembers.
+MEMORY_WORDS = 400_000
+#: The last letter of the words that are asked for together.
+LATIN = "\u00ff"
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each text without ASCII white space (its rules never reach across)."""
+    """The tokenizers library, asked once for each text without ASCII white space (its rules never reach across).
+
+    Plain words, and plain words with one sign behind, are asked for by the thousand in one text; the library says
+    which word each id is of. Anything else is a text of its own.
+    """
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
@@ -41,15 +51,48 @@ class LibraryEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self._memory: dict[bytes, bytes] = {}
+        self._words: dict[str, bytes] = {}
+
+    def _learn_words(self, words: list[str]) -> None:
+        groups = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for group, e in zip(groups, self.lib.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            raw = np.array(e.ids, "<u4").tobytes()
+            ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(group)), "right")).tolist()
+            self._words.update(zip(group, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn(self, parts: list[bytes]) -> None:
+        plans: list[tuple[bytes, list[str]]] = []
+        odd: list[bytes] = []
+        for raw in parts:
+            text = raw.decode("utf-8", "replace")
+            if max(text) > LATIN:
+                odd.append(raw)
+            elif text.isalpha():
+                plans.append((raw, [text]))
+            elif text[:-1].isalpha() and text[-1] < "\x7f" and not text[-1].isalnum():
+                plans.append((raw, [text[:-1], text[-1]]))
+            else:
+                odd.append(raw)
+        wanted = {w for _, p in plans for w in p}
+        if len(self._words) + len(wanted) > MEMORY_WORDS:
+            self._words.clear()
+        new = wanted - self._words.keys()
+        signs = [w for w in new if not w.isalpha()]
+        self._learn_words([w for w in new if w.isalpha()])
+        self._words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(signs, self.lib.encode_batch_fast(signs, add_special_tokens=False), strict=True))
+        self._memory.update((raw, b"".join(map(self._words.__getitem__, p))) for raw, p in plans)
+        found = self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+        self._memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, found, strict=True))
+        for w in [w for w in new if len(w) > MEMORY_BYTES]:
+            del self._words[w]
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list(set().union(*split) - self._memory.keys())
-        if len(self._memory) + len(new) > MEMORY_WORDS:
+        split = [folded(t).split() for t in texts]
+        every = set().union(*split)
+        if len(self._memory) + len(every) > MEMORY_WORDS:
             self._memory.clear()
-            new = list(set().union(*split))
-        found = self.lib.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self._memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        new = every - self._memory.keys()
+        self._learn(list(new))
         out = [b"".join(map(self._memory.__getitem__, parts)) for parts in split]
         for w in new:
             if len(w) > MEMORY_BYTES:
@@ -57,6 +100,13 @@ class LibraryEncoder:
         return out
 
 
+@lru_cache(1)
+def library(path: str | None) -> LibraryEncoder:
+    """One a worker, without threads of its own: Spark already has a worker a core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(path)
+
+
 def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """Documents and their ids to a chunk."""
     ids = np.concatenate([i for _, i in docs]) if docs else np.zeros(0, np.uint32)
@@ -114,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, name: str = "tokens")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = LibraryEncoder(path)
+        lib = library(path)
         file, number = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, np.ndarray]] = []
         n = 0

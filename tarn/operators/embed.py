@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.sources.lineage import cut
 
 DIMENSIONS = 384
 
@@ -58,7 +59,8 @@ def enriched(nodes: DataFrame, embed: Callable[[Column], Column], leaf: str = "p
     is_leaf = (F.col("node_type") == leaf) & ~T.is_blank(F.col("text"))
     n = n.withColumn("embedding", F.when(is_leaf, embed(F.col("text")))).withColumn("token_count", T.token_count(F.col("text")))
     for level in range(levels - 1, -1, -1):
-        kids = n.filter(F.col("level") > level).filter(F.col("parent_id").isNotNull())
+        n = cut(n)  # each level reads the one below it twice
+        kids = n.filter((F.col("level") > level) & F.col("parent_id").isNotNull())
         sums = kids.groupBy(F.col("parent_id").alias("_p")).agg(F.sum("token_count").alias("_tokens"), F.max(F.col("embedding").isNotNull()).alias("_has"))
         up = sums.join(pooled(kids).select(F.col("parent").alias("_p"), F.col("embedding").alias("_e")), "_p", "left") if pooling == "mean" else sums.withColumn("_e", F.lit(None).cast("array<double>"))
         mine = (F.col("level") == level) & F.col("embedding").isNull() & F.coalesce("_has", F.lit(False))

@@ -44,7 +44,7 @@ def boosted(candidates: DataFrame, profile: Profile | None = None, query: str =
             "corpus_boost": share(profile.covered(), CORPUS),
             "keyword_boost": share(profile.terms("domain_keywords"), KEYWORD),
             "entity_boost": share(profile.terms("primary_entities"), ENTITY),
-            "penalty": F.when(strange, -share(profile.terms("non_coverage", "forbidden_questions"), PENALTY)).otherwise(0.0),
+            "penalty": F.when(strange, 0.0 - share(profile.terms("non_coverage", "forbidden_questions"), PENALTY)).otherwise(0.0),
         }
     ).drop("_q", "_title", "_all")
     boosts = ("title_boost", "type_boost", "corpus_boost", "keyword_boost", "entity_boost", "penalty")

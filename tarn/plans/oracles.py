@@ -101,7 +101,7 @@ def scaled(x: str, by: str) -> str:
     return f"CASE WHEN max({x}) {w} - min({x}) {w} <= 1e-8 THEN 0.0 ELSE (({x}) - min({x}) {w}) / (max({x}) {w} - min({x}) {w}) END"
 
 
-LISTED = f"""{bm25(ITEMS, 40)},
+LISTED = f"""{bm25(ITEMS, 40, True)},
 listed AS (SELECT h.*, rank AS pos, d.text, d.source FROM hits h JOIN documents d ON d.doc_id = h.seq)"""
 KEY = fold(strip(rf"regexp_replace(text, '{WS}+', ' ', 'g')"))
 DEDUPED = f"""{LISTED},
@@ -121,7 +121,7 @@ b AS (SELECT query_id, seq, pos, score,
   {share(('name', 'summary', 'coverage', 'usage_notes', 'domain_keywords', 'primary_entities'), 0.12)} AS corpus_boost,
   {share(('domain_keywords',), 0.08)} AS keyword_boost,
   {share(('primary_entities',), 0.1)} AS entity_boost,
-  CASE WHEN len(list_intersect(qt, st)) = 0 THEN -{share(('non_coverage', 'forbidden_questions'), 0.12)} ELSE 0.0 END AS penalty FROM termed),
+  CASE WHEN len(list_intersect(qt, st)) = 0 THEN 0.0 - {share(('non_coverage', 'forbidden_questions'), 0.12)} ELSE 0.0 END AS penalty FROM termed),
 boosted AS (SELECT *, {rnd('score + title_boost + type_boost + corpus_boost + keyword_boost + entity_boost + penalty', 4)} AS final_score FROM b)"""
 
 

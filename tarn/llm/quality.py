@@ -159,7 +159,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:

@@ -122,12 +122,12 @@ HEAD = struct.Struct("<III")
 
 def _pack(entries: list[tuple[bytes, list]], done: list[tuple[int, int, int, int]]) -> bytes:
     """entries: (string, [doc, text hash, places...]); done: (doc, text hash, first word, end word) decided already."""
-    ids = np.array([(e[0], e[1]) for _, e in entries], np.int64).reshape(-1, 2)
+    docs, marks = np.array([e[0] for _, e in entries], np.int64), np.array([e[1] for _, e in entries], np.int32)
     sizes = np.array([len(e) - 2 for _, e in entries], np.int32)
     words = np.array([s.count(b" ") + 1 for s, _ in entries], np.int32)
     places = np.array([p for _, e in entries for p in e[2:]], np.int32)
     over = np.array(done, np.int64).reshape(-1, 4)
-    raw = HEAD.pack(len(entries), len(places), len(over)) + ids.tobytes() + over.tobytes() + sizes.tobytes() + words.tobytes() + places.tobytes() + b" ".join([s for s, _ in entries])
+    raw = HEAD.pack(len(entries), len(places), len(over)) + docs.tobytes() + over.tobytes() + marks.tobytes() + sizes.tobytes() + words.tobytes() + places.tobytes() + b" ".join([s for s, _ in entries])
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
@@ -136,10 +136,10 @@ def _unpack(blob: bytes):
     n, n_places, n_done = HEAD.unpack_from(raw)
     at = HEAD.size
     out = []
-    for kind, count in ((np.int64, 2 * n), (np.int64, 4 * n_done), (np.int32, n), (np.int32, n), (np.int32, n_places)):
+    for kind, count in ((np.int64, n), (np.int64, 4 * n_done), (np.int32, n), (np.int32, n), (np.int32, n), (np.int32, n_places)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
-    return out[0].reshape(-1, 2), out[1].reshape(-1, 4), out[2], out[3], out[4], raw[at:]
+    return np.stack([out[0], out[2].astype(np.int64)], 1), out[1].reshape(-1, 4), out[3], out[4], out[5], raw[at:]
 
 
 def _strings(k: int, m: int, buckets: int, hot: np.ndarray):
@@ -265,8 +265,8 @@ def decide(blobs: list[bytes], k: int) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; mark is xxhash64 of the text."""
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; mark is a 32-bit hash of the text, which tells rows of one id apart."""
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("mark"), F.col("text").cast("binary").alias("text"))
     heavy = own.select("text").mapInArrow(_heavy(k, m), "key long, n long, size long")
     heavy = saved(heavy.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "minimisers")
     total = heavy.filter("key is null").first()
@@ -292,7 +292,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_tarn_spans", "_tarn_mark")]
     spans = repeated_spans(docs, k, m).groupBy(F.col("doc_id").alias("_tarn_id"), F.col("mark").alias("_tarn_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_tarn_spans"))
-    marked = docs.select(*names, F.xxhash64("text").alias("_tarn_mark"))
+    marked = docs.select(*names, F.hash("text").cast("long").alias("_tarn_mark"))
     both = marked.join(spans, (F.col("doc_id") == F.col("_tarn_id")) & (F.col("_tarn_mark") == F.col("_tarn_m")), "left").drop("_tarn_id", "_tarn_m", "_tarn_mark")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long, kept string"
 

@@ -76,15 +76,50 @@ class Profile:
         return asdict(self)
 
     def described(self) -> str:
-        """The record in English lines, for a model's prompt."""
+        """The record in English lines, for a model's prompt; lists cut to what a prompt should hold."""
         if not any(asdict(self).values()):
             return "No corpus profile is available."
-        text = lambda v, empty: v or empty
-        lists = (("Representative Sources", self.source_examples, 10, ", "), ("Recommended Questions", self.recommended_questions, 8, "; "), ("Forbidden Questions", self.forbidden_questions, 8, "; "), ("Domain Keywords", self.domain_keywords, 12, ", "), ("Primary Entities", self.primary_entities, 12, ", "))
-        head = [f"Knowledge Base Name: {text(self.name, 'Unnamed knowledge base')}"]
-        head += [f"{label}: {text(v, 'Not provided')}" for label, v in (("Summary", self.summary), ("Coverage", self.coverage), ("Non-Coverage", self.non_coverage), ("Usage Notes", self.usage_notes))]
-        head += [f"{label}: {sep.join(v[:n]) or 'None listed'}" for label, v, n, sep in lists]
-        return "\n".join([*head, f"Preferred Answer Style: {text(self.preferred_answer_style, 'Not provided')}"])
+        return self._lines(PROMPT_LINES)
+
+    def displayed(self) -> str:
+        """The record in Chinese lines, for people; lists whole."""
+        return self._lines(DISPLAY_LINES)
+
+    def _lines(self, rows: list[tuple[str, str, str, str, int]]) -> str:
+        out = []
+        for name, label, empty, sep, limit in rows:
+            value = getattr(self, name)
+            out.append(f"{label}: {(sep.join(value[:limit]) if isinstance(value, list) else value) or empty}")
+        return "\n".join(out)
+
+
+# Field, label, text where it is empty, separator, entries shown.
+PROMPT_LINES = [
+    ("name", "Knowledge Base Name", "Unnamed knowledge base", "", 0),
+    ("summary", "Summary", "Not provided", "", 0),
+    ("coverage", "Coverage", "Not provided", "", 0),
+    ("non_coverage", "Non-Coverage", "Not provided", "", 0),
+    ("usage_notes", "Usage Notes", "Not provided", "", 0),
+    ("source_examples", "Representative Sources", "None listed", ", ", 10),
+    ("recommended_questions", "Recommended Questions", "None listed", "; ", 8),
+    ("forbidden_questions", "Forbidden Questions", "None listed", "; ", 8),
+    ("domain_keywords", "Domain Keywords", "None listed", ", ", 12),
+    ("primary_entities", "Primary Entities", "None listed", ", ", 12),
+    ("preferred_answer_style", "Preferred Answer Style", "Not provided", "", 0),
+]
+DISPLAY_LINES = [
+    ("name", "知识库名称", "未命名知识库", "", 0),
+    ("summary", "内容摘要", "未填写", "", 0),
+    ("coverage", "覆盖范围", "未填写", "", 0),
+    ("non_coverage", "不覆盖范围", "未填写", "", 0),
+    ("usage_notes", "使用说明", "未填写", "", 0),
+    ("recommended_questions", "推荐提问", "暂无", "; ", 12),
+    ("forbidden_questions", "禁止/不建议问题", "暂无", "; ", 12),
+    ("domain_keywords", "领域关键词", "暂无", ", ", 20),
+    ("primary_entities", "核心实体", "暂无", ", ", 20),
+    ("preferred_answer_style", "偏好回答风格", "未填写", "", 0),
+    ("source_examples", "代表性文件", "暂无", ", ", 10),
+]
 
 
 def matches(query: Column, terms: Column, phrases: list[str], least: int = 1, inside: bool = True) -> Column:

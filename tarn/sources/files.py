@@ -41,7 +41,7 @@ def pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] |
                 try:
                     rows += [(p, i, t, None) for i, t in enumerate(reader(content), 1)]
                 except Exception as e:  # noqa: BLE001  foreign code
-                    rows.append((p, None, None, f"PdfProcessor error: {e}"))
+                    rows.append((p, None, None, f"page reader failed: {e}"))
             yield pd.DataFrame(rows, columns=["path", "page", "text", "error"])
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(T.suffix(F.col("path")) == "pdf")

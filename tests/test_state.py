@@ -37,7 +37,7 @@ def test_prior_and_expansion(spark):
 def test_profile_forms():
     assert profile.Profile.of(None) == profile.Profile() and profile.Profile.of({"domain_keywords": "x"}).domain_keywords == ["x"]
     assert profile.clean_list([" a", "A", "", "b", "c"], 2) == ["a", "b"]
-    assert profile.Profile().described() == "No corpus profile is available." and "Fruit base" in P.described()
+    assert profile.Profile().described() == "No corpus profile is available." and "Fruit base" in P.described() and "未填写" in P.displayed()
 
 
 def test_routes_and_fan_in(spark):

@@ -36,6 +36,8 @@ HOT_LEAST = 64
 #: Text scanned at once, and text after which a task packs what it holds.
 SLICE_BYTES = 2 << 20
 FLUSH_BYTES = 12 << 20
+#: Bytes whose words are hashed at once.
+HASHED_BYTES = 1 << 18
 
 _seeds = np.random.default_rng(20240229)
 _BYTE = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -56,10 +58,16 @@ class Words:
         gaps = np.flatnonzero(raw == 32)
         self.start = np.concatenate([[0], gaps + 1]).astype(np.int64)
         self.stop = np.append(gaps, len(raw)).astype(np.int64)
+        raw = np.append(raw, np.uint8(32))
         size = self.stop - self.start + 1
-        place = np.arange(len(raw) + 1) - np.repeat(self.start, size)
-        value = _BYTE[np.append(raw, np.uint8(32))] * _PLACE[place & 4095] + _mixed(place.astype(np.uint64) >> np.uint64(12))
-        self.hash = _mixed(np.add.reduceat(value, self.start))
+        self.hash = np.empty(len(size), np.uint64)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(raw), HASHED_BYTES)), len(size)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            low, high = int(self.start[a]), int(self.stop[b - 1]) + 1
+            first = self.start[a:b] - low
+            place = np.arange(high - low) - np.repeat(first, size[a:b])
+            value = _BYTE[raw[low:high]] * _PLACE[place & 4095] + _mixed(place.astype(np.uint64) >> np.uint64(12))
+            self.hash[a:b] = _mixed(np.add.reduceat(value, first))
 
     def windows(self, k: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the k words from each of ``at`` on."""

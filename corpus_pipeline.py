@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lines, mixing, quality, simhash
+from tarn.llm import bpe, lines, mixing, neardup, quality
 from tarn.llm.common import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their fingerprints the one with the smallest id stays."""
-    return simhash.deduplicated(docs).select(COLUMNS)
+    """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles the one with the smallest id stays."""
+    return neardup.deduplicated(docs).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

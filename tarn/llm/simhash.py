@@ -25,6 +25,8 @@ BITS = 64
 PIECE = 1024
 SMALL = 64
 FRONTIER = 1 << 20
+#: Rows up to so many are broadcast by their hashes (tens of MB); beyond, they are joined.
+TOLD = 1 << 20
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -178,6 +180,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, seed: int
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component of ``rows(row, doc_id, component)``, row being the hash of doc_id and text.
+
+    The smallest doc_id stays, a null one only where there is no other, then the smallest hash; rows that are alike stay once.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = rows.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("_tarn_row")).distinct()
+    alike = rows.groupBy(F.col("row").alias("_tarn_row")).agg((F.count(F.lit(1)) > 1).alias("again"))
+    state = alike.join(keep.withColumn("kept", F.lit(True)), "_tarn_row", "left")
+    # rows that go, and rows of which there are more alike; all others pass where they lie
+    odd = saved(state.filter("again or kept is null").select("_tarn_row", (F.col("again") & F.col("kept").isNotNull()).alias("_tarn_one")), "odd-rows")
+    told = F.broadcast(odd) if odd.count() <= TOLD else odd
+    marked = docs.withColumn("_tarn_row", F.xxhash64("doc_id", "text")).join(told, "_tarn_row", "left")
+    once = marked.filter("_tarn_one").dropDuplicates(["_tarn_row"])
+    return marked.filter("_tarn_one is null").unionByName(once).select(docs.columns)
+
+
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays."""
     keep = near_duplicates(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tarn_id")).distinct()

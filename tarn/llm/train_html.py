@@ -1,7 +1,8 @@
 """Trains the block labeller on invented pages: ``python -m tarn.llm.train_html`` writes html_labeller.npz.
 
 The pages come from the rules below, with labels known from where a block was put. Their number is the bound on
-the labelled sample; words are random letters, so that layout and context decide, not vocabulary.
+the labelled sample. Half of the blocks are random letters, so that layout and context decide where words say nothing; the others
+hold common words of four languages, and outside the article words that sites use there.
 """
 
 from __future__ import annotations
@@ -18,6 +19,19 @@ PAGES = 4000
 HIDDEN = 16
 EPOCHS = 6
 MAIN, REST = "\u0001", "\u0002"
+# Common words, and words of menus, notices, forms, adverts, footers and discussions.
+COMMON = (
+    "the of and to in a is that it was for on with as he be at by had not are but from or have an they which one you were all there would their we him been has when who will "
+    "der die und das ist nicht ein eine zu den mit von sich auf des dem auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie "
+    "le la les et des est un une du que dans qui pour pas au sur ne se ce il sont plus par avec son tout mais comme ou si leur "
+    "el los las y en que un por con una su para es al lo como del se este ha pero sus le ya o porque muy sin sobre"
+).split()
+SITE = (
+    "home about contact menu login register subscribe newsletter email cookies cookie privacy policy terms accept settings copyright rights reserved share tweet follow reply comment comments "
+    "posted says likes related read more next previous search advertisement sponsored buy now offer click here sign up free trial archive tags categories sitemap help faq careers "
+    "impressum datenschutz kontakt startseite anmelden suche werbung mehr kommentare antworten accueil contactez mentions confidentialité abonnez publicité commentaires répondre rechercher "
+    "inicio contacto buscar suscríbete publicidad comentarios responder política privacidad aviso"
+).split()
 
 
 class Writer:
@@ -28,7 +42,10 @@ class Writer:
 
     def words(self, low: int, high: int, mark: str, end: str = "") -> str:
         r = self.r
-        w = ["".join(r.choices("etaoinshrdlucmfwypvbgk", k=max(1, min(14, int(r.gauss(5, 2.5)))))) for _ in range(r.randint(low, high))]
+        n = r.randint(low, high)
+        w = ["".join(r.choices("etaoinshrdlucmfwypvbgk", k=max(1, min(14, int(r.gauss(5, 2.5)))))) for _ in range(n)]
+        if r.random() < 0.5:
+            w = [r.choice(SITE if mark != MAIN and r.random() < 0.6 else COMMON) if r.random() < 0.6 else x for x in w]
         w = [x + r.choice(["", "", "", "", "", ",", ".", "."]) for x in w]
         style = r.random()
         if style < 0.05:
@@ -123,6 +140,8 @@ class Writer:
                 parts.append(f"<blockquote><p>{self.words(5, 40, MAIN)}</p></blockquote>")
             elif k < 0.95:
                 parts.append(f"<table><tr>{''.join(f'<td>{self.words(1, 4, MAIN)}</td>' for _ in range(3))}</tr></table>")
+            elif k < 0.954:
+                parts.append(f"<pre><code>{self.words(3, 30, MAIN)}</code></pre>")
             elif k < 0.96:
                 parts.append(f"<figure><img src=x><figcaption>{self.words(3, 12, MAIN)}</figcaption></figure>")
             elif k < 0.97:
@@ -137,6 +156,11 @@ class Writer:
             parts.append(self.form())
         inner = "".join(parts)
         k = r.random()
+        if k < 0.04:  # layouts of tables, and text that only line breaks part
+            cells = [f"<td>{self.items(3, REST)}</td>" if r.random() < 0.5 else "", f'<td valign="top">{inner}</td>', f"<td width=160>{self.ad()}</td>" if r.random() < 0.5 else ""]
+            return f"<table><tr>{''.join(cells)}</tr></table>"
+        if k < 0.07:
+            return self.wrap(f"{self.words(10, 60, MAIN)}<br><br>" + "<br><br>".join(self.words(10, 60, "") for _ in range(r.randint(1, 4))), "div.content", "td", "div", "article", "body")
         if k < 0.55:
             return self.wrap(inner, "article", "article", "article.post", "main", "article.story")
         if k < 0.7:
@@ -180,7 +204,6 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, hidden: int = HIDDEN, seed:
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     order = np.random.default_rng(seed)
     step = 0
-    batches = [data[i : i + 32] for i in range(0, len(data), 32)]
     batches = [b for b in (sorted(data, key=lambda e: len(e[1]))[i : i + 32] for i in range(0, len(data), 32)) if b]
     for epoch in range(epochs):
         rate = 0.01 * 0.5**epoch

@@ -1,11 +1,17 @@
-"""Exact top-k inner products in three phases with a uniform threshold.
-
-The components are cut into m groups; a group's partial products are one score list of a block of vectors.
-Phase 1: each block names the k best of each list and their whole scores, and the k-th best of all
-blocks' answers is a safe cutoff for the query. Phase 2: with the cutoff, an entry can only matter if one of its
-shifted partial products reaches an m-th of it, and only while its known parts plus the most that the others may add do.
-Phase 3: what remains is resolved exactly and ranked. Copies of a vector are searched once: no query needs more
-than its k + 1 smallest ids.
+"""Exact top-k inner products by the three-phase uniform threshold.
+
+The components are cut into lists; a list's partial products with a query are its local scores. Queries and
+vectors lie in blocks, and a tile is a list of a block of queries against the same list of a block of vectors: the unit of all work.
+Phase 1: every tile names its best partial products, and the least and largest of each list become known. The objects named
+are resolved, and the k-th best whole score is a safe cutoff for the query.
+Phase 2: the cutoff goes to the tiles. An object that reaches it must, in some list, lie above that list's least value
+by an equal part of what the cutoff leaves, and in no list can it lie so low that the largest values of all others don't make up for it.
+Tiles send the entries that pass; tiles whose largest value is below are not computed again.
+Phase 3: objects whose known parts and the most that the unknown ones can be stay below the cutoff go; for the others
+the missing parts are asked for and the sums ranked.
+
+Copies of a vector are one object with its k + 1 smallest ids, more of which no query needs. Vectors are laid into blocks by the signs of
+fixed random directions, so that like ones lie together and whole tiles can be passed over.
 """
 
 from __future__ import annotations
@@ -14,7 +20,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,27 +28,42 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-GROUPS = 4
-BLOCK, QUERY_BLOCK = 2048, 512
+#: Lists of components. Two leave the sharpest threshold: the more parts, the smaller the part that must be reached.
+LISTS = 2
+BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries of a tile that are multiplied at once.
+STEP = 256
 LEAST = np.iinfo(np.int64).min
-LIMIT = float(1 << 31)
+#: Components and partial products beyond these are taken as these, so that sums of all lists fit 64 bits.
+MOST, MOST_PART = 1 << 62, 1 << 60
+DIRECTIONS = 16
+PLACE_BITS = 20
+
+
+def _integers(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as int64, kept within MOST."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(scale * v.astype(np.float64)), -float(MOST), float(MOST)).astype(np.int64)
 
 
 def _whole(scale: int, dims: int):
-    """Rows (id, embedding) to (id, components times scale, floored, as int32, filled up with zeros); unfit vectors are left out."""
+    """Rows (id, embedding) to (id, components times scale, floored, as int64, filled up with zeros, and the code of the block order)."""
+    directions = np.random.default_rng(64).choice([-1.0, 1.0], (dims, DIRECTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            ids, rows = [], []
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = None if i is None or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if x is None or not np.isfinite(x).all() or (np.abs(x) * scale >= LIMIT).any():
+                x = None if i is None or not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False)
+                if x is None or not np.isfinite(x).all():
                     continue
-                row = np.zeros(dims, np.int32)
-                row[: len(x)] = np.floor(scale * x)
+                row = np.zeros(dims, np.int64)
+                row[: len(x)] = _integers(x, scale)
                 ids.append(i)
-                out.append(row.tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "vec"])
+                rows.append(row)
+            grid = np.array(rows, np.int64).reshape(-1, dims)
+            code = ((grid.astype(np.float64) @ directions) > 0) @ (1 << np.arange(DIRECTIONS))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(code.astype(np.int64))], ["id", "vec", "code"])
 
     return run
 
@@ -53,151 +73,230 @@ def _first_ids(keep: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by: dict[bytes, set[int]] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(v, set()).add(i)
-            yield pa.record_batch([pa.array(list(by), pa.binary()), pa.array([heapq.nsmallest(keep, s) for s in by.values()], pa.list_(pa.int64()))], ["vec", "ids"])
+            by: dict[bytes, tuple[int, set[int]]] = {}
+            for i, v, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                by.setdefault(v, (c, set()))[1].add(i)
+            ids = [heapq.nsmallest(keep, s) for _, s in by.values()]
+            yield pa.record_batch([pa.array(list(by), pa.binary()), pa.array([c for c, _ in by.values()], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["vec", "code", "ids"])
+
+    return run
+
+
+def _packed(grid: np.ndarray) -> bytes:
+    small = grid.size == 0 or (grid.min() >= -(1 << 31) and grid.max() < 1 << 31)
+    return bytes([4 if small else 8]) + np.ascontiguousarray(grid, np.int32 if small else np.int64).tobytes()
+
+
+def _grid(blob: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(blob, np.int32 if blob[0] == 4 else np.int64, offset=1).reshape(rows, -1)
+
+
+def _blocks(rows: int, dims: int):
+    """Rows (vec, ids) to blocks of at most so many, a row for each list: number, list, packed components, own id (or LEAST where there are more)."""
+    cuts = np.array_split(np.arange(dims), min(LISTS, dims))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 20, 0
+        held: list[tuple[bytes, list[int]]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            grid = np.frombuffer(b"".join(v for v, _ in held), np.int64).reshape(-1, dims)
+            alone = np.array([i[0] if len(i) == 1 else LEAST for _, i in held], np.int64).tobytes()
+            for g, c in enumerate(cuts):
+                ids = [i for _, i in held] if not g else None
+                yield pa.record_batch([pa.array([base + n], pa.int64()), pa.array([g], pa.int32()), pa.array([_packed(grid[:, c])], pa.binary()), pa.array([alone], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int64())))], ["block", "list", "part", "alone", "ids"])
+            held, n = [], n + 1
+
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append(row)
+                if len(held) == rows:
+                    yield from close()
+        if held:
+            yield from close()
 
     return run
 
 
-def _blocks(rows: int):
-    """Rows (vec, ids) to blocks of so many."""
+BLOCKS = "block long, list int, part binary, alone binary, ids array<array<long>>"
+
+
+class _Tile:
+    """A list of a block of queries against a block of vectors."""
+
+    def __init__(self, q: bytes, q_ids: bytes, x: bytes, alone: bytes):
+        self.own, self.alone = np.frombuffer(q_ids, np.int64), np.frombuffer(alone, np.int64)
+        self.a, self.b = _grid(q, len(self.own)), _grid(x, len(self.alone))
+        largest = [max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0)))) for m in (self.a, self.b)]
+        most = self.a.shape[1] * largest[0] * largest[1]
+        self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < MOST_PART else object
+        self.bt = self.b.astype(self.kind).T
+
+    def _fit(self, p: np.ndarray) -> np.ndarray:
+        return np.clip(p, -MOST_PART, MOST_PART).astype(np.int64) if self.kind is object else p.astype(np.int64)
+
+    def products(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partial products of some queries, and which of them are with the query's own vector alone."""
+        return self._fit(self.a[rows].astype(self.kind) @ self.bt), self.own[rows, None] == self.alone[None, :]
+
+    def some(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        a, b = self.a[rows].astype(self.kind), self.b[cols].astype(self.kind)
+        return self._fit((a * b).sum(1) if self.kind is object else np.einsum("ij,ij->i", a, b))
+
+
+def _arrow(names: list[str], cols: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in cols], names)
+
+
+def _first_phase(k: int):
+    """Tiles to their k best entries a query, with the least and largest value of the tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = part.column(1).to_pylist()
-                flat = np.array([i for x in lists for i in x], np.int64).tobytes()
-                sizes = np.array([len(x) for x in lists], np.int32).tobytes()
-                yield pa.record_batch([pa.array([base + n], pa.int64()), pa.array([b"".join(part.column(0).to_pylist())], pa.binary()), pa.array([sizes], pa.binary()), pa.array([flat], pa.binary())], ["block", "vecs", "sizes", "ids"])
-                n += 1
+            for g, qb, xb, *blobs in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                t = _Tile(*blobs)
+                for at in range(0, len(t.own), STEP):
+                    rows = np.arange(at, min(at + STEP, len(t.own)))
+                    p, own = t.products(rows)
+                    low = np.where(own, np.iinfo(np.int64).max, p).min(1)
+                    p[own] = LEAST
+                    n = min(k, p.shape[1])
+                    best = np.argpartition(p, p.shape[1] - n, axis=1)[:, p.shape[1] - n :]
+                    part = np.take_along_axis(p, best, 1)
+                    ok = part.ravel() > LEAST
+                    high = np.repeat(part.max(1), n)[ok]
+                    q = np.repeat((qb << PLACE_BITS) + rows, n)[ok]
+                    yield _arrow(["q", "x", "list", "part", "low", "high"], [q, ((xb << PLACE_BITS) + best).ravel()[ok], np.full(len(q), g, np.int32), part.ravel()[ok], np.repeat(low, n)[ok], high])
 
     return run
 
 
-class _Pair:
-    """A block of queries against a block of vectors: all partial products, as exact whole numbers."""
-
-    def __init__(self, q: bytes, q_ids: bytes, x: bytes, sizes: bytes, ids: bytes, dims: int):
-        self.own = np.frombuffer(q_ids, np.int64)
-        self.sizes = np.frombuffer(sizes, np.int32)
-        self.ids = np.frombuffer(ids, np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        a = np.frombuffer(q, np.int32).reshape(len(self.own), dims)
-        b = np.frombuffer(x, np.int32).reshape(len(self.sizes), dims)
-        most = dims * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
-        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
-        self.cuts = [c for c in np.array_split(np.arange(dims), GROUPS) if len(c)] or [np.arange(0)]
-        self.parts = [(a[:, c].astype(kind) @ b[:, c].astype(kind).T).astype(np.int64) for c in self.cuts]
-        self.total = sum(self.parts)
-        # no partial product lies below this, so what is not known adds nothing negative
-        self.low = np.stack([-np.abs(a[:, c].astype(np.int64)).sum(1) * int(np.abs(b).max(initial=0)) for c in self.cuts])
-
-    def first_phase(self, k: int) -> np.ndarray:
-        """For each query the k best whole scores of vectors on any of its lists."""
-        n = self.total.shape[1]
-        seen = np.concatenate([np.argpartition(p, max(0, n - k - 1), axis=1)[:, -min(n, k + 1) :] for p in self.parts], axis=1)
-        seen.sort(axis=1)
-        score = np.take_along_axis(self.total, seen, 1)
-        again = np.zeros(seen.shape, bool)
-        again[:, 1:] = seen[:, 1:] == seen[:, :-1]
-        alone = (self.sizes[seen] == 1) & (self.ids[self.first[seen]] == self.own[:, None])
-        score[again | alone] = LEAST
-        return np.sort(score, axis=1)[:, ::-1][:, :k]
-
-    def last_phases(self, cutoff: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-        """(query, id, score) of the entries that reach the cutoff, the k best of this block at most."""
-        m = len(self.parts)
-        rise = self.low.sum(0)
-        free = cutoff == LEAST
-        need = np.where(free, 0, cutoff - rise) / m  # the uniform threshold on shifted parts
-        known = np.zeros(self.total.shape, np.float64)
-        sent = np.zeros(self.total.shape, bool)
-        for p, low in zip(self.parts, self.low, strict=True):
-            shifted = p - low[:, None]
-            is_sent = shifted >= need[:, None]
-            sent |= is_sent
-            known += np.where(is_sent, shifted, need[:, None])
-        open_ = free[:, None] | (sent & (known >= (cutoff - rise)[:, None] - 1e-6))
-        hit = open_ & (self.total >= cutoff[:, None])
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for q in np.flatnonzero(hit.any(1)):
-            at = np.flatnonzero(hit[q])
-            if len(at) > k + 1:  # ties at the last place stay
-                s = self.total[q, at]
-                at = at[s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]]
-            own = int(self.own[q])
-            found = [(-int(self.total[q, j]), i) for j in at for i in self.ids[self.first[j] : self.first[j] + self.sizes[j]].tolist() if i != own]
-            for s, i in heapq.nsmallest(k, found):
-                out[0].append(own)
-                out[1].append(i)
-                out[2].append(-s)
-        return out
-
-
-def _merged(a: np.ndarray | None, b: np.ndarray, k: int) -> np.ndarray:
-    both = b if a is None else np.concatenate([a, b], axis=1)
-    return np.sort(both, axis=1)[:, ::-1][:, :k]
+def _second_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles with (place, threshold) of the queries that may pass to the entries that do."""
+    for batch in batches:
+        for g, qb, xb, q, q_ids, x, alone, need in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            t = _Tile(q, q_ids, x, alone)
+            asked = sorted((r["place"], r["least"]) for r in need)
+            for at in range(0, len(asked), STEP):
+                rows, least = (np.array(c, np.int64) for c in zip(*asked[at : at + STEP], strict=True))
+                p, own = t.products(rows)
+                i, j = np.nonzero((p >= least[:, None]) & ~own)
+                yield _arrow(["q", "x", "list", "part"], [(qb << PLACE_BITS) + rows[i], (xb << PLACE_BITS) + j, np.full(len(i), g, np.int32), p[i, j]])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles with places that are asked for to those partial products."""
+    for batch in batches:
+        for g, qb, xb, q, q_ids, x, alone, rows, cols in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
+            t = _Tile(q, q_ids, x, alone)
+            rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
+            for at in range(0, len(rows), 1 << 16):
+                r, c = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+                yield _arrow(["q", "x", "list", "part"], [(qb << PLACE_BITS) + r, (xb << PLACE_BITS) + c, np.full(len(r), g, np.int32), t.some(r, c)])
+
+
+ENTRIES = "q long, x long, list int, part long"
+TILE = ["list", "qb", "xb", "q", "q_ids", "x", "alone"]
+
+
+class Search:
+    """The phases over saved blocks; ``counts`` tells how many entries each one sent."""
+
+    def __init__(self, vectors: DataFrame, queries: DataFrame, k: int, scale: int):
+        self.k = k
+        width = lambda df: df.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
+        self.dims = dims = max(1, width(vectors), width(queries))
+        self.lists = min(LISTS, dims)
+        pair = lambda df: df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        whole = lambda df: pair(df).mapInArrow(_whole(scale, dims), "id long, vec binary, code long")
+        local = whole(vectors).mapInArrow(_first_ids(k + 1), "vec binary, code long, ids array<long>")
+        once = local.groupBy("vec").agg(F.first("code").alias("code"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+        self.x = self._laid(saved(once, "topk-vectors"), BLOCK, "topk-blocks")
+        asked = whole(queries).select("vec", "code", F.array("id").alias("ids")).distinct()
+        self.q = self._laid(saved(asked, "topk-queries"), QUERY_BLOCK, "topk-query-blocks")
+        self.counts: dict[str, int] = {}
+
+    def _laid(self, rows: DataFrame, size: int, name: str) -> DataFrame:
+        """Blocks of like vectors: ranges of the code, copies of a code apart by their hash."""
+        few = max(1, -(-rows.count() // size))
+        laid = rows.repartitionByRange(few, "code", F.xxhash64("vec", "ids")).sortWithinPartitions("code", F.xxhash64("vec", "ids"))
+        return saved(laid.select("vec", "ids").mapInArrow(_blocks(size, self.dims), BLOCKS), name)
+
+    def _tiles(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(list, qb, xb, ...)`` with the components of both sides."""
+        q = self.q.select("list", F.col("block").alias("qb"), F.col("part").alias("q"), F.col("alone").alias("q_ids"))
+        x = self.x.select("list", F.col("block").alias("xb"), F.col("part").alias("x"), "alone")
+        return pairs.join(q, ["list", "qb"]).join(x, ["list", "xb"])
+
+    def _parts(self, asked: DataFrame) -> DataFrame:
+        """The partial products of ``asked(q, x, list)``."""
+        block, place = lambda c: F.shiftright(c, PLACE_BITS), lambda c: F.col(c).bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+        # a row holds what some queries of a tile ask for, so that its size is bounded
+        some = F.shiftright(place("q"), STEP.bit_length() - 1)
+        each = asked.groupBy("list", block("q").alias("qb"), block("x").alias("xb"), some).agg(F.collect_list(F.struct(place("q").alias("q"), place("x").alias("x"))).alias("at"))
+        each = each.select("list", "qb", "xb", F.col("at.q").alias("rows"), F.col("at.x").alias("cols"))
+        return self._tiles(each).select(*TILE, "rows", "cols").mapInArrow(_resolved, ENTRIES)
+
+    def _whole_scores(self, entries: DataFrame, name: str) -> DataFrame:
+        """(q, x, score) of ``entries(q, x, known)``, known being a map from list to part; the missing parts are asked for."""
+        lists = F.array(*[F.lit(g) for g in range(self.lists)])
+        missing = entries.select("q", "x", F.explode(F.array_except(lists, F.map_keys("known"))).alias("list"))
+        missing = saved(missing, f"topk-{name}")
+        self.counts[name] = missing.count()
+        have = entries.select("q", "x", F.aggregate(F.map_values("known"), F.lit(0).cast("long"), lambda a, b: a + b).alias("part"))
+        return have.unionByName(self._parts(missing).select("q", "x", "part")).groupBy("q", "x").agg(F.sum("part").alias("score"))
+
+    @staticmethod
+    def _known(entries: DataFrame) -> DataFrame:
+        return entries.groupBy("q", "x").agg(F.map_from_entries(F.collect_set(F.struct("list", "part"))).alias("known"))
+
+    def run(self) -> DataFrame:
+        k, m = self.k, self.lists
+        rank = lambda by, score, tie: F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc(), tie))
+        # phase 1: every tile's best; both sides are dealt by number, a query block meets each block of vectors
+        slices = max(1, self.x.filter("list = 0").count() // 64)
+        xb = self.x.select("list", F.col("block").alias("xb"), F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"))
+        qb = self.q.select("list", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
+        pairs = qb.join(xb, ["list", "slice"]).drop("slice")
+        tops = saved(self._tiles(pairs).select(*TILE).mapInArrow(_first_phase(k), ENTRIES + ", low long, high long"), "topk-first")
+        self.counts["first"] = tops.count()
+        named = tops.withColumn("rank", F.row_number().over(W.partitionBy("q", "list").orderBy(F.col("part").desc(), "x"))).filter(F.col("rank") <= k)
+        scores = self._whole_scores(self._known(named.select("q", "x", "list", "part")), "named")
+        kth = scores.withColumn("rank", rank("q", "score", "x")).filter(F.col("rank") == k).select("q", F.col("score").alias("cutoff"))
+        bounds = tops.groupBy("q", "list").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        of_query = bounds.groupBy("q").agg(F.sum("low").alias("lows"), F.sum("high").alias("highs")).join(kth, "q", "left")
+        # the uniform part above the least value, or what the other lists' largest values leave to reach
+        even = F.col("low") + F.expr(f"(cutoff - lows + {m - 1}) div {m}")
+        least = F.coalesce(F.greatest(even, F.col("cutoff") - (F.col("highs") - F.col("high"))), F.lit(LEAST))
+        limits = saved(bounds.join(of_query, "q").select("q", "list", "low", "high", "lows", "highs", "cutoff", least.alias("least")), "topk-limits")
+        # phase 2: a tile hears the thresholds of the queries for which its largest value passes
+        block, place = F.shiftright("q", PLACE_BITS).alias("qb"), F.col("q").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+        open_ = tops.groupBy("list", "q", F.shiftright("x", PLACE_BITS).alias("xb")).agg(F.max("high").alias("top")).join(limits.select("q", "list", "least"), ["q", "list"]).filter("top >= least")
+        need = open_.groupBy("list", block, "xb").agg(F.collect_list(F.struct(place.alias("place"), "least")).alias("need"))
+        sent = saved(self._tiles(need).select(*TILE, "need").mapInArrow(_second_phase, ENTRIES), "topk-second")
+        self.counts["second"] = sent.count()
+        # phase 3: what can't reach the cutoff even with the most of its unknown parts goes, the rest is resolved
+        entries = self._known(sent).join(limits.groupBy("q").agg(F.first("cutoff").alias("cutoff"), F.map_from_entries(F.collect_list(F.struct("list", F.when(F.col("cutoff").isNull(), F.col("high")).otherwise(F.least("high", F.greatest("least", F.lit(LEAST + 1)) - 1)).alias("most")))).alias("most")), "q")
+        reach = sum((F.coalesce(F.col("known")[g], F.col("most")[g]) for g in range(1, m)), F.coalesce(F.col("known")[0], F.col("most")[0]))
+        able = entries.filter(F.col("cutoff").isNull() | (reach >= F.col("cutoff"))).select("q", "x", "known", "cutoff")
+        able = saved(able, "topk-able")
+        scores = self._whole_scores(able.select("q", "x", "known"), "third").join(limits.select("q", "cutoff").distinct(), "q").filter(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff")))
+        ids = self.x.filter("list = 0").select("block", F.posexplode("ids").alias("place", "ids")).select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("x"), "ids")
+        own = self.q.filter("list = 0").select("block", F.posexplode("ids").alias("place", "ids")).select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("q"), F.col("ids")[0].alias("query_id"))
+        each = scores.join(ids, "x").join(own, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        return each.withColumn("rank", rank("query_id", "score", "vec_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries(vec_id, embedding)`` against ``vectors(vec_id, embedding)``.
 
     Score: inner product of floor(scale * x); ties to the smaller id; rows with the query's own id are not its candidates.
-    Vectors without an id, null or with a null or non-finite component (or one beyond 2**31 after scaling) take no part;
-    shorter ones count as filled up with zeros. Repeated rows count once. No rows or no queries: an empty result.
+    Vectors without an id, null or with a null or non-finite component take no part; shorter ones count as filled up with zeros. Components
+    beyond 2**62 after scaling, and a list's products beyond 2**60, are taken as these; all smaller scores are exact. Repeated rows
+    count once; other columns don't matter. No rows or no queries: an empty result.
     """
-    pair = lambda df: df.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    dims = vectors.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0
-    dims = max(1, dims, queries.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 0)
-    whole = lambda df: pair(df).mapInArrow(_whole(scale, dims), "id long, vec binary")
-    local = whole(vectors).mapInArrow(_first_ids(k + 1), "vec binary, ids array<long>")
-    once = local.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    schema = "block long, vecs binary, sizes binary, ids binary"
-    x = saved(once.mapInArrow(_blocks(BLOCK), schema), "topk-blocks")
-    asked = saved(whole(queries).select("vec", F.array("id").alias("ids")).distinct(), "topk-queries")
-    few = max(1, -(-asked.count() // QUERY_BLOCK))
-    q = saved(asked.repartition(few).mapInArrow(_blocks(QUERY_BLOCK), schema), "topk-queries")
-    xs, qs = x.select("block"), q.select("block")
-    # both sides are dealt by the pair of blocks; only block numbers are listed, never rows
-    q_ids, x_ids = qs.agg(F.collect_list("block").alias("all")), xs.agg(F.collect_list("block").alias("all"))
-    left = q.select(F.col("block").alias("qb"), F.col("vecs").alias("q"), F.col("ids").alias("q_ids"), F.explode(F.lit(x_ids.first()["all"] or []).cast("array<long>")).alias("xb"))
-    right = x.select(F.col("block").alias("xb"), F.col("vecs").alias("x"), "sizes", "ids", F.explode(F.lit(q_ids.first()["all"] or []).cast("array<long>")).alias("qb"))
-    pairs = left.join(right, ["qb", "xb"])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for qb, *blobs in zip(*(batch.column(c).to_pylist() for c in ("qb", "q", "q_ids", "x", "sizes", "ids")), strict=True):
-                best[qb] = _merged(best.get(qb), _Pair(*blobs, dims).first_phase(k), k)
-        keys = list(best)
-        blobs = [np.pad(b, ((0, 0), (0, k - b.shape[1])), constant_values=LEAST).tobytes() for b in best.values()]
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(keys), pa.int64()), pa.array(blobs, pa.binary())], ["qb", "task", "best"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for blob in pdf["best"]:
-            out = _merged(out, np.frombuffer(blob, np.int64).reshape(-1, k), k)
-        return pd.DataFrame({"qb": pdf["qb"].iloc[:1], "task": pdf["task"].iloc[:1], "best": [out.tobytes()]})
-
-    lists = pairs.mapInArrow(first, "qb long, task long, best binary")
-    lists = lists.groupBy("qb", F.expr("task div 64")).applyInPandas(merge, "qb long, task long, best binary")
-    cutoffs = lists.groupBy("qb").applyInPandas(merge, "qb long, task long, best binary").select(F.col("qb").alias("_qb"), "best")
-    known = pairs.join(saved(cutoffs, "topk-cutoffs"), F.col("qb") == F.col("_qb"))
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for *blobs, best in zip(*(batch.column(c).to_pylist() for c in ("q", "q_ids", "x", "sizes", "ids", "best")), strict=True):
-                cutoff = np.frombuffer(best, np.int64).reshape(-1, k)[:, -1]
-                got = _Pair(*blobs, dims).last_phases(cutoff, k)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in got], ["query_id", "vec_id", "score"])
-
-    found = known.mapInArrow(last, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return Search(vectors, queries, k, scale).run()
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:

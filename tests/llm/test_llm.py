@@ -535,6 +535,29 @@ def test_topk(spark, n, monkeypatch):
     assert got == brute_topk(rows)
 
 
+def test_topk_large_components(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, (r.normal(size=6) * 10.0 ** (i % 8)).astype(np.float32).tolist()) for i in range(120)]
+    got = {tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame(rows[::20], "vec_id long, embedding array<float>")).collect()}
+    assert got == brute_topk(rows)
+    huge = spark.createDataFrame([(i, [1e300 * (i - 1), 1e3]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in topk.top_k(huge, huge.filter("vec_id = 20")).collect()}
+    assert len(got) == 20 and got[20, 1][0] == 2 and got[20, 1][1] >= topk.MOST_PART
+
+
+def test_topk_scores_few_pairs_of_clustered_vectors(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(30, 32))
+    rows = [(i, (centres[i % 30] + 0.2 * r.normal(size=32)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    search = topk.Search(df, df.filter("vec_id % 20 = 0"), 20, 64)
+    got = {tuple(x) for x in search.run().collect()}
+    assert got == brute_topk(rows)
+    pairs = 300 * 5999
+    print(search.counts, pairs)
+    assert search.counts["second"] < 0.1 * pairs and search.counts["named"] + search.counts["third"] < 0.1 * pairs
+
+
 def test_topk_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     one = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")

@@ -24,10 +24,13 @@ from .cuckoo import CuckooFilter
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Shards by the digest's last byte.
-SHARDS = 256
-#: Filters are sent to every task only up to this size together; beyond it, lines are joined without them.
+#: Digests that one shard's filter is built for, and the least number of shards; a shard is chosen by a digest's last four bytes.
+SHARD_DIGESTS = 1 << 16
+MIN_SHARDS = 16
+#: Filters of up to this size together are sent to every task; larger ones meet the digests in a join on the shard.
 FILTER_BYTES = 32 << 20
+#: Digests that a task packs by shard before it sends them to their filters.
+PACK_DIGESTS = 1 << 20
 
 
 def line_keys(text: bytes | None, min_chars: int = MIN_CHARS) -> list[bytes | None]:
@@ -43,38 +46,90 @@ def line_keys(text: bytes | None, min_chars: int = MIN_CHARS) -> list[bytes | No
     return out
 
 
-def _postings(min_chars: int, filters: dict[int, bytes] | None = None):
+def _digests(batch: pa.RecordBatch, min_chars: int) -> tuple[list, np.ndarray]:
+    """The distinct (doc_id, digest) of a batch of documents."""
+    ids, digests = [], []
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        own = set(line_keys(text.as_py(), min_chars))
+        own.discard(None)
+        ids += [doc] * len(own)
+        digests += own
+    return ids, np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+
+
+def _shards_of(rows: np.ndarray, shards: int) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, 12:]).view(">u4").ravel().astype(np.int64) % shards
+
+
+def shard_of(digest, shards: int) -> F.Column:
+    return F.pmod(F.conv(F.hex(F.substring(digest, 13, 4)), 16, 10).cast("long"), F.lit(shards))
+
+
+def _rows(ids: list, rows: np.ndarray) -> pa.RecordBatch:
+    digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
+    return pa.record_batch([pa.array(ids, pa.int64()), digests.cast(pa.binary())], ["doc_id", "digest"])
+
+
+def _postings(min_chars: int, filters: dict[int, bytes] | None = None, shards: int = 1):
     """Documents to their distinct (doc_id, digest); with filters, only those that may be in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = {k: CuckooFilter.from_bytes(v) for k, v in filters.items()} if filters is not None else None
         for batch in batches:
-            ids, digests = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = set(line_keys(text.as_py(), min_chars))
-                own.discard(None)
-                ids += [doc] * len(own)
-                digests += own
-            keep = np.ones(len(ids), bool)
+            ids, rows = _digests(batch, min_chars)
             if probe is not None and ids:
-                rows = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-                keep[:] = False
-                for shard in np.unique(rows[:, 15]):
-                    if (f := probe.get(int(shard) % SHARDS)) is not None:
-                        at = np.flatnonzero(rows[:, 15] == shard)
+                keep = np.zeros(len(ids), bool)
+                shard = _shards_of(rows, shards)
+                order = np.argsort(shard, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    if (f := probe.get(int(shard[at[0]]))) is not None:
                         keep[at] = f.contains(rows[at])
-            out = pa.record_batch([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
-            yield out.filter(pa.array(keep))
+                ids, rows = [ids[i] for i in np.flatnonzero(keep)], rows[keep]
+            yield _rows(ids, rows)
 
     return run
 
 
-def _filters(groups: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": groups["shard"].iloc[:1], "filter": [CuckooFilter.of(list(groups["digest"])).to_bytes()]})
+def _packs(min_chars: int, shards: int):
+    """Documents to rows (shard, ids, digests), many digests of a shard in one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            shard = _shards_of(rows, shards)
+            order = np.argsort(shard, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+            cols = [[int(shard[at[0]]) for at in parts], [[ids[i] for i in at] for at in parts], [rows[at].tobytes() for at in parts]]
+            ids.clear()
+            held.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["shard", "ids", "digests"])
 
-def shard_of(digest) -> F.Column:
-    return F.conv(F.hex(F.substring(digest, 16, 1)), 16, 10).cast("int") % SHARDS
+        for batch in batches:
+            own, rows = _digests(batch, min_chars)
+            ids += own
+            held.append(rows)
+            if len(ids) >= PACK_DIGESTS:
+                yield flush()
+        if ids:
+            yield flush()
+
+    return run
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs with their shard's filter to the (doc_id, digest) that may be in it."""
+    for batch in batches:
+        for ids, digests, blob in zip(batch.column("ids"), batch.column("digests"), batch.column("filter"), strict=True):
+            rows = np.frombuffer(digests.as_py(), np.uint8).reshape(-1, 16)
+            keep = CuckooFilter.from_bytes(blob.as_py()).contains(rows)
+            yield _rows(ids.values.filter(pa.array(keep)).to_pylist(), rows[keep])
+
+
+def _filters(groups: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": groups["shard"].iloc[:1], "filter": [CuckooFilter.of(list(groups["digest"])).to_bytes()]})
 
 
 @dataclass(frozen=True)
@@ -84,6 +139,7 @@ class LineIndex:
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
 
@@ -94,7 +150,7 @@ class LineIndex:
         if keep_postings:
             postings = saved(postings, "line-postings")
         counts = saved(cls._count(postings), "line-counts")
-        return cls(postings, counts, cls._filter(counts, min_docs), min_chars, min_docs)
+        return cls(postings, counts, *cls._filter(counts, min_docs), min_chars, min_docs)
 
     @staticmethod
     def _read(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -107,9 +163,12 @@ class LineIndex:
         return each.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
     @staticmethod
-    def _filter(counts: DataFrame, min_docs: int) -> DataFrame:
-        often = counts.filter(F.col("n_docs") >= min_docs).select(shard_of(F.col("digest")).alias("shard"), "digest")
-        return saved(often.groupBy("shard").applyInPandas(_filters, "shard int, filter binary"), "line-filters")
+    def _filter(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+        """The filters and the number of shards, which follows the number of digests."""
+        often = counts.filter(F.col("n_docs") >= min_docs).select("digest")
+        shards = max(MIN_SHARDS, 1 << (often.count() // SHARD_DIGESTS).bit_length())
+        each = often.select(shard_of(F.col("digest"), shards).alias("shard"), "digest")
+        return saved(each.groupBy("shard").applyInPandas(_filters, "shard long, filter binary"), "line-filters"), shards
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents with new ids: their postings are appended, only the counts they touch change."""
@@ -126,14 +185,15 @@ class LineIndex:
         touched = delta.select("digest").distinct()
         fresh = self._count(postings.join(touched, "digest", "left_semi"))
         counts = saved(self.counts.join(touched, "digest", "left_anti").unionByName(fresh), "line-counts")
-        return replace(self, postings=postings, counts=counts, filters=self._moved(counts, touched))
+        filters, shards = self._moved(counts, touched)
+        return replace(self, postings=postings, counts=counts, filters=filters, shards=shards)
 
-    def _moved(self, counts: DataFrame, touched: DataFrame) -> DataFrame:
+    def _moved(self, counts: DataFrame, touched: DataFrame) -> tuple[DataFrame, int]:
         """Filters after a change: digests that came to enough documents are inserted, those that fell below deleted."""
         often = F.col("n_docs") >= self.min_docs
         now = counts.filter(often).join(touched, "digest", "left_semi").select("digest", F.lit(True).alias("now"))
         was = self.counts.filter(often).join(touched, "digest", "left_semi").select("digest", F.lit(True).alias("was"))
-        moves = now.join(was, "digest", "full_outer").filter("now is null or was is null").select(shard_of(F.col("digest")).alias("shard"), "digest", F.col("now").isNotNull().alias("enter"))
+        moves = now.join(was, "digest", "full_outer").filter("now is null or was is null").select(shard_of(F.col("digest"), self.shards).alias("shard"), "digest", F.col("now").isNotNull().alias("enter"))
 
         def move(key, filters: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
             enter, leave = moved.loc[moved["enter"], "digest"], moved.loc[~moved["enter"], "digest"]
@@ -143,16 +203,21 @@ class LineIndex:
             done = all([f.delete(d) for d in leave]) and all(f.insert(d) for d in enter)
             return pd.DataFrame({"shard": [key[0]], "filter": [f.to_bytes() if done else None]})
 
-        moved = saved(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(move, "shard int, filter binary"), "line-filters")
+        moved = saved(self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(move, "shard long, filter binary"), "line-filters")
         if moved.filter("filter is null").isEmpty():
-            return moved
+            return moved, self.shards
         return self._filter(counts, self.min_docs)  # a shard ran out of room
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(doc_id, digests): the lines that each of ``docs`` loses. Filters pass only likely lines on; the exact table decides."""
+        own = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
         size = self.filters.agg(F.sum(F.length("filter")).alias("n")).first()["n"] or 0
-        filters = {r["shard"]: r["filter"] for r in self.filters.toLocalIterator()} if size <= FILTER_BYTES else None
-        near = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_postings(self.min_chars, filters), "doc_id long, digest binary")
+        if size <= FILTER_BYTES:
+            filters = {r["shard"]: r["filter"] for r in self.filters.toLocalIterator()}
+            near = own.mapInArrow(_postings(self.min_chars, filters, self.shards), "doc_id long, digest binary")
+        else:
+            packs = own.mapInArrow(_packs(self.min_chars, self.shards), "shard long, ids array<long>, digests binary")
+            near = packs.join(self.filters, "shard").mapInArrow(_probed, "doc_id long, digest binary")
         often = self.counts.filter(F.col("n_docs") >= self.min_docs)
         gone = near.join(often, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         return gone.groupBy("doc_id").agg(F.collect_set("digest").alias("drops"))
@@ -161,7 +226,8 @@ class LineIndex:
         """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the text without its dropped lines) added.
 
         Null or empty text: one empty line. Rows that share a doc_id count as one document. A null
-        doc_id is a document too, smaller than all others. An empty table gives an empty result.
+        doc_id is a document too, smaller than all others. Columns of ``docs`` with the names of the added ones are replaced, all
+        others stay as they are. An empty table gives an empty result.
         """
         names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept", "drops")]
         drops = self.drops(docs).withColumnRenamed("doc_id", "_tarn_id")

@@ -425,7 +425,11 @@ def test_lines(docs, rows, empty, monkeypatch):
     want = brute_lines(rows)
     assert as_counter(index.cleaned(docs)) == want and sum(k[2] for k in want) > 0
     monkeypatch.setattr(lines, "FILTER_BYTES", -1)
-    assert as_counter(index.cleaned(docs)) == want, "the same without filters"
+    monkeypatch.setattr(lines, "PACK_DIGESTS", 20)
+    assert as_counter(index.cleaned(docs)) == want, "the same with filters that come by a join"
+    monkeypatch.setattr(lines, "SHARD_DIGESTS", 1)
+    many = lines.LineIndex.build(docs)
+    assert as_counter(many.cleaned(docs)) == want
     assert lines.LineIndex.build(empty).cleaned(empty).collect() == []
 
 

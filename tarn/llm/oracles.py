@@ -35,15 +35,34 @@ ORACLES = {"op8_line_dedup": OP8, "op10_topk": OP10}
 
 
 def _op6() -> str:
-    """The quality query: counts by lists, then the concentration steps as common table expressions."""
+    """The quality query: counts by lists, then the concentration steps as common table expressions; a group's estimate stands still once its determinant falls no more."""
     from . import quality as q
 
     d = q.D
     word = r"[^\x20\x09-\x0D]"
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    share = lambda a, b: f"CAST(round(256 * ln(1 + 100.0 * {a} / CAST({b} AS DOUBLE))) AS BIGINT)"
-    on = lambda a, b: f"{a}.lang IS NOT DISTINCT FROM {b}.lang AND {a}.source IS NOT DISTINCT FROM {b}.source"
+    share = lambda a, b: f"CAST(round({q.UNIT} * {a} / CAST({b} AS DOUBLE)) AS BIGINT)"
+    on = lambda a, b, *more: f"{a}.lang IS NOT DISTINCT FROM {b}.lang AND {a}.source IS NOT DISTINCT FROM {b}.source" + "".join(f" AND {a}.{m} = {b}.{m}" for m in more)
     middle = lambda x: f"list_sort(list({x}))[CAST(ceil(count(*) / 2.0) AS INT)]"
+    names = [f"m{i}" for i in range(d)] + [f"s{i}{j}" for i, j in pairs]
+    sums = f"CAST(count(*) AS DOUBLE) AS h, {', '.join(f'CAST(sum(f{i}) AS DOUBLE) AS t{i}' for i in range(d))}, {', '.join(f'CAST(sum(f{i} * f{j}) AS DOUBLE) AS q{i}{j}' for i, j in pairs)}"
+    moments = f"{', '.join(f't{i} / h AS m{i}' for i in range(d))}, {', '.join(f'{q.CONSISTENCY}::DOUBLE * (q{i}{j} / h - t{i} / h * (t{j} / h)) + {q.FLOOR[i] if i == j else 0.0}::DOUBLE AS s{i}{j}' for i, j in pairs)}"
+
+    def split(name: str, source: str) -> list[str]:
+        out, last = [], source
+        for j in range(d):
+            out.append(f"{name}_{j}d AS (SELECT *, s{j}{j} - ({' + '.join(['0.0::DOUBLE'] + [f'l{j}{k} * l{j}{k} * g{k}' for k in range(j)])}) AS g{j} FROM {last})")
+            more = "".join(f", (s{i}{j} - ({' + '.join(['0.0::DOUBLE'] + [f'l{i}{k} * l{j}{k} * g{k}' for k in range(j)])})) / g{j} AS l{i}{j}" for i in range(j + 1, d))
+            last = f"{name}_{j}" if j == d - 1 else f"{name}_{j}l"
+            out.append(f"{last} AS (SELECT *{more} FROM {name}_{j}d)")
+        return out
+
+    def distances(name: str, estimate: str) -> str:
+        rows = f"(SELECT x.*, start, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'g{i}' for i in range(d))}, {', '.join(f'l{i}{j}' for i, j in pairs if i != j)} FROM x JOIN {estimate} p ON {on('x', 'p')})"
+        for i in range(d):
+            rows = f"(SELECT *, f{i} - m{i} - ({' + '.join(['0.0::DOUBLE'] + [f'l{i}{k} * y{k}' for k in range(i)])}) AS y{i} FROM {rows})"
+        return f"{name} AS MATERIALIZED (SELECT doc_id, lang, source, start, f0, f1, f2, f3, {' + '.join(['0.0::DOUBLE'] + [f'y{i} * y{i} / g{i}' for i in range(d)])} AS d2 FROM {rows})"
+
     parts = [
         rf"w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM documents)",
         "g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))",
@@ -51,36 +70,30 @@ def _op6() -> str:
         "c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE again) GROUP BY doc_id)",
         "base AS (SELECT w.doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c ON w.doc_id = c.doc_id)",
         f"judged AS MATERIALIZED (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)",
-        f"x AS MATERIALIZED (SELECT doc_id, lang, source, CAST(round(256 * ln(word_chars / CAST(n_words AS DOUBLE))) AS BIGINT) AS f0, {share('n_symbols', 'n_words')} AS f1, {share('n_dup_lines', 'n_lines')} AS f2, {share('n_repeat_words', 'n_words')} AS f3 FROM judged WHERE NOT base_failed)",
+        f"x AS MATERIALIZED (SELECT doc_id, lang, source, CAST(round(256 * ln(word_chars / CAST(n_words AS DOUBLE))) AS BIGINT) AS f0, CAST(round(256 * ln(1 + 100.0 * n_symbols / CAST(n_words AS DOUBLE))) AS BIGINT) AS f1, {share('n_dup_lines', 'n_lines')} AS f2, {share('n_repeat_words', 'n_words')} AS f3 FROM judged WHERE NOT base_failed)",
         f"med AS (SELECT lang, source, {', '.join(f'{middle(f"f{i}")} AS m{i}' for i in range(d))} FROM x GROUP BY lang, source)",
         f"mad AS (SELECT x.lang, x.source, {', '.join(f'any_value(m{i}) AS m{i}, {middle(f"abs(f{i} - m{i})")} AS a{i}' for i in range(d))} FROM x JOIN med ON {on('x', 'med')} GROUP BY x.lang, x.source)",
-        "e0 AS MATERIALIZED (SELECT lang, source, "
+        "e0 AS MATERIALIZED (SELECT lang, source, 0 AS start, 'inf'::DOUBLE AS det, "
         + ", ".join(f"CAST(m{i} AS DOUBLE) AS m{i}" for i in range(d))
         + ", "
-        + ", ".join(f"greatest((1.4826 * a{i}) * (1.4826 * a{i}), {q.FLOOR[i]}::DOUBLE) AS s{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS s{i}{j}" for i, j in pairs)
-        + " FROM mad)",
+        + ", ".join(f"greatest((1.4826 * a{i}) * (1.4826 * a{i}), {q.FLOOR[i]!r}::DOUBLE) AS s{i}{j}" if i == j else f"CAST(0 AS DOUBLE) AS s{i}{j}" for i, j in pairs)
+        + f" FROM mad UNION ALL SELECT lang, source, 1, 'inf'::DOUBLE, {moments} FROM (SELECT lang, source, {sums} FROM x GROUP BY lang, source))",
     ]
-    for step in range(q.STEPS + 1):
-        last = f"e{step}"
-        for j in range(d):
-            parts.append(f"p{step}_{j}d AS (SELECT *, s{j}{j} - ({' + '.join(['0.0::DOUBLE'] + [f'l{j}{k} * l{j}{k} * g{k}' for k in range(j)])}) AS g{j} FROM {last})")
-            more = "".join(f", (s{i}{j} - ({' + '.join(['0.0::DOUBLE'] + [f'l{i}{k} * l{j}{k} * g{k}' for k in range(j)])})) / g{j} AS l{i}{j}" for i in range(j + 1, d))
-            parts.append(f"p{step}_{j}l AS (SELECT *{more} FROM p{step}_{j}d)")
-            last = f"p{step}_{j}l"
-        rows = f"(SELECT x.*, {', '.join(f'm{i}' for i in range(d))}, {', '.join(f'g{i}' for i in range(d))}, {', '.join(f'l{i}{j}' for i, j in pairs if i != j)} FROM x JOIN {last} p ON {on('x', 'p')})"
-        for i in range(d):
-            rows = f"(SELECT *, f{i} - m{i} - ({' + '.join(['0.0::DOUBLE'] + [f'l{i}{k} * y{k}' for k in range(i)])}) AS y{i} FROM {rows})"
-        parts.append(f"z{step} AS MATERIALIZED (SELECT doc_id, lang, source, f0, f1, f2, f3, {' + '.join(['0.0::DOUBLE'] + [f'y{i} * y{i} / g{i}' for i in range(d)])} AS d2 FROM {rows})")
-        if step == q.STEPS:
-            break
+    for step in range(q.STEPS):
+        parts += split(f"p{step}", f"e{step}")
         parts += [
+            distances(f"z{step}", f"p{step}_{d - 1}"),
             f"b{step} AS MATERIALIZED (SELECT *, floor({q.BINS} * log2(1 + d2)) AS bin FROM z{step})",
-            f"h{step} AS (SELECT lang, source, bin, count(*) AS n FROM b{step} GROUP BY lang, source, bin)",
-            f"k{step} AS (SELECT lang, source, min(bin) AS cut FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY bin) >= {q.SHARE} * sum(n) OVER (PARTITION BY lang, source) AS ok FROM h{step}) WHERE ok GROUP BY lang, source)",
-            f"t{step} AS (SELECT b.lang, b.source, CAST(count(*) AS DOUBLE) AS h, {', '.join(f'CAST(sum(f{i}) AS DOUBLE) AS t{i}' for i in range(d))}, {', '.join(f'CAST(sum(f{i} * f{j}) AS DOUBLE) AS q{i}{j}' for i, j in pairs)} FROM b{step} b JOIN k{step} k ON {on('b', 'k')} AND bin <= cut GROUP BY b.lang, b.source)",
-            f"e{step + 1} AS MATERIALIZED (SELECT lang, source, {', '.join(f't{i} / h AS m{i}' for i in range(d))}, {', '.join(f'{q.CONSISTENCY}::DOUBLE * (q{i}{j} / h - t{i} / h * (t{j} / h)) + {q.FLOOR[i] if i == j else 0.0}::DOUBLE AS s{i}{j}' for i, j in pairs)} FROM t{step})",
+            f"h{step} AS (SELECT lang, source, start, bin, count(*) AS n FROM b{step} GROUP BY ALL)",
+            f"k{step} AS (SELECT lang, source, start, min(bin) AS cut FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, start ORDER BY bin) >= {q.SHARE} * sum(n) OVER (PARTITION BY lang, source, start) AS ok FROM h{step}) WHERE ok GROUP BY lang, source, start)",
+            f"n{step} AS MATERIALIZED (SELECT lang, source, start, {moments} FROM (SELECT b.lang, b.source, b.start, {sums} FROM b{step} b JOIN k{step} k ON {on('b', 'k', 'start')} AND bin <= cut GROUP BY b.lang, b.source, b.start))",
+            *split(f"o{step}", f"n{step}"),
+            f"f{step} AS (SELECT *, {' * '.join(f'g{i}' for i in range(d))} AS det FROM o{step}_{d - 1})",
+            f"e{step + 1} AS MATERIALIZED (SELECT e.lang, e.source, e.start, {', '.join(f'CASE WHEN f.det < e.det * (1 - 1 / {q.FALL!r}::DOUBLE) THEN f.{c} ELSE e.{c} END AS {c}' for c in ('det', *names))} FROM e{step} e JOIN f{step} f ON {on('e', 'f', 'start')})",
         ]
-    return "WITH " + ",\n".join(parts) + f"\nSELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {q.CUT} AS kept FROM judged j LEFT JOIN z{q.STEPS} z ON j.doc_id = z.doc_id"
+    parts.append(f"best AS (SELECT * FROM e{q.STEPS} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY det, start) = 1)")
+    parts += [*split("last", "best"), distances("z", f"last_{d - 1}")]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d2 <= {q.CUT} AS kept FROM judged j LEFT JOIN z ON j.doc_id = z.doc_id"
 
 
 ORACLES["op6_quality"] = _op6()

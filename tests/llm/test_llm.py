@@ -389,6 +389,24 @@ def test_quality_outliers(spark):
     assert all(kept[i] == (i % 5 != 0) for i in kept)
 
 
+def test_quality_judges_every_count(spark):
+    """Texts whose only oddity is repeated lines, or repeated words; one repeated line in a short text is none."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=max(1, int(r.gauss(5, 2)))))
+    line = lambda k: " ".join(word() for _ in range(k))
+    rows = [(i, "\n".join(line(30) for _ in range(8)), "en", "a") for i in range(300)]
+    short = line(2)  # too short for a window of its own
+    odd = [(1000, "\n".join([line(12) for _ in range(20)] + [short] * 39), "en", "a")]
+    phrase = line(12)
+    odd.append((1001, " ".join([line(13) + " " + phrase for _ in range(20)]), "en", "a"))
+    lines = [line(30) for _ in range(7)]
+    fine = [(2000, "\n".join([*lines, lines[0]]), "en", "a"), (2001, "\n".join(lines + [short] * 2), "en", "a")]
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows + odd + fine, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[d].base_failed for d in got)
+    assert got[1000].n_dup_lines == 38 and not got[1000].kept and not got[1001].kept
+    assert all(got[d].kept for d in got if d < 1000 or d >= 2000)
+
+
 def test_distance_is_mahalanobis(spark):
     r = np.random.default_rng(1)
     a = r.normal(size=(4, 4))

@@ -5,13 +5,12 @@ in the window) travel as one packed string to the minimiser's bucket; there all
 equal hashes are compared word for word, and each window learns the smallest document it starts in.
 
 Hot keys: a string that occurs again in one task is sent once, with its smallest document; the other occurrences are
-decided on the spot. Minimisers that hold more than a set part of all strings are not kept together:
-their windows travel one by one to the bucket of the whole window's hash.
+decided on the spot and leave by any bucket, in turn. Minimisers that hold more than a set part of all strings are not kept
+together: their windows travel one by one to the bucket of the whole window's hash.
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +30,15 @@ GRAM = 3
 #: Text that one bucket stands for, and the least number of buckets.
 BUCKET_BYTES = 4 << 20
 MIN_BUCKETS = 64
-#: A minimiser is hot from this part of all strings on, so there are at most so many hot ones.
+#: A minimiser is hot from this part of all strings on, or from the part that an average bucket holds if that is less, so
+#: there are at most so many hot ones, or one a bucket: 8 bytes for 4 MB of text.
 HOT_PART = 16384
 HOT_LEAST = 64
 #: Text scanned at once, and text after which a task packs what it holds.
 SLICE_BYTES = 2 << 20
 FLUSH_BYTES = 12 << 20
+#: Decided ranges that a flush sends by one bucket.
+DONE_ROWS = 4096
 #: Bytes whose words are hashed at once.
 HASHED_BYTES = 1 << 18
 
@@ -129,8 +132,8 @@ HEAD = struct.Struct("<III")
 
 
 def _pack(entries: list[tuple[bytes, list]], done: list[tuple[int, int, int, int]]) -> bytes:
-    """entries: (string, [doc, text hash, places...]); done: (doc, text hash, first word, end word) decided already."""
-    docs, marks = np.array([e[0] for _, e in entries], np.int64), np.array([e[1] for _, e in entries], np.int32)
+    """entries: (string, [doc, mark, places...]); done: (doc, mark, first word, end word) decided already."""
+    docs, marks = np.array([e[0] for _, e in entries], np.int64), np.array([e[1] for _, e in entries], np.int64)
     sizes = np.array([len(e) - 2 for _, e in entries], np.int32)
     words = np.array([s.count(b" ") + 1 for s, _ in entries], np.int32)
     places = np.array([p for _, e in entries for p in e[2:]], np.int32)
@@ -144,10 +147,10 @@ def _unpack(blob: bytes):
     n, n_places, n_done = HEAD.unpack_from(raw)
     at = HEAD.size
     out = []
-    for kind, count in ((np.int64, n), (np.int64, 4 * n_done), (np.int32, n), (np.int32, n), (np.int32, n), (np.int32, n_places)):
+    for kind, count in ((np.int64, n), (np.int64, 4 * n_done), (np.int64, n), (np.int32, n), (np.int32, n), (np.int32, n_places)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
-    return np.stack([out[0], out[2].astype(np.int64)], 1), out[1].reshape(-1, 4), out[3], out[4], out[5], raw[at:]
+    return np.stack([out[0], out[2]], 1), out[1].reshape(-1, 4), out[3], out[4], out[5], raw[at:]
 
 
 def _strings(k: int, m: int, buckets: int, hot: np.ndarray):
@@ -157,17 +160,20 @@ def _strings(k: int, m: int, buckets: int, hot: np.ndarray):
         held: dict[bytes, list] = {}
         to: dict[bytes, int] = {}
         more: list[tuple[bytes, int, list]] = []
-        done: dict[int, list] = {}
-        size = 0
+        done: list[tuple[int, int, int, int]] = []
+        size, turn = 0, TaskContext.get().partitionId() * 0x9E3779B1
 
         def flush() -> pa.RecordBatch:
-            nonlocal size
-            by: dict[int, list] = {b: [] for b in done}
+            nonlocal size, turn
+            # what is decided already goes by any bucket: rows of a hot window don't meet again
+            parts = {(turn + i) % buckets: done[at : at + DONE_ROWS] for i, at in enumerate(range(0, len(done), DONE_ROWS))} if len(done) <= DONE_ROWS * buckets else {b: done[b::buckets] for b in range(buckets)}
+            turn += len(parts) + 1
+            by: dict[int, list] = {b: [] for b in parts}
             for s, e in held.items():
                 by.setdefault(to[s], []).append((s, e))
             for s, b, e in more:
                 by.setdefault(b, []).append((s, e))
-            blobs = [_pack(es, done.get(b, [])) for b, es in by.items()]
+            blobs = [_pack(es, parts.get(b, [])) for b, es in by.items()]
             out = pa.record_batch([pa.array(list(by), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
             for x in (held, to, more, done):
                 x.clear()
@@ -205,9 +211,9 @@ def _strings(k: int, m: int, buckets: int, hot: np.ndarray):
                     elif entry[0] == doc and entry[1] == mark:
                         entry.append(p)
                     elif entry[0] < doc:
-                        done.setdefault(b, []).append((doc, mark, p, p + n + k - 1))
+                        done.append((doc, mark, p, p + n + k - 1))
                     elif entry[0] > doc:
-                        done.setdefault(b, []).extend((entry[0], entry[1], q, q + n + k - 1) for q in entry[2:])
+                        done.extend((entry[0], entry[1], q, q + n + k - 1) for q in entry[2:])
                         held[key] = [doc, mark, p]
                     else:  # another text under the same id: neither is the smaller one
                         more.append((key, b, [doc, mark, p]))
@@ -221,7 +227,7 @@ def _strings(k: int, m: int, buckets: int, hot: np.ndarray):
 
 
 def decide(blobs: list[bytes], k: int) -> np.ndarray:
-    """Rows (doc, text hash, first word, end word) of the runs of windows that also start in a smaller document."""
+    """Rows (doc, mark, first word, end word) of the runs of windows that also start in a smaller document."""
     parts = [_unpack(b) for b in blobs]
     out = [p[1] for p in parts]
     ids = np.concatenate([p[0] for p in parts])
@@ -272,16 +278,26 @@ def decide(blobs: list[bytes], k: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def marked(docs: DataFrame, mark: str) -> DataFrame:
+    """``docs`` with what tells rows of one id apart: the text's 64-bit hash for ids that several rows have, else 0."""
+    again = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_tarn_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_tarn_id")
+    again = saved(again, "repeated-ids")
+    if again.isEmpty():
+        return docs.withColumn(mark, F.lit(0).cast("long"))
+    both = docs.join(again, F.col("doc_id") == F.col("_tarn_id"), "left")
+    return both.withColumn(mark, F.when(F.col("_tarn_id").isNull(), F.lit(0)).otherwise(F.xxhash64("text"))).drop("_tarn_id")
+
+
 def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; mark is a 32-bit hash of the text, which tells rows of one id apart."""
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").cast("long").alias("mark"), F.col("text").cast("binary").alias("text"))
+    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; for ``docs`` with ``_tarn_mark``."""
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tarn_mark").alias("mark"), F.col("text").cast("binary").alias("text"))
     heavy = own.select("text").mapInArrow(_heavy(k, m), "key long, n long, size long")
     heavy = saved(heavy.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "minimisers")
     total = heavy.filter("key is null").first()
     n, size = (total["n"], total["size"]) if total else (0, 0)
     buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
-    # at most HOT_PART (or four a bucket) keys of 8 bytes can reach the mark
-    mark = max(HOT_LEAST, n // max(HOT_PART, 4 * buckets))
+    # at most HOT_PART keys of 8 bytes, or one a bucket, can reach the mark
+    mark = max(HOT_LEAST, n // max(HOT_PART, buckets))
     hot = np.sort(np.array([r["key"] for r in heavy.filter((F.col("n") >= mark) & F.col("key").isNotNull()).select("key").collect()], np.int64).view(np.uint64))
     packed = own.mapInArrow(_strings(k, m, buckets, hot), "bucket long, data binary")
 
@@ -296,12 +312,12 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
 
     Null and blank texts have no words; texts shorter than a window lose none. A null doc_id is neither smaller nor
     larger than another, so its row loses nothing and removes nothing. Rows that share a doc_id don't affect
-    each other. An empty table gives an empty result.
+    each other. Columns of ``docs`` with the names of the added ones are replaced, all others stay. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_tarn_spans", "_tarn_mark")]
-    spans = repeated_spans(docs, k, m).groupBy(F.col("doc_id").alias("_tarn_id"), F.col("mark").alias("_tarn_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_tarn_spans"))
-    marked = docs.select(*names, F.hash("text").cast("long").alias("_tarn_mark"))
-    both = marked.join(spans, (F.col("doc_id") == F.col("_tarn_id")) & (F.col("_tarn_mark") == F.col("_tarn_m")), "left").drop("_tarn_id", "_tarn_m", "_tarn_mark")
+    told = marked(docs.select(*names), "_tarn_mark")
+    spans = repeated_spans(told, k, m).groupBy(F.col("doc_id").alias("_tarn_id"), F.col("mark").alias("_tarn_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_tarn_spans"))
+    both = told.join(spans, (F.col("doc_id") == F.col("_tarn_id")) & (F.col("_tarn_mark") == F.col("_tarn_m")), "left").drop("_tarn_id", "_tarn_m", "_tarn_mark")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -343,6 +343,15 @@ def test_substrings(docs, rows, empty, hot, monkeypatch):
     assert superkmers.without_repeats(empty).collect() == []
 
 
+def test_substrings_of_a_hot_passage(spark, monkeypatch):
+    """One passage in 30,000 documents: no bucket gets more than its share of the ranges, all but the first document lose it."""
+    monkeypatch.setattr(superkmers, "FLUSH_BYTES", 1 << 16)
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = spark.range(30_000).repartition(8).selectExpr("id as doc_id", f"concat('x', id, ' {passage} y', id) as text")
+    left = superkmers.without_repeats(docs).groupBy("n_removed").count().collect()
+    assert {(r.n_removed, r["count"]) for r in left} == {(0, 1), (14, 29_999)}
+
+
 def test_super_k_mer_hash_collisions_are_settled(monkeypatch):
     entries = lambda doc, text: superkmers._pack([(text.encode(), [doc, 0, 0])], [])
     a, b = " ".join(f"a{i}" for i in range(13)), " ".join(f"b{i}" for i in range(13))

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import n_words, same, saved
+from .common import n_words, same, saved, table
 
 WEIGHTS = (5, 2, 1)
 #: Rows that one hash slice of a source holds on average, at most; the running sum inside it is one task's work.
@@ -45,6 +46,11 @@ def targets(sizes: DataFrame, share_num: int = 3, share_den: int = 2, cap: int =
     return t.select("source", "source_size", target.alias("target"))
 
 
+def draw(docs: DataFrame, seed: int) -> Column:
+    """The seeded hash of a row: of all its columns that can be hashed."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, MapType)])
+
+
 def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: int = 2, weights: tuple[int, ...] = WEIGHTS, size: Column | None = None) -> DataFrame:
     """(doc_id, source, _tarn_draw, size, source_size, target, copies) of each row of ``docs``; copies is how often the mix takes it.
 
@@ -52,11 +58,12 @@ def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: i
     sample in seeded hash order picks: those whose running size, at their middle, lies below the
     fractional part of the target. A source is off its target by half a document at most.
     A null source is a source of its own; null and blank texts have size 0 and are never taken; rows that
-    are alike in every column are counted one by one; an empty table gives an empty result.
+    are alike in every column are counted one by one, ties in the order go by doc_id and size; further columns only enter the hash;
+    an empty table gives an empty result.
     """
     size = n_words(F.col("text")) if size is None else size
     slices = F.greatest(F.lit(MIN_SLICES), F.ceil(F.count(F.lit(1)) / SLICE_ROWS))
-    keyed = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_tarn_draw"))
+    keyed = docs.select("doc_id", "source", size.alias("size"), draw(docs, seed).alias("_tarn_draw"))
     sizes = saved(keyed, "mix-sizes")
     n = sizes.agg(slices.cast("long").alias("n")).first()["n"]
     sizes = sizes.withColumn("_slice", F.pmod(F.col("_tarn_draw"), F.lit(n)))
@@ -80,18 +87,26 @@ def mix(docs: DataFrame, seed: int = 42, share: tuple[int, int] = (3, 2), cap: i
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     m = mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mix`` takes it."""
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with all its columns.
+
+    Rows that are alike in every column are taken as often as ``mix`` takes them together. Column names that begin with _tarn are
+    the operator's own; an empty table gives an empty result.
+    """
     cols = docs.columns
-    picks = mix(docs, **kw).filter("copies > 0").groupBy("doc_id", "_tarn_draw").agg(F.sum("copies").alias("_tarn_copies"), F.count(F.lit(1)).alias("_tarn_rows"))
-    d = docs.withColumn("_tarn_draw", F.xxhash64(F.lit(kw.get("seed", 42)), F.col("doc_id"), F.col("text"))).alias("d")
-    p = picks.alias("p")
-    both = d.join(p, same((F.col("d.doc_id"), F.col("p.doc_id"))) & (F.col("d._tarn_draw") == F.col("p._tarn_draw")))
-    # rows alike in id and text share their copies; each takes the rounded-up part
-    return both.withColumn("_tarn_i", F.explode(F.expr("sequence(1, cast(ceil(_tarn_copies / _tarn_rows) as int))"))).select(*[F.col(f"d.{c}").alias(c) for c in cols])
+    picks = mix(docs, **kw).filter("copies > 0").groupBy(F.col("doc_id").alias("_tarn_id"), F.col("_tarn_draw").alias("_tarn_of"))
+    picks = saved(picks.agg(F.sum("copies").alias("_tarn_copies")), "mix-picks")
+    draws = docs.withColumn("_tarn_draw", draw(docs, kw.get("seed", 42)))
+    alike = saved(draws.groupBy("_tarn_draw").agg(F.count(F.lit(1)).alias("_tarn_rows")).filter("_tarn_rows > 1"), "mix-alike")
+    d = draws.join(picks, F.col("doc_id").eqNullSafe(F.col("_tarn_id")) & (F.col("_tarn_draw") == F.col("_tarn_of")))
+    repeat = lambda df, n: df.withColumn("_tarn_i", F.explode(F.expr(f"if({n} > 0, sequence(1, cast({n} as int)), cast(array() as array<int>))"))).select(cols)
+    if alike.isEmpty():
+        return repeat(d, "_tarn_copies")
+    # rows that are alike take equal parts of their copies, and one of them what is left
+    d = d.join(alike.withColumnRenamed("_tarn_draw", "_tarn_same"), F.col("_tarn_draw") == F.col("_tarn_same"), "left").withColumn("_tarn_rows", F.coalesce("_tarn_rows", F.lit(1)))
+    rest = d.filter("_tarn_rows > 1").dropDuplicates(["_tarn_id", "_tarn_draw"])
+    return repeat(d, "_tarn_copies div _tarn_rows").unionByName(repeat(rest, "(_tarn_copies % _tarn_rows)"))

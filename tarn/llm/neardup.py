@@ -1,10 +1,12 @@
-"""Near-duplicates by the similarity of their texts: word shingles with a Jaccard similarity from a bound on.
-
-Candidates come from prefix filters, so none is missed: shingles have one order, the common ones last, and two sets
-that are similar enough share one of the first n - ceil(bound n) + 1 shingles of both. Shingles that a sample shows to be common
-only set the order. Candidates are compared by their whole sets. Pairs that are linked already, directly
-or by a chain, needn't be compared: groups of many texts with a common shingle are first linked by chains through them and to their
-largest part, and only what is still apart then is compared pair by pair.
+"""Near-duplicates by SimHash, with an exact check: word shingles with a Jaccard similarity from a bound on.
+
+The SimHash operator comes first: fingerprints of the sets of shingles, its trie self-join for pairs within a few bits,
+and the whole sets of these pairs decide. Pairs at the bound differ in 8 to 18 bits, though, where a trie of 64 bits passes over nothing
+(see the README), so what the error budget can't reach is completed by prefix filters, which miss no pair: shingles
+have one order, the common ones last, and two sets that are similar enough share one of the first n - ceil(bound n) + 1 shingles
+of both. Shingles that a sample shows to be common only set the order. Candidates are compared by their whole sets. Pairs that
+are linked already, directly or by a chain, needn't be compared: groups of many texts with a common shingle are first linked by chains
+through them and to their largest part, and only what is still apart then is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .graph import connected_components
-from .simhash import one_of_each
+from .simhash import TOLD, fingerprint_links, one_of_each, set_fingerprint
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -29,8 +31,8 @@ SAMPLE, COMMON, MOST = 16, 4, 1 << 17
 #: Groups of so many texts are compared pair by pair at once; larger ones after being linked by chains.
 FEW = 8
 CHAINS = 3
-#: Candidates up to so many are told to the tasks (32 MB); beyond, their texts are found by a join.
-TOLD = 1 << 22
+#: Bits that fingerprints may differ in for the SimHash self-join.
+BUDGET = 3
 MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -86,8 +88,9 @@ def _prefixes(words: int, least: tuple[int, int], keys: np.ndarray, n: np.ndarra
         for batch in batches:
             sets = [shingles(t.as_py(), words) for t in batch.column(2)]
             fps = pa.array(np.array([_digest(s) for s in sets], np.uint64).view(np.int64))
+            bits = pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64))
             firsts = pa.array([prefix(s, keys, n, least).tobytes() for s in sets], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), fps, pa.array([len(s) for s in sets], pa.int32()), firsts], ["row", "doc_id", "fp", "n", "firsts"])
+            yield pa.record_batch([batch.column(0), batch.column(1), fps, bits, pa.array([len(s) for s in sets], pa.int32()), firsts], ["row", "doc_id", "fp", "bits", "n", "firsts"])
 
     return run
 
@@ -210,12 +213,10 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(b, np.uint8, n, 4 * n)
 
 
-def _sets(words: int, told: np.ndarray | None):
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            on = range(len(rows)) if told is None else np.flatnonzero(told[np.minimum(np.searchsorted(told, rows), len(told) - 1)] == rows) if len(told) else []
-            found = [shingles(batch.column(1)[int(i)].as_py(), words) for i in on]
+            found = [shingles(t.as_py(), words) for t in batch.column(0)]
             fps = np.array([_digest(s) for s in found], np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(fps), pa.array([_packed(s) for s in found], pa.binary())], ["fp", "set"])
 
@@ -240,18 +241,25 @@ def _compared(least: tuple[int, int]):
 def _similar(own: DataFrame, firsts: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) of ``pairs(a, b)`` whose whole sets are similar enough; only the texts of these pairs are read as sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = saved(firsts.select("fp", "row").join(ids, "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")), "candidate-rows")
-    texts = own.select("row", "text")
-    if one.count() <= TOLD:
-        told = np.sort(one.select("row").toPandas()["row"].to_numpy(np.int64))
-        sets = texts.mapInArrow(_sets(words, told), "fp long, set binary")
-    else:
-        sets = texts.join(one.select("row"), "row", "left_semi").mapInArrow(_sets(words, None), "fp long, set binary")
-    sets = saved(sets, "shingle-sets")
+    one = saved(firsts.select("fp", "row").join(ids, "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row")), "candidate-rows").select("row")
+    told = F.broadcast(one) if one.count() <= TOLD else one
+    sets = own.select("row", "text").join(told, "row", "left_semi").select("text").mapInArrow(_sets(words), "fp long, set binary")
+    # a row that stands more than once in the table gives its set more than once
+    sets = saved(sets.groupBy("fp").agg(F.first("set").alias("set")), "shingle-sets")
     x, y = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     return saved(pairs.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_compared(least), "u long, v long"), "similar-pairs")
 
 
+def _close(firsts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets by SimHash: those of one fingerprint with the first of them, and the first ones of fingerprints that the trie self-join links."""
+    first = saved(firsts.filter("n > 0").groupBy("bits").agg(F.min("fp").alias("a")), "simhash-classes")
+    alike = firsts.select("bits", F.col("fp").alias("b")).distinct().join(first, "bits").filter("a <> b").select("a", "b")
+    links = fingerprint_links(first.select(F.col("bits").alias("fp")), BUDGET)
+    x, y = (first.select(F.col("bits").alias(c), F.col("a").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    near = links.join(x, "u").join(y, "v").select("a", "b")
+    return alike.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(row, doc_id, component) for every row: documents linked by chains of pairs whose shingles are ``least`` similar.
 
@@ -260,16 +268,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: tuple[int, int
     """
     own = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys, n = common_shingles(docs, words)
-    firsts = saved(own.mapInArrow(_prefixes(words, least, keys, n), "row long, doc_id long, fp long, n int, firsts binary"), "shingle-prefixes")
+    firsts = saved(own.mapInArrow(_prefixes(words, least, keys, n), "row long, doc_id long, fp long, bits long, n int, firsts binary"), "shingle-prefixes")
     postings = firsts.select("fp", "n", "firsts").mapInArrow(_postings, "key long, fp long, n int, at int")
     shared = saved(postings.repartition("key").mapInArrow(_shared, "key long, fp long, n int, at int"), "shared-shingles")
-    links, roots = None, None
+    links = _similar(own, firsts, saved(_close(firsts), "candidate-pairs"), words, least)
+    roots = connected_components(links)
     for step in range(3):
-        at = shared.withColumn("root", F.col("fp")) if roots is None else shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        at = shared.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         pairs = at.select("key", "fp", "n", "at", "root").repartition("key").mapInArrow(_candidates(step, least), "a long, b long").distinct()
         new = _similar(own, firsts, saved(pairs, "candidate-pairs"), words, least)
-        links = new if links is None else links.unionByName(new)
-        if roots is None or not new.isEmpty():
+        links = links.unionByName(new)
+        if not new.isEmpty():
             roots = connected_components(links)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return firsts.select("row", "doc_id", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", "doc_id", F.coalesce("root", "fp").alias("component"))

@@ -38,23 +38,28 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
         grams = [b" ".join(w)]
     else:
         grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    h = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], np.uint64)
+    return set_fingerprint(np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The same of hashes given: a bit is set if more than half of them have it."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * total > len(h), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+    """(row, doc_id, fp), row being the hash of doc_id and text, fp a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -164,19 +169,25 @@ def fingerprint_links(classes: DataFrame, budget: int = 2) -> DataFrame:
     return tasks.mapInArrow(_links(budget), "u long, v long")
 
 
+def components(fps: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``fps(row, doc_id, fp)`` the saved rows, and (fp, component, component_id) of each fingerprint: a fingerprint of its component, and the smallest doc_id."""
+    fps = saved(fps, "fingerprints")
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprint-classes")
+    roots = connected_components(fingerprint_links(classes, budget))
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = linked.join(classes, linked["node"] == classes["fp"]).groupBy("root").agg(F.min("first_doc").alias("least"))
+    of = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
+    ids = classes.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "first_doc").alias("component_id"))
+    return fps, saved(ids, "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: documents linked by chains of fingerprints within ``budget`` bits.
 
     Null and blank texts have fingerprint 0 and are linked like any other; component_id is the smallest doc_id
-    reachable, nulls aside; repeated rows repeat; an empty table gives an empty result.
+    reachable, nulls aside; repeated rows repeat; other columns don't matter; an empty table gives an empty result.
     """
-    fps = saved(fingerprints(docs, words, seed), "fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprint-classes")
-    roots = connected_components(fingerprint_links(classes, budget))
-    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    least = linked.join(classes, linked["node"] == classes["fp"]).groupBy("root").agg(F.min("first_doc").alias("least"))
-    of = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    ids = saved(classes.join(of, "fp", "left").select("fp", F.coalesce("least", "first_doc").alias("component_id")), "fingerprint-components")
+    fps, ids = components(fingerprints(docs, words, seed), budget)
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -197,11 +208,13 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return marked.filter("_tarn_one is null").unionByName(once).select(docs.columns)
 
 
-def deduplicated(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays."""
-    keep = near_duplicates(docs, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tarn_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+def deduplicated(docs: DataFrame, words: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Rows that share an id but not their component are judged apart; the rest is as ``one_of_each`` says.
+    """
+    fps, ids = components(fingerprints(docs, words, seed), budget)
+    return one_of_each(docs, fps.join(ids, "fp").select("row", "doc_id", "component"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -202,9 +202,26 @@ def test_mixed_documents(docs):
     assert collections.Counter(r["doc_id"] for r in out.collect()) == copies
 
 
+def test_mixed_documents_of_repeated_rows(docs, rows):
+    """Rows alike in every column take together what ``mix`` gives them; rows alike but for the source are of their own."""
+    twice = docs.unionByName(docs.limit(20)).cache()
+    want = collections.Counter()
+    for r in mixing.mix(twice).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], size_of(r["text"])) for r in mixing.mixed_documents(twice).collect())
+    assert got == +want
+
+
 # SimHash
 
 
+def test_deduplicated_keeps_texts_that_share_an_id(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    rows = [(1, words("a")), (1, words("b")), (2, words("b")), (None, words("c")), (None, words("d")), (3, words("a")), (1, words("a")), (None, words("c"))]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text[0]) for r in left.collect()) == [(0, "c"), (0, "d"), (1, "a"), (1, "b")]
+
+
 def test_trie_join_is_complete():
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

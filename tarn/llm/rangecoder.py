@@ -2,9 +2,10 @@
 
 Every block starts from the same empty model, so blocks decode on their own. For each id the model offers
 the id last seen after the two ids before (order 2), after the one before (order 1), and 64 frequent ids of
-the block (order 0). One symbol says which of them was right, or how long the id's plain bits are; its
-distribution mixes two adaptive ones, by the confidence of the candidates and of the block as a whole, with weights
-that follow whichever did better. A slot of order 0 or the plain bits follow. All arithmetic is integer.
+the block (order 0). One symbol says which of them was right, or how long the id's plain bits are. Each order
+predicts that symbol by an adaptive distribution of its own: order 2 by how sure its candidate is and which order was right last,
+order 1 by how sure its candidate is and whether both candidates agree, order 0 by the block as a whole. The three are mixed,
+with most weight on the one that did best of late. A slot of order 0 or the plain bits follow. All arithmetic is integer.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ PLAIN0 = 3
 SYMBOLS = PLAIN0 + 17
 TOTAL_BITS = 14
 TOTAL = 1 << TOTAL_BITS
-RATE, SLOT_RATE = 5, 5
+RATE, SLOT_RATE, SCORE_RATE = 5, 5, 4
 TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 16)
 MASK = np.uint64((1 << 48) - 1)
 U16, U32 = np.uint64(16), np.uint64(32)
@@ -34,11 +35,13 @@ class _Model:
         self.id2, self.sure2 = np.zeros(n << BITS2, np.int32), np.zeros(n << BITS2, np.int8)
         self.id0, self.sure0 = np.full(n << SLOT_BITS, -1, np.int32), np.zeros(n << SLOT_BITS, np.int8)
         start = (np.arange(SYMBOLS + 1) * (TOTAL - SYMBOLS) // SYMBOLS).astype(np.int16)
-        self.by_sure = np.tile(start, (n * 16, 1))
-        self.by_all = np.tile(start, (n, 1))
+        # predictions of orders 2, 1 and 0
+        self.by2, self.by1, self.by0 = np.tile(start, (n * 16, 1)), np.tile(start, (n * 8, 1)), np.tile(start, (n, 1))
         slots = 1 << SLOT_BITS
         self.by_slot = np.tile((np.arange(slots + 1) * (TOTAL - slots) // slots).astype(np.int16), (n, 1))
-        self.weight = np.full(n, 128, np.int16)
+        # how each order did of late, and which one was right last (3: none)
+        self.score = np.zeros((3, n), np.int32)
+        self.last = np.full(n, 3, np.int64)
         self.lane = lane
         self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.steps, self.slot_steps = np.arange(SYMBOLS + 1, dtype=np.int16), np.arange(slots + 1, dtype=np.int16)
@@ -48,11 +51,13 @@ class _Model:
         self.h2 = self.at2 + (((self.prev1 * 40503 + self.prev2 * 60493) >> 5) & ((1 << BITS2) - 1))
         self.c1, self.c2 = self.id1[self.h1], self.id2[self.h2]
         self.s1, self.s2 = self.sure1[self.h1], self.sure2[self.h2]
-        self.row_a = (self.lane << 4) + (self.s2.astype(np.int64) << 2) + self.s1
-        self.a, self.b = self.by_sure[self.row_a], self.by_all
-        # quarters, so that 16 bits hold the sum; every symbol keeps a share of one
-        w = (1 + (self.weight >= 88).astype(np.uint16) + (self.weight >= 168))[:, None].astype(np.uint16)
-        self.cum = ((self.a.view(np.uint16) * w + self.b.view(np.uint16) * (4 - w)) >> 2).view(np.int16) + self.steps
+        self.row2 = (self.lane << 4) + (self.s2.astype(np.int64) << 2) + self.last
+        self.row1 = (self.lane << 3) + (self.s1.astype(np.int64) << 1) + (self.c1 == self.c2)
+        self.p2, self.p1, self.p0 = self.by2[self.row2], self.by1[self.row1], self.by0
+        # quarters, so that 16 bits hold the sum: the best order has two, the others one; every symbol keeps a share of one
+        best = self.score.argmax(0)
+        most = np.where((best == 0)[:, None], self.p2, np.where((best == 1)[:, None], self.p1, self.p0)).view(np.uint16)
+        self.cum = ((self.p2.view(np.uint16) + self.p1.view(np.uint16) + self.p0.view(np.uint16) + most) >> 2).view(np.int16) + self.steps
 
     def symbol_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = slot_of(ids)
@@ -61,12 +66,12 @@ class _Model:
         return np.where((self.s2 > 0) & (self.c2 == ids), 0, sym), slot
 
     def learn_symbol(self, sym: np.ndarray) -> None:
-        pa = self.a[self.lane, sym + 1] - self.a[self.lane, sym]
-        pb = self.b[self.lane, sym + 1] - self.b[self.lane, sym]
-        self.weight = np.clip(self.weight + 4 * np.sign(pa - pb), 16, 240).astype(np.int16)
         goal = (self.steps > sym[:, None].astype(np.int16)) * np.int16(TOTAL - SYMBOLS)
-        self.by_sure[self.row_a] = self.a + ((goal - self.a) >> RATE)
-        self.by_all = self.b + ((goal - self.b) >> RATE)
+        for k, (table, row, p) in enumerate(((self.by2, self.row2, self.p2), (self.by1, self.row1, self.p1), (self.by0, self.lane, self.p0))):
+            share = (p[self.lane, sym + 1] - p[self.lane, sym]).astype(np.int32)
+            self.score[k] += (share - self.score[k]) >> SCORE_RATE
+            table[row] = p + ((goal - p) >> RATE)
+        self.last = np.minimum(sym, 3).astype(np.int64)
 
     def slot_cum(self, lanes: np.ndarray) -> np.ndarray:
         return self.by_slot[lanes] + self.slot_steps

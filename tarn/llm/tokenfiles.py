@@ -27,6 +27,8 @@ from .bpe import MEMORY_BYTES, default_path, folded, slices
 from .common import saved, table
 
 END_ID = 1
+MOST_ID = (1 << 16) - 1
+TOO_WIDE = "ids of 65,536 and more need a wider format"
 HEAD = struct.Struct("<4sHIQII")  # magic, version, documents, ids, ids a block, blocks
 #: A chunk is closed at this many ids; with blocks of up to 1,024 ids it fills 2,048 lanes of the coder.
 CHUNK_IDS = 2 << 20
@@ -110,8 +112,8 @@ def library(path: str | None) -> LibraryEncoder:
 def pack(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
     """Documents and their ids to a chunk."""
     ids = np.concatenate([i for _, i in docs]) if docs else np.zeros(0, np.uint32)
-    if len(ids) and ids.max() >= 1 << 16:
-        raise ValueError("ids of 65,536 and more need a wider format")
+    if len(ids) and ids.max() > MOST_ID:
+        raise ValueError(TOO_WIDE)
     length = int(min(1024, max(128, 1 << (max(1, len(ids)) // LANES).bit_length())))
     blocks = -(-len(ids) // length)
     grid = np.zeros((blocks, length), np.int64)
@@ -159,8 +161,10 @@ def unpack(chunk: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_tokens(docs: DataFrame, path: str | None = None, name: str = "tokens") -> DataFrame:
     """Encodes ``docs`` and writes the files; returns their rows (file, chunk, n_ids, data).
 
-    Documents are range-partitioned by doc_id and sorted inside, nulls first; a file is one range. Null and
-    empty texts have the end id alone. Repeated rows are written again, an empty table makes no files.
+    Documents are range-partitioned by doc_id and sorted inside, nulls first; a file is one range. Rows that share an
+    id follow the hash of their text, so many of them can be in several files and ``start`` is the same on every run. Null and empty
+    texts have the end id alone. Repeated rows are written again, other columns don't matter, an empty table makes no files.
+    A tokenizer with ids of 65,536 and more raises ValueError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,10 @@ def write_tokens(docs: DataFrame, path: str | None = None, name: str = "tokens")
         for batch in batches:
             for start, texts in slices(batch.column(1)):
                 for doc, raw in zip(batch.column(0).slice(start, len(texts)).to_pylist(), lib.encode_batch(texts), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4").astype(np.uint16), np.uint16(END_ID))
+                    wide = np.frombuffer(raw, "<u4")
+                    if len(wide) and wide.max() > MOST_ID:
+                        raise ValueError(TOO_WIDE)
+                    ids = np.append(wide.astype(np.uint16), np.uint16(END_ID))
                     held.append((doc, ids))
                     n += len(ids)
                     if n >= CHUNK_IDS:
@@ -187,7 +194,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, name: str = "tokens")
             yield close()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    ordered = own.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ordered = own.repartitionByRange(*order).sortWithinPartitions(*order)
     return saved(ordered.mapInArrow(run, "file long, chunk long, n_ids long, data binary"), name, "uncompressed")
 
 

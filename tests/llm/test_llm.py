@@ -151,6 +151,10 @@ def test_token_files(docs, rows, library, empty):
         want[d, len(x), zlib.crc32(x.tobytes())] += 1
     assert collections.Counter(g[1:] for g in got) == want
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(empty)).collect() == []
+    again = tokenfiles.read_tokens(tokenfiles.write_tokens(docs.repartition(7)))
+    assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in again.collect()) == got, "rows that share an id have one order"
+    with pytest.raises(ValueError):
+        tokenfiles.pack([(1, np.array([70_000], np.uint32))])
 
 
 # mixing
@@ -621,6 +625,10 @@ def test_long_text(spark):
     assert {r.component_id for r in simhash.near_duplicates(docs).collect()} == {1}
     assert {(r.doc_id, r.n_removed) for r in superkmers.without_repeats(docs).collect()} == {(1, 0), (2, 30_000)}
     assert quality.judged(docs).count() == 2
+    assert {r.n_tokens > 30_000 for r in tokenfiles.read_tokens(tokenfiles.write_tokens(docs)).collect()} == {True}
+    assert {r["size"] for r in mixing.mix(docs).collect()} == {30_000, 30_001}
+    assert {r.n_dropped for r in lines.LineIndex.build(docs, min_docs=1).cleaned(docs).collect()} == {0}
+    assert {r.n_tokens for r in katz.KatzModel.fit_and_score(docs, F.lit(True))[1].collect()} == {30_001, 30_002}
 
 
 def test_discounts_have_bounds():

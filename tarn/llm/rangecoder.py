@@ -163,7 +163,7 @@ def decode(codes: list[bytes], length: int) -> np.ndarray:
     if not n or not length:
         return ids.T
     sizes = np.array([len(c) // 2 for c in codes])
-    code = np.zeros((n, int(sizes.max()) + 8), "<u2")
+    code = np.zeros((n, max(int(sizes.max()), 3 * length) + 8), "<u2")  # a damaged code may ask for as much as the longest
     for i, c in enumerate(codes):
         code[i, : sizes[i]] = np.frombuffer(c, "<u2")
     m = _Model(n)

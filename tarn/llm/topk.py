@@ -2,13 +2,13 @@
 
 The components are cut into lists; a list's partial products with a query are its local scores. Queries and
 vectors lie in blocks, and a tile is a list of a block of queries against the same list of a block of vectors: the unit of all work.
-Phase 1: every tile names its best partial products, and the least and largest of each list become known. The objects named
-are resolved, and the k-th best whole score is a safe cutoff for the query.
-Phase 2: the cutoff goes to the tiles. An object that reaches it must, in some list, lie above that list's least value
-by an equal part of what the cutoff leaves, and in no list can it lie so low that the largest values of all others don't make up for it.
-Tiles send the entries that pass; tiles whose largest value is below are not computed again.
-Phase 3: objects whose known parts and the most that the unknown ones can be stay below the cutoff go; for the others
-the missing parts are asked for and the sums ranked.
+Phase 1: every tile names its best partial products, and mean, spread and largest value of each list become known. The objects
+named are resolved, and the k-th best whole score is a safe cutoff for the query.
+Phase 2: the cutoff goes to the tiles, in equal parts: a list's threshold is its mean and as many of its spreads as all
+lists need to reach the cutoff. An object below all thresholds is below the cutoff; in no list can it lie so low
+either that the largest values of all others don't make up for it. Tiles send the entries that pass, packed; tiles whose
+largest value is below are not computed again.
+Phase 3: the entries visit the tiles of the lists that they lack, and what reaches the cutoff as a whole is ranked.
 
 Copies of a vector are one object with its k + 1 smallest ids, more of which no query needs. Vectors are laid into blocks by the signs of
 fixed random directions, so that like ones lie together and whole tiles can be passed over.
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ LISTS = 2
 BLOCK, QUERY_BLOCK = 8192, 2048
 #: Queries of a tile that are multiplied at once.
 STEP = 256
+#: Times k that a tile names: the more are resolved first, the higher the cutoff.
+NAMED = 3
 LEAST = np.iinfo(np.int64).min
 #: Components and partial products beyond these are taken as these, so that sums of all lists fit 64 bits.
 MOST, MOST_PART = 1 << 62, 1 << 60
@@ -91,30 +92,17 @@ def _grid(blob: bytes, rows: int) -> np.ndarray:
     return np.frombuffer(blob, np.int32 if blob[0] == 4 else np.int64, offset=1).reshape(rows, -1)
 
 
-def _blocks(rows: int, dims: int):
-    """Rows (vec, ids) to blocks of at most so many, a row for each list: number, list, packed components, own id (or LEAST where there are more)."""
+def _blocks(dims: int):
+    """Rows (block, vectors, ids) to a row for each list: packed components, own id (or LEAST where there are more); the ids go with list 0."""
     cuts = np.array_split(np.arange(dims), min(LISTS, dims))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n = TaskContext.get().partitionId() << 20, 0
-        held: list[tuple[bytes, list[int]]] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            grid = np.frombuffer(b"".join(v for v, _ in held), np.int64).reshape(-1, dims)
-            alone = np.array([i[0] if len(i) == 1 else LEAST for _, i in held], np.int64).tobytes()
-            for g, c in enumerate(cuts):
-                ids = [i for _, i in held] if not g else None
-                yield pa.record_batch([pa.array([base + n], pa.int64()), pa.array([g], pa.int32()), pa.array([_packed(grid[:, c])], pa.binary()), pa.array([alone], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int64())))], ["block", "list", "part", "alone", "ids"])
-            held, n = [], n + 1
-
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(row)
-                if len(held) == rows:
-                    yield from close()
-        if held:
-            yield from close()
+            for block, vecs, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                grid = np.frombuffer(b"".join(vecs), np.int64).reshape(-1, dims)
+                alone = np.array([i[0] if len(i) == 1 else LEAST for i in ids], np.int64).tobytes()
+                for g, c in enumerate(cuts):
+                    yield pa.record_batch([pa.array([block], pa.int64()), pa.array([g], pa.int32()), pa.array([_packed(grid[:, c])], pa.binary()), pa.array([alone], pa.binary()), pa.array([None if g else ids], pa.list_(pa.list_(pa.int64())))], ["block", "list", "part", "alone", "ids"])
 
     return run
 
@@ -131,18 +119,24 @@ class _Tile:
         largest = [max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0)))) for m in (self.a, self.b)]
         most = self.a.shape[1] * largest[0] * largest[1]
         self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < MOST_PART else object
-        self.bt = self.b.astype(self.kind).T
+        self.bt: np.ndarray | None = None
 
     def _fit(self, p: np.ndarray) -> np.ndarray:
         return np.clip(p, -MOST_PART, MOST_PART).astype(np.int64) if self.kind is object else p.astype(np.int64)
 
     def products(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Partial products of some queries, and which of them are with the query's own vector alone."""
+        if self.bt is None:
+            self.bt = self.b.astype(self.kind).T
         return self._fit(self.a[rows].astype(self.kind) @ self.bt), self.own[rows, None] == self.alone[None, :]
 
     def some(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        a, b = self.a[rows].astype(self.kind), self.b[cols].astype(self.kind)
-        return self._fit((a * b).sum(1) if self.kind is object else np.einsum("ij,ij->i", a, b))
+        """The partial products at some places."""
+        out = [np.zeros(0, np.int64)]
+        for at in range(0, len(rows), 1 << 15):
+            a, b = (x[i[at : at + (1 << 15)]].astype(self.kind) for x, i in ((self.a, rows), (self.b, cols)))
+            out.append(self._fit((a * b).sum(1) if self.kind is object else np.einsum("ij,ij->i", a, b)))
+        return np.concatenate(out)
 
 
 def _arrow(names: list[str], cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -150,7 +144,7 @@ def _arrow(names: list[str], cols: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _first_phase(k: int):
-    """Tiles to their k best entries a query, with the least and largest value of the tile."""
+    """Tiles to their k best entries a query, with the tile's size, sums and largest value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,21 +153,32 @@ def _first_phase(k: int):
                 for at in range(0, len(t.own), STEP):
                     rows = np.arange(at, min(at + STEP, len(t.own)))
                     p, own = t.products(rows)
-                    low = np.where(own, np.iinfo(np.int64).max, p).min(1)
+                    wide = p.astype(np.float64)
+                    sums, squares = wide.sum(1), np.einsum("ij,ij->i", wide, wide)
                     p[own] = LEAST
                     n = min(k, p.shape[1])
                     best = np.argpartition(p, p.shape[1] - n, axis=1)[:, p.shape[1] - n :]
                     part = np.take_along_axis(p, best, 1)
                     ok = part.ravel() > LEAST
-                    high = np.repeat(part.max(1), n)[ok]
-                    q = np.repeat((qb << PLACE_BITS) + rows, n)[ok]
-                    yield _arrow(["q", "x", "list", "part", "low", "high"], [q, ((xb << PLACE_BITS) + best).ravel()[ok], np.full(len(q), g, np.int32), part.ravel()[ok], np.repeat(low, n)[ok], high])
+                    each = lambda x: np.repeat(x, n)[ok]  # noqa: B023, E731
+                    cols = [each((qb << PLACE_BITS) + rows), ((xb << PLACE_BITS) + best).ravel()[ok], np.full(int(ok.sum()), g, np.int32), part.ravel()[ok]]
+                    yield _arrow(["q", "x", "list", "part", "high", "size", "sums", "squares"], [*cols, each(part.max(1)), np.full(len(cols[0]), p.shape[1]), each(sums), each(squares)])
 
     return run
 
 
+FIRST = "q long, x long, list int, part long, high long, size long, sums double, squares double"
+#: Entries of some queries of a tile: their list, how many lists are summed up so far, places as pairs of int32, sums as int64.
+PACKED = "list int, done int, qb long, xb long, at binary, parts binary"
+
+
+def _entries(g: int, done: int, qb: int, xb: int, rows: np.ndarray, cols: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    at = np.stack([rows, cols], 1).astype(np.int32)
+    return pa.record_batch([pa.array([g], pa.int32()), pa.array([done], pa.int32()), pa.array([qb], pa.int64()), pa.array([xb], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([parts.tobytes()], pa.binary())], ["list", "done", "qb", "xb", "at", "parts"])
+
+
 def _second_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles with (place, threshold) of the queries that may pass to the entries that do."""
+    """Tiles with (place, threshold) of the queries that may pass to the entries that do, packed."""
     for batch in batches:
         for g, qb, xb, q, q_ids, x, alone, need in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
             t = _Tile(q, q_ids, x, alone)
@@ -182,18 +187,38 @@ def _second_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 rows, least = (np.array(c, np.int64) for c in zip(*asked[at : at + STEP], strict=True))
                 p, own = t.products(rows)
                 i, j = np.nonzero((p >= least[:, None]) & ~own)
-                yield _arrow(["q", "x", "list", "part"], [(qb << PLACE_BITS) + rows[i], (xb << PLACE_BITS) + j, np.full(len(i), g, np.int32), p[i, j]])
+                if len(i):
+                    yield _entries(g, 1, qb, xb, rows[i], j, p[i, j])
+
+
+def _third_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed entries with the tile of a list that they lack: the part is added."""
+    for batch in batches:
+        for g, qb, xb, q, q_ids, x, alone, done, at, parts in zip(*(batch.column(c).to_pylist() for c in range(10)), strict=True):
+            rows, cols = np.frombuffer(at, np.int32).reshape(-1, 2).T
+            yield _entries(g, done + 1, qb, xb, rows, cols, np.frombuffer(parts, np.int64) + _Tile(q, q_ids, x, alone).some(rows, cols))
+
+
+def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole scores that reach their query's cutoff, as rows."""
+    for batch in batches:
+        for qb, xb, at, parts, limits in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            rows, cols = np.frombuffer(at, np.int32).reshape(-1, 2).T.astype(np.int64)
+            score = np.frombuffer(parts, np.int64)
+            cutoff = np.full(int(rows.max(initial=0)) + 1, LEAST)
+            for r in limits:
+                if r["place"] < len(cutoff) and r["cutoff"] is not None:
+                    cutoff[r["place"]] = r["cutoff"]
+            ok = score >= cutoff[rows]
+            yield _arrow(["q", "x", "score"], [(qb << PLACE_BITS) + rows[ok], (xb << PLACE_BITS) + cols[ok], score[ok]])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles with places that are asked for to those partial products."""
     for batch in batches:
         for g, qb, xb, q, q_ids, x, alone, rows, cols in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
-            t = _Tile(q, q_ids, x, alone)
-            rows, cols = np.array(rows, np.int64), np.array(cols, np.int64)
-            for at in range(0, len(rows), 1 << 16):
-                r, c = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
-                yield _arrow(["q", "x", "list", "part"], [(qb << PLACE_BITS) + r, (xb << PLACE_BITS) + c, np.full(len(r), g, np.int32), t.some(r, c)])
+            r, c = np.array(rows, np.int64), np.array(cols, np.int64)
+            yield _arrow(["q", "x", "list", "part"], [(qb << PLACE_BITS) + r, (xb << PLACE_BITS) + c, np.full(len(r), g, np.int32), _Tile(q, q_ids, x, alone).some(r, c)])
 
 
 ENTRIES = "q long, x long, list int, part long"
@@ -218,10 +243,14 @@ class Search:
         self.counts: dict[str, int] = {}
 
     def _laid(self, rows: DataFrame, size: int, name: str) -> DataFrame:
-        """Blocks of like vectors: ranges of the code, copies of a code apart by their hash."""
-        few = max(1, -(-rows.count() // size))
-        laid = rows.repartitionByRange(few, "code", F.xxhash64("vec", "ids")).sortWithinPartitions("code", F.xxhash64("vec", "ids"))
-        return saved(laid.select("vec", "ids").mapInArrow(_blocks(size, self.dims), BLOCKS), name)
+        """Blocks of like vectors, about as large as ``size``: a code's rows follow those of the codes before it, in the order of their hash."""
+        codes = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+        # at most 2**DIRECTIONS rows
+        codes = codes.withColumn("before", F.sum("n").over(W.orderBy("code")) - F.col("n"))
+        place = F.col("before") + F.pmod(F.xxhash64("vec", "ids"), F.col("n"))
+        laid = rows.join(F.broadcast(codes), "code").withColumn("place", place).withColumn("block", F.expr(f"place div {size}"))
+        laid = laid.groupBy("block").agg(F.collect_list(F.struct("vec", "ids")).alias("rows")).select("block", "rows.vec", "rows.ids")
+        return saved(laid.mapInArrow(_blocks(self.dims), BLOCKS), name)
 
     def _tiles(self, pairs: DataFrame) -> DataFrame:
         """``pairs(list, qb, xb, ...)`` with the components of both sides."""
@@ -254,37 +283,43 @@ class Search:
     def run(self) -> DataFrame:
         k, m = self.k, self.lists
         rank = lambda by, score, tie: F.row_number().over(W.partitionBy(by).orderBy(F.col(score).desc(), tie))
+        block, place = F.shiftright("q", PLACE_BITS).alias("qb"), F.col("q").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("place")
         # phase 1: every tile's best; both sides are dealt by number, a query block meets each block of vectors
         slices = max(1, self.x.filter("list = 0").count() // 64)
         xb = self.x.select("list", F.col("block").alias("xb"), F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"))
         qb = self.q.select("list", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
         pairs = qb.join(xb, ["list", "slice"]).drop("slice")
-        tops = saved(self._tiles(pairs).select(*TILE).mapInArrow(_first_phase(k), ENTRIES + ", low long, high long"), "topk-first")
+        tops = saved(self._tiles(pairs).select(*TILE).mapInArrow(_first_phase(NAMED * k), FIRST), "topk-first")
         self.counts["first"] = tops.count()
-        named = tops.withColumn("rank", F.row_number().over(W.partitionBy("q", "list").orderBy(F.col("part").desc(), "x"))).filter(F.col("rank") <= k)
+        named = tops.withColumn("rank", F.row_number().over(W.partitionBy("q", "list").orderBy(F.col("part").desc(), "x"))).filter(F.col("rank") <= NAMED * k)
         scores = self._whole_scores(self._known(named.select("q", "x", "list", "part")), "named")
         kth = scores.withColumn("rank", rank("q", "score", "x")).filter(F.col("rank") == k).select("q", F.col("score").alias("cutoff"))
-        bounds = tops.groupBy("q", "list").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        of_query = bounds.groupBy("q").agg(F.sum("low").alias("lows"), F.sum("high").alias("highs")).join(kth, "q", "left")
-        # the uniform part above the least value, or what the other lists' largest values leave to reach
-        even = F.col("low") + F.expr(f"(cutoff - lows + {m - 1}) div {m}")
-        least = F.coalesce(F.greatest(even, F.col("cutoff") - (F.col("highs") - F.col("high"))), F.lit(LEAST))
-        limits = saved(bounds.join(of_query, "q").select("q", "list", "low", "high", "lows", "highs", "cutoff", least.alias("least")), "topk-limits")
+        # what each list holds: a tile's figures stand in all its rows
+        tiles = tops.groupBy("q", "list", F.shiftright("x", PLACE_BITS).alias("xb")).agg(*[F.first(c).alias(c) for c in ("high", "size", "sums", "squares")])
+        tiles = saved(tiles, "topk-tiles")
+        sums = tiles.groupBy("q", "list").agg(F.max("high").alias("high"), (F.sum("sums") / F.sum("size")).alias("mean"), (F.sum("squares") / F.sum("size")).alias("square"))
+        sums = sums.withColumn("spread", 1 + F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))))
+        of_query = sums.groupBy("q").agg(*[F.sum(c).alias(f"all_{c}") for c in ("high", "mean", "spread")]).join(kth, "q", "left")
+        both = sums.join(of_query, "q")
+        # floors add up to the cutoff at most, whatever the means and spreads are; one off for each list covers their rounding as doubles
+        part = F.col("mean") + (F.col("cutoff") - F.col("all_mean")) * F.col("spread") / F.col("all_spread")
+        even = F.floor(part - F.abs(part) * 1e-12).cast("long") - 1
+        least = F.coalesce(F.greatest(even, F.col("cutoff") - (F.col("all_high") - F.col("high"))), F.lit(LEAST))
+        limits = saved(both.select("q", "list", "high", "cutoff", least.alias("least")), "topk-limits")
         # phase 2: a tile hears the thresholds of the queries for which its largest value passes
-        block, place = F.shiftright("q", PLACE_BITS).alias("qb"), F.col("q").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
-        open_ = tops.groupBy("list", "q", F.shiftright("x", PLACE_BITS).alias("xb")).agg(F.max("high").alias("top")).join(limits.select("q", "list", "least"), ["q", "list"]).filter("top >= least")
-        need = open_.groupBy("list", block, "xb").agg(F.collect_list(F.struct(place.alias("place"), "least")).alias("need"))
-        sent = saved(self._tiles(need).select(*TILE, "need").mapInArrow(_second_phase, ENTRIES), "topk-second")
-        self.counts["second"] = sent.count()
-        # phase 3: what can't reach the cutoff even with the most of its unknown parts goes, the rest is resolved
-        entries = self._known(sent).join(limits.groupBy("q").agg(F.first("cutoff").alias("cutoff"), F.map_from_entries(F.collect_list(F.struct("list", F.when(F.col("cutoff").isNull(), F.col("high")).otherwise(F.least("high", F.greatest("least", F.lit(LEAST + 1)) - 1)).alias("most")))).alias("most")), "q")
-        reach = sum((F.coalesce(F.col("known")[g], F.col("most")[g]) for g in range(1, m)), F.coalesce(F.col("known")[0], F.col("most")[0]))
-        able = entries.filter(F.col("cutoff").isNull() | (reach >= F.col("cutoff"))).select("q", "x", "known", "cutoff")
-        able = saved(able, "topk-able")
-        scores = self._whole_scores(able.select("q", "x", "known"), "third").join(limits.select("q", "cutoff").distinct(), "q").filter(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff")))
+        open_ = tiles.select("q", "list", "xb", F.col("high").alias("top")).join(limits.select("q", "list", "least"), ["q", "list"]).filter("top >= least")
+        need = open_.groupBy("list", block, "xb").agg(F.collect_list(F.struct(place, "least")).alias("need"))
+        sent = saved(self._tiles(need).select(*TILE, "need").mapInArrow(_second_phase, PACKED), "topk-second")
+        self.counts["second"] = sent.agg(F.sum(F.length("parts") / 8).cast("long").alias("n")).first()["n"] or 0
+        # phase 3: from list to list
+        for step in range(1, m):
+            there = sent.withColumn("list", (F.col("list") + 1) % m)
+            sent = self._tiles(there).select(*TILE, "done", "at", "parts").mapInArrow(_third_phase, PACKED)
+        cutoffs = limits.groupBy(block).agg(F.collect_set(F.struct(place, "cutoff")).alias("limits"))
+        whole = sent.join(cutoffs, "qb").select("qb", "xb", "at", "parts", "limits").mapInArrow(_reached, "q long, x long, score long").distinct()
         ids = self.x.filter("list = 0").select("block", F.posexplode("ids").alias("place", "ids")).select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("x"), "ids")
         own = self.q.filter("list = 0").select("block", F.posexplode("ids").alias("place", "ids")).select((F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("q"), F.col("ids")[0].alias("query_id"))
-        each = scores.join(ids, "x").join(own, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        each = whole.join(ids, "x").join(own, "q").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
         return each.withColumn("rank", rank("query_id", "score", "vec_id")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -607,7 +607,7 @@ def test_topk_scores_few_pairs_of_clustered_vectors(spark):
     assert got == brute_topk(rows)
     pairs = 300 * 5999
     print(search.counts, pairs)
-    assert search.counts["second"] < 0.1 * pairs and search.counts["named"] + search.counts["third"] < 0.1 * pairs
+    assert search.counts["second"] + search.counts["named"] < 0.1 * pairs
 
 
 def test_topk_empty(spark):

@@ -30,7 +30,7 @@ def windows(nodes: DataFrame) -> DataFrame:
 
 
 def expanded(candidates: DataFrame, nodes: DataFrame | None) -> DataFrame:
-    """Adds ``packed_text``, ``packed_id``, ``packed_tokens``, ``merged_ids`` and ``expansion`` to each candidate.
+    """Adds ``packed_text``, ``packed_id``, ``packed_tokens``, ``merged_ids``, ``expansion`` and ``is_parent_context`` to each candidate.
 
     A summary plan that asks for sections turns a paragraph into its section if that has at most three times its tokens
     (300 at least are allowed); otherwise a paragraph grows by its neighbours. Without nodes a candidate stays itself.
@@ -38,8 +38,10 @@ def expanded(candidates: DataFrame, nodes: DataFrame | None) -> DataFrame:
     own = F.coalesce(F.nullif(F.col("token_count"), F.lit(0)), T.token_count(F.col("text"))) if "token_count" in candidates.columns else T.token_count(F.col("text"))
     c = candidates.withColumn("_tokens", own)
     if nodes is None:
-        return c.withColumns({"packed_text": F.col("text"), "packed_id": F.col("node_id") if "node_id" in c.columns else F.lit(None).cast("string"), "packed_tokens": F.col("_tokens"), "merged_ids": F.array().cast("array<string>"), "expansion": F.lit("none")}).drop("_tokens")
-    merged = windows(nodes)
+        return c.withColumns({"packed_text": F.col("text"), "packed_id": F.col("node_id") if "node_id" in c.columns else F.lit(None).cast("string"), "packed_tokens": F.col("_tokens"), "merged_ids": F.array().cast("array<string>"), "expansion": F.lit("none"), "is_parent_context": F.lit(False)}).drop("_tokens")
+    # only families that a candidate belongs to are merged
+    wanted = candidates.select("parent_id").filter(F.col("parent_id").isNotNull()).distinct()
+    merged = windows(nodes.join(wanted, "parent_id", "left_semi"))
     parents = nodes.select(F.col("node_id").alias("_pid"), F.col("node_type").alias("_ptype"), F.col("text").alias("_ptext"), F.coalesce(F.nullif("token_count", F.lit(0)), T.token_count(F.col("text"))).alias("_ptokens"))
     c = c.join(parents, c["parent_id"] == parents["_pid"], "left").join(merged, "node_id", "left")
     section = (F.col("intent") == "summary") & F.array_contains("node_types", "section") & (F.col("node_type") == "paragraph") & (F.col("_ptype") == "section") & ~T.is_blank(F.col("_ptext")) & (F.col("_ptokens") <= F.greatest(F.lit(300), 3 * F.col("_tokens")))
@@ -52,6 +54,7 @@ def expanded(candidates: DataFrame, nodes: DataFrame | None) -> DataFrame:
             "packed_id": pick(F.col("_pid"), F.element_at("merged_ids", 1), F.col("node_id")),
             "packed_tokens": pick(F.col("_ptokens"), F.col("merged_tokens"), F.col("_tokens")).cast("int"),
             "merged_ids": pick(F.array().cast("array<string>"), F.col("merged_ids"), F.array().cast("array<string>")),
+            "is_parent_context": section,
         }
     ).drop("_pid", "_ptype", "_ptext", "_ptokens", "merged_text", "merged_tokens", "merged_count", "_tokens")
 

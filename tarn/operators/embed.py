@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from tarn.functions import text as T
 from tarn.sources.lineage import cut
 
 DIMENSIONS = 384
+#: Parents whose sums a task holds at once.
+SUMS = 4096
 
 
 def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -34,30 +41,66 @@ def embedder(backend: str, dimensions: int = DIMENSIONS, model: Callable[[Column
 
 
 def hydrated(nodes: DataFrame) -> DataFrame:
-    """Blank nodes get the texts of the paragraphs below them, in order, a blank line between. ``nodes`` carry ``ancestors``."""
-    below = nodes.filter(~T.is_blank(F.col("text"))).select(F.explode("ancestors").alias("_of"), "order", T.strip(F.col("text")).alias("_t"))
+    """Blank nodes get their children's texts, in order, a blank line between, those of blank children being their children's.
+
+    ``nodes`` carry ``ancestors``. As joining is associative, a text goes to every ancestor up to the first with a text of its own.
+    """
+    solid = nodes.filter(~T.is_blank(F.col("text")))
+    below = solid.select("node_id", "order", T.strip(F.col("text")).alias("_t"), F.posexplode("ancestors").alias("_i", "_of"))
+    inner = solid.filter("node_type <> 'paragraph'").select(F.col("node_id").alias("_of"), F.lit(True).alias("_solid"))
+    below = below.join(inner, "_of", "left").withColumn("_stop", F.max(F.when(F.col("_solid"), F.col("_i"))).over(W.partitionBy("node_id")))
+    below = below.filter(F.col("_i") > F.coalesce("_stop", F.lit(-1)))
     joined = below.groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "_t"))), lambda x: x["_t"]), "\n\n").alias("_text"))
     out = nodes.join(joined, nodes["node_id"] == joined["_of"], "left")
     return out.withColumn("text", F.when(T.is_blank(F.col("text")) & F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col("text"))).drop("_of", "_text")
 
 
 def pooled(nodes: DataFrame, parent: str = "parent_id", embedding: str = "embedding") -> DataFrame:
-    """(parent, embedding, children): the component-wise mean of the children that have a vector."""
-    each = nodes.filter(F.col(embedding).isNotNull()).select(F.col(parent).alias("parent"), F.posexplode(embedding).alias("pos", "x"))
-    mean = each.groupBy("parent", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("children"))
-    whole = mean.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("xs"), F.max("children").alias("children"))
-    return whole.select("parent", F.transform("xs", lambda p: p["x"]).alias("embedding"), "children")
-
-
-def enriched(nodes: DataFrame, embed: Callable[[Column], Column], leaf: str = "paragraph", pooling: str = "mean", levels: int = 7) -> DataFrame:
+    """(parent, embedding, children): the component-wise mean of the children that have a vector. A vector stays one row: tasks add up
+    their own children first, then their sums meet. Children with vectors of several sizes give none."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for p, v, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                held = sums.get(p)
+                if held is None:
+                    sums[p] = [x.copy(), n]
+                elif held[0] is None or len(held[0]) != len(x):
+                    sums[p] = [None, held[1] + n]
+                else:
+                    held[0] += x
+                    held[1] += n
+            if len(sums) >= SUMS:
+                yield pack(sums)
+        yield pack(sums)
+
+    def pack(sums: dict) -> pa.RecordBatch:
+        keys, values = list(sums), list(sums.values())
+        sums.clear()
+        return pa.record_batch([pa.array(keys, kind), pa.array([None if s is None else s.tolist() for s, _ in values], pa.list_(pa.float64())), pa.array([n for _, n in values], pa.int64())], ["parent", "embedding", "children"])
+
+    own = nodes.filter(F.col(embedding).isNotNull() & F.col(parent).isNotNull()).select(F.col(parent).alias("parent"), F.col(embedding).cast("array<double>").alias("embedding"), F.lit(1).cast("long").alias("children"))
+    kind = to_arrow_type(own.schema["parent"].dataType)
+    schema = f"parent {own.schema['parent'].dataType.simpleString()}, embedding array<double>, children long"
+    local = own.mapInArrow(add, schema)
+    total = F.aggregate("vectors", F.transform(F.col("vectors")[0], lambda x: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    met = local.groupBy("parent").agg(F.collect_list("embedding").alias("vectors"), F.sum("children").alias("children"), F.count(F.lit(1)).alias("_n"), F.max(F.size("embedding")).alias("_most"), F.min(F.size("embedding")).alias("_least"))
+    whole = (F.size("vectors") == F.col("_n")) & (F.col("_most") == F.col("_least"))
+    return met.select("parent", F.when(whole, F.transform(total, lambda x: x / F.col("children"))).alias("embedding"), "children")
+
+
+def enriched(nodes: DataFrame, embed: Callable[[Column], Column], leaf: str = "paragraph", pooling: str = "mean", counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """Texts hydrated, leaves embedded and counted, parents pooled from the deepest level up.
 
-    A parent of embedded children has the sum of its children's tokens, any other node the count of its own text. With
-    pooling 'none' parents have no vector.
+    A parent of embedded children has the sum of its children's tokens, any other node the count of its own text by ``counter``.
+    With pooling 'none' parents have no vector. A node whose children have vectors of several sizes gets none.
     """
-    n = hydrated(nodes)
+    n = cut(hydrated(nodes))
+    levels = (n.agg(F.max("level").alias("n")).first()["n"] or 0) + 1
     is_leaf = (F.col("node_type") == leaf) & ~T.is_blank(F.col("text"))
-    n = n.withColumn("embedding", F.when(is_leaf, embed(F.col("text")))).withColumn("token_count", T.token_count(F.col("text")))
+    n = n.withColumn("embedding", F.when(is_leaf, embed(F.col("text")))).withColumn("token_count", counter(F.col("text")))
     for level in range(levels - 1, -1, -1):
         n = cut(n)  # each level reads the one below it twice
         kids = n.filter((F.col("level") > level) & F.col("parent_id").isNotNull())

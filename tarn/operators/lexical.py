@@ -1,13 +1,18 @@
 """BM25 over materialised postings.
 
 The index is three tables: ``postings(term, seq, tf, len)``, ``terms(term, df, idf)`` and one row of corpus figures.
-A query batch touches only the postings of its own terms, by an equi-join; documents that share no term are never read.
+A document is one row, so its tokens are counted where it lies, in Arrow batches: only a document's distinct terms leave
+the scan, and nothing is shuffled for the postings. A query batch touches only the postings of its own terms, by an equi-join;
+documents that share no term are never read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,12 +28,22 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    #: What ``docs`` and ``postings`` are made from, if the index was just built.
+    counted: DataFrame | None = None
+
+    def _held(self) -> list[DataFrame]:
+        return [*([self.docs, self.postings] if self.counted is None else [self.counted]), self.terms, self.stats]
 
     def persist(self) -> LexicalIndex:
-        for t in (self.docs, self.postings, self.terms, self.stats):
+        """Keeps the tables for several uses; ``release`` lets them go. A lost executor's part is counted again."""
+        for t in self._held():
             t.persist()
         return self
 
+    def release(self) -> None:
+        for t in self._held():
+            t.unpersist()
+
     def write(self, path: str) -> None:
         """Postings sorted by term inside files, so that a term's rows are found by file statistics."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
@@ -41,17 +56,53 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats")))
 
 
-def build(docs: DataFrame, seq: str = "seq", text: str = "text") -> LexicalIndex:
-    """The index of ``docs``; blank documents are left out. idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean."""
-    kept = docs.filter(~T.is_blank(F.col(text))).select(F.col(seq).alias("seq"), T.tokens(F.col(text)).alias("tokens"))
-    sized = kept.withColumn("len", F.size("tokens"))
-    postings = sized.select("seq", "len", F.explode("tokens").alias("term")).groupBy("term", "seq").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+ROWS = 1 << 16
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, text) to (seq, len, term, tf); a document's own row has no term. str.split() cuts as ``functions.text.tokens`` does."""
+    seqs, lens, terms, tfs = [], [], [], []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(seqs, pa.int64()), pa.array(lens, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], ["seq", "len", "term", "tf"])
+        for x in (seqs, lens, terms, tfs):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for seq, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = (text.as_py() or "").split()
+            if not tokens:
+                continue
+            own = Counter(tokens)
+            n = len(own) + 1
+            seqs += [seq] * n
+            lens += [len(tokens)] * n
+            terms.append(None)
+            terms += own.keys()
+            tfs.append(0)
+            tfs += own.values()
+            if len(seqs) >= ROWS:
+                yield flush()
+    yield flush()
+
+
+def with_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf): idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean over all terms."""
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(sized.select("seq", "len"), postings, terms, stats)
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build(docs: DataFrame, seq: str = "seq", text: str = "text") -> LexicalIndex:
+    """The index of ``docs(seq, text)``, seq being a long; blank documents are left out."""
+    own = docs.select(F.col(seq).cast("long").alias("seq"), F.col(text).alias("text"))
+    counted = own.mapInArrow(_counted, "seq long, len int, term string, tf long")
+    each = counted.filter("term is null").select("seq", "len")
+    postings = counted.filter("term is not null").select("term", "seq", "tf", "len")
+    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    return LexicalIndex(each, postings, with_idf(postings, stats), stats, counted)
 
 
 def score(index: LexicalIndex, queries: DataFrame, query_id: str | list[str] = "query_id", text: str = "query") -> DataFrame:

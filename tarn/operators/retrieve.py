@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 
+from tarn.sources.lineage import cut
+
 from . import context, embed, fusion, lexical, rerank, vector
 from .profile import Profile
 
@@ -42,19 +44,23 @@ class Corpus:
         """Vectors by ``embedder`` (the hashed embedding if none is given), unless passages bring an ``embedding``."""
         fn = embedder or embed.hashed
         vectors = passages.select("seq", (F.col("embedding") if "embedding" in passages.columns else fn(F.col("text"))).alias("embedding"))
-        return cls(passages.drop("embedding"), vectors, lexical.build(passages).persist(), nodes)
+        return cls(passages.drop("embedding"), vectors.persist(), lexical.build(passages).persist(), nodes)
+
+    def release(self) -> None:
+        """Lets go of what ``of`` keeps."""
+        self.vectors.unpersist()
+        self.index.release()
 
 
 def candidates(corpus: Corpus, planned: DataFrame, limits: Limits, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Fused pools of every subquery, then structured nodes of the kinds the plan prefers, with ``at`` in list order."""
-    subs = fusion.subqueries(planned)
-    key = (F.col("query_id") * 8 + F.col("sub")).alias("qs")
-    asked = subs.select(key, "query", (embedder or embed.hashed)(F.col("query")).alias("embedding"))
+    # numbers of the subqueries, whatever the query ids are; written out, so that they stay
+    subs = cut(fusion.subqueries(planned).withColumn("qs", F.monotonically_increasing_id()))
+    asked = subs.select("qs", "query", (embedder or embed.hashed)(F.col("query")).alias("embedding"))
     near = vector.top_k(corpus.vectors, asked, limits.fetch_k, query_id="qs").withColumnRenamed("query_id", "qs")
     words = lexical.top_k(corpus.index, asked.select("qs", "query"), limits.fetch_k, "qs")
     both = fusion.fused(near, words, limits.alpha, by=("qs",))
-    split = lambda df: df.withColumns({"query_id": F.floor(F.col("qs") / 8).cast("long"), "sub": (F.col("qs") % 8).cast("int")}).drop("qs")
-    out = split(both).join(corpus.passages, "seq").withColumns({"stage": F.lit(0), "structured": F.lit(None).cast("double")})
+    out = both.join(subs.select("qs", "query_id", "sub"), "qs").drop("qs").join(corpus.passages, "seq").withColumns({"stage": F.lit(0), "structured": F.lit(None).cast("double")})
     if corpus.nodes is not None:
         kinds = planned.join(subs.select("query_id", "sub", F.col("query").alias("_sub_query")), "query_id").filter(F.size(F.array_remove("node_types", "paragraph")) > 0)
         hits = lexical.structured(corpus.nodes, kinds, F.array_remove("node_types", "paragraph"), limits.fetch_k, ["query_id", "sub"], "_sub_query")
@@ -81,7 +87,8 @@ def ranked(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, pro
 def retrieve(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, profile: Profile | None = None, scorer: rerank.Scorer | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """The packed passages of each query in slots from 0, with ``total_tokens`` and ``dropped``."""
     limits = (limits or Limits()).checked()
-    grown = context.expanded(ranked(corpus, queries, limits, profile, scorer, embedder), corpus.nodes)
+    # some hundred rows a query, read twice below
+    grown = cut(context.expanded(ranked(corpus, queries, limits, profile, scorer, embedder), corpus.nodes))
     blank = lambda c: F.col(c) if c in grown.columns else None
     grown = grown.withColumn("packed_key", T.document_key(F.col("packed_text"), F.col("packed_id"), blank("source"), blank("page")))
     slots = context.packed(grown, limits.k, limits.token_budget)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Queries that one pass over the vectors answers.
 QUERY_BLOCK = 1024
+#: Pairs whose exact distances are computed at once.
+SLICE = 1 << 14
 EPSILON = 1e-8
 
 
@@ -24,6 +26,25 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(x: np.ndarray, own: np.ndarray, ids: list, q: np.ndarray, k: int, digits: int) -> pd.DataFrame:
+    """The ``k`` nearest of the rows x for each query: a matrix product finds who can be, exact distances decide."""
+    norms, least = (x * x).sum(1), 10.0**-digits
+    rough = norms[:, None] + (q * q).sum(1) - 2 * (x @ q.T)
+    if len(x) > k:
+        # the product is off by rounding alone; what lies within that and one digit of the k-th stays
+        slack = least + 1e-12 * (norms.max() + (q * q).sum(1).max(initial=0))
+        at, of = np.nonzero(rough.T <= np.partition(rough, k - 1, axis=0)[k - 1][:, None] + 2 * slack)
+    else:
+        at, of = np.divmod(np.arange(len(q) * len(x)), len(x))
+    dist = np.concatenate([((x[of[i : i + SLICE]] - q[at[i : i + SLICE]]) ** 2).sum(1) for i in range(0, len(at), SLICE)] or [np.zeros(0)])
+    dist = np.floor(dist * 10**digits + 0.5) / 10**digits
+    order = np.lexsort((own[of], dist, at))
+    at, of, dist = at[order], of[order], dist[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    top = place < k
+    return pd.DataFrame({"query_id": np.array(ids)[at[top]], "seq": own[of[top]], "dist": dist[top]})
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, seq: str = "seq", query_id: str = "query_id", embedding: str = "embedding", digits: int = 9) -> DataFrame:
     """(query_id, rank, seq, dist): the ``k`` nearest rows, ties by ``seq``. A filter is applied before the search, so it is exact.
 
@@ -51,10 +72,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
                     x, own = x[fine], part["seq"].to_numpy()[fine]
                     if not len(x):
                         continue
-                    for i, row in enumerate(q):
-                        dist = np.floor(((x - row) ** 2).sum(1) * 10**digits + 0.5) / 10**digits
-                        best = np.lexsort((own, dist))[:k]
-                        yield pd.DataFrame({"query_id": ids[i], "seq": own[best], "dist": dist[best]})
+                    yield _nearest(x, own, ids, q, k, digits)
 
         return rows.mapInPandas(near, "query_id long, seq long, dist double")
 

@@ -277,7 +277,7 @@ def hydrate_text(spark, sf_dir):
 
 @query
 def tree_token_counts(spark, sf_dir):
-    out = embed.enriched(turns(spark, sf_dir), lambda t: embed.hashed(t, 32), levels=2)
+    out = embed.enriched(turns(spark, sf_dir), lambda t: embed.hashed(t, 32))
     return out.select("node_id", F.col("token_count").cast("long").alias("token_count"), F.coalesce(F.size("embedding"), F.lit(-1)).cast("long").alias("dims"))
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tarn.functions import text as T
+from tarn.operators import embed, lexical
 
 STATE = "items array<string>"
 OUTPUT = "thread_id string, items array<string>, size int"
@@ -36,17 +37,19 @@ def accumulated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("thread_id").applyInPandasWithState(fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest(spark: SparkSession, source: str, postings: str, checkpoint: str):
-    """Watches a folder of (seq, text) Parquet files and appends their postings; idf is computed from the postings at query time.
+def ingest(spark: SparkSession, source: str, postings: str, checkpoint: str, vectors: str | None = None, embedder: Callable[[Column], Column] | None = None):
+    """Watches a folder of (seq, text) Parquet files and appends their postings, and their vectors if a path is given; idf is
+    computed from the postings at query time.
 
     The started query runs until the files that are there are done. Appended batches are named by their number, so a batch
     that is tried again replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        kept = batch.filter(~T.is_blank(F.col("text"))).select("seq", T.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
-        terms = kept.select("seq", "len", F.explode("tokens").alias("term")).groupBy("term", "seq").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-        terms.write.mode("overwrite").parquet(f"{postings}/batch={number}")
+        lexical.build(batch).postings.write.mode("overwrite").parquet(f"{postings}/batch={number}")
+        if vectors is not None:
+            kept = batch.filter(~T.is_blank(F.col("text")))
+            kept.select("seq", (embedder or embed.hashed)(F.col("text")).alias("embedding")).write.mode("overwrite").parquet(f"{vectors}/batch={number}")
 
     rows = spark.readStream.schema("seq long, text string").parquet(source)
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -54,12 +57,7 @@ def ingest(spark: SparkSession, source: str, postings: str, checkpoint: str):
 
 def index_of(spark: SparkSession, postings: str):
     """The lexical index of all postings appended so far."""
-    from tarn.operators import lexical
-
     p = spark.read.parquet(postings).select("term", "seq", "tf", "len")
     docs = p.groupBy("seq").agg(F.first("len").alias("len"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    terms = raw.crossJoin(F.broadcast(raw.agg(F.avg("raw").alias("m")))).select("term", "df", F.when(F.col("raw") < 0, lexical.EPSILON * F.col("m")).otherwise(F.col("raw")).alias("idf"))
-    return lexical.LexicalIndex(docs, p, terms, stats)
+    return lexical.LexicalIndex(docs, p, lexical.with_idf(p, stats), stats)

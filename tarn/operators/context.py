@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,13 +13,14 @@ from tarn.functions import text as T
 LEAST_BUDGET = 200
 
 
-def windows(nodes: DataFrame) -> DataFrame:
+def windows(nodes: DataFrame, counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """For each paragraph with a parent: the non-blank siblings at most one ``order`` away, merged.
 
     (node_id, merged_text, merged_ids, merged_tokens, merged_count). A range frame, so gaps in the order break adjacency.
     """
+    nodes = nodes.withColumn("_tokens", F.coalesce(F.nullif("token_count", F.lit(0)), counter(F.col("text"))))
     near = W.partitionBy("parent_id").orderBy("order").rangeBetween(-1, 1)
-    kept = F.when(~T.is_blank(F.col("text")), F.struct("order", "node_id", "text", F.coalesce(F.nullif("token_count", F.lit(0)), T.token_count(F.col("text"))).alias("tokens")))
+    kept = F.when(~T.is_blank(F.col("text")), F.struct("order", "node_id", "text", F.col("_tokens").alias("tokens")))
     own = nodes.filter(F.col("parent_id").isNotNull()).withColumn("_near", F.collect_list(kept).over(near)).withColumn("_near", F.array_sort("_near"))
     own = own.filter((F.col("node_type") == "paragraph") & (F.size("_near") > 1))
     return own.select(
@@ -29,20 +32,20 @@ def windows(nodes: DataFrame) -> DataFrame:
     )
 
 
-def expanded(candidates: DataFrame, nodes: DataFrame | None) -> DataFrame:
+def expanded(candidates: DataFrame, nodes: DataFrame | None, counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """Adds ``packed_text``, ``packed_id``, ``packed_tokens``, ``merged_ids``, ``expansion`` and ``is_parent_context`` to each candidate.
 
     A summary plan that asks for sections turns a paragraph into its section if that has at most three times its tokens
     (300 at least are allowed); otherwise a paragraph grows by its neighbours. Without nodes a candidate stays itself.
     """
-    own = F.coalesce(F.nullif(F.col("token_count"), F.lit(0)), T.token_count(F.col("text"))) if "token_count" in candidates.columns else T.token_count(F.col("text"))
+    own = F.coalesce(F.nullif(F.col("token_count"), F.lit(0)), counter(F.col("text"))) if "token_count" in candidates.columns else counter(F.col("text"))
     c = candidates.withColumn("_tokens", own)
     if nodes is None:
         return c.withColumns({"packed_text": F.col("text"), "packed_id": F.col("node_id") if "node_id" in c.columns else F.lit(None).cast("string"), "packed_tokens": F.col("_tokens"), "merged_ids": F.array().cast("array<string>"), "expansion": F.lit("none"), "is_parent_context": F.lit(False)}).drop("_tokens")
     # only families that a candidate belongs to are merged
     wanted = candidates.select("parent_id").filter(F.col("parent_id").isNotNull()).distinct()
-    merged = windows(nodes.join(wanted, "parent_id", "left_semi"))
-    parents = nodes.select(F.col("node_id").alias("_pid"), F.col("node_type").alias("_ptype"), F.col("text").alias("_ptext"), F.coalesce(F.nullif("token_count", F.lit(0)), T.token_count(F.col("text"))).alias("_ptokens"))
+    merged = windows(nodes.join(wanted, "parent_id", "left_semi"), counter)
+    parents = nodes.select(F.col("node_id").alias("_pid"), F.col("node_type").alias("_ptype"), F.col("text").alias("_ptext"), F.coalesce(F.nullif("token_count", F.lit(0)), counter(F.col("text"))).alias("_ptokens"))
     c = c.join(parents, c["parent_id"] == parents["_pid"], "left").join(merged, "node_id", "left")
     section = (F.col("intent") == "summary") & F.array_contains("node_types", "section") & (F.col("node_type") == "paragraph") & (F.col("_ptype") == "section") & ~T.is_blank(F.col("_ptext")) & (F.col("_ptokens") <= F.greatest(F.lit(300), 3 * F.col("_tokens")))
     section, grown = F.coalesce(section, F.lit(False)), F.col("merged_text").isNotNull()

@@ -89,6 +89,6 @@ def last_answer(messages: DataFrame, by: str = "conv_id", fallback: str = NO_ANS
 
 
 def guarded(calls: DataFrame, by: list[str], max_iterations: int = 10, max_calls: int = 8) -> DataFrame:
-    """Counts a branch's iterations and tool calls and says whether it must fall back."""
+    """Counts a branch's iterations and tool calls and says whether it must fall back; ``agent.limited`` acts on it."""
     n = calls.groupBy(*by).agg(F.count(F.lit(1)).alias("iterations"), F.coalesce(F.sum("tool_calls"), F.lit(0)).alias("tool_calls"))
     return n.withColumn("fallback", (F.col("iterations") >= max_iterations) | (F.col("tool_calls") > max_calls))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 
+# The most entries of each list.
 LIMITS = {"source_examples": 10, "recommended_questions": 12, "forbidden_questions": 12, "domain_keywords": 20, "primary_entities": 20}
 
 

@@ -13,6 +13,7 @@ from tarn.functions import text as T
 
 from .profile import Profile
 
+# The weights of the boosts.
 TITLE, NODE_TYPE, CORPUS, KEYWORD, ENTITY, PENALTY = 0.15, 0.08, 0.12, 0.08, 0.10, 0.12
 
 
@@ -56,6 +57,13 @@ def ordered(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(T.rounded(F.col("final_score"), 9).desc(), "at")))
 
 
+def debug_rows(candidates: DataFrame, k: int = 10) -> DataFrame:
+    """The first 2k of each query with their scores and boosts at four digits, to see why they stand where they do."""
+    names = ("title_boost", "type_boost", "corpus_boost", "keyword_boost", "entity_boost", "penalty")
+    kept = [c for c in ("node_id", "seq", "node_type") if c in candidates.columns]
+    return candidates.filter(F.col("position") <= 2 * k).select("query_id", "position", *kept, *[T.rounded(F.col(c), 4).alias(c) for c in ("score", "final_score", *names)])
+
+
 Scorer = Callable[[str, list[str]], list[float]]
 
 

@@ -71,6 +71,12 @@ def candidates(corpus: Corpus, planned: DataFrame, limits: Limits, embedder: Cal
     return fusion.listed(out)
 
 
+def counts(found: DataFrame) -> DataFrame:
+    """(query_id, raw_candidates, structured_candidates) of a list of candidates: all of them, and a map from each subquery's place to its structured ones."""
+    each = found.groupBy("query_id", "sub").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("stage") == 1).cast("long")).alias("s"))
+    return each.groupBy("query_id").agg(F.sum("n").alias("raw_candidates"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("sub", "s")))).alias("structured_candidates"))
+
+
 def ranked(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, profile: Profile | None = None, scorer: rerank.Scorer | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Deduplicated candidates of ``queries(query_id, query[, intent, subqueries, node_types])`` with boosts and ``position``.
 
@@ -84,11 +90,11 @@ def ranked(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, pro
     return rerank.cross_encoded(order, scorer, limits.top_n) if scorer else order
 
 
-def retrieve(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, profile: Profile | None = None, scorer: rerank.Scorer | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+def retrieve(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, profile: Profile | None = None, scorer: rerank.Scorer | None = None, embedder: Callable[[Column], Column] | None = None, counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """The packed passages of each query in slots from 0, with ``total_tokens`` and ``dropped``."""
     limits = (limits or Limits()).checked()
     # some hundred rows a query, read twice below
-    grown = cut(context.expanded(ranked(corpus, queries, limits, profile, scorer, embedder), corpus.nodes))
+    grown = cut(context.expanded(ranked(corpus, queries, limits, profile, scorer, embedder), corpus.nodes, counter))
     blank = lambda c: F.col(c) if c in grown.columns else None
     grown = grown.withColumn("packed_key", T.document_key(F.col("packed_text"), F.col("packed_id"), blank("source"), blank("page")))
     slots = context.packed(grown, limits.k, limits.token_budget)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, retrieve, vector
+from tarn.operators import agent, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, retrieve, vector
+from tarn.sources import files as scans
 from tarn.sources import stores
+from tarn.sources.lineage import shared_path
+from tarn.streaming import session
 
 from .oracles import ORACLES  # noqa: F401
 from .samples import PROFILE
@@ -117,8 +120,10 @@ def compact_phrase(spark, sf_dir):
 
 @query
 def fake_embedding(spark, sf_dir):
-    v = read(spark, sf_dir, "documents").select("doc_id", embed.hashed(F.col("text"), 64).alias("v"))
-    return v.select("doc_id", *[F.col("v")[i].alias(f"c{i}") for i in (0, 1, 31, 32, 63)], F.size("v").cast("long").alias("n"))
+    """All components of the full embedding, as their bytes in one digest."""
+    v = read(spark, sf_dir, "documents").select("doc_id", embed.hashed(F.col("text")).alias("v"))
+    joined = F.array_join(F.transform("v", lambda x: F.round(x * 255).cast("int").cast("string")), ",")
+    return v.select("doc_id", *[F.col("v")[i].alias(f"c{i}") for i in (0, 1, 31, 32, 383)], F.sha1(joined).alias("components"), F.size("v").cast("long").alias("n"))
 
 
 # lexical search
@@ -179,7 +184,9 @@ def vector_topk_filtered(spark, sf_dir):
 @query
 def vector_minmax(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    hits = vector.top_k(v, asked(spark, sf_dir), 40, F.col("vec_id") % 50 != 0, seq="vec_id", digits=6)
+    # one more than is wanted, as a query's own vector is none of its candidates
+    hits = vector.top_k(v, asked(spark, sf_dir), 41, seq="vec_id", digits=6).filter("seq <> query_id").drop("rank")
+    hits = lexical.best(hits, 40, ["query_id"], "dist", down=False)
     return hits.select("query_id", "seq", T.rounded(vector.scaled(vector.similarity(F.col("dist")), ["query_id"]), 6).alias("scaled"))
 
 
@@ -323,7 +330,9 @@ def page_trees(spark, sf_dir):
 @query
 def node_upsert_latest(spark, sf_dir):
     nodes = turns(spark, sf_dir).select("node_id", "doc_id", "text").withColumn("v", F.lit(0).cast("long"))
-    picked = nodes.filter(F.col("doc_id").rlike("[02468]$"))
+    # conversations that a system message opens come in anew, twice
+    opened = read(spark, sf_dir, "conversations").filter("role = 'system'").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("doc_id")).distinct()
+    picked = nodes.join(opened, "doc_id", "left_semi").select(nodes.columns)
     fresh = picked.withColumns({"text": F.concat(F.lit("new "), "text"), "v": F.lit(1).cast("long")}).unionByName(picked.withColumns({"text": F.concat(F.lit("newer "), "text"), "v": F.lit(2).cast("long")}))
     return stores.upserted(nodes, fresh, "v").select("node_id", "doc_id", "text", "v")
 
@@ -455,6 +464,130 @@ def out_of_scope_answer(spark, sf_dir):
     return render.out_of_scope(scoped(spark, sf_dir).withColumn("boundary", F.lit(PROFILE.coverage)))
 
 
+# the agent
+
+
+@query
+def search_tool(spark, sf_dir):
+    c = listed(spark, sf_dir).withColumns({"position": F.col("at"), "packed_key": T.document_key(F.col("text")), "packed_text": F.col("text"), "packed_tokens": T.token_count(F.col("text"))})
+    return agent.search_tool(context.packed(c, 10, 1800).join(c, ["query_id", "position"]))
+
+
+@query
+def guardrails(spark, sf_dir):
+    """Branches whose conversation has too many turns, or asks for too many tools (a call for each 400 characters), fall back."""
+    c = read(spark, sf_dir, "conversations").withColumn("tool_calls", (F.length("text") / 400).cast("long"))
+    answers = evidence.last_answer(c)
+    return agent.limited(answers, c, ["conv_id"]).select("conv_id", "answer", F.col("iterations").cast("long").alias("iterations"), F.col("tool_calls").cast("long").alias("tool_calls"), "stopped")
+
+
+@query
+def history_summary(spark, sf_dir):
+    return agent.summarised(read(spark, sf_dir, "conversations"), agent.Bounds(max_context_tokens=150))
+
+
+@query
+def task_prompts(spark, sf_dir):
+    return agent.prompts(questions(spark, sf_dir), PROFILE)
+
+
+@query
+def research_answers(spark, sf_dir):
+    """Every question to its answer: scope, route (one in seven is taken for a direct answer), evidence, fan-in."""
+    asked = scoped(spark, sf_dir).withColumns({"boundary": F.lit(PROFILE.coverage), "decision": F.when(F.col("query_id") % 7 == 3, "direct_answer")})
+    return agent.answered(evidence.routed(asked, "decision"), evidence.fan_in(proof(spark, sf_dir)))
+
+
+@query
+def candidate_counts(spark, sf_dir):
+    near, words = pools(spark, sf_dir)
+    both = fusion.fused(near, words, by=("query_id",)).select("query_id", F.lit(0).alias("sub"), F.lit(0).alias("stage"))
+    nodes = embed.hydrated(turns(spark, sf_dir))
+    found = lexical.structured(nodes, questions(spark, sf_dir), F.array(F.lit("section")), 10, ["query_id"]).select("query_id", F.lit(0).alias("sub"), F.lit(1).alias("stage"))
+    n = retrieve.counts(both.unionByName(found))
+    return n.select("query_id", "raw_candidates", F.col("structured_candidates")[0].alias("structured"))
+
+
+@query
+def debug_top_rows(spark, sf_dir):
+    out = rerank.ordered(boosts(spark, sf_dir).withColumn("final_score", T.rounded(F.col("final_score"), 4)))
+    return rerank.debug_rows(out).withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def scorer_rerank(spark, sf_dir):
+    """A scorer that prefers long texts, on the first ten of each query."""
+    out = rerank.ordered(boosts(spark, sf_dir).withColumn("final_score", T.rounded(F.col("final_score"), 4)))
+    done = rerank.cross_encoded(out, lambda q, texts: [float(len(t)) for t in texts], 10)
+    return done.filter("position <= 20").select("query_id", F.col("position").cast("long").alias("position"), "seq", "scorer_boost")
+
+
+# stores and scans
+
+
+@query
+def loader_kinds(spark, sf_dir):
+    p = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in.box/"), "source", F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".Pdf", ".png", ""))), (F.col("doc_id") % 5 + 1).cast("int"))).alias("path"))
+    return p.select("doc_id", T.suffix(F.col("path")).alias("suffix"), scans.kind(F.col("path")).alias("kind"))
+
+
+@query
+def profile_lists(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.profile_list(F.regexp_replace("text", "[.,]", ";")), "|").alias("entries"))
+
+
+@query
+def leaf_passages(spark, sf_dir):
+    leaves = parse.leaf_documents(turns(spark, sf_dir))
+    return leaves.select("node_id", "doc_id", "parent_title", "text", T.is_blank(F.col("text")).alias("blank"))
+
+
+@query
+def tree_payloads(spark, sf_dir):
+    trees = stores.trees(turns(spark, sf_dir))
+    return trees.select("doc_id", "root_id", F.size("nodes").cast("long").alias("n"), F.array_join(F.transform("nodes", lambda x: x["node_id"]), ",").alias("ids"))
+
+
+@query
+def vector_store_search(spark, sf_dir):
+    """Vectors appended in two parts, then searched where they are stored."""
+    store = stores.store("vector", "parquet", spark, shared_path(spark, "vectors"))
+    v = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "seq")
+    store.append(v.filter("label < 5"))
+    store.append(v.filter("label >= 5 or label is null"))
+    hits = vector.top_k(store.rows(), asked(spark, sf_dir), 10, digits=6)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "dist")
+
+
+@query
+def postings_store_search(spark, sf_dir):
+    """An index written, read back and asked."""
+    store = stores.store("lexical", "bm25", spark, shared_path(spark, "postings"))
+    store.rebuild(corpus(spark, sf_dir))
+    hits = store.search(questions(spark, sf_dir), 10)
+    return lexical.best(hits.withColumn("score", T.rounded(F.col("score"), 6)).drop("rank"), 10, ["query_id"]).select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "score")
+
+
+@query
+def node_store_upsert(spark, sf_dir):
+    """Nodes as JSON Lines: stored, replaced document by document, read back."""
+    store = stores.store("node", "json", spark, shared_path(spark, "nodes"))
+    nodes = turns(spark, sf_dir)
+    store.upsert(nodes)
+    opened = read(spark, sf_dir, "conversations").filter("role = 'system'").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("doc_id")).distinct()
+    store.upsert(nodes.join(opened, "doc_id", "left_semi").select(nodes.columns).withColumn("text", F.concat(F.lit("new "), "text")))
+    return store.nodes().select("node_id", "parent_id", "doc_id", "text", F.col("order").cast("long").alias("order"))
+
+
+@query
+def incremental_postings(spark, sf_dir):
+    """Documents that a stream of files brings, indexed as they come."""
+    base = shared_path(spark, "stream")
+    corpus(spark, sf_dir).select("seq", "text").repartition(3).write.parquet(f"{base}/in")
+    session.ingest(spark, f"{base}/in", f"{base}/postings", f"{base}/state").awaitTermination()
+    return session.index_of(spark, f"{base}/postings").terms.select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
+
+
 # the whole path
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
@@ -21,10 +21,46 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str, clean: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """(path, text) of text and Markdown files, whole; ``clean`` as the flat loaders do. A file that can't be read is an error in the scan."""
+    """(path, text, error) of text and Markdown files, whole; ``clean`` as the flat loaders do.
+
+    A file whose bytes are not text in ``encoding`` has no text and an error, and the others are read all the same; ``loaded``
+    decides what becomes of it.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(T.suffix(F.col("path")).isin("md", "txt"))
-    raw = found.select("path", F.decode("content", encoding).alias("text"))
-    return raw.withColumn("text", T.clean_text(F.col("text"))) if clean else raw
+    if encoding.upper().replace("-", "") == "UTF8":
+        raw = F.try_validate_utf8(F.col("content").cast("string"))
+    else:
+        raw = decoded(encoding)(F.col("content"))
+    rows = found.select("path", raw.alias("text")).withColumn("error", F.when(F.col("text").isNull(), F.lit(f"text reader failed: not {encoding}")))
+    return rows.withColumn("text", T.clean_text(F.col("text"))) if clean else rows
+
+
+def decoded(encoding: str):
+    """Bytes in an encoding to text, null where they aren't."""
+
+    @F.pandas_udf("string")
+    def run(contents):
+        def one(raw):
+            try:
+                return raw.decode(encoding)
+            except UnicodeDecodeError:
+                return None
+
+        return contents.map(one)
+
+    return run
+
+
+def loaded(rows: DataFrame, single: bool = False) -> DataFrame:
+    """Rows without an error. For a ``single`` file an error is raised instead of left out; use ``rows`` itself to report errors."""
+    if single and (bad := rows.filter("error is not null").first()) is not None:
+        raise ValueError(f"{bad['path']}: {bad['error']}")
+    return rows.filter("error is null").drop("error")
+
+
+def kind(path: Column) -> Column:
+    """The kind of scan for a path's suffix, in any case; null where there is none."""
+    return F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[T.suffix(path)]
 
 
 def pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] | None) -> DataFrame:
@@ -62,6 +98,6 @@ def tree_parser(suffix: str):
 
 def trees(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """The node table of all supported files below ``path``; files of other kinds are left out, PDF files unless there is a reader."""
-    raw = texts(spark, path, clean=False)
+    raw = loaded(texts(spark, path, clean=False))
     out = parse.markdown(raw.filter(T.suffix(F.col("path")) == "md")).unionByName(parse.plain_text(raw.filter(T.suffix(F.col("path")) == "txt")))
-    return out.unionByName(parse.paged(pages(spark, path, reader).filter("error is null").drop("error"))) if reader else out
+    return out.unionByName(parse.paged(loaded(pages(spark, path, reader)))) if reader else out

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
 from tempfile import mkdtemp
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder stands in only in local mode."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Only in local mode, where it is unset, a temporary folder stands in, and goes at exit."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(path or f"file://{mkdtemp(prefix='tarn-')}")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            made = mkdtemp(prefix="tarn-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            path = f"file://{made}"
+        context.setCheckpointDir(path)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

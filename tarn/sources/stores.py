@@ -94,7 +94,7 @@ def upserted(stored: DataFrame, incoming: DataFrame, seq: str | None = None) ->
 def trees(nodes: DataFrame) -> DataFrame:
     """(doc_id, root_id, nodes): a document's nodes in order, as one value; ``to_json`` and ``from_json`` carry it further."""
     inner = F.struct(*[F.col(c) for c in ("order", "node_id", "parent_id", "node_type", "title", "text", "level")])
-    return nodes.groupBy("doc_id").agg(F.min_by("node_id", "order").alias("root_id"), F.array_sort(F.collect_list(inner)).alias("nodes"))
+    return nodes.groupBy("doc_id").agg(F.min_by("node_id", F.struct(F.col("parent_id").isNotNull(), "order", "node_id")).alias("root_id"), F.array_sort(F.collect_list(inner)).alias("nodes"))
 
 
 class ParquetVectorStore:

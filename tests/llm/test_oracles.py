@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tarn.llm import queries, quality
 
-from .test_llm import brute_lines, brute_fingerprint, components, filled, size_of
+from .test_llm import brute_lines, filled, size_of
+from .test_neardup import brute
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
@@ -45,7 +46,7 @@ def test_pipeline(spark, tmp_path):
     assert clean <= good
     assert collections.Counter((r[0], r[1]) for r in as_rows(held[2])) == collections.Counter((x[0], x[3]) for x in brute_lines(as_rows(held[1])))
     texts = {r[0]: r[1] for r in as_rows(held[2])}
-    roots = components({d: brute_fingerprint(t) for d, t in texts.items()})
+    roots, _ = brute(texts.items())  # five words, a similarity of 0.8 or more
     assert sorted(r[0] for r in as_rows(held[3])) == sorted(set(roots.values()))
     sizes, before = collections.Counter(), {}
     for d, t, _, s in as_rows(held[3]):
@@ -63,3 +64,39 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, DATA)
     total = lambda df: df.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
     assert total(whole) == total(held[5]) and math.isclose(sum(copies.values()), whole.count())
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, text_ string, _tarn_row long, digest string"
+
+
+def odd_rows():
+    plain = lambda k, n=80: " ".join(f"w{k}x{i % 37}q{i}" for i in range(n))
+    rows = [(1, plain(1), "en", "a"), (1, plain(2), "en", "a"), (2, plain(1), "en", "b"), (None, plain(3), None, None), (None, plain(4), "en", None), (3, None, "en", "a"), (4, "", "en", "a"), (5, " \n\t", "en", "a")]
+    rows += [(6, plain(6, 30_000), "en", "a"), (7, plain(7), "en", "c"), (7, plain(7), "en", "c"), (8, plain(8) + " end", "de", "c"), (9, plain(8), "de", "c")]
+    return [(d, t, la, s, None if t is None else len(t), True, "x", 5, "y") for d, t, la, s in rows]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, blank and very long texts, repeated rows and ids, clashing columns, empty tables."""
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "").collect() == [], name
+        out = stage(spark, docs, "")
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        docs = spark.createDataFrame([(*r, True, "x", 5, "y") for r in out.collect()], ODD)
+        got = collections.Counter((r.doc_id, (r.text or "")[:3]) for r in docs.collect())
+        if name == "quality rules":
+            assert got == {(1, "w1x"): 1, (1, "w2x"): 1, (2, "w1x"): 1, (None, "w3x"): 1, (None, "w4x"): 1, (6, "w6x"): 1, (7, "w7x"): 2, (8, "w8x"): 1, (9, "w8x"): 1}
+        if name == "near-dedup":
+            assert got == {(1, "w1x"): 1, (1, "w2x"): 1, (None, "w3x"): 1, (None, "w4x"): 1, (6, "w6x"): 1, (7, "w7x"): 1, (8, "w8x"): 1}
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, "").count() == docs.count() and last(spark, empty, "").collect() == []
+
+
+def test_run_leaves_only_its_stages(spark):
+    from tarn.llm import common
+
+    before = set(common._written)
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert set(common._written) == before

@@ -70,7 +70,7 @@ ODD = "doc_id long, text string, lang string, source string, n_chars long, kept
 
 
 def odd_rows():
-    plain = lambda k, n=80: " ".join(f"w{k}x{i % 37}q{i}" for i in range(n))
+    plain = lambda k, n=80: " ".join(f"w{k}x{i % 37}q{i:05d}" for i in range(n))
     rows = [(1, plain(1), "en", "a"), (1, plain(2), "en", "a"), (2, plain(1), "en", "b"), (None, plain(3), None, None), (None, plain(4), "en", None), (3, None, "en", "a"), (4, "", "en", "a"), (5, " \n\t", "en", "a")]
     rows += [(6, plain(6, 30_000), "en", "a"), (7, plain(7), "en", "c"), (7, plain(7), "en", "c"), (8, plain(8) + " end", "de", "c"), (9, plain(8), "de", "c")]
     return [(d, t, la, s, None if t is None else len(t), True, "x", 5, "y") for d, t, la, s in rows]

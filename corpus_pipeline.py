@@ -13,34 +13,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, lines, mixing, neardup, quality
-from tarn.llm.common import shared_dir
+from tarn.llm.common import scratch, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go.
+
+    Null and blank texts fail the base rules; rows that share a doc_id stay if one of them does; a null language, source or id is a value of
+    its own. Here and in all stages columns beyond those of documents go, whatever their names, and an empty table stays empty.
+    """
     return quality.kept_documents(docs).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines that five documents or more hold stay in the last of them only; n_chars follows the text."""
+    """Long lines that five documents or more hold stay in the last of them only; n_chars follows the text.
+
+    Rows that share a doc_id count as one document, null ids as one that is smaller than all others; a null text becomes an empty one.
+    """
     cleaned = lines.LineIndex.build(docs, keep_postings=False).cleaned(docs)
     return cleaned.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles the one with the smallest id stays."""
+    """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles the one with the smallest id stays.
+
+    The SimHash operator's self-join goes first, its pairs are checked exactly, prefix filters complete them (see ``tarn.llm.neardup``). Null
+    ids come last; rows alike in id and text are one; other rows that share an id are judged by their texts.
+    """
     return neardup.deduplicated(docs).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; blank texts are never taken, rows alike in every column are taken together."""
     return mixing.mixed_documents(docs).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the digests of ids and decoded text, and the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, n_tokens, the digests of ids and decoded text, and the ids as little-endian unsigned 32-bit integers; one row a row."""
     return bpe.encode_documents(docs, with_ids=True)
 
 
@@ -52,16 +63,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: SQL can't express the SimHash stage's chains of links or the mixing stage's draws; tests/llm holds run() against a brute-force version.
+#: SQL can't express the near-duplicate stage's chains of links or the mixing stage's draws; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``. A stage's own intermediate tables go when it is written; the stages' tables stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/tarn/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

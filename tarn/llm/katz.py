@@ -161,13 +161,14 @@ class Chunk:
         return cls(ids, (flags & 2) > 0, (flags & 1) > 0, size, words, word_of, context_of, place[pair_of], h[order], context[order], word[order])
 
     def messages(self, chunk: int, bits: int) -> list[tuple]:
-        """The chunk's words and pairs with their training counts here, a row for each bucket."""
+        """The chunk's words and pairs with their training counts here, a row for each bucket that gets any."""
         on = np.repeat(self.train, self.n_tokens)
         w = np.bincount(self.word_of, on, len(self.words)).astype(np.uint32)
         w[np.searchsorted(self.words, START)] = int(self.train.sum())
         p = np.bincount(self.pair_of, on, len(self.pair_keys)).astype(np.uint32)
         cw, cp = _cuts(self.words, bits), _cuts(self.pair_keys, bits)
-        return [(b, chunk, _sorted_small(self.words[i:j]), _small(w[i:j]), _sorted_small(self.pair_keys[k:m]), _small(p[k:m]), None) for b, (i, j, k, m) in enumerate(zip(cw, cw[1:], cp, cp[1:], strict=False))]
+        cuts = [(b, *c) for b, c in enumerate(zip(cw, cw[1:], cp, cp[1:], strict=False)) if c[0] < c[1] or c[2] < c[3]]
+        return [(b, chunk, _sorted_small(self.words[i:j]), _small(w[i:j]), _sorted_small(self.pair_keys[k:m]), _small(p[k:m]), None) for b, i, j, k, m in cuts]
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -365,7 +366,7 @@ class KatzModel:
         """Learns from the rows of ``docs`` where ``train`` holds and scores all of them (see ``op9_katz`` for the columns).
 
         Null and blank texts are their end mark alone; a null doc_id stays null; repeated rows are counted and
-        scored each; without any training text every word is unseen; an empty table gives an empty result.
+        scored each; without any training text every word is unseen; other columns don't matter; an empty table gives an empty result.
         """
         return _run(docs, train, None)
 

@@ -1,13 +1,15 @@
-"""Katz backoff language model: Good-Turing discounted counts of words and word pairs, exactly normalised backoff weights.
-
-Texts are packed into chunks. A chunk's distinct words and pairs go, sorted and packed, to the bucket of their 64-bit hash;
-there the training counts of all chunks are added up and each chunk gets the totals of what it asked for, so one exchange
-both counts and looks up. A word or pair that is everywhere is still one entry a chunk. With the totals a
-chunk scores its seen pairs, and sends its share of every context's discounted and unigram mass, each pair counted
-in one chunk only, to the context's bucket. That bucket has the context's weight and adds it to the documents that backed off.
-
-P(w | v) = d(c) c(v w) / c(v) for a pair that was seen, else weight(v) P(w); weight 1 after an unseen v. P(w) = d(c) c(w) / N,
-the mass left by the discounts is that of any unseen word. A text's first word follows a start mark, an end mark follows its last.
+"""Katz backoff language model of any order: Good-Turing discounted n-gram counts, exactly normalised backoff weights.
+
+Texts are packed into chunks. A chunk's distinct n-grams of every level (words, pairs, ... up to the order) go, sorted and packed, to the
+bucket of their 64-bit hash; there the training counts of all chunks are added up and each chunk gets the totals of what it asked for, so
+one exchange both counts and looks up. An n-gram that is everywhere is still one entry a chunk. Then, from pairs up, a round a level: with
+the totals and the weights of the levels below a chunk knows the probability of each of its shorter n-grams, and sends its share of every
+context's discounted mass and of the mass below, each n-gram counted in one chunk only, to the context's bucket. That bucket has the
+context's weight and answers with it; at the top level it adds it to the documents that backed off.
+
+P(w | v u) = d(c) c(v u w) / c(v u) for an n-gram that was seen, else weight(v u) P(w | u), and so on down to words; weight 1 after an
+unseen context. P(w) = d(c) c(w) / N, the mass left by the discounts is that of any unseen word. A text's first words follow start
+marks, an end mark follows its last.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ REST = 1e-3
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MODEL = -1  # the chunk number of a stored model's own rows
 
-TABLE = "bucket long, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary, hist array<long>"
+#: Words in an n-gram of the registered query: pairs; README has the figures for more.
+ORDER = 2
+
+TABLE = "bucket long, chunk long, keys array<binary>, counts array<binary>, owns array<binary>, hist array<long>"
 CONTEXTS = "bucket long, chunk long, words binary, a binary, b binary, asks binary"
 
 
@@ -105,24 +110,46 @@ def pack_chunks(docs: DataFrame, train: Column) -> DataFrame:
     return saved(own.mapInArrow(run, "chunk long, size long, data binary"), "katz-chunks", "uncompressed")
 
 
+def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of their first words and of their last."""
+    h = context * np.uint64(0x9E3779B97F4A7C15) + word
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _start_key(n: int) -> np.uint64:
+    """The key of n start marks."""
+    key = np.array([START])
+    for _ in range(n - 1):
+        key = _mixed(key, np.array([START]))
+    return key[0]
+
+
+@dataclass
+class Level:
+    """A chunk's distinct n-grams, sorted by key; ``context`` and ``lower`` (their first and their last words) are places in the level below."""
+
+    keys: np.ndarray
+    of: np.ndarray
+    context: np.ndarray
+    lower: np.ndarray
+    start: int  # the place of the n-gram of start marks, which is a context only; -1 at the top
+
+
 @dataclass
 class Chunk:
-    """The tokens of a chunk, its distinct words (sorted) and pairs (sorted by key)."""
+    """The tokens of a chunk and its n-grams by level, words first."""
 
     ids: np.ndarray
     null: np.ndarray
     train: np.ndarray
     n_tokens: np.ndarray
-    words: np.ndarray
-    word_of: np.ndarray
-    context_of: np.ndarray
-    pair_of: np.ndarray
-    pair_keys: np.ndarray
-    pair_context: np.ndarray
-    pair_word: np.ndarray
+    levels: list[Level]
 
     @classmethod
-    def read(cls, data: bytes) -> Chunk:
+    def read(cls, data: bytes, order: int, top: int) -> Chunk:
+        """A chunk with its levels up to ``top`` of a model of ``order``."""
         raw = zstandard.ZstdDecompressor().decompress(data)
         (n,) = struct.unpack_from("<Q", raw)
         ids = np.frombuffer(raw, "<i8", n, 8)
@@ -146,29 +173,46 @@ class Chunk:
         tok = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         size = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         words, back = np.unique(np.append(tok, START), return_inverse=True)
-        word_of, start = back[:-1], back[-1]
-        context_of = np.append(start, word_of[:-1])[: len(word_of)]
-        context_of[np.cumsum(size) - size] = start
-        code, pair_of = np.unique(context_of * len(words) + word_of, return_inverse=True)
-        context, word = code // len(words), code % len(words)
-        h = words[context] * np.uint64(0x9E3779B97F4A7C15) + words[word]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+        none = np.zeros(0, np.int64)
+        levels = [Level(words, back[:-1], none, none, int(back[-1]))]
+        first = np.cumsum(size) - size
+        for level in range(2, top + 1):
+            levels.append(cls._longer(levels[0], levels[-1], first, level < order))
+        return cls(ids, (flags & 2) > 0, (flags & 1) > 0, size, levels)
+
+    @staticmethod
+    def _longer(words: Level, below: Level, first: np.ndarray, mark: bool) -> Level:
+        """The level above ``below``, with the n-gram of start marks if that is a context of another level."""
+        context_of = np.append(below.start, below.of[:-1])[: len(below.of)]
+        context_of[first] = below.start
+        word_of, lower_of = words.of, below.of
+        if mark:
+            context_of, word_of, lower_of = np.append(context_of, below.start), np.append(word_of, words.start), np.append(lower_of, below.start)
+        code, of = np.unique(context_of * len(words.keys) + word_of, return_inverse=True)
+        context, word = code // len(words.keys), code % len(words.keys)
+        h = _mixed(below.keys[context], words.keys[word])
         order = np.argsort(h)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return cls(ids, (flags & 2) > 0, (flags & 1) > 0, size, words, word_of, context_of, place[pair_of], h[order], context[order], word[order])
+        of = place[of]
+        lower = np.empty(len(order), np.int64)
+        lower[of] = lower_of
+        return Level(h[order], of[: len(below.of)], context[order], lower, int(of[-1]) if mark else -1)
 
     def messages(self, chunk: int, bits: int) -> list[tuple]:
-        """The chunk's words and pairs with their training counts here, a row for each bucket that gets any."""
+        """The chunk's n-grams with their training counts here, a row for each bucket that gets any."""
         on = np.repeat(self.train, self.n_tokens)
-        w = np.bincount(self.word_of, on, len(self.words)).astype(np.uint32)
-        w[np.searchsorted(self.words, START)] = int(self.train.sum())
-        p = np.bincount(self.pair_of, on, len(self.pair_keys)).astype(np.uint32)
-        cw, cp = _cuts(self.words, bits), _cuts(self.pair_keys, bits)
-        cuts = [(b, *c) for b, c in enumerate(zip(cw, cw[1:], cp, cp[1:], strict=False)) if c[0] < c[1] or c[2] < c[3]]
-        return [(b, chunk, _sorted_small(self.words[i:j]), _small(w[i:j]), _sorted_small(self.pair_keys[k:m]), _small(p[k:m]), None) for b, i, j, k, m in cuts]
+        counts = [np.bincount(x.of, on, len(x.keys)).astype(np.uint32) for x in self.levels]
+        for x, n in zip(self.levels, counts, strict=True):
+            if x.start >= 0:
+                n[x.start] = int(self.train.sum())
+        cuts = [_cuts(x.keys, bits) for x in self.levels]
+        rows = []
+        for b in range(1 << bits):
+            parts = [slice(c[b], c[b + 1]) for c in cuts]
+            if any(c[b] < c[b + 1] for c in cuts):
+                rows.append((b, chunk, [_sorted_small(x.keys[p]) for x, p in zip(self.levels, parts, strict=True)], [_small(n[p]) for n, p in zip(counts, parts, strict=True)], None, None))
+        return rows
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -185,22 +229,25 @@ def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return every, total, np.split(total[back], ends), np.split(owner, ends)
 
 
-def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the totals for each chunk, and the table's own row (chunk MODEL) with its counts of counts."""
-    pdf = pdf.sort_values("chunk")
-    known = bool((pdf["chunk"] == MODEL).any())
-    bucket = int(pdf["bucket"].iloc[0])
-    words, w, w_each, _ = _totals([_sorted_large(x) for x in pdf["words"]], [_large(x) for x in pdf["word_counts"]])
-    pairs, p, p_each, own = _totals([_sorted_large(x) for x in pdf["pairs"]], [_large(x) for x in pdf["pair_counts"]])
-    rows = []
-    for chunk, a, b, o in zip(pdf["chunk"], w_each, p_each, own, strict=True):
-        if chunk != MODEL:
-            rows.append((bucket, chunk, None, _small(a.astype(np.uint32)), _small(np.packbits(o & ~np.bool_(known))), _small(b.astype(np.uint32)), None))
-    real = w[words != START]
-    hist = [*np.bincount(np.minimum(real, K + 2), minlength=K + 3)[1 : K + 2].tolist(), *np.bincount(np.minimum(p, K + 2), minlength=K + 3)[1 : K + 2].tolist(), int(real.sum()), int((real > 0).sum())]
-    kw, kp = w > 0, p > 0
-    rows.append((bucket, MODEL, _sorted_small(words[kw]), _small(w[kw].astype(np.uint32)), _sorted_small(pairs[kp]), _small(p[kp].astype(np.uint32)), hist))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts", "hist"])
+def _counted(order: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One bucket: the totals for each chunk, and the table's own row (chunk MODEL) with its counts of counts."""
+        pdf = pdf.sort_values("chunk")
+        known = bool((pdf["chunk"] == MODEL).any())
+        bucket = int(pdf["bucket"].iloc[0])
+        levels = [_totals([_sorted_large(x[n]) for x in pdf["keys"]], [_large(x[n]) for x in pdf["counts"]]) for n in range(order)]
+        rows: list[tuple] = []
+        for i, chunk in enumerate(pdf["chunk"]):
+            if chunk != MODEL:
+                rows.append((bucket, chunk, None, [_small(x[2][i].astype(np.uint32)) for x in levels], [_small(np.packbits(x[3][i] & ~np.bool_(known))) for x in levels[1:]], None))
+        real = [x[1][x[0] != _start_key(n)] for n, x in enumerate(levels, 1)]
+        hist = [h for c in real for h in np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].tolist()]
+        hist += [int(real[0].sum()), int((real[0] > 0).sum())]
+        kept = [(x[0][x[1] > 0], x[1][x[1] > 0]) for x in levels]
+        rows.append((bucket, MODEL, [_sorted_small(k) for k, _ in kept], [_small(c.astype(np.uint32)) for _, c in kept], None, hist))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "counts", "owns", "hist"])
+
+    return run
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -222,20 +269,21 @@ class Constants:
     tokens: int
     types: int
     word_d: np.ndarray
-    pair_d: np.ndarray
+    gram_d: tuple[np.ndarray, ...]  # of pairs, triples, ...
     scale: float
     unseen: float
 
     @classmethod
     def of(cls, hist: list[int]) -> Constants:
-        w, p, (n, v) = hist[: K + 1], hist[K + 1 : 2 * K + 2], hist[2 * K + 2 :]
-        dw, dp = discounts(w), discounts(p)
+        *levels, (n, v) = [hist[at : at + K + 1] for at in range(0, len(hist), K + 1)]
+        w = levels[0]
+        dw, *dg = map(discounts, levels)
         small = sum(r * w[r - 1] for r in range(1, K + 1))
         rest = v - sum(w[:K])
         left = (sum(w[r - 1] * r * (1 - dw[r]) for r in range(1, K + 1)) + REST * rest) / n if n else 1.0
         unseen = max(left, 1 / (n + 1))
         assert small <= n or not n
-        return cls(n, v, dw, dp, (1 - unseen) / (1 - left) if left < 1 else 0.0, unseen)
+        return cls(n, v, dw, tuple(dg), (1 - unseen) / (1 - left) if left < 1 else 0.0, unseen)
 
     @staticmethod
     def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -247,86 +295,113 @@ class Constants:
         return np.where(c > 0, self.kept(c, self.word_d) * self.scale / max(1, self.tokens), self.unseen)
 
 
-def _scored(const: Constants, bits: int):
-    """A chunk and its totals to what is known of its documents, and what its contexts' buckets must hear."""
+def _scored(const: Constants, bits: int, level: int, order: int):
+    """A chunk and its totals to what the buckets of its contexts at ``level`` must hear and, at the last one, what is known of its documents."""
+
+    last = level == order
 
     def run(key, chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])
         rows = []
         if len(chunks):
-            c = Chunk.read(chunks["data"].iloc[0])
-            answers = answers.sort_values("bucket")
-            w = np.concatenate([_large(x) for x in answers["word_counts"]]).astype(np.int64)
-            parts = [_large(x) for x in answers["pair_counts"]]
-            p = np.concatenate(parts).astype(np.int64)
-            own = np.concatenate([np.unpackbits(_large(x))[: len(q)] for x, q in zip(answers["pairs"], parts, strict=True)]).astype(bool)
-            p1 = const.word_p(w)
-            p1[np.searchsorted(c.words, START)] = 1
-            ctx = w[c.pair_context]
-            seen = p > 0
-            log_pair = np.where(seen, np.log10(np.where(seen, const.kept(p, const.pair_d) / np.maximum(1, ctx), 1)), np.log10(p1[c.pair_word]))
-            first = np.cumsum(c.n_tokens) - c.n_tokens
-            base = np.log10((w + 0.5) / (const.tokens + 0.5 * (const.types + 1)))
-            by_doc = lambda x: np.add.reduceat(x, first)
-            asked = (~seen & (ctx > 0))[c.pair_of]
-            doc = np.repeat(np.arange(len(c.ids)), c.n_tokens)[asked]
-            ask, times = np.unique(c.context_of[asked] * len(c.ids) + doc, return_counts=True)
+            c = Chunk.read(chunks["data"].iloc[0], order, level)
+            answers = answers.sort_values(["level", "bucket"])
+            told = answers[answers["level"] == 0]
+            counts = [np.concatenate([_large(x[n]) for x in told["counts"]]).astype(np.int64) for n in range(level)]
+            w = counts[0]
+            p = const.word_p(w)
+            p[c.levels[0].start] = 1
+            for m in range(2, level):
+                x, n = c.levels[m - 1], counts[m - 1]
+                weight = np.ones(len(counts[m - 2]))
+                weight[_contexts(x, counts[m - 2])] = np.concatenate([_large(b) for b in answers[answers["level"] == m]["weights"]] or [np.zeros(0)])
+                p = np.where(n > 0, const.kept(n, const.gram_d[m - 2]) / np.maximum(1, counts[m - 2][x.context]), weight[x.context] * p[x.lower])
+                p[x.start] = 1
+            x, n, d = c.levels[level - 1], counts[level - 1], const.gram_d[level - 2]
+            below, ctx = c.levels[level - 2].keys, counts[level - 2]
+            own = np.concatenate([np.unpackbits(_large(b))[: len(_large(q[level - 1]))] for b, q in zip(told["owns"], told["counts"], strict=True)]).astype(bool)
+            seen = n > 0
             used = own & seen
-            n_ctx = len(c.words)
-            a = np.bincount(c.pair_context[used], (p - const.kept(p, const.pair_d))[used], n_ctx)
-            b = np.bincount(c.pair_context[used], p1[c.pair_word][used], n_ctx)
-            ask_ctx, ask_doc = ask // len(c.ids), ask % len(c.ids)
-            need = np.zeros(n_ctx, bool)
-            need[c.pair_context[used]] = True
-            need[ask_ctx] = True
-            idx = np.flatnonzero(need)
-            rank = np.cumsum(need) - 1
-            cut, ask_cut = _cuts(c.words[idx], bits), None
-            ask_cut = np.searchsorted(ask_ctx, idx[np.minimum(cut, len(idx) - 1)]) if len(idx) else np.zeros(len(cut), np.int64)
-            ask_cut[cut >= len(idx)] = len(ask_ctx)
+            if x.start >= 0:
+                used[x.start] = False
+            a = np.bincount(x.context[used], (n - const.kept(n, d))[used], len(below))
+            b = np.bincount(x.context[used], p[x.lower][used], len(below))
+            if last:
+                log_p = np.log10(np.where(seen, const.kept(n, d) / np.maximum(1, ctx[x.context]), p[x.lower]))
+                first = np.cumsum(c.n_tokens) - c.n_tokens
+                base = np.log10((w + 0.5) / (const.tokens + 0.5 * (const.types + 1)))
+                by_doc = lambda v: np.add.reduceat(v, first)
+                word_of = c.levels[0].of
+                docs = [_small(c.ids), _small(c.null.view(np.uint8)), _small(c.train.view(np.uint8)), _small(c.n_tokens), _small(by_doc((w > 0)[word_of].astype(np.int64))), _small(by_doc(base[word_of])), _small(by_doc(log_p[x.of]))]
+                rows.append((-1 - number, number, b"".join(struct.pack("<Q", len(v)) + v for v in docs), None, None, None))
+                asked = (~seen & (ctx[x.context] > 0))[x.of]
+                doc, context_of = np.repeat(np.arange(len(c.ids)), c.n_tokens)[asked], x.context[x.of][asked]
+                need = np.zeros(len(below), bool)
+                need[x.context[used]] = True
+                need[context_of] = True
+                idx = np.flatnonzero(need)
+                ask, times = np.unique(context_of * len(c.ids) + doc, return_counts=True)
+                ask_ctx, ask_doc = ask // len(c.ids), ask % len(c.ids)
+            else:
+                idx = _contexts(x, ctx)
+                ask_ctx = ask_doc = times = np.zeros(0, np.int64)
+            rank = np.zeros(len(below), np.int64)
+            rank[idx] = np.arange(len(idx))
+            cut = _cuts(below[idx], bits)
+            ask_cut = np.searchsorted(rank[ask_ctx], cut)
             for k in range(1 << bits):
                 i, j, s, e = int(cut[k]), int(cut[k + 1]), int(ask_cut[k]), int(ask_cut[k + 1])
                 if i == j:
                     continue
-                own_w = w[idx[i:j]].astype(np.uint32)
+                own_n = _small(ctx[idx[i:j]].astype(np.uint32))
                 asks = np.stack([rank[ask_ctx[s:e]] - i, ask_doc[s:e], times[s:e]], 1).astype(np.uint32).ravel()
-                rows.append((k, number, _sorted_small(c.words[idx[i:j]]) + b"", _small(a[idx[i:j]]), _small(b[idx[i:j]]), struct.pack("<Q", len(w_blob := _small(own_w))) + w_blob + _small(asks)))
-            docs = [_small(c.ids), _small(c.null.view(np.uint8)), _small(c.train.view(np.uint8)), _small(c.n_tokens), _small(by_doc((w > 0)[c.word_of].astype(np.int64))), _small(by_doc(base[c.word_of])), _small(by_doc(log_pair[c.pair_of]))]
-            rows.append((-1 - number, number, b"".join(struct.pack("<Q", len(x)) + x for x in docs), None, None, None))
+                rows.append((k, number, _sorted_small(below[idx[i:j]]), _small(a[idx[i:j]]), _small(b[idx[i:j]]), struct.pack("<Q", len(own_n)) + own_n + _small(asks)))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "words", "a", "b", "asks"])
 
     return run
 
 
-def _weighed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket of contexts: their weights, and for each chunk the logarithms its documents are still to get."""
-    if pdf["bucket"].iloc[0] < 0:
-        return pdf
-    pdf = pdf.sort_values("chunk")
-    bucket = int(pdf["bucket"].iloc[0])
-    keys = [_sorted_large(x) for x in pdf["words"]]
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    a = np.bincount(back, np.concatenate([_large(x) for x in pdf["a"]]), len(every))
-    b = np.bincount(back, np.concatenate([_large(x) for x in pdf["b"]]), len(every))
-    rows, at, counts = [], 0, np.zeros(len(every), np.int64)
-    todo = []
-    for chunk, k, blob in zip(pdf["chunk"], keys, pdf["asks"], strict=True):
-        own = back[at : at + len(k)]
-        at += len(k)
-        (n,) = struct.unpack_from("<Q", blob)
-        counts[own] = np.maximum(counts[own], _large(blob[8 : 8 + n]))
-        todo.append((chunk, own, _large(blob[8 + n :]).reshape(-1, 3).astype(np.int64)))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        weight = np.where((counts > 0) & (a > 0), a / np.maximum(1, counts) / (1 - b), 1.0)
-    log_weight = np.log10(weight)
-    for chunk, own, asks in todo:
-        if len(asks):
-            doc, back_doc = np.unique(asks[:, 1], return_inverse=True)
-            rows.append((bucket, chunk, _small(doc.astype(np.uint32)), _small(np.bincount(back_doc, log_weight[own[asks[:, 0]]] * asks[:, 2], len(doc))), None, None))
-    empty = _small(np.zeros(0, np.uint32))
-    w_blob = _small(counts.astype(np.uint32))
-    rows.append((bucket, MODEL, _sorted_small(every), _small(a), _small(b), struct.pack("<Q", len(w_blob)) + w_blob + empty))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "words", "a", "b", "asks"])
+def _contexts(level: Level, counts: np.ndarray) -> np.ndarray:
+    """Places of the contexts that training has seen."""
+    need = np.zeros(len(counts), bool)
+    need[level.context] = True
+    return np.flatnonzero(need & (counts > 0))
+
+
+def _weighed(last: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One bucket of contexts: for each chunk their weights or, at the top, the logarithms its documents are still to get."""
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf
+        pdf = pdf.sort_values("chunk")
+        bucket = int(pdf["bucket"].iloc[0])
+        keys = [_sorted_large(x) for x in pdf["words"]]
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
+        a = np.bincount(back, np.concatenate([_large(x) for x in pdf["a"]]), len(every))
+        b = np.bincount(back, np.concatenate([_large(x) for x in pdf["b"]]), len(every))
+        rows, at, counts = [], 0, np.zeros(len(every), np.int64)
+        todo = []
+        for chunk, k, blob in zip(pdf["chunk"], keys, pdf["asks"], strict=True):
+            own = back[at : at + len(k)]
+            at += len(k)
+            (n,) = struct.unpack_from("<Q", blob)
+            counts[own] = np.maximum(counts[own], _large(blob[8 : 8 + n]))
+            todo.append((chunk, own, _large(blob[8 + n :]).reshape(-1, 3).astype(np.int64)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where((counts > 0) & (a > 0), a / np.maximum(1, counts) / (1 - b), 1.0)
+        log_weight = np.log10(weight)
+        for chunk, own, asks in todo:
+            if not last and chunk != MODEL:
+                rows.append((bucket, chunk, None, _small(weight[own]), None, None))
+            elif len(asks):
+                doc, back_doc = np.unique(asks[:, 1], return_inverse=True)
+                rows.append((bucket, chunk, _small(doc.astype(np.uint32)), _small(np.bincount(back_doc, log_weight[own[asks[:, 0]]] * asks[:, 2], len(doc))), None, None))
+        empty = _small(np.zeros(0, np.uint32))
+        w_blob = _small(counts.astype(np.uint32))
+        rows.append((bucket, MODEL, _sorted_small(every), _small(a), _small(b), struct.pack("<Q", len(w_blob)) + w_blob + empty))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "words", "a", "b", "asks"])
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -354,28 +429,31 @@ def _summed(tokens: int):
 
 @dataclass(frozen=True)
 class KatzModel:
-    """A trained model: ``counts`` (words and pairs by bucket), ``contexts`` (backoff masses by bucket) and the constants."""
+    """A trained model: ``counts`` (n-grams of all levels by bucket), ``contexts`` (backoff masses by bucket, a table a level from pairs up) and the constants."""
 
     counts: DataFrame
-    contexts: DataFrame
+    contexts: tuple[DataFrame, ...]
     constants: Constants
     bits: int
+    order: int
 
     @classmethod
-    def fit_and_score(cls, docs: DataFrame, train: Column) -> tuple[KatzModel, DataFrame]:
-        """Learns from the rows of ``docs`` where ``train`` holds and scores all of them (see ``op9_katz`` for the columns).
+    def fit_and_score(cls, docs: DataFrame, train: Column, order: int = ORDER) -> tuple[KatzModel, DataFrame]:
+        """Learns n-grams up to ``order`` words (2 or more) from the rows of ``docs`` where ``train`` holds and scores all of them (see ``op9_katz`` for the columns).
 
         Null and blank texts are their end mark alone; a null doc_id stays null; repeated rows are counted and
         scored each; without any training text every word is unseen; other columns don't matter; an empty table gives an empty result.
         """
-        return _run(docs, train, None)
+        if order < 2:
+            raise ValueError("an order of 2 or more")
+        return _run(docs, train, None, order)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Scores other documents; every row counts as held out."""
-        return _run(docs, F.lit(False), self)[1]
+        return _run(docs, F.lit(False), self, self.order)[1]
 
 
-def _run(docs: DataFrame, train: Column, model: KatzModel | None) -> tuple[KatzModel, DataFrame]:
+def _run(docs: DataFrame, train: Column, model: KatzModel | None, order: int) -> tuple[KatzModel, DataFrame]:
     chunks = pack_chunks(docs, train)
     if model is None:
         size = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
@@ -384,31 +462,41 @@ def _run(docs: DataFrame, train: Column, model: KatzModel | None) -> tuple[KatzM
         bits = model.bits
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())]
-        names = ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts", "hist"]
+        blobs = pa.list_(pa.binary())
+        kinds = [pa.int64(), pa.int64(), blobs, blobs, blobs, pa.list_(pa.int64())]
+        names = ["bucket", "chunk", "keys", "counts", "owns", "hist"]
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = Chunk.read(data.as_py()).messages(number, bits)
+                rows = Chunk.read(data.as_py(), order, order).messages(number, bits)
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    asked = chunks.select("chunk", "data").mapInArrow(ask, TABLE)
+    own = chunks.select("chunk", "data")
+    asked = own.mapInArrow(ask, TABLE)
     if model is not None:
         asked = asked.unionByName(model.counts)
-    answers = saved(asked.groupBy("bucket").applyInPandas(_counted, TABLE), "katz-counts", "uncompressed")
+    answers = saved(asked.groupBy("bucket").applyInPandas(_counted(order), TABLE), "katz-counts", "uncompressed")
     table_rows = answers.filter(F.col("chunk") == MODEL)
     if model is None:
-        n = 2 * K + 4
+        n = order * (K + 1) + 2
         sums = table_rows.agg(*[F.sum(F.col("hist")[i]).alias(f"h{i}") for i in range(n)]).first()
         const = Constants.of([int(sums[i] or 0) for i in range(n)])
     else:
         const = model.constants
-    own = answers.filter(F.col("chunk") != MODEL).select("bucket", "chunk", "word_counts", "pairs", "pair_counts")
-    told = chunks.select("chunk", "data").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInPandas(_scored(const, bits), CONTEXTS)
-    if model is not None:
-        told = told.unionByName(model.contexts)
-    weighed = saved(told.groupBy("bucket").applyInPandas(_weighed, CONTEXTS), "katz-contexts", "uncompressed")
-    scores = weighed.filter(F.col("chunk") != MODEL).groupBy("chunk").applyInPandas(_summed(const.tokens), SCORES)
-    return KatzModel(table_rows, weighed.filter(F.col("chunk") == MODEL), const, bits), scores
+    contexts, replies = [], []
+    for level in range(2, order + 1):
+        last = level == order
+        told = answers.filter(F.col("chunk") != MODEL).select("chunk", "bucket", F.lit(0).alias("level"), F.slice("counts", 1, level).alias("counts"), F.col("owns")[level - 2].alias("owns"), F.lit(None).cast("binary").alias("weights"))
+        for reply in replies:
+            told = told.unionByName(reply)
+        heard = own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_scored(const, bits, level, order), CONTEXTS)
+        if model is not None:
+            heard = heard.unionByName(model.contexts[level - 2])
+        weighed = saved(heard.groupBy("bucket").applyInPandas(_weighed(last), CONTEXTS), "katz-contexts", "uncompressed")
+        contexts.append(weighed.filter(F.col("chunk") == MODEL))
+        back = weighed.filter(F.col("chunk") != MODEL)
+        replies.append(back.select("chunk", "bucket", F.lit(level).alias("level"), F.lit(None).cast("array<binary>").alias("counts"), F.lit(None).cast("binary").alias("owns"), F.col("a").alias("weights")))
+    scores = back.groupBy("chunk").applyInPandas(_summed(const.tokens), SCORES)
+    return KatzModel(table_rows, tuple(contexts), const, bits, order), scores
 
 
 def op9_katz(spark, sf_dir: str) -> DataFrame:

@@ -508,34 +508,45 @@ def test_cuckoo_filter():
 # language model
 
 
-def brute_katz(rows):
+def brute_katz(rows, order):
     toks = [(d, (t or "").encode().lower().split() + ["</s>"], d is not None and zlib.crc32(str(d).encode()) % 5 == 1) for d, t, *_ in rows]
-    words, pairs, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    count = [collections.Counter() for _ in range(order)]
+    ctx = collections.Counter()
     for _, t, held in toks:
         if not held:
-            words.update(t)
-            pairs.update(zip(["<s>", *t], t, strict=False))
-            ctx["<s>"] += 1
-    ctx.update(words)
+            for n in range(1, order + 1):
+                padded = ["<s>"] * (n - 1) + t
+                own = [tuple(padded[i : i + n]) for i in range(len(t))]
+                count[n - 1].update(own)
+                ctx.update(g[:-1] for g in own if n > 1)
+    words = count[0]
     n, v = sum(words.values()), len(words)
     hist = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, katz.K + 2)]
-    dw, dp = katz.discounts(hist(words)), katz.discounts(hist(pairs))
+    d = [katz.discounts(hist(c)) for c in count]
     kept = lambda c, d: c * d[c] if c <= katz.K else c - katz.REST
-    left = sum(c - kept(c, dw) for c in words.values()) / n
+    left = sum(c - kept(c, d[0]) for c in words.values()) / n
     unseen = max(left, 1 / (n + 1))
-    p1 = lambda w: kept(words[w], dw) * (1 - unseen) / (1 - left) / n if words[w] else unseen
     a, b = collections.Counter(), collections.Counter()
-    for (x, w), c in pairs.items():
-        a[x] += c - kept(c, dp)
-        b[x] += p1(w)
 
-    def p(x, w):
-        if pairs[x, w]:
-            return kept(pairs[x, w], dp) / ctx[x]
-        return p1(w) * (a[x] / ctx[x] / (1 - b[x]) if ctx[x] else 1)
-
-    out = [(d, held, len(t), sum(words[w] > 0 for w in t), n, sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), sum(math.log10(p(x, w)) for x, w in zip(["<s>", *t], t, strict=False))) for d, t, held in toks]
-    return out, p, words
+    def p(g):
+        if len(g) == 1:
+            return kept(words[g], d[0]) * (1 - unseen) / (1 - left) / n if words[g] else unseen
+        c, x = count[len(g) - 1][g], g[:-1]
+        if c:
+            return kept(c, d[len(g) - 1]) / ctx[x]
+        return p(g[1:]) * (a[x] / ctx[x] / (1 - b[x]) if ctx[x] else 1)
+
+    for m in range(2, order + 1):
+        for g, c in count[m - 1].items():
+            a[g[:-1]] += c - kept(c, d[m - 1])
+            b[g[:-1]] += p(g[1:])
+    out = []
+    for doc, t, held in toks:
+        padded = ["<s>"] * (order - 1) + t
+        base = sum(math.log10((words[(w,)] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        score = sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(t)))
+        out.append((doc, held, len(t), sum(words[(w,)] > 0 for w in t), n, base, score))
+    return out, p, count
 
 
 def close(got, want):
@@ -544,17 +555,18 @@ def close(got, want):
         assert tuple(g[:5]) == tuple(w[:5]) and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9)
 
 
-def test_katz(docs, rows, empty):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, rows, empty, order):
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 1
-    model, scores = katz.KatzModel.fit_and_score(docs, ~held)
-    want, p, words = brute_katz(rows)
+    model, scores = katz.KatzModel.fit_and_score(docs, ~held, order)
+    want, p, count = brute_katz(rows, order)
     close([tuple(r) for r in scores.collect()], want)
-    for context in ["<s>", next(iter(words))]:
-        assert math.isclose(sum(p(context, w) for w in words) + p(context, "never seen"), 1, rel_tol=1e-9)
+    for context in [("<s>",) * (order - 1), next(iter(count[order - 2])), ("</s>",) * (order - 1)]:
+        assert math.isclose(sum(p((*context, *w)) for w in count[0]) + p((*context, "never seen")), 1, rel_tol=1e-9)
     fresh = model.score(docs)
     close([(*tuple(r)[:1], True, *tuple(r)[2:]) for r in fresh.collect()], [(w[0], True, *w[2:]) for w in want])
-    assert katz.KatzModel.fit_and_score(empty, F.lit(True))[1].collect() == []
-    assert katz.KatzModel.fit_and_score(docs, F.lit(False))[1].count() == len(rows), "nothing to learn from"
+    assert katz.KatzModel.fit_and_score(empty, F.lit(True), order)[1].collect() == []
+    assert katz.KatzModel.fit_and_score(docs, F.lit(False), order)[1].count() == len(rows), "nothing to learn from"
 
 
 # top-k

@@ -40,8 +40,8 @@ REST = 1e-3
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MODEL = -1  # the chunk number of a stored model's own rows
 
-#: Words in an n-gram of the registered query, unless told otherwise.
-ORDER = 3
+#: Words in an n-gram, unless told otherwise: triples need twice the disk that the registered query may use (figures in the README).
+ORDER = 2
 
 TABLE = "bucket long, chunk long, keys array<binary>, counts array<binary>, owns array<binary>, hist array<long>"
 CONTEXTS = "bucket long, chunk long, words binary, a binary, b binary, asks binary"

@@ -23,6 +23,9 @@ from .graph import connected_components
 BITS = 64
 #: Fingerprints in a piece of a trie node, at least; the number of top levels follows the number of fingerprints.
 PIECE = 1024
+#: Every level more copies each fingerprint to more pairs of nodes, so from LEVELS on it takes nodes of LARGE fingerprints (8 MB) to add one.
+LEVELS = 14
+LARGE = 1 << 20
 SMALL = 64
 FRONTIER = 1 << 20
 #: Rows up to so many are broadcast by their hashes (tens of MB); beyond, they are joined.
@@ -151,13 +154,13 @@ def _links(budget: int):
 def fingerprint_links(classes: DataFrame, budget: int = 2) -> DataFrame:
     """``classes(fp)`` distinct: links (u, v) that connect all fingerprints within ``budget`` bits."""
     n = classes.count()
-    p = min(14, max(2, (n // PIECE).bit_length()))
+    p = max(2, min(LEVELS, (n // PIECE).bit_length()), (n // LARGE).bit_length())
     room = max(PIECE, 2 * n >> p)
     node = F.shiftrightunsigned("fp", BITS - p)
     own = classes.select("fp", node.alias("node"))
-    # at most 2**14 rows, so it may be broadcast
     pieces = own.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / room).alias("k"))
-    own = own.join(F.broadcast(pieces), "node").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("k")))
+    # 2**14 rows at most may be broadcast
+    own = own.join(F.broadcast(pieces) if p <= LEVELS else pieces, "node").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("k")))
     own = saved(own.groupBy("node", "piece").agg(F.collect_list("fp").alias("fps")), "trie-nodes")
     masks = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(p), k)]
     ids = own.select("node", "piece")

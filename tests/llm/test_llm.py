@@ -275,7 +275,12 @@ def test_simhash(docs, rows, empty, unique):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values())) and left.columns == docs.columns
 
 
-def test_simhash_dense_and_chained(spark):
+@pytest.mark.parametrize("large", [1 << 20, 16])
+def test_simhash_dense_and_chained(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    if large == 16:  # more top levels than may be broadcast
+        monkeypatch.setattr(simhash, "LEVELS", 3)
+        monkeypatch.setattr(simhash, "PIECE", 4)
     r = random.Random(2)
     center = r.getrandbits(63)
     fps = {center ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)} | {center ^ ((1 << k) - 1) for k in range(0, 60, 2)}

@@ -81,6 +81,12 @@ def n_words(text: Column) -> Column:
     return F.when(text.rlike(WORD), F.length(marks)).otherwise(0).cast("long")
 
 
+def ascii_table(kept: bytes) -> bytes:
+    """For bytes.translate: A-Z folded, ASCII characters that are not in ``kept`` made spaces, all other bytes as they are."""
+    folded = [b | 0x20 if 0x41 <= b <= 0x5A else b for b in range(256)]
+    return bytes(b if b >= 0x80 or b in kept else 0x20 for b in folded)
+
+
 def module_bytes(name: str) -> bytes:
     """A file beside this module, also from a zip that was sent to the executors."""
     return __loader__.get_data(str(Path(__file__).parent / name))  # type: ignore[name-defined]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extract, katz, lines, mixing, quality, simhash, superkmers, tokenfiles, topk
+from . import bpe, divergence, extract, katz, lines, mixing, positions, quality, simhash, superkmers, tokenfiles, topk
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,4 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_katz": katz.op9_katz,
     "op10_topk": topk.op10_topk,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op11_decontamination": positions.op11_decontamination,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }

@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's ta
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     want = con.sql(queries.ORACLES[name])

@@ -1,16 +1,17 @@
 """Source divergence audit: how far the sources of a language use its terms differently.
 
-Tasks count the terms of their documents by (lang, source), a bounded number of entries at a time, so that a term has one row for each
-source and chunk of documents however often it occurs. These rows are repartitioned by (lang, term) and sorted by (lang, term, source,
-chunk); a scan over the runs yields document frequencies and counts, and keeps the terms that enough documents have. Kept terms
-then meet the totals of their language's groups in slices, each of which emits partial sums for the pairs of sources and its own
-best terms of each source.
+Tasks count the terms of their documents by (lang, source), a bounded number of entries at a time, so that a term has one entry for each
+source and chunk of documents however often it occurs. Entries travel packed by a hash of their term: they are repartitioned by that bucket,
+rows come sorted by (bucket, lang, chunk), and a bucket's entries are sorted on by (term, source), chunks staying in order. A scan over the
+runs yields document frequencies and counts, and keeps the terms that enough documents have. Kept terms then meet the totals of their
+language's groups in slices, each of which emits partial sums for the pairs of sources and its own best terms of each source.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,105 +38,109 @@ LEAST_SLICES = 64
 #: Letters and everything beyond ASCII make terms; A-Z are folded.
 FOLD = ascii_table(b"abcdefghijklmnopqrstuvwxyz")
 
-COUNTED = "lang string, term string, source string, chunk long, docs long, n long"
+#: Buckets of terms for each shuffle partition: a scan holds the entries of one at a time.
+BUCKETS = 32
+
+PACKED = "bucket long, lang string, chunk long, terms string, names array<string>, sources binary, docs binary, counts binary"
 KEPT = "lang string, term string, docs long, sources array<string>, counts array<long>"
 PARTS = "lang string, source string, part string, item string, value long"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to the counts of chunks of documents."""
-    chunk = TaskContext.get().partitionId() << 32
-    docs: dict = defaultdict(Counter)
-    counts: dict = defaultdict(Counter)
-    held = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), own in docs.items():
-            n = len(own)
-            of = counts[lang, source]
-            terms = pa.array(list(own), pa.binary()).cast(pa.string())
-            cols = [pa.repeat(pa.scalar(lang), n), terms, pa.repeat(pa.scalar(source), n), pa.repeat(pa.scalar(chunk, pa.int64()), n), pa.array(list(own.values()), pa.int64()), pa.array([of[t] for t in own], pa.int64())]
-            yield pa.record_batch(cols, ["lang", "term", "source", "chunk", "docs", "n"])
-
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            folded = (text.as_py() or b"").translate(FOLD)
-            own, all_, at, seen = docs[lang, source], counts[lang, source], 0, set()
-            before = len(own)
-            while at < len(folded):
-                end = folded.find(b" ", at + SLICE) if at + SLICE < len(folded) else -1
-                end = len(folded) if end < 0 else end
-                terms = folded[at:end].split()
-                all_.update(terms)
-                seen.update(terms)
-                at = end
-            own.update(seen)
-            held += len(own) - before
-            if held >= ENTRIES:
-                yield from flush()
-                docs.clear()
-                counts.clear()
-                held, chunk = 0, chunk + 1
-    yield from flush()
-
-
-def _starts(batch: pa.RecordBatch, columns: tuple[str, ...], before: tuple | None) -> np.ndarray:
-    """Where a run of equal values begins; the first row continues ``before``, the last values of the batch ahead."""
-    out = np.zeros(batch.num_rows, bool)
-    for i, c in enumerate(columns):
-        col = batch.column(c)
-        out[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-        out[0] |= before is None or col[0].as_py() != before[i]
-    return out
-
-
-def _scanned(least: int):
-    """Rows sorted by (lang, term, source, chunk) to one row a term that at least ``least`` documents have. Only the run at a batch's end is held."""
+def _counted(buckets: int):
+    """(lang, source, text) to the packed counts of chunks of documents: a row for each bucket and language, terms joined by spaces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None  # (lang, term, source) of the last run
-        term_docs, sources, counts = 0, [], []
-
-        def ended(out: list) -> None:
-            if key is not None and term_docs >= least:
-                out.append((key[0], key[1], term_docs, sources, counts))
+        chunk = TaskContext.get().partitionId() << 32
+        docs: dict = defaultdict(Counter)
+        counts: dict = defaultdict(Counter)
+        held = 0
+
+        def packed(lang: str) -> Iterator[tuple]:
+            names = [s for la, s in docs if la == lang]
+            terms = [t for s in names for t in docs[lang, s]]
+            source = np.repeat(np.arange(len(names), dtype=np.int32), [len(docs[lang, s]) for s in names])
+            n_docs = np.array([n for s in names for n in docs[lang, s].values()], np.int64)
+            n = np.array([counts[lang, s][t] for s in names for t in docs[lang, s]], np.int64)
+            bucket = np.fromiter(map(crc32, terms), np.uint32, len(terms)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                used, own = np.unique(source[at], return_inverse=True)
+                yield int(bucket[at[0]]), lang, chunk, b" ".join([terms[i] for i in at.tolist()]), [names[i] for i in used], own.astype(np.int32).tobytes(), n_docs[at].tobytes(), n[at].tobytes()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang in {la for la, _ in docs}:
+                cols = list(zip(*packed(lang), strict=True)) or [[]] * 8
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+                arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                arrays[3] = arrays[3].cast(pa.string())
+                yield pa.record_batch(arrays, ["bucket", "lang", "chunk", "terms", "names", "sources", "docs", "counts"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out: list = []
-            first = _starts(batch, ("lang", "term"), key and key[:2])
-            runs = first | _starts(batch, ("lang", "term", "source"), key)
-            at = np.flatnonzero(runs)
-            docs, n = batch.column("docs").to_numpy(), batch.column("n").to_numpy()
-            edge = at[0] if len(at) else len(n)
-            if edge:  # rows that go on with the run held
-                term_docs += int(docs[:edge].sum())
-                counts[-1] += int(n[:edge].sum())
-            if len(at):
-                docs, n = np.add.reduceat(docs, at).tolist(), np.add.reduceat(n, at).tolist()
-                where = pa.array(at)
-                langs, terms, names = (batch.column(c).take(where).to_pylist() for c in ("lang", "term", "source"))
-                for new, lang, term, source, d, c in zip(first[at].tolist(), langs, terms, names, docs, n, strict=True):
-                    if new:
-                        ended(out)
-                        term_docs, sources, counts = 0, [], []
-                    key = (lang, term, source)
-                    term_docs += d
-                    sources.append(source)
-                    counts.append(c)
-            yield _terms(out)
-        last: list = []
-        ended(last)
-        yield _terms(last)
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                folded = (text.as_py() or b"").translate(FOLD)
+                own, all_, at, seen = docs[lang, source], counts[lang, source], 0, set()
+                before = len(own)
+                while at < len(folded):
+                    end = folded.find(b" ", at + SLICE) if at + SLICE < len(folded) else -1
+                    end = len(folded) if end < 0 else end
+                    terms = folded[at:end].split()
+                    all_.update(terms)
+                    seen.update(terms)
+                    at = end
+                own.update(seen)
+                held += len(own) - before
+                if held >= ENTRIES:
+                    yield from flush()
+                    docs.clear()
+                    counts.clear()
+                    held, chunk = 0, chunk + 1
+        yield from flush()
 
     return run
 
 
-def _terms(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["lang", "term", "docs", "sources", "counts"])
+def _runs(rows: list[dict], least: int) -> pa.RecordBatch:
+    """The entries of one bucket and language, in order of their chunks: sorted by (term, source), summed run by run, terms of enough documents kept."""
+    terms = pa.array([t for r in rows for t in r["terms"].split(" ")])
+    names = pa.array([r["names"][i] for r in rows for i in np.frombuffer(r["sources"], np.int32).tolist()])
+    docs, n = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("docs", "counts"))
+    entries = pa.table([terms, names], names=["term", "source"])
+    order = pc.sort_indices(entries, [("term", "ascending"), ("source", "ascending")])
+    entries, docs, n = entries.take(order).combine_chunks(), docs[order], n[order]
+    first, run = np.ones(len(docs), bool), np.ones(len(docs), bool)
+    for name, starts in (("term", first), ("source", run)):
+        col = entries[name].combine_chunks()
+        starts[1:] = pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(first | run)
+    by_term = np.flatnonzero(first)
+    df = np.add.reduceat(docs, by_term)
+    sums = np.add.reduceat(n, at)
+    edges = np.append(np.searchsorted(at, by_term), len(at))
+    kept = np.flatnonzero(df >= least)
+    take = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in kept]) if len(kept) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(edges[kept + 1] - edges[kept])]), pa.int32())
+    cols = [
+        pa.repeat(pa.scalar(rows[0]["lang"], pa.string()), len(kept)), entries["term"].combine_chunks().take(pa.array(by_term[kept])), pa.array(df[kept]),
+        pa.ListArray.from_arrays(offsets, entries["source"].combine_chunks().take(pa.array(at[take]))), pa.ListArray.from_arrays(offsets, pa.array(sums[take])),
+    ]
+    return pa.record_batch(cols, ["lang", "term", "docs", "sources", "counts"])
+
+
+def _scanned(least: int):
+    """Packed rows sorted by (bucket, lang, chunk) to one row a term that at least ``least`` documents have. One bucket of a language is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["bucket"], row["lang"]) != (held[0]["bucket"], held[0]["lang"]):
+                    yield _runs(held, least)
+                    held = []
+                held.append(row)
+        if held:
+            yield _runs(held, least)
+
+    return run
 
 
 def share(count: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
@@ -190,8 +195,9 @@ def _compared(terms: int):
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, docs, sources, counts): the terms of each language that at least ``min_docs`` of its documents have, with the count in each source that has any."""
     own = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
-    counted = own.mapInArrow(_counted, COUNTED)
-    ordered = counted.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "chunk")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = own.mapInArrow(_counted(parts * BUCKETS), PACKED)
+    ordered = counted.repartition("bucket").sortWithinPartitions("bucket", "lang", "chunk")
     return ordered.mapInArrow(_scanned(min_docs), KEPT)
 
 

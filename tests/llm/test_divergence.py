@@ -71,10 +71,16 @@ def test_small_steps(spark, monkeypatch):
     monkeypatch.setattr(D, "ENTRIES", 20)
     monkeypatch.setattr(D, "SLICE", 5)
     batch = pa.record_batch([pa.array(x) for x in zip(*frames, strict=True)], ["lang", "source", "text"])
-    counted = collections.Counter()
-    made_rows = [tuple(r.values()) for b in D._counted(iter([batch])) for r in b.to_pylist()]
-    for lang, term, source, _, docs_, n in made_rows:
-        counted[lang, term, source] += docs_ * 10**6 + n
+    def entries(row):
+        names = [row["names"][i] for i in np.frombuffer(row["sources"], np.int32)]
+        return zip(row["terms"].split(" "), names, np.frombuffer(row["docs"], np.int64).tolist(), np.frombuffer(row["counts"], np.int64).tolist(), strict=True)
+
+    packed = [r for b in D._counted(3)(iter([batch])) for r in b.to_pylist()]
+    counted, chunks = collections.Counter(), set()
+    for r in packed:
+        chunks.add(r["chunk"])
+        for term, source, n_docs, n in entries(r):
+            counted[r["lang"], term, source] += n_docs * 10**6 + n
     want = collections.Counter()
     for lang, source, text in frames:
         found = [t.decode() for t in text.translate(D.FOLD).split()]
@@ -82,16 +88,16 @@ def test_small_steps(spark, monkeypatch):
             want[lang, t, source] += 1
         for t in set(found):
             want[lang, t, source] += 10**6
-    assert counted == want and len(made_rows) > len(want)
-    ordered = sorted(made_rows)
-    for size in (1, 3, 1000):  # runs that cross batches
-        parts = [pa.record_batch([pa.array(c) for c in zip(*ordered[i : i + size], strict=True)], ["lang", "term", "source", "chunk", "docs", "n"]) for i in range(0, len(ordered), size)]
-        got = {(r["lang"], r["term"]): dict(zip(r["sources"], r["counts"], strict=True)) for b in D._scanned(12)(iter(parts)) for r in b.to_pylist()}
-        df, of = collections.Counter(), collections.defaultdict(dict)
-        for (la, t, s), v in want.items():
-            df[la, t] += v // 10**6
-            of[la, t][s] = v % 10**6
-        assert got == {k: v for k, v in of.items() if df[k] >= 12}
+    assert counted == want and len(chunks) > 2
+    ordered = sorted(packed, key=lambda r: (r["bucket"], r["lang"], r["chunk"]))
+    df, of = collections.Counter(), collections.defaultdict(dict)
+    for (la, t, s), v in want.items():
+        df[la, t] += v // 10**6
+        of[la, t][s] = v % 10**6
+    for size in (1, 3, 1000):  # buckets that cross batches
+        parts = [pa.RecordBatch.from_pylist(ordered[i : i + size], schema=pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("chunk", pa.int64()), ("terms", pa.string()), ("names", pa.list_(pa.string())), ("sources", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])) for i in range(0, len(ordered), size)]
+        got = {(r["lang"], r["term"]): (r["docs"], dict(zip(r["sources"], r["counts"], strict=True))) for b in D._scanned(12)(iter(parts)) for r in b.to_pylist()}
+        assert got == {k: (df[k], v) for k, v in of.items() if df[k] >= 12}
 
 
 def test_odd_rows(spark):

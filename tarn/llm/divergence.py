@@ -38,8 +38,9 @@ LEAST_SLICES = 64
 #: Letters and everything beyond ASCII make terms; A-Z are folded.
 FOLD = ascii_table(b"abcdefghijklmnopqrstuvwxyz")
 
-#: Buckets of terms for each shuffle partition: a scan holds the entries of one at a time.
-BUCKETS = 32
+#: Text whose terms make a bucket, and the least number of buckets: a scan holds the entries of one bucket and language at a time, one for some 20 bytes of text.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKETS = 512
 
 PACKED = "bucket long, lang string, chunk long, terms string, names array<string>, sources binary, docs binary, counts binary"
 KEPT = "lang string, term string, docs long, sources array<string>, counts array<long>"
@@ -195,8 +196,8 @@ def _compared(terms: int):
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term, docs, sources, counts): the terms of each language that at least ``min_docs`` of its documents have, with the count in each source that has any."""
     own = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = own.mapInArrow(_counted(parts * BUCKETS), PACKED)
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    counted = own.mapInArrow(_counted(max(LEAST_BUCKETS, -(-int(total) // BUCKET_BYTES))), PACKED)
     ordered = counted.repartition("bucket").sortWithinPartitions("bucket", "lang", "chunk")
     return ordered.mapInArrow(_scanned(min_docs), KEPT)
 

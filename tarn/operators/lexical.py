@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.sources.lineage import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -88,11 +89,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf): idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean over all terms."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
+    """(term, df, idf) of all terms."""
+    return idf_of(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+
+
+def idf_of(terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """``terms(term, df, ...)`` with idf = ln(N - df + 0.5) - ln(df + 0.5); negative ones become a quarter of the mean over all terms."""
+    df = terms.crossJoin(F.broadcast(stats.select("n")))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
+    return raw.crossJoin(F.broadcast(mean)).withColumn("idf", idf).select(*terms.columns, "idf")
 
 
 def build(docs: DataFrame, seq: str = "seq", text: str = "text") -> LexicalIndex:
@@ -125,15 +132,26 @@ def best(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: st
 def top_k(index: LexicalIndex, queries: DataFrame, k: int, query_id: str | list[str] = "query_id", text: str = "query") -> DataFrame:
     """The ``k`` best documents of each query, documents without a common term (score 0, in order) included where fewer match.
 
+    ``index`` may also be a ``blockmax.BlockIndex``, whose lists are pruned.
+    """
+    if not isinstance(index, LexicalIndex):
+        from . import blockmax
+
+        return blockmax.top_k(index, queries, k, query_id, text)
+    ids = [query_id] if isinstance(query_id, str) else query_id
+    return filled(best(score(index, queries, ids, text), k, ids).drop("rank"), queries, index.docs, k, ids)
+
+
+def filled(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, ids: list[str]) -> DataFrame:
+    """``hits(ids, seq, score)`` of up to ``k`` documents a query, with documents of score 0 added where there are fewer, and ranks.
+
     A query with fewer than ``k`` matches finds its fill among the first 2k documents, so the fill is joined
     with those alone and never with the corpus.
     """
-    ids = [query_id] if isinstance(query_id, str) else query_id
-    scored = score(index, queries, ids, text)
-    hits = best(scored, k, ids).drop("rank")
+    hits = written(hits, "hits")  # read three times
     found = hits.groupBy(*ids).agg(F.count(F.lit(1)).alias("found"))
     short = queries.select(*ids).distinct().join(found, ids, "left").filter(F.coalesce("found", F.lit(0)) < k).select(*ids)
-    first = index.docs.select("seq").orderBy("seq").limit(2 * k)
+    first = docs.select("seq").orderBy("seq").limit(2 * k)
     fill = short.crossJoin(F.broadcast(first)).join(hits.select(*ids, "seq"), [*ids, "seq"], "left_anti").withColumn("score", F.lit(0.0))
     return best(hits.unionByName(fill), k, ids)
 

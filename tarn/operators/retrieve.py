@@ -12,7 +12,7 @@ from tarn.functions import text as T
 
 from tarn.sources.lineage import cut
 
-from . import context, embed, fusion, lexical, rerank, vector
+from . import blockmax, context, embed, fusion, lexical, rerank, vector
 from .profile import Profile
 
 
@@ -36,15 +36,16 @@ class Corpus:
 
     passages: DataFrame
     vectors: DataFrame
-    index: lexical.LexicalIndex
+    index: lexical.LexicalIndex | blockmax.BlockIndex
     nodes: DataFrame | None = None
 
     @classmethod
-    def of(cls, passages: DataFrame, embedder: Callable[[Column], Column] | None = None, nodes: DataFrame | None = None) -> Corpus:
-        """Vectors by ``embedder`` (the hashed embedding if none is given), unless passages bring an ``embedding``."""
+    def of(cls, passages: DataFrame, embedder: Callable[[Column], Column] | None = None, nodes: DataFrame | None = None, pruned: bool = False) -> Corpus:
+        """Vectors by ``embedder`` (the hashed embedding if none is given), unless passages bring an ``embedding``. ``pruned`` builds blocks of postings
+        with their largest weights, which takes longer and lets a search leave most of long lists unread: for large corpora."""
         fn = embedder or embed.hashed
         vectors = passages.select("seq", (F.col("embedding") if "embedding" in passages.columns else fn(F.col("text"))).alias("embedding"))
-        return cls(passages.drop("embedding"), vectors.persist(), lexical.build(passages).persist(), nodes)
+        return cls(passages.drop("embedding"), vectors.persist(), blockmax.build(passages) if pruned else lexical.build(passages).persist(), nodes)
 
     def release(self) -> None:
         """Lets go of what ``of`` keeps."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors answers.
+#: Queries that travel to the vectors; more meet them in a join.
 QUERY_BLOCK = 1024
 #: Pairs whose exact distances are computed at once.
 SLICE = 1 << 14
@@ -26,7 +26,7 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(x: np.ndarray, own: np.ndarray, ids: list, q: np.ndarray, k: int, digits: int) -> pd.DataFrame:
+def nearest(x: np.ndarray, own: np.ndarray, ids: list, q: np.ndarray, k: int, digits: int) -> pd.DataFrame:
     """The ``k`` nearest of the rows x for each query: a matrix product finds who can be, exact distances decide."""
     norms, least = (x * x).sum(1), 10.0**-digits
     rough = norms[:, None] + (q * q).sum(1) - 2 * (x @ q.T)
@@ -48,41 +48,37 @@ def _nearest(x: np.ndarray, own: np.ndarray, ids: list, q: np.ndarray, k: int, d
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, seq: str = "seq", query_id: str = "query_id", embedding: str = "embedding", digits: int = 9) -> DataFrame:
     """(query_id, rank, seq, dist): the ``k`` nearest rows, ties by ``seq``. A filter is applied before the search, so it is exact.
 
+    Up to QUERY_BLOCK queries travel to the vectors, which are read once; more are joined with them as blocks (see ``vecjoin``).
     Rows without a vector, with a null or non-finite component, or of another dimension than the query take no part.
     """
-    rows = (vectors.filter(where) if where is not None else vectors).select(F.col(seq).alias("seq"), F.col(embedding).alias("v")).filter("v is not null and size(v) > 0")
-    out = None
-    block: list = []
-
-    def search(asked: list) -> DataFrame:
-        by_dim: dict[int, list] = {}
-        for r in asked:
-            by_dim.setdefault(len(r[1]), []).append(r)
-        mats = {d: ([r[0] for r in rs], np.array([r[1] for r in rs], np.float64)) for d, rs in by_dim.items()}
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                sizes = pdf["v"].map(len)
-                for d, (ids, q) in mats.items():
-                    part = pdf[sizes == d]
-                    if not len(part):
-                        continue
-                    x = np.array(part["v"].tolist(), np.float64)
-                    fine = np.isfinite(x).all(1)
-                    x, own = x[fine], part["seq"].to_numpy()[fine]
-                    if not len(x):
-                        continue
-                    yield _nearest(x, own, ids, q, k, digits)
-
-        return rows.mapInPandas(near, "query_id long, seq long, dist double")
-
-    for r in queries.select(query_id, embedding).filter(F.col(embedding).isNotNull()).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block = []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
+    kept = vectors.filter(where) if where is not None else vectors
+    asked = queries.select(query_id, embedding).filter(F.col(embedding).isNotNull())
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) > QUERY_BLOCK:
+        from .vecjoin import Blocks
+
+        return Blocks.of(kept, seq, embedding).top_k(asked, k, query_id, embedding, digits)
+    rows = kept.select(F.col(seq).alias("seq"), F.col(embedding).alias("v")).filter("v is not null and size(v) > 0")
+    by_dim: dict[int, list] = {}
+    for r in few:
+        by_dim.setdefault(len(r[1]), []).append(r)
+    mats = {d: ([r[0] for r in rs], np.array([r[1] for r in rs], np.float64)) for d, rs in by_dim.items()}
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["v"].map(len)
+            for d, (ids, q) in mats.items():
+                part = pdf[sizes == d]
+                if not len(part):
+                    continue
+                x = np.array(part["v"].tolist(), np.float64)
+                fine = np.isfinite(x).all(1)
+                x, own = x[fine], part["seq"].to_numpy()[fine]
+                if not len(x):
+                    continue
+                yield nearest(x, own, ids, q, k, digits)
+
+    out = rows.mapInPandas(near, "query_id long, seq long, dist double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "seq"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "seq", "dist")
 

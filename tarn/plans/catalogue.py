@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import agent, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, retrieve, vector
+from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, retrieve, vecjoin, vector
 from tarn.sources import files as scans
 from tarn.sources import stores
 from tarn.sources.lineage import shared_path
@@ -29,8 +29,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was read in fewer parts than there are cores (a file of one row group) is dealt out, as counting words costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "source")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "source"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +154,13 @@ def bm25_topk(spark, sf_dir):
     return lexical.best(hits.withColumn("score", T.rounded(F.col("score"), 6)).drop("rank"), 10, ["query_id"]).select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "score")
 
 
+@query
+def bm25_pruned_topk(spark, sf_dir):
+    """The same list from blocks with stored largest weights, most of which are never read."""
+    hits = blockmax.top_k(blockmax.build(corpus(spark, sf_dir)), questions(spark, sf_dir), 10)
+    return lexical.best(hits.withColumn("score", T.rounded(F.col("score"), 6)).drop("rank"), 10, ["query_id"]).select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "score")
+
+
 @query
 def bm25_topk_zero_fill(spark, sf_dir):
     q = spark.createDataFrame([(1, "zzzz-nothing"), (2, "blend"), (3, "the zzzz-nothing"), (4, "")], "query_id long, query string")
@@ -181,6 +194,14 @@ def vector_topk_filtered(spark, sf_dir):
     return vector.top_k(v, asked(spark, sf_dir), 10, F.col("label") == 1, seq="vec_id", digits=6).select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "dist")
 
 
+@query
+def vector_join_topk(spark, sf_dir):
+    """Every vector as a query against all, as a join of blocks."""
+    v = read(spark, sf_dir, "embeddings")
+    hits = vecjoin.Blocks.of(v, "vec_id").top_k(v.filter("embedding is not null"), 10, "vec_id", digits=6)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "seq", "dist")
+
+
 @query
 def vector_minmax(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")

@@ -40,6 +40,10 @@ def shortened(x: str, limit: int, one_line: bool = False) -> str:
     return f"CASE WHEN length({c}) > {limit} THEN left({c}, {limit - 1}) || '…' ELSE {c} END"
 
 
+def source_or(x: str) -> str:
+    return f"coalesce(nullif({strip(f"coalesce({x}, '')")}, ''), 'unknown')"
+
+
 def strings(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
 
@@ -384,7 +388,8 @@ ORACLES["profile_lists"] = f"SELECT item_id, array_to_string(list_filter(list_tr
 ORACLES["leaf_passages"] = f"WITH {TURNS} SELECT node_id, doc_id, 'Conversation ' || conv_id AS parent_title, text, {strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} = '' AS blank FROM para"
 ORACLES["tree_payloads"] = f"WITH {TURNS} SELECT doc_id, doc_id AS root_id, count(*) AS n, string_agg(node_id, ',' ORDER BY \"order\", node_id) AS ids FROM nodes GROUP BY doc_id"
 ORACLES["vector_store_search"] = ORACLES["vector_topk_l2"]
-ORACLES["postings_store_search"] = ORACLES["bm25_topk"]
+ORACLES["vector_join_topk"] = ORACLES["vector_topk_l2"].replace("q.vec_id % 50 = 0", "true")
+ORACLES["postings_store_search"] = ORACLES["bm25_pruned_topk"] = ORACLES["bm25_topk"]
 ORACLES["node_store_upsert"] = f"WITH {TURNS}, opened AS (SELECT DISTINCT 'conv:' || conv_id AS doc_id FROM conversations WHERE role = 'system') SELECT node_id, parent_id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM opened) THEN 'new ' || text ELSE text END AS text, CAST(\"order\" AS BIGINT) AS \"order\" FROM nodes"
 ORACLES["incremental_postings"] = ORACLES["bm25_term_stats"]
 ORACLES["pack_context"] = f"WITH RECURSIVE {PACKED}, slots AS (SELECT query_id, generate_subscripts(taken, 1) - 1 AS slot, unnest(taken) AS position, total AS total_tokens, n - len(taken) AS dropped FROM packs) SELECT * FROM slots"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.operators import lexical, vector
+from tarn.operators import blockmax, lexical, vector
 from tarn.operators.profile import Profile
 
 NODES = (
@@ -145,6 +145,21 @@ class PostingsStore:
         return lexical.top_k(self.index(), queries, k)
 
 
+class BlockStore(PostingsStore):
+    """A written index of blocks with their largest weights, whose lists are pruned."""
+
+    def rebuild(self, docs: DataFrame) -> None:
+        name = f"v-{uuid.uuid4().hex}"
+        blockmax.build(docs).write(f"{self.path}/{name}")
+        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+
+    def index(self) -> blockmax.BlockIndex:
+        at = _version(self.spark, self.path)
+        if at is None:
+            raise FileNotFoundError(f"no index below {self.path}")
+        return blockmax.BlockIndex.read(self.spark, f"{self.path}/{at}")
+
+
 def save_profile(spark: SparkSession, path: str, profile: Profile) -> None:
     spark.createDataFrame([(json.dumps(profile.to_dict(), ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -159,7 +174,7 @@ def load_profile(spark: SparkSession, path: str) -> Profile:
 
 
 VECTOR = {"parquet": ParquetVectorStore}
-LEXICAL = {"bm25": PostingsStore}
+LEXICAL = {"bm25": PostingsStore, "blocks": BlockStore}
 NODE = {"json": JsonNodeStore}
 RESERVED = {"sqlite", "sqlite_vec"}
 

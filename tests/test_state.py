@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn import settings
 from tarn.functions.hooks import ModelRouter, text_model
-from tarn.operators import evidence, history, profile, render
+from tarn.operators import evidence, history, lexical, profile, render
 from tarn.operators.lexical import top_k
 from tarn.sources import stores
 from tarn.streaming import session
@@ -122,6 +123,37 @@ def test_streaming_ingest(spark, tmp_path):
     assert [x.seq for x in top_k(session.index_of(spark, out), q, 2).orderBy("rank").collect()] == [3, 1]
 
 
+def test_redelivery_update_and_removal(spark, tmp_path):
+    """After any batches the index equals one built anew from the documents as they stand, and what a batch writes follows its own size."""
+    src, out, cp, vec = (str(tmp_path / x) for x in ("src", "out", "cp", "vec"))
+    deliveries = [
+        [(1, "a b a"), (2, "b c"), (3, "d")],
+        [(1, "a b a"), (2, "b c")],  # the same again
+        [(1, "a e"), (4, "e e f")],  # changed, and a new one
+        [(3, None), (2, " "), (9, "g")],  # removed
+        [(2, "back b")],
+    ]
+    held = {}
+    for n, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, "seq long, text string").coalesce(1).write.mode("append").parquet(src)
+        session.ingest(spark, src, out, cp, vec).awaitTermination()
+        held |= dict(rows)
+        now = spark.createDataFrame(list(held.items()), "seq long, text string")
+        want, got = lexical.build(now), session.index_of(spark, out)
+        as_rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+        assert as_rows(got.terms) == as_rows(want.terms.select("term", "df", "idf")), n
+        assert as_rows(got.postings) == as_rows(want.postings) and as_rows(got.stats) == as_rows(want.stats)
+        q = spark.createDataFrame([(1, "a"), (2, "b e"), (3, "d g")], "query_id long, query string")
+        cols = ["query_id", "rank", "seq", "score"]
+        assert as_rows(top_k(got, q, 3).select(cols)) == as_rows(top_k(want, q, 3).select(cols))
+        assert sorted(r.seq for r in session.vectors_of(spark, out, vec).collect()) == sorted(k for k, v in held.items() if (v or "").strip())
+        figures = {r.term: r.cf for r in session.term_figures(spark, out).collect()}
+        assert figures == {t: c for t, c in collections.Counter(w for v in held.values() for w in (v or "").split()).items()}
+    assert spark.read.parquet(f"{out}/postings").filter("batch = 1").count() == 4 and spark.read.parquet(f"{out}/changes").filter("batch = 1 and (df <> 0 or cf <> 0)").isEmpty()
+    session.ingest(spark, src, out, cp, vec).awaitTermination()  # nothing new
+    assert spark.read.parquet(f"{out}/docs").select("batch").distinct().count() == len(deliveries)
+
+
 def test_stores(spark, tmp_path):
     for kind, name in (("vector", "nope"), ("lexical", "sqlite"), ("node", "nope")):
         with pytest.raises(ValueError):

@@ -124,12 +124,17 @@ def _blocks(average: float, chunk: int, block: int):
             held.clear()
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += len(batch.column("terms").flatten())
-            if size >= chunk:
-                yield from flush()
-                size = 0
+            ends = np.cumsum(pa.compute.list_value_length(batch.column("terms")).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                stop = min(max(at + 1, int(np.searchsorted(ends, before + chunk - size, "right"))), batch.num_rows)
+                held.append(batch.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+                at = stop
+                if size >= chunk or at < batch.num_rows:
+                    yield from flush()
+                    size = 0
         if held:
             yield from flush()
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, retrieve, vecjoin, vector
+from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, research, retrieve, vecjoin, vector
 from tarn.sources import files as scans
 from tarn.sources import stores
 from tarn.sources.lineage import shared_path
@@ -519,6 +519,25 @@ def research_answers(spark, sf_dir):
     return agent.answered(evidence.routed(asked, "decision"), evidence.fan_in(proof(spark, sf_dir)))
 
 
+def rounds(spark, sf_dir):
+    asked = questions(spark, sf_dir).select("query_id", F.lit(0).alias("question_index"), F.col("query").alias("question"))
+    search = research.lexical_search(index(spark, sf_dir), corpus(spark, sf_dir).select("seq", "source"), 5)
+    return research.researched(asked, search, research.narrowing(), agent.Bounds(max_tool_calls=4))
+
+
+@query
+def research_rounds(spark, sf_dir):
+    """Every question searched anew by its first half as long as that finds something, four times at most."""
+    steps, _ = rounds(spark, sf_dir)
+    return steps.select("query_id", F.col("round").cast("long").alias("round"), "found", "new", "ask", "stopped")
+
+
+@query
+def research_evidence(spark, sf_dir):
+    _, evidence = rounds(spark, sf_dir)
+    return evidence.select("query_id", F.col("round").cast("long").alias("round"), F.col("slot").cast("long").alias("slot"), "seq", "source")
+
+
 @query
 def candidate_counts(spark, sf_dir):
     near, words = pools(spark, sf_dir)

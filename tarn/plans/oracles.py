@@ -398,3 +398,13 @@ ORACLES["markdown_trees"] = f"WITH RECURSIVE {MARKDOWN_TREES}"
 ORACLES["page_trees"] = f"WITH {PAGE_TREES}"
 ORACLES["hybrid_retrieve"] = f"WITH RECURSIVE {HYBRID}"
 ORACLES["sentence_chunks"] = f"WITH RECURSIVE {SENTENCES}"
+
+ROUNDS = f"""qs AS (
+  SELECT item_id, 1 AS round, {tokens('text')} AS w FROM benchmark
+  UNION ALL SELECT item_id, round + 1, w[1:greatest(1, len(w) // 2)] FROM qs WHERE round < 4),
+{bm25("SELECT item_id * 10 + round AS query_id, array_to_string(w, ' ') AS query FROM qs", 5)},
+each AS (SELECT query_id // 10 AS item_id, query_id % 10 AS round, seq, rank, min(query_id % 10) OVER (PARTITION BY query_id // 10, seq) = query_id % 10 AS fresh FROM hits),
+counted AS (SELECT item_id, round, w, count(seq) AS found, count(seq) FILTER (WHERE fresh) AS fresh FROM qs LEFT JOIN each USING (item_id, round) WHERE len(w) > 0 GROUP BY item_id, round, w),
+alive AS (SELECT *, fresh >= 1 AND len(w) >= 8 AS more, coalesce(bool_and(fresh >= 1 AND len(w) >= 8) OVER (PARTITION BY item_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS open FROM counted)"""
+ORACLES["research_rounds"] = f"WITH RECURSIVE {ROUNDS} SELECT item_id AS query_id, CAST(round AS BIGINT) AS round, found, fresh AS new, CASE WHEN more THEN array_to_string(w[1:len(w) // 2], ' ') END AS ask, more AND round = 4 AS stopped FROM alive WHERE open"
+ORACLES["research_evidence"] = f"WITH RECURSIVE {ROUNDS} SELECT item_id AS query_id, CAST(round AS BIGINT) AS round, rank AS slot, seq, source FROM each JOIN alive USING (item_id, round) JOIN documents ON doc_id = seq WHERE open AND each.fresh"

@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and blank texts fail the base rules; rows that share a doc_id stay if one of them does; a null language, source or id is a value of
     its own. Here and in all stages columns beyond those of documents go, whatever their names, and an empty table stays empty.
     """
-    return quality.kept_documents(docs).select(COLUMNS)
+    return quality.kept_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id count as one document, null ids as one that is smaller than all others; a null text becomes an empty one.
     """
+    docs = docs.select(COLUMNS)
     cleaned = lines.LineIndex.build(docs, keep_postings=False).cleaned(docs)
     return cleaned.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
@@ -42,17 +43,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The SimHash operator's self-join goes first, its pairs are checked exactly, prefix filters complete them (see ``tarn.llm.neardup``). Null
     ids come last; rows alike in id and text are one; other rows that share an id are judged by their texts.
     """
-    return neardup.deduplicated(docs).select(COLUMNS)
+    return neardup.deduplicated(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; blank texts are never taken, rows alike in every column are taken together."""
-    return mixing.mixed_documents(docs).select(COLUMNS)
+    return mixing.mixed_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded text, and the ids as little-endian unsigned 32-bit integers; one row a row."""
-    return bpe.encode_documents(docs, with_ids=True)
+    return bpe.encode_documents(docs.select(COLUMNS), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tarn.functions import text as T
-from tarn.sources.lineage import cut
+from tarn.sources.lineage import written
+
+from .parse import rooted
 
 DIMENSIONS = 384
 #: Parents whose sums a task holds at once.
@@ -43,8 +45,9 @@ def embedder(backend: str, dimensions: int = DIMENSIONS, model: Callable[[Column
 def hydrated(nodes: DataFrame) -> DataFrame:
     """Blank nodes get their children's texts, in order, a blank line between, those of blank children being their children's.
 
-    ``nodes`` carry ``ancestors``. As joining is associative, a text goes to every ancestor up to the first with a text of its own.
+    Where ``nodes`` carry no ``ancestors`` they are derived. As joining is associative, a text goes to every ancestor up to the first with a text of its own.
     """
+    nodes = rooted(nodes)
     solid = nodes.filter(~T.is_blank(F.col("text")))
     below = solid.select("node_id", "order", T.strip(F.col("text")).alias("_t"), F.posexplode("ancestors").alias("_i", "_of"))
     inner = solid.filter("node_type <> 'paragraph'").select(F.col("node_id").alias("_of"), F.lit(True).alias("_solid"))
@@ -91,23 +94,72 @@ def pooled(nodes: DataFrame, parent: str = "parent_id", embedding: str = "embedd
     return met.select("parent", F.when(whole, F.transform(total, lambda x: x / F.col("children"))).alias("embedding"), "children")
 
 
+def _lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ups, embedding), ups being ancestors with weights, to partial sums of weight * vector by ancestor; vectors of two sizes make an empty one."""
+    sums: dict = {}
+
+    def pack() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["of", "part"])
+        sums.clear()
+        return out
+
+    for batch in batches:
+        for ups, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            for up in ups:
+                held = sums.get(up["a"])
+                if held is None:
+                    sums[up["a"]] = up["w"] * x
+                elif len(held) == len(x):
+                    held += up["w"] * x
+                else:
+                    sums[up["a"]] = np.zeros(0)
+        if len(sums) >= SUMS:
+            yield pack()
+    yield pack()
+
+
+def lifted(nodes: DataFrame, pooling: str = "mean") -> DataFrame:
+    """(of, embedding): the vector of each node that has none of its own and embedded descendants, in one exchange.
+
+    Means of means are linear: a vector counts for an ancestor with the product of 1 / embedded children along the way, so every
+    vector is added to all its ancestors at once, up to the first with a vector of its own. With pooling 'none' only parents of embedded nodes
+    are listed, without a vector. A node above vectors of several sizes has none.
+    """
+    own = nodes.filter(F.col("embedding").isNotNull())
+    ways = own.select("node_id", F.col("ancestors").alias("_up"), F.posexplode("ancestors").alias("_i", "_a"))
+    stops = own.select(F.col("node_id").alias("_a"), F.lit(True).alias("_own"))
+    ways = ways.join(stops, "_a", "left").withColumn("_stop", F.max(F.when(F.col("_own"), F.col("_i"))).over(W.partitionBy("node_id"))).filter(F.col("_i") > F.coalesce("_stop", F.lit(-1)))
+    if pooling != "mean":
+        direct = ways.filter(F.col("_i") == F.size("_up") - 1)
+        return direct.select(F.col("_a").alias("of")).distinct().withColumn("embedding", F.lit(None).cast("array<double>"))
+    kid = F.when(F.col("_i") == F.size("_up") - 1, F.col("node_id")).otherwise(F.get(F.col("_up"), F.col("_i") + 1))
+    fan = ways.select("_a", kid.alias("_kid")).distinct().groupBy("_a").agg(F.count(F.lit(1)).alias("_kids"))
+    paths = ways.join(fan, "_a").groupBy("node_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("_i", "_a", "_kids")))).alias("_p"))
+    start = F.struct(F.array().cast("array<struct<a:string,w:double>>").alias("l"), F.lit(1.0).alias("w"))
+    step = lambda s, x: F.struct(F.concat(s["l"], F.array(F.struct(x["_a"].alias("a"), (s["w"] / x["_kids"]).alias("w")))).alias("l"), (s["w"] / x["_kids"]).alias("w"))
+    weights = paths.select("node_id", F.aggregate("_p", start, step, lambda s: s["l"]).alias("_ups"))
+    parts = weights.join(own.select("node_id", F.col("embedding").cast("array<double>").alias("embedding")), "node_id").select("_ups", "embedding").mapInArrow(_lifted, "of string, part array<double>")
+    total = F.aggregate("parts", F.transform(F.col("parts")[0], lambda x: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    met = parts.groupBy("of").agg(F.collect_list("part").alias("parts"), F.min(F.size("part")).alias("_least"), F.max(F.size("part")).alias("_most"))
+    return met.select("of", F.when((F.col("_least") == F.col("_most")) & (F.col("_least") > 0), total).alias("embedding"))
+
+
 def enriched(nodes: DataFrame, embed: Callable[[Column], Column], leaf: str = "paragraph", pooling: str = "mean", counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
-    """Texts hydrated, leaves embedded and counted, parents pooled from the deepest level up.
+    """Texts hydrated, leaves embedded and counted, parents pooled.
 
     A parent of embedded children has the sum of its children's tokens, any other node the count of its own text by ``counter``.
-    With pooling 'none' parents have no vector. A node whose children have vectors of several sizes gets none.
+    With pooling 'none' parents have no vector. A node above vectors of several sizes gets none.
     """
-    n = cut(hydrated(nodes))
-    levels = (n.agg(F.max("level").alias("n")).first()["n"] or 0) + 1
     is_leaf = (F.col("node_type") == leaf) & ~T.is_blank(F.col("text"))
-    n = n.withColumn("embedding", F.when(is_leaf, embed(F.col("text")))).withColumn("token_count", counter(F.col("text")))
-    for level in range(levels - 1, -1, -1):
-        n = cut(n)  # each level reads the one below it twice
-        kids = n.filter((F.col("level") > level) & F.col("parent_id").isNotNull())
-        sums = kids.groupBy(F.col("parent_id").alias("_p")).agg(F.sum("token_count").alias("_tokens"), F.max(F.col("embedding").isNotNull()).alias("_has"))
-        up = sums.join(pooled(kids).select(F.col("parent").alias("_p"), F.col("embedding").alias("_e")), "_p", "left") if pooling == "mean" else sums.withColumn("_e", F.lit(None).cast("array<double>"))
-        mine = (F.col("level") == level) & F.col("embedding").isNull() & F.coalesce("_has", F.lit(False))
-        n = n.join(up, n["node_id"] == up["_p"], "left")
-        n = n.withColumns({"token_count": F.when(mine, F.col("_tokens")).otherwise(F.col("token_count")).cast("int"), "embedding": F.when(mine, F.col("_e")).otherwise(F.col("embedding"))})
-        n = n.drop("_p", "_tokens", "_has", "_e")
-    return n
+    n = hydrated(nodes)
+    n = written(n.withColumn("embedding", F.when(is_leaf, embed(F.col("text")))).withColumn("token_count", counter(F.col("text"))), "embedded")
+    up = written(lifted(n, pooling).select(F.col("of").alias("_of"), F.col("embedding").alias("_e"), F.lit(True).alias("_mine")), "lifted")
+    # a node that sums up its children passes on what they have, any other one its own count, as far up as there are sums
+    mine = up.select(F.col("_of").alias("_a"), "_mine")
+    told = n.join(up.select(F.col("_of").alias("node_id")), "node_id", "left_anti").select("node_id", "token_count", F.posexplode("ancestors").alias("_i", "_a"))
+    told = told.join(mine, "_a", "left").withColumn("_stop", F.max(F.when(F.col("_mine").isNull(), F.col("_i"))).over(W.partitionBy("node_id"))).filter(F.col("_i") > F.coalesce("_stop", F.lit(-1)))
+    tokens = told.groupBy(F.col("_a").alias("_of")).agg(F.sum("token_count").alias("_tokens"))
+    both = n.join(up.join(tokens, "_of", "left"), n["node_id"] == F.col("_of"), "left")
+    own = {"token_count": F.when(F.col("_mine"), F.col("_tokens")).otherwise(F.col("token_count")).cast("int"), "embedding": F.when(F.col("_mine"), F.col("_e")).otherwise(F.col("embedding"))}
+    return both.withColumns(own).drop("_of", "_e", "_mine", "_tokens")

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.sources.lineage import written
 
 NODES = (
     "node_id string, parent_id string, doc_id string, node_type string, title string, text string, `order` int, level int, section_path array<string>, "
@@ -119,6 +120,39 @@ def markdown(files: DataFrame) -> DataFrame:
     return _assembled(named, every.withColumn("chain", F.transform("_up", lambda x: F.struct(x.alias("a"), F.lit(-1).alias("b")))).drop("_up"), "md")
 
 
+def chains(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestors, cyclic) from ``nodes(node_id, parent_id)`` alone, from the root down, by pointer doubling: after a round a node knows twice as
+    many ancestors, so rounds follow the logarithm of the depth.
+
+    A parent that isn't a node ends the chain. Nodes on a cycle, or below one, have no ancestors and are marked.
+    """
+    own = nodes.select("node_id", "parent_id").dropDuplicates(["node_id"])
+    known = own.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))
+    link = own.join(known, "parent_id", "left").select("node_id", F.when(F.col("_known"), F.col("parent_id")).alias("up"))
+    link = written(link.select("node_id", "up", F.when(F.col("up").isNotNull(), F.array("up")).otherwise(F.array().cast("array<string>")).alias("ancestors")), "chains")
+    reach, n = 1, None
+    while not link.filter("up is not null").isEmpty():
+        n = link.count() if n is None else n
+        if reach > n:
+            break  # only what never reaches a root is left
+        above = link.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("ancestors").alias("_above"))
+        # a chain that meets itself would double for ever
+        far = link.join(above, "up", "left").withColumn("_loop", F.array_contains("_above", F.col("node_id")) | F.array_contains("ancestors", F.col("node_id")))
+        grown = F.when(F.coalesce("_loop", F.lit(False)), F.col("ancestors")).otherwise(F.concat(F.coalesce("_above", F.array().cast("array<string>")), "ancestors"))
+        link = written(far.select("node_id", F.when(F.coalesce("_loop", F.lit(False)), F.col("up")).otherwise(F.col("_up")).alias("up"), grown.alias("ancestors")), "chains")
+        reach *= 2
+    cyclic = F.col("up").isNotNull()
+    return link.select("node_id", F.when(cyclic, F.array().cast("array<string>")).otherwise(F.col("ancestors")).alias("ancestors"), cyclic.alias("cyclic"))
+
+
+def rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``ancestors``, derived from the parents where the column is missing."""
+    if "ancestors" in nodes.columns:
+        return nodes
+    found = chains(nodes).select(F.col("node_id").alias("_of"), "ancestors")
+    return nodes.join(found, nodes["node_id"] == found["_of"], "left").drop("_of")
+
+
 def children(nodes: DataFrame) -> DataFrame:
     """(parent_id, children): ids in order, as an adjacency list."""
     kids = nodes.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("order", "node_id"))).alias("_c"))
@@ -139,7 +173,7 @@ def parents(nodes: DataFrame) -> DataFrame:
 def section_paths(nodes: DataFrame) -> DataFrame:
     """(node_id, path): titles of the sections above each node, from the root down."""
     up = nodes.filter("node_type = 'section' and title is not null").select(F.col("node_id").alias("_a"), F.col("title").alias("_t"))
-    links = nodes.select("node_id", F.posexplode_outer("ancestors").alias("_i", "_a")).join(up, "_a", "left")
+    links = rooted(nodes).select("node_id", F.posexplode_outer("ancestors").alias("_i", "_a")).join(up, "_a", "left")
     got = links.groupBy("node_id").agg(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_i", "_t")))).alias("_p"))
     return got.select("node_id", F.transform("_p", lambda x: x["_t"]).alias("path"))
 

@@ -298,6 +298,24 @@ def section_paths(spark, sf_dir):
     return parse.section_paths(turns(spark, sf_dir)).select("node_id", F.array_join("path", " > ").alias("path"))
 
 
+@query
+def derived_ancestors(spark, sf_dir):
+    """Ancestors from parent links alone."""
+    return parse.chains(turns(spark, sf_dir).select("node_id", "parent_id")).select("node_id", F.array_join("ancestors", ">").alias("ancestors"), "cyclic")
+
+
+@query
+def hydrate_without_ancestors(spark, sf_dir):
+    return embed.hydrated(turns(spark, sf_dir).drop("ancestors")).filter("node_type <> 'paragraph'").select("node_id", "text")
+
+
+@query
+def pooled_sections(spark, sf_dir):
+    """Vectors of the conversations' sections and roots: the first components, and their number."""
+    out = embed.enriched(turns(spark, sf_dir).drop("ancestors"), embed.hashed).filter("node_type <> 'paragraph' and embedding is not null")
+    return out.select("node_id", *[T.rounded(F.col("embedding")[i], 6).alias(f"c{i}") for i in (0, 1, 31, 32, 383)], F.size("embedding").cast("long").alias("n"))
+
+
 @query
 def hydrate_text(spark, sf_dir):
     return embed.hydrated(turns(spark, sf_dir)).filter("node_type <> 'paragraph'").select("node_id", "text")

@@ -408,3 +408,13 @@ counted AS (SELECT item_id, round, w, count(seq) AS found, count(seq) FILTER (WH
 alive AS (SELECT *, fresh >= 1 AND len(w) >= 8 AS more, coalesce(bool_and(fresh >= 1 AND len(w) >= 8) OVER (PARTITION BY item_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS open FROM counted)"""
 ORACLES["research_rounds"] = f"WITH RECURSIVE {ROUNDS} SELECT item_id AS query_id, CAST(round AS BIGINT) AS round, found, fresh AS new, CASE WHEN more THEN array_to_string(w[1:len(w) // 2], ' ') END AS ask, more AND round = 4 AS stopped FROM alive WHERE open"
 ORACLES["research_evidence"] = f"WITH RECURSIVE {ROUNDS} SELECT item_id AS query_id, CAST(round AS BIGINT) AS round, rank AS slot, seq, source FROM each JOIN alive USING (item_id, round) JOIN documents ON doc_id = seq WHERE open AND each.fresh"
+
+ORACLES["hydrate_without_ancestors"] = ORACLES["hydrate_text"]
+ORACLES["derived_ancestors"] = f"WITH RECURSIVE {TURNS}, up AS (SELECT node_id, parent_id, '' AS ancestors FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.parent_id, CASE WHEN up.ancestors = '' THEN up.node_id ELSE up.ancestors || '>' || up.node_id END FROM nodes n JOIN up ON n.parent_id = up.node_id) SELECT node_id, ancestors, false AS cyclic FROM up"
+ORACLES["pooled_sections"] = (
+    f"WITH {TURNS}, h AS (SELECT conv_id, {hashed('text')} AS h FROM para WHERE {strip('text')} <> ''), m AS (SELECT conv_id, "
+    + ", ".join(f"avg(CAST(('0x' || substr(h, {2 * i + 1}, 2))::INT AS DOUBLE) / 255.0) AS c{i}" for i in (0, 1, 31, 32, 383))
+    + " FROM h GROUP BY conv_id) SELECT node_id, "
+    + ", ".join(f"{rnd(f'c{i}', 6)} AS c{i}" for i in (0, 1, 31, 32, 383))
+    + ", CAST(384 AS BIGINT) AS n FROM (SELECT node_id, conv_id FROM root UNION ALL SELECT node_id, conv_id FROM sect) JOIN m USING (conv_id)"
+)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.operators import blockmax, lexical, vector
+from tarn.operators import blockmax, lexical, parse, vector
 from tarn.operators.profile import Profile
 
 NODES = (
@@ -58,7 +58,7 @@ def _publish(spark: SparkSession, base: str, rows: DataFrame, kind: str, options
 
 
 class JsonNodeStore:
-    """Nodes as JSON Lines, without their vectors; missing fields read as empty text and zero."""
+    """Nodes as JSON Lines, without their vectors; missing fields read as empty text and zero, missing ancestors are derived from the parents."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -68,6 +68,8 @@ class JsonNodeStore:
         if at is None:
             return self.spark.createDataFrame([], NODES)
         rows = self.spark.read.schema(NODES).json(f"{self.path}/{at}")
+        if not rows.filter("ancestors is null").isEmpty():
+            rows = parse.rooted(rows.drop("ancestors")).select(rows.columns)
         return rows.withColumns({"text": F.coalesce("text", F.lit("")), "order": F.coalesce("order", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
 
     def replace(self, nodes: DataFrame) -> None:

@@ -179,6 +179,11 @@ def section_paths(nodes: DataFrame) -> DataFrame:
 
 
 def leaf_documents(nodes: DataFrame, leaf: str = "paragraph") -> DataFrame:
-    """The leaves as passages, with their parent's title; ``seq`` numbers them by document and order, so it needs no global sort."""
+    """The leaves as passages, with their parent's title; ``seq`` grows by document and order (it isn't dense).
+
+    Leaves are dealt to ranges of documents and sorted there; as ranges follow each other, partition and place make an ordered number without a
+    global sort. They are written out, so that the numbers stay.
+    """
     leaves = with_parent_title(nodes).filter(F.col("node_type") == leaf)
-    return leaves.withColumn("seq", F.xxhash64("node_id"))
+    placed = leaves.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "order", "node_id")
+    return written(placed.withColumn("seq", F.monotonically_increasing_id()), "leaves")

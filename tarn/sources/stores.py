@@ -44,21 +44,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _version(spark: SparkSession, base: str) -> str | None:
-    """The folder that ``base/CURRENT`` names."""
+    """The folder that the last line of ``base/CURRENT`` names."""
     if not _exists(spark, f"{base}/CURRENT"):
         return None
-    return spark.read.text(f"{base}/CURRENT").first()[0]
+    last = spark.read.text(f"{base}/CURRENT").agg(F.max("value")).first()[0]
+    return last.partition(" ")[2]
 
 
-def _publish(spark: SparkSession, base: str, rows: DataFrame, kind: str, options: dict | None = None) -> None:
+def _point(spark: SparkSession, base: str, name: str) -> None:
+    """Appends a numbered line to ``base/CURRENT``: readers see the old version or the new one, never none."""
+    last = spark.read.text(f"{base}/CURRENT").agg(F.max("value")).first()[0] if _exists(spark, f"{base}/CURRENT") else "0"
+    line = f"{int(last.partition(' ')[0]) + 1:012d} {name}"
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{base}/CURRENT")
+
+
+def _publish(spark: SparkSession, base: str, rows: DataFrame, kind: str, options: dict | None = None, below: str = "") -> None:
     """Writes a new version beside the old ones and then points to it, so readers never see half a table."""
     name = f"v-{uuid.uuid4().hex}"
-    rows.write.options(**(options or {})).format(kind).save(f"{base}/{name}")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/CURRENT")
+    rows.write.options(**(options or {})).format(kind).save(f"{base}/{name}{below}")
+    _point(spark, base, name)
 
 
 class JsonNodeStore:
-    """Nodes as JSON Lines, without their vectors; missing fields read as empty text and zero, missing ancestors are derived from the parents."""
+    """Nodes as JSON Lines, without their vectors; missing fields read as empty text and zero, missing ancestors are derived from the parents.
+
+    An upsert adds a segment with the nodes of its documents, so what is written follows the change; a document's nodes are those of its last
+    segment. ``compact`` writes them anew as one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -67,17 +79,37 @@ class JsonNodeStore:
         at = _version(self.spark, self.path)
         if at is None:
             return self.spark.createDataFrame([], NODES)
-        rows = self.spark.read.schema(NODES).json(f"{self.path}/{at}")
+        stored = self.spark.read.schema(f"{NODES}, segment int").json(f"{self.path}/{at}")
+        last = stored.groupBy("doc_id").agg(F.max("segment").alias("segment"))
+        rows = stored.join(last, stored["doc_id"].eqNullSafe(last["doc_id"]) & (stored["segment"] == last["segment"]), "left_semi").drop("segment").filter("node_id is not null")
         if not rows.filter("ancestors is null").isEmpty():
             rows = parse.rooted(rows.drop("ancestors")).select(rows.columns)
         return rows.withColumns({"text": F.coalesce("text", F.lit("")), "order": F.coalesce("order", F.lit(0)), "level": F.coalesce("level", F.lit(0))})
 
     def replace(self, nodes: DataFrame) -> None:
-        _publish(self.spark, self.path, nodes.drop("embedding"), "json")
+        _publish(self.spark, self.path, nodes.drop("embedding"), "json", below="/segment=0")
 
     def upsert(self, nodes: DataFrame) -> None:
         """Documents that come in replace their stored nodes."""
-        self.replace(upserted(self.nodes(), nodes.drop("embedding")))
+        at = _version(self.spark, self.path)
+        rows = nodes.drop("embedding").dropDuplicates(["node_id"])
+        if at is None:
+            self.replace(rows)
+        else:
+            rows.write.json(f"{self.path}/{at}/segment={self._segments(at)}")
+
+    def remove(self, documents: DataFrame) -> None:
+        """Documents ``(doc_id)`` go: a segment with a row without a node hides what they had."""
+        at = _version(self.spark, self.path)
+        if at is not None:
+            documents.select("doc_id").distinct().write.json(f"{self.path}/{at}/segment={self._segments(at)}")
+
+    def compact(self) -> None:
+        self.replace(self.nodes())
+
+    def _segments(self, at: str) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{at}/segment=*")
+        return len(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p))
 
     def trees(self) -> DataFrame:
         return trees(self.nodes())
@@ -135,7 +167,7 @@ class PostingsStore:
     def rebuild(self, docs: DataFrame) -> None:
         name = f"v-{uuid.uuid4().hex}"
         lexical.build(docs).write(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        _point(self.spark, self.path, name)
 
     def index(self) -> lexical.LexicalIndex:
         at = _version(self.spark, self.path)
@@ -153,7 +185,7 @@ class BlockStore(PostingsStore):
     def rebuild(self, docs: DataFrame) -> None:
         name = f"v-{uuid.uuid4().hex}"
         blockmax.build(docs).write(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        _point(self.spark, self.path, name)
 
     def index(self) -> blockmax.BlockIndex:
         at = _version(self.spark, self.path)

@@ -69,3 +69,29 @@ def test_operators_without_ancestors(spark, tmp_path):
     store = stores.JsonNodeStore(spark, str(tmp_path))
     store.replace(nodes.withColumn("doc_id", F.lit("d")))
     assert {r.node_id: list(r.ancestors) for r in store.nodes().collect()} == {"r": [], "s": ["r"], "p": ["r", "s"], "q": ["r", "s"]}
+
+
+def test_leaf_numbers_follow_the_documents(spark):
+    rows = [(f"{d}:{i}", d, "paragraph", "t", i, None) for d in ("a", "b", "c", "d") for i in range(9)]
+    random.Random(4).shuffle(rows)
+    nodes = spark.createDataFrame(rows, NODE).withColumn("doc_id", F.col("parent_id")).repartition(3)
+    out = parse.leaf_documents(nodes).orderBy("seq").collect()
+    assert [(r.doc_id, r.order) for r in out] == [(d, i) for d in "abcd" for i in range(9)] and len({r.seq for r in out}) == 36
+
+
+def test_node_store_segments(spark, tmp_path):
+    """Upserts, removals and compaction leave what a rebuild would; an upsert writes its own documents alone."""
+    store = stores.JsonNodeStore(spark, str(tmp_path))
+    make = lambda rows: spark.createDataFrame(rows, "node_id string, doc_id string, text string")
+    seen = lambda: sorted((r.node_id, r.text) for r in store.nodes().collect())
+    store.upsert(make([("a:1", "a", "1"), ("a:2", "a", "2"), ("b:1", "b", "3")]))
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.json"))
+    first = size()
+    store.upsert(make([("a:1", "a", "new")]))
+    assert seen() == [("a:1", "new"), ("b:1", "3")] and size() - first < first
+    store.remove(make([("", "b", "")]))
+    assert seen() == [("a:1", "new")]
+    store.upsert(make([("b:7", "b", "back")]))
+    assert seen() == [("a:1", "new"), ("b:7", "back")]
+    store.compact()
+    assert seen() == [("a:1", "new"), ("b:7", "back")] and store.trees().count() == 2

@@ -6,7 +6,8 @@ columns of its passage; lists keep the order in which a sequential engine would
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,15 +58,47 @@ def listed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy("sub", "stage", "place")))
 
 
-def deduplicated(candidates: DataFrame, text: str = "text", score: str = "score", extra: Column | None = None) -> DataFrame:
-    """Candidates with one folded text are merged: the first one's passage stays, with the largest score and, for each source, the last score given.
+def claimed(keys: DataFrame) -> DataFrame:
+    """(query_id, at, first): for ``keys(query_id, at, key, text_key)`` the place of the candidate that each one is merged into, its own if none.
 
-    Equals the sequential merge wherever a key has one text, which holds for keys made from the text.
+    In order of ``at``: a candidate goes to the kept one whose text it has, if that has another key; else to the kept one with its key; else it
+    is kept, and its text is its own from then on. So a text that came under a key already kept claims nothing. A query's list is folded at once: its
+    length is bounded by the limits of the pools.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in keys.schema}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", kind="stable")
+        by_key: dict = {}
+        by_text: dict = {}
+        first = []
+        for at, key, text in zip(pdf["at"], pdf["key"], pdf["text_key"], strict=True):
+            owner = by_text.get(text)
+            if owner is not None and owner != key:
+                first.append(by_key[owner])
+            elif key in by_key:
+                first.append(by_key[key])
+            else:
+                by_key[key] = at
+                by_text[text] = key
+                first.append(at)
+        return pd.DataFrame({"query_id": pdf["query_id"].to_numpy(), "at": pdf["at"].to_numpy(), "first": first})
+
+    return keys.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, at {kinds['at']}, first {kinds['at']}")
+
+
+def deduplicated(candidates: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
+    """Candidates with one id, or one folded text, are merged as ``claimed`` says: the first one's passage stays, with the largest score and, for each
+    source, the last score given. The id is ``node_id``; where that is blank or missing, a digest of source, page and text.
     """
     names = [c for c in candidates.columns if c not in ("query_id", score, "at", "vector", "bm25", "structured")]
-    keyed = candidates.withColumn("_key", T.dedupe_key(F.col(text)))
+    has = lambda c: F.col(c) if c in candidates.columns else None
+    digest = T.document_key(F.col(text), source=has("source"), page=has("page"))
+    key = F.coalesce(F.nullif(T.strip(F.coalesce("node_id", F.lit(""))), F.lit("")), digest) if "node_id" in candidates.columns else digest
+    first = claimed(candidates.select("query_id", "at", key.alias("key"), T.dedupe_key(F.coalesce(text, F.lit(""))).alias("text_key")))
+    keyed = candidates.join(first.withColumnRenamed("first", "_to"), ["query_id", "at"])
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    out = keyed.groupBy("query_id", "_key").agg(
+    out = keyed.groupBy("query_id", "_to").agg(
         F.min_by(F.struct(*names), "at").alias("_first"), F.max(score).alias(score), F.min("at").alias("at"), F.count(F.lit(1)).alias("merged"), *[last(c) for c in ("vector", "bm25", "structured") if c in candidates.columns]
     )
     return out.select("query_id", "_first.*", score, "at", "merged", *[c for c in ("vector", "bm25", "structured") if c in candidates.columns])

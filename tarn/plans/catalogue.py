@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
-from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, research, retrieve, vecjoin, vector
+from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, research, retrieve, sentences, vecjoin, vector
 from tarn.sources import files as scans
 from tarn.sources import stores
 from tarn.sources.lineage import shared_path
@@ -254,6 +254,13 @@ def dedupe_candidates(spark, sf_dir):
     return fusion.deduplicated(listed(spark, sf_dir)).select("query_id", "seq", "score", F.col("at").cast("long").alias("at"), "merged")
 
 
+@query
+def dedupe_two_keys(spark, sf_dir):
+    """The turns of a conversation as candidates whose id is their role, so that one id comes with several texts, and one text under several ids."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("at"), F.col("role").alias("key"), F.substring(T.dedupe_key(F.coalesce("text", F.lit(""))), 1, 4).alias("text_key"))
+    return fusion.claimed(c).select("query_id", F.col("at").cast("long").alias("at"), F.col("first").cast("long").alias("first"))
+
+
 def boosts(spark, sf_dir):
     q = questions(spark, sf_dir).withColumn("node_types", F.array(F.lit("paragraph")))
     return rerank.boosted(fusion.deduplicated(listed(spark, sf_dir)).join(q, "query_id").withColumn("title", F.col("source")), PROFILE)
@@ -394,6 +401,19 @@ def sentence_chunks(spark, sf_dir):
     return chunk.chunked(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "sentence", language="english", chunk_size=100)
 
 
+@query
+def sentence_statistics(spark, sf_dir):
+    """Words that stand before a period, with the score that tells abbreviations."""
+    words = sentences.Boundaries.learnt(spread(read(spark, sf_dir, "documents"))).words.filter("with_period > 0")
+    return words.select("word", "with_period", "without", T.rounded(F.col("score"), 4).alias("score"), "abbreviation")
+
+
+@query
+def sentence_starters(spark, sf_dir):
+    starters = sentences.Boundaries.learnt(spread(read(spark, sf_dir, "documents"))).starters
+    return starters.select("word", "both", T.rounded(F.col("score"), 3).alias("score"))
+
+
 # scope, plans, agents
 
 

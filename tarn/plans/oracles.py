@@ -418,3 +418,35 @@ ORACLES["pooled_sections"] = (
     + ", ".join(f"{rnd(f'c{i}', 6)} AS c{i}" for i in (0, 1, 31, 32, 383))
     + ", CAST(384 AS BIGINT) AS n FROM (SELECT node_id, conv_id FROM root UNION ALL SELECT node_id, conv_id FROM sect) JOIN m USING (conv_id)"
 )
+
+ORACLES["dedupe_two_keys"] = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, role AS k, left({KEY.replace('text', "coalesce(text, '')")}, 4) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+folded AS (SELECT conv_id, 0 AS i, CAST([] AS VARCHAR[]) AS ks, CAST([] AS VARCHAR[]) AS ts, CAST([] AS BIGINT[]) AS ats, CAST(NULL AS BIGINT) AS "at", CAST(NULL AS BIGINT) AS first FROM (SELECT DISTINCT conv_id FROM c)
+  UNION ALL SELECT conv_id, i,
+    CASE WHEN own THEN list_append(ks, k) ELSE ks END, CASE WHEN own THEN list_append(ts, t) ELSE ts END, CASE WHEN own THEN list_append(ats, turn) ELSE ats END, turn,
+    CASE WHEN own THEN turn WHEN by_text THEN ats[list_position(ts, t)] ELSE ats[list_position(ks, k)] END
+  FROM (SELECT *, NOT by_text AND NOT list_contains(ks, k) AS own FROM (SELECT f.conv_id, c.i, CAST(c.turn AS BIGINT) AS turn, k, t, ks, ts, ats, coalesce(list_contains(ts, t) AND ks[list_position(ts, t)] <> k, false) AS by_text FROM folded f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1)))
+SELECT conv_id AS query_id, "at", first FROM folded WHERE i > 0"""
+
+LETTER, SIGNS = r"\p{L}", "[.,;:!?]+$"
+BARE = r"""lower(regexp_replace(x, '^["''(\[]+|["'')\]]+$', '', 'g'))"""
+LEARNT = f"""toks AS (SELECT list_transform({tokens('text')}, lambda x: {BARE}) AS t FROM documents),
+each AS (SELECT unnest(t) AS token, unnest(list_append(t[2:], '')) AS following FROM toks),
+named AS (SELECT *, ends_with(token, '.') AS period, CASE WHEN ends_with(token, '.') THEN left(token, length(token) - 1) ELSE token END AS word FROM each),
+lettered AS (SELECT * FROM named WHERE regexp_matches(word, '{LETTER}')),
+counts AS (SELECT word, count(*) FILTER (WHERE period) AS k1, count(*) FILTER (WHERE NOT period) AS k2 FROM lettered GROUP BY word),
+total AS (SELECT CAST(sum(k1 + k2) AS DOUBLE) AS n, CAST(sum(k1) AS DOUBLE) AS p FROM counts),
+scored AS (SELECT *, length(replace(word, '.', '')) AS l FROM counts, total),
+words AS (SELECT word, k1, k2, n, CASE WHEN k1 > 0 AND p < n THEN -2 * (k1 * ln(p / n) + CASE WHEN k2 > 0 THEN k2 * ln(1 - p / n) ELSE 0 END - k1 * ln(0.99::DOUBLE) - k2 * ln(0.01::DOUBLE)) * exp(-l) * (length(word) - l + 1) * pow(CAST(l AS DOUBLE), -k2) ELSE 0 END AS score FROM scored),
+judged AS (SELECT *, score >= 0.3 AS abbreviation FROM words),
+over AS (SELECT word, f AS following, count(*) AS b FROM (SELECT word, regexp_replace(following, '{SIGNS}', '', 'g') AS f FROM lettered WHERE period AND following <> '') WHERE regexp_matches(f, '{LETTER}') GROUP BY ALL),
+breaks AS (SELECT following, x.k1 + x.k2 AS second, x.n, CAST(sum(b) AS BIGINT) AS b FROM over JOIN judged w ON over.word = w.word JOIN judged x ON x.word = following WHERE NOT w.abbreviation GROUP BY ALL),
+starts AS (SELECT *, (SELECT CAST(sum(k1) AS DOUBLE) FROM judged WHERE NOT abbreviation) AS first FROM breaks)"""
+
+
+def _part(k: str, m: str, p: str) -> str:
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {m} > {k} THEN ({m} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+_RATIO = f"-2 * ({_part('b', 'first', '(second / n)')} + {_part('(second - b)', '(n - first)', '(second / n)')} - {_part('b', 'first', '(b / first)')} - {_part('(second - b)', '(n - first)', '((second - b) / (n - first))')})"
+ORACLES["sentence_statistics"] = f"WITH {LEARNT} SELECT word, k1 AS with_period, k2 AS without, {rnd('score', 4)} AS score, abbreviation FROM judged WHERE k1 > 0"
+ORACLES["sentence_starters"] = f"WITH {LEARNT} SELECT following AS word, b AS both, {rnd('score', 3)} AS score FROM (SELECT *, {_RATIO} AS score FROM starts) WHERE score >= 30 AND b / first > second / n"

@@ -77,6 +77,33 @@ def test_dedupe_equals_sequential(spark):
     assert got == sequential_merge([(" ".join(t.split()).lower(), s) for t, s in rows])
 
 
+def sequential_two_keys(rows):
+    """rows (id, text) in order to the place that each one is merged into."""
+    kept, texts, out = {}, {}, []
+    for i, (key, text) in enumerate(rows):
+        owner = texts.get(text)
+        if owner is not None and owner != key:
+            out.append(kept[owner])
+        elif key in kept:
+            out.append(kept[key])
+        else:
+            kept[key], texts[text] = i, key
+            out.append(i)
+    return out
+
+
+def test_two_keys_equal_sequential(spark):
+    """Ids that come with several texts, texts that come under several ids, blank ids."""
+    r = random.Random(6)
+    rows = {q: [(r.choice(["a", "b", "c", "d", "e"]), r.choice(["one", "two", "three", "four"])) for _ in range(r.randint(1, 25))] for q in range(20)}
+    df = spark.createDataFrame([(q, i, k, t) for q, x in rows.items() for i, (k, t) in enumerate(x)], "query_id long, at int, key string, text_key string").repartition(3)
+    got = {(x.query_id, x.at): x["first"] for x in fusion.claimed(df).collect()}
+    assert got == {(q, i): f for q, x in rows.items() for i, f in enumerate(sequential_two_keys(x))}
+    named = [(1, 0, "n1", "Same text", 0.5, 0.1, None), (1, 1, "n2", "same  TEXT", 0.9, None, 0.3), (1, 2, "n1", "other", 0.2, 0.7, None), (1, 3, "n3", "other", 0.1, None, None), (1, 4, " ", "alone", 0.3, None, None)]
+    out = fusion.deduplicated(spark.createDataFrame(named, "query_id long, at int, node_id string, text string, score double, vector double, bm25 double")).orderBy("at").collect()
+    assert [(x["at"], x.node_id, x.text, x.score, x.vector, x.bm25, x.merged) for x in out] == [(0, "n1", "Same text", 0.9, 0.7, 0.3, 3), (3, "n3", "other", 0.1, None, None, 1), (4, " ", "alone", 0.3, None, None, 1)]
+
+
 def sequential_pack(rows, k, budget):
     taken, keys, total = [], set(), 0
     for pos, key, tokens in rows:

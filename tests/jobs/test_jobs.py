@@ -41,7 +41,7 @@ def test_index_follows_growing_input(spark, tmp_path):
     """The first half of the documents, then the rest with some of the first anew and one emptied: the second run takes that alone."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     src, out = str(tmp_path / "documents"), str(tmp_path / "out")
-    docs.filter("doc_id < 100").coalesce(2).write.parquet(src)
+    docs.filter("doc_id < 100").repartition(2).write.parquet(src)
     config = index_documents.Config(files_per_batch=1, parts=3)
     index_documents.run(spark, src, out, config)
     first = {f for f in files(tmp_path / "out" / "index")}

@@ -66,14 +66,14 @@ def test_pipeline(spark, tmp_path):
     assert total(whole) == total(held[5]) and math.isclose(sum(copies.values()), whole.count())
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, text_ string, _tarn_row long, digest string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, text_ string, _tarn_row long, _tarn_id long, drops long, digest string"
 
 
 def odd_rows():
     plain = lambda k, n=80: " ".join(f"w{k}x{i % 37}q{i:05d}" for i in range(n))
     rows = [(1, plain(1), "en", "a"), (1, plain(2), "en", "a"), (2, plain(1), "en", "b"), (None, plain(3), None, None), (None, plain(4), "en", None), (3, None, "en", "a"), (4, "", "en", "a"), (5, " \n\t", "en", "a")]
     rows += [(6, plain(6, 30_000), "en", "a"), (7, plain(7), "en", "c"), (7, plain(7), "en", "c"), (8, plain(8) + " end", "de", "c"), (9, plain(8), "de", "c")]
-    return [(d, t, la, s, None if t is None else len(t), True, "x", 5, "y") for d, t, la, s in rows]
+    return [(d, t, la, s, None if t is None else len(t), True, "x", 5, 6, 7, "y") for d, t, la, s in rows]
 
 
 def test_pipeline_stages_on_odd_rows(spark):
@@ -84,7 +84,7 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert stage(spark, empty, "").collect() == [], name
         out = stage(spark, docs, "")
         assert out.columns == corpus_pipeline.COLUMNS, name
-        docs = spark.createDataFrame([(*r, True, "x", 5, "y") for r in out.collect()], ODD)
+        docs = spark.createDataFrame([(*r, True, "x", 5, 6, 7, "y") for r in out.collect()], ODD)
         got = collections.Counter((r.doc_id, (r.text or "")[:3]) for r in docs.collect())
         if name == "quality rules":
             assert got == {(1, "w1x"): 1, (1, "w2x"): 1, (2, "w1x"): 1, (None, "w3x"): 1, (None, "w4x"): 1, (6, "w6x"): 1, (7, "w7x"): 2, (8, "w8x"): 1, (9, "w8x"): 1}

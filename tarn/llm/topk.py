@@ -7,8 +7,9 @@ named are resolved, and the k-th best whole score is a safe cutoff for the query
 Phase 2: the cutoff goes to the tiles, in equal parts: a list's threshold is its mean and as many of its spreads as all
 lists need to reach the cutoff. An object below all thresholds is below the cutoff; in no list can it lie so low
 either that the largest values of all others don't make up for it. Tiles send the entries that pass, packed; tiles whose
-largest value is below are not computed again.
-Phase 3: the entries visit the tiles of the lists that they lack, and what reaches the cutoff as a whole is ranked.
+largest value is below are not computed again. Partial products too large for 64 bits pass every threshold.
+Phase 3: the entries visit the tiles of the lists that they lack, and what reaches the cutoff as a whole is ranked. Parts are added
+modulo 2**64, so a score that fits 64 bits is exact, however large its parts are.
 
 Copies of a vector are one object with its k + 1 smallest ids, more of which no query needs. Vectors are laid into blocks by the signs of
 fixed random directions, so that like ones lie together and whole tiles can be passed over.
@@ -35,8 +36,9 @@ STEP = 256
 #: Times k that a tile names: the more are resolved first, the higher the cutoff.
 NAMED = 3
 LEAST = np.iinfo(np.int64).min
-#: Components and partial products beyond these are taken as these, so that sums of all lists fit 64 bits.
-MOST, MOST_PART = 1 << 62, 1 << 60
+#: The largest double below 2**63, for components, and where a partial product counts as very large: such entries pass every threshold.
+MOST, MOST_PART = (1 << 63) - (1 << 10), 1 << 60
+LOW = (1 << 32) - 1
 DIRECTIONS = 16
 PLACE_BITS = 20
 
@@ -121,21 +123,24 @@ class _Tile:
         self.kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < MOST_PART else object
         self.bt: np.ndarray | None = None
 
-    def _fit(self, p: np.ndarray) -> np.ndarray:
-        return np.clip(p, -MOST_PART, MOST_PART).astype(np.int64) if self.kind is object else p.astype(np.int64)
+    def _modulo(self, p: np.ndarray) -> np.ndarray:
+        """Products modulo 2**64, as int64."""
+        return ((p + (1 << 63)) % (1 << 64) - (1 << 63) if self.kind is object else p).astype(np.int64)
 
-    def products(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Partial products of some queries, and which of them are with the query's own vector alone."""
+    def products(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Partial products of some queries within MOST_PART, for comparing; modulo 2**64, for adding; and which are with the query's own vector alone."""
         if self.bt is None:
             self.bt = self.b.astype(self.kind).T
-        return self._fit(self.a[rows].astype(self.kind) @ self.bt), self.own[rows, None] == self.alone[None, :]
+        p = self.a[rows].astype(self.kind) @ self.bt
+        parts = self._modulo(p)
+        return np.clip(p, -MOST_PART, MOST_PART).astype(np.int64) if self.kind is object else parts, parts, self.own[rows, None] == self.alone[None, :]
 
     def some(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """The partial products at some places."""
+        """The partial products at some places, modulo 2**64."""
         out = [np.zeros(0, np.int64)]
         for at in range(0, len(rows), 1 << 15):
             a, b = (x[i[at : at + (1 << 15)]].astype(self.kind) for x, i in ((self.a, rows), (self.b, cols)))
-            out.append(self._fit((a * b).sum(1) if self.kind is object else np.einsum("ij,ij->i", a, b)))
+            out.append(self._modulo((a * b).sum(1) if self.kind is object else np.einsum("ij,ij->i", a, b)))
         return np.concatenate(out)
 
 
@@ -152,17 +157,17 @@ def _first_phase(k: int):
                 t = _Tile(*blobs)
                 for at in range(0, len(t.own), STEP):
                     rows = np.arange(at, min(at + STEP, len(t.own)))
-                    p, own = t.products(rows)
+                    p, parts, own = t.products(rows)
                     wide = p.astype(np.float64)
                     sums, squares = wide.sum(1), np.einsum("ij,ij->i", wide, wide)
                     p[own] = LEAST
                     n = min(k, p.shape[1])
                     best = np.argpartition(p, p.shape[1] - n, axis=1)[:, p.shape[1] - n :]
-                    part = np.take_along_axis(p, best, 1)
-                    ok = part.ravel() > LEAST
+                    near = np.take_along_axis(p, best, 1)
+                    ok = near.ravel() > LEAST
                     each = lambda x: np.repeat(x, n)[ok]  # noqa: B023, E731
-                    cols = [each((qb << PLACE_BITS) + rows), ((xb << PLACE_BITS) + best).ravel()[ok], np.full(int(ok.sum()), g, np.int32), part.ravel()[ok]]
-                    yield _arrow(["q", "x", "list", "part", "high", "size", "sums", "squares"], [*cols, each(part.max(1)), np.full(len(cols[0]), p.shape[1]), each(sums), each(squares)])
+                    cols = [each((qb << PLACE_BITS) + rows), ((xb << PLACE_BITS) + best).ravel()[ok], np.full(int(ok.sum()), g, np.int32), np.take_along_axis(parts, best, 1).ravel()[ok]]
+                    yield _arrow(["q", "x", "list", "part", "high", "size", "sums", "squares"], [*cols, each(near.max(1)), np.full(len(cols[0]), p.shape[1]), each(sums), each(squares)])
 
     return run
 
@@ -185,10 +190,10 @@ def _second_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             asked = sorted((r["place"], r["least"]) for r in need)
             for at in range(0, len(asked), STEP):
                 rows, least = (np.array(c, np.int64) for c in zip(*asked[at : at + STEP], strict=True))
-                p, own = t.products(rows)
-                i, j = np.nonzero((p >= least[:, None]) & ~own)
+                p, parts, own = t.products(rows)
+                i, j = np.nonzero((p >= np.minimum(least, MOST_PART)[:, None]) & ~own)
                 if len(i):
-                    yield _entries(g, 1, qb, xb, rows[i], j, p[i, j])
+                    yield _entries(g, 1, qb, xb, rows[i], j, parts[i, j])
 
 
 def _third_phase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +278,11 @@ class Search:
         missing = entries.select("q", "x", F.explode(F.array_except(lists, F.map_keys("known"))).alias("list"))
         missing = saved(missing, f"topk-{name}")
         self.counts[name] = missing.count()
-        have = entries.select("q", "x", F.aggregate(F.map_values("known"), F.lit(0).cast("long"), lambda a, b: a + b).alias("part"))
-        return have.unionByName(self._parts(missing).select("q", "x", "part")).groupBy("q", "x").agg(F.sum("part").alias("score"))
+        have = entries.select("q", "x", F.explode(F.map_values("known")).alias("part"))
+        # halves are summed, so that a sum beyond 64 bits goes on modulo 2**64
+        low = F.sum(F.col("part").bitwiseAND(LOW))
+        sums = have.unionByName(self._parts(missing).select("q", "x", "part")).groupBy("q", "x").agg(F.sum(F.shiftright("part", 32)).alias("high"), low.alias("low"))
+        return sums.select("q", "x", F.shiftleft(F.col("high") + F.shiftright("low", 32), 32).bitwiseOR(F.col("low").bitwiseAND(LOW)).alias("score"))
 
     @staticmethod
     def _known(entries: DataFrame) -> DataFrame:
@@ -299,15 +307,17 @@ class Search:
         tiles = saved(tiles, "topk-tiles")
         sums = tiles.groupBy("q", "list").agg(F.max("high").alias("high"), (F.sum("sums") / F.sum("size")).alias("mean"), (F.sum("squares") / F.sum("size")).alias("square"))
         sums = sums.withColumn("spread", 1 + F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))))
-        of_query = sums.groupBy("q").agg(*[F.sum(c).alias(f"all_{c}") for c in ("high", "mean", "spread")]).join(kth, "q", "left")
+        of_query = sums.groupBy("q").agg(*[F.sum(F.col(c).cast("double")).alias(f"all_{c}") for c in ("high", "mean", "spread")], F.max("high").alias("top_high")).join(kth, "q", "left")
         both = sums.join(of_query, "q")
         # floors add up to the cutoff at most, whatever the means and spreads are; one off for each list covers their rounding as doubles
+        slack = 1 + 1e-12 * (F.abs("mean") + F.abs("all_mean") + F.abs("all_high") + F.abs(F.col("cutoff").cast("double")))
         part = F.col("mean") + (F.col("cutoff") - F.col("all_mean")) * F.col("spread") / F.col("all_spread")
-        even = F.floor(part - F.abs(part) * 1e-12).cast("long") - 1
-        least = F.coalesce(F.greatest(even, F.col("cutoff") - (F.col("all_high") - F.col("high"))), F.lit(LEAST))
+        # a largest value at MOST_PART may stand for more
+        others = F.when(F.col("top_high") < MOST_PART, F.col("cutoff").cast("double") - (F.col("all_high") - F.col("high")))
+        least = F.coalesce(F.floor(F.greatest(part, others, F.lit(-MOST / 2)) - slack).cast("long"), F.lit(LEAST))
         limits = saved(both.select("q", "list", "high", "cutoff", least.alias("least")), "topk-limits")
         # phase 2: a tile hears the thresholds of the queries for which its largest value passes
-        open_ = tiles.select("q", "list", "xb", F.col("high").alias("top")).join(limits.select("q", "list", "least"), ["q", "list"]).filter("top >= least")
+        open_ = tiles.select("q", "list", "xb", F.col("high").alias("top")).join(limits.select("q", "list", "least"), ["q", "list"]).filter(F.col("top") >= F.least("least", F.lit(MOST_PART)))
         need = open_.groupBy("list", block, "xb").agg(F.collect_list(F.struct(place, "least")).alias("need"))
         sent = saved(self._tiles(need).select(*TILE, "need").mapInArrow(_second_phase, PACKED), "topk-second")
         self.counts["second"] = sent.agg(F.sum(F.length("parts") / 8).cast("long").alias("n")).first()["n"] or 0
@@ -327,8 +337,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     """(query_id, rank, vec_id, score) for ``queries(vec_id, embedding)`` against ``vectors(vec_id, embedding)``.
 
     Score: inner product of floor(scale * x); ties to the smaller id; rows with the query's own id are not its candidates.
-    Vectors without an id, null or with a null or non-finite component take no part; shorter ones count as filled up with zeros. Components
-    beyond 2**62 after scaling, and a list's products beyond 2**60, are taken as these; all smaller scores are exact. Repeated rows
+    Vectors without an id, null or with a null or non-finite component take no part; shorter ones count as filled up with zeros. Scores that fit
+    64 bits are exact, whatever their parts are; others are taken modulo 2**64, and components beyond 64 bits as the largest there are. Repeated rows
     count once; other columns don't matter. No rows or no queries: an empty result.
     """
     return Search(vectors, queries, k, scale).run()

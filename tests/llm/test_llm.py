@@ -442,6 +442,25 @@ def test_quality_judges_every_count(spark):
     assert all(got[d].kept for d in got if d < 1000 or d >= 2000)
 
 
+def test_quality_scatter_decides(spark):
+    """One and the same text is odd where word lengths hardly vary and none where they vary more; a constant rule would judge both alike."""
+    r = random.Random(12)
+    line = lambda k, n: " ".join("".join(r.choices("abcdefghij", k=n if r.random() < 0.5 else n + 2)) for _ in range(k))
+    rows = [(i, line(120, 6), "en", "even") for i in range(200)]
+    rows += [(1000 + i, line(120, r.choice([4, 5, 6, 6, 7, 7, 8, 9])), "en", "wide") for i in range(200)]
+    one = line(120, 9)
+    rows += [(2000, one, "en", "even"), (2001, one, "en", "wide")]
+    got = {x.doc_id: x for x in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[2000].kept and got[2001].kept
+    assert all(got[i].kept for i in got if i < 2000)
+
+
+def test_consistency_is_that_of_a_trimmed_normal():
+    z = np.random.default_rng(2).normal(size=400_000)
+    core = np.sort(np.abs(z))[: int(quality.SHARE * len(z))]
+    assert math.isclose(quality.CONSISTENCY * np.mean(core**2), 1, rel_tol=0.02)
+
+
 def test_distance_is_mahalanobis(spark):
     r = np.random.default_rng(1)
     a = r.normal(size=(4, 4))

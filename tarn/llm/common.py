@@ -69,6 +69,14 @@ def same(*pairs: tuple[Column, Column]) -> Column:
     return out
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free, saved, table
 from .cuckoo import CuckooFilter
 
 MIN_CHARS = 40
@@ -229,9 +229,10 @@ class LineIndex:
         doc_id is a document too, smaller than all others. Columns of ``docs`` with the names of the added ones are replaced, all
         others stay as they are. An empty table gives an empty result.
         """
-        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept", "drops")]
-        drops = self.drops(docs).withColumnRenamed("doc_id", "_tarn_id")
-        both = docs.select(*names).join(drops, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left").drop("_tarn_id")
+        names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+        own, lost = free(docs, "_tarn_id"), free(docs, "_tarn_drops")
+        drops = self.drops(docs).withColumnsRenamed({"doc_id": own, "drops": lost})
+        both = docs.select(*[F.col(f"`{c}`") for c in names]).join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").drop(own)
         rest = [both.schema[c] for c in names]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_lines long, n_dropped long, kept string"
         min_chars = self.min_chars
@@ -239,7 +240,7 @@ class LineIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n, gone, kept = [], [], []
-                for text, drops in zip(batch.column("text"), batch.column("drops"), strict=True):
+                for text, drops in zip(batch.column("text"), batch.column(lost), strict=True):
                     raw = (text.as_py() or "").encode()
                     lines = raw.split(b"\n")
                     left = lines

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, same, saved, table, words
+from .common import WORD, free, same, saved, table, words
 
 D = 4
 FEATURES = [f"f{i}" for i in range(D)]
@@ -204,6 +204,7 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are rejected. Rows that share a doc_id stay if one of them does."""
-    keep = judged(docs).filter("kept").select(F.col("doc_id").alias("_tarn_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left_semi")
+    """``docs`` without the rows that are rejected, whatever columns it has. Rows that share a doc_id stay if one of them does."""
+    own = free(docs, "_tarn_id")
+    keep = judged(docs).filter("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import saved, table
+from .common import free, saved, table
 
 WINDOW = 13
 GRAM = 3
@@ -280,25 +280,26 @@ def decide(blobs: list[bytes], k: int) -> np.ndarray:
 
 def marked(docs: DataFrame, mark: str) -> DataFrame:
     """``docs`` with what tells rows of one id apart: the text's 64-bit hash for ids that several rows have, else 0."""
-    again = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_tarn_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_tarn_id")
+    own = free(docs, "_tarn_id")
+    again = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own)
     again = saved(again, "repeated-ids")
     if again.isEmpty():
         return docs.withColumn(mark, F.lit(0).cast("long"))
-    both = docs.join(again, F.col("doc_id") == F.col("_tarn_id"), "left")
-    return both.withColumn(mark, F.when(F.col("_tarn_id").isNull(), F.lit(0)).otherwise(F.xxhash64("text"))).drop("_tarn_id")
+    both = docs.join(again, F.col("doc_id") == F.col(own), "left")
+    return both.withColumn(mark, F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.xxhash64("text"))).drop(own)
 
 
-def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFrame:
-    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; for ``docs`` with ``_tarn_mark``."""
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_tarn_mark").alias("mark"), F.col("text").cast("binary").alias("text"))
+def repeated_spans(docs: DataFrame, k: int = WINDOW, m: int = GRAM, mark: str = "_tarn_mark") -> DataFrame:
+    """(doc_id, mark, first, stop): word ranges of windows that also start in a document with a smaller id; for ``docs`` with a column ``mark``."""
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("mark"), F.col("text").cast("binary").alias("text"))
     heavy = own.select("text").mapInArrow(_heavy(k, m), "key long, n long, size long")
     heavy = saved(heavy.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "minimisers")
     total = heavy.filter("key is null").first()
     n, size = (total["n"], total["size"]) if total else (0, 0)
     buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     # at most HOT_PART keys of 8 bytes, or one a bucket, can reach the mark
-    mark = max(HOT_LEAST, n // max(HOT_PART, buckets))
-    hot = np.sort(np.array([r["key"] for r in heavy.filter((F.col("n") >= mark) & F.col("key").isNotNull()).select("key").collect()], np.int64).view(np.uint64))
+    least = max(HOT_LEAST, n // max(HOT_PART, buckets))
+    hot = np.sort(np.array([r["key"] for r in heavy.filter((F.col("n") >= least) & F.col("key").isNotNull()).select("key").collect()], np.int64).view(np.uint64))
     packed = own.mapInArrow(_strings(k, m, buckets, hot), "bucket long, data binary")
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -314,16 +315,17 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, m: int = GRAM) -> DataFram
     larger than another, so its row loses nothing and removes nothing. Rows that share a doc_id don't affect
     each other. Columns of ``docs`` with the names of the added ones are replaced, all others stay. An empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_tarn_spans", "_tarn_mark")]
-    told = marked(docs.select(*names), "_tarn_mark")
-    spans = repeated_spans(told, k, m).groupBy(F.col("doc_id").alias("_tarn_id"), F.col("mark").alias("_tarn_m")).agg(F.collect_list(F.struct("first", "stop")).alias("_tarn_spans"))
-    both = told.join(spans, (F.col("doc_id") == F.col("_tarn_id")) & (F.col("_tarn_mark") == F.col("_tarn_m")), "left").drop("_tarn_id", "_tarn_m", "_tarn_mark")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    mark, own, own_mark, ranges = (free(docs, f"_tarn_{c}") for c in ("mark", "id", "m", "spans"))
+    told = marked(docs.select(*[F.col(f"`{c}`") for c in names]), mark)
+    spans = repeated_spans(told, k, m, mark).groupBy(F.col("doc_id").alias(own), F.col("mark").alias(own_mark)).agg(F.collect_list(F.struct("first", "stop")).alias(ranges))
+    both = told.join(spans, (F.col("doc_id") == F.col(own)) & (F.col(mark) == F.col(own_mark)), "left").drop(own, own_mark, mark)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_words long, n_removed long, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("_tarn_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column(ranges), strict=True):
                 w = (text.as_py() or "").encode().split()
                 left = w
                 if spans.is_valid:

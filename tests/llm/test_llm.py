@@ -670,6 +670,22 @@ def test_topk_empty(spark):
     assert topk.top_k(none, none).collect() == [] and topk.top_k(one, one).collect() == [] and topk.top_k(one, none).collect() == []
 
 
+# columns of the caller
+
+
+def test_helper_names_of_the_caller(spark):
+    """Columns that are called as the operators' own helpers stay as they are."""
+    names = ["_tarn_id", "__tarn_id", "_tarn_m", "_tarn_mark", "_tarn_spans", "_tarn_drops", "drops", "mark", "d2"]
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text, "en", "s", *[f"{c}{i}" for c in names]) for i in range(6)], ["doc_id", "text", "lang", "source", *names])
+    for out, n in ((superkmers.without_repeats(docs), 6), (lines.LineIndex.build(docs, min_docs=5).cleaned(docs), 6), (quality.kept_documents(docs), 6)):
+        assert set(docs.columns) <= set(out.columns)
+        got = out.collect()
+        assert len(got) == n and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert sorted(r.n_removed for r in superkmers.without_repeats(docs).collect()) == [0] + [60] * 5
+    assert sorted(r.n_dropped for r in lines.LineIndex.build(docs, min_docs=5).cleaned(docs).collect()) == [0] + [1] * 5
+
+
 # very long texts
 
 

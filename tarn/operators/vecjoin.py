@@ -1,14 +1,12 @@
-"""Exact vector search of any number of queries, as joins of blocks.
+"""Exact vector search of any number of queries, as a join of blocks.
 
 A bounded sample of the vectors gives pivots. Vectors and queries are grouped by their nearest pivot where they lie and packed into blocks, each
-with its centre and the radius around it. By the triangle inequality a pair of blocks is at least the distance of the centres less both radii
-apart, so a query block has to meet only the vector blocks that are not farther than what it has found:
+with its centre and the radius around it. Query blocks stand on shelves, those of neighbouring groups together, and a shelf is what one task holds: its
+queries with the best ``k`` of each so far. The vector blocks pass by every shelf once, those of its own groups first. By the triangle inequality a pair of
+blocks is at least the distance of the centres less both radii apart, so a query block leaves out what lies farther than its worst k-th distance.
 
-1. It meets the group of vectors of its own pivot, whose k-th distances bound its search; a group of fewer than ``k`` gives no bound.
-2. It meets the groups, and of these the blocks, that the bound lets through, and the best ``k`` of all are kept.
-
-The pivots are all that passes the driver. Blocks of a group are dealt to ``SALTS`` parts, so a group that holds a large part of the rows, or is asked by a
-large part of the queries, is spread.
+So a vector travels once for ``SHELF`` queries, and of the pairs nothing travels but each query's final list. The pivots are all that passes the driver.
+A group that holds a large part of the rows, or of the queries, is spread over several shelves.
 """
 
 from __future__ import annotations
@@ -16,24 +14,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.sources.lineage import written
 
-from .vector import nearest
+from .vector import SLICE
 
 PIVOTS = 64
 SAMPLE = 2048
-SALTS = 8
-VECTOR_BLOCK = 2048
+VECTOR_BLOCK = 1024
 QUERY_BLOCK = 256
+#: Queries that a task holds.
+SHELF = 1 << 16
+#: Vector blocks that a shelf takes up at once, to meet the nearest ones first.
+WAITING = 32
+NONE = np.iinfo(np.int64).max
 
-BLOCKS = "group int, salt int, block long, n int, centre array<double>, radius double, ids array<long>, rows binary"
+BLOCKS = "group int, block long, n int, centre array<double>, radius double, ids array<long>, rows binary"
 
 
 def pivots_of(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -77,14 +78,14 @@ def _blocks(pivots: dict[int, np.ndarray], size: int):
                 part = x[at : at + size]
                 centre = part.mean(0)
                 radius = float(np.sqrt(((part - centre) ** 2).sum(1).max()))
-                rows.append((group, made % SALTS, base + made, len(part), centre.tolist(), radius, ids[at : at + size].tolist(), part.tobytes()))
+                rows.append((group, base + made, len(part), centre.tolist(), radius, ids[at : at + size].tolist(), part.tobytes()))
                 made += 1
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
             rows.clear()
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64()), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["group", "salt", "block", "n", "centre", "radius", "ids", "rows"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64()), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["group", "block", "n", "centre", "radius", "ids", "rows"])
 
         for batch in batches:
             seq = batch.column(0).to_numpy(zero_copy_only=False)
@@ -109,26 +110,100 @@ def _blocks(pivots: dict[int, np.ndarray], size: int):
     return run
 
 
-def apart(a: Column, b: Column) -> Column:
-    """The distance of two centres."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+class _Shelf:
+    """The query blocks of a task, by dimension, with each query's nearest rows so far."""
+
+    def __init__(self, k: int, digits: int):
+        self.k, self.digits, self.met = k, digits, 0
+        self.queries: dict[int, list] = {}
+        self.waiting: list = []
+
+    def put(self, centre: np.ndarray, radius: float, ids: np.ndarray, q: np.ndarray) -> None:
+        n = len(ids)
+        self.queries.setdefault(q.shape[1], []).append((centre, radius, ids, q, (q * q).sum(1), np.full((n, self.k), np.inf), np.full((n, self.k), NONE)))
+
+    def pass_by(self, *block) -> None:
+        self.waiting.append(block)
+        if len(self.waiting) >= WAITING:
+            self.meet()
+
+    def meet(self) -> None:
+        """The waiting vector blocks with each query block, nearest first, up to the first that is too far."""
+        for d, held in self.queries.items():
+            near = [w for w in self.waiting if w[3].shape[1] == d]
+            if not near:
+                continue
+            norms = [(w[3] * w[3]).sum(1) for w in near]
+            centres, radii = np.array([w[0] for w in near]), np.array([w[1] for w in near])
+            for q in held:
+                least = np.sqrt(((centres - q[0]) ** 2).sum(1)) - radii - q[1]
+                for i in np.argsort(least, kind="stable").tolist():
+                    if least[i] > np.sqrt(q[5][:, -1].max() + 10.0**-self.digits) * (1 + 1e-9) + 1e-9:
+                        break
+                    self.met += 1
+                    self._pair(q, near[i][2], near[i][3], norms[i])
+        self.waiting.clear()
+
+    def _pair(self, held: tuple, own: np.ndarray, x: np.ndarray, norms: np.ndarray) -> None:
+        """A matrix product finds which rows can be among the nearest, exact distances decide."""
+        _, _, _, q, squares, dist, seq = held
+        k, last = self.k, dist[:, -1]
+        rough = squares[:, None] + norms - 2 * (q @ x.T)
+        limit = last
+        if len(x) > k and np.isinf(last).any():
+            limit = np.minimum(last, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        # the product is off by rounding alone; what lies within that and one digit of the k-th stays
+        slack = 10.0**-self.digits + 1e-12 * (norms.max() + squares.max())
+        at, of = np.nonzero(rough <= (limit + 2 * slack)[:, None])
+        if not len(at):
+            return
+        found = np.concatenate([((x[of[i : i + SLICE]] - q[at[i : i + SLICE]]) ** 2).sum(1) for i in range(0, len(at), SLICE)])
+        found = np.floor(found * 10**self.digits + 0.5) / 10**self.digits
+        better = (found < last[at]) | ((found == last[at]) & (own[of] < seq[at, -1]))
+        at, of, found = at[better], of[better], found[better]
+        rows = np.unique(at)
+        row = np.concatenate([np.repeat(np.arange(len(rows)), k), np.searchsorted(rows, at)])
+        every, names = np.concatenate([dist[rows].ravel(), found]), np.concatenate([seq[rows].ravel(), own[of]])
+        order = np.lexsort((names, every, row))
+        top = order[np.searchsorted(row[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+        dist[rows], seq[rows] = every[top], names[top]
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        self.meet()
+        for held in self.queries.values():
+            for _, _, ids, _, _, dist, seq in held:
+                full = seq != NONE
+                yield pa.record_batch([pa.array(np.repeat(ids, self.k)[full.ravel()], pa.int64()), pa.array(seq[full], pa.int64()), pa.array(dist[full], pa.float64())], ["query_id", "seq", "dist"])
+
+
+def _searched(k: int, digits: int, count: bool = False):
+    """Rows (turn, shelf, centre, radius, ids, rows), sorted by shelf and turn, to the nearest ``k`` rows of each query, or to the pairs of blocks that were met."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shelf, number = None, None
 
-def _searched(k: int, digits: int):
-    """Pairs of blocks to the nearest ``k`` rows of the one for each query of the other. A query's best are kept over the pairs of a batch."""
+        def out() -> Iterator[pa.RecordBatch]:
+            hits = list(shelf.hits())
+            return iter([pa.record_batch([pa.array([shelf.met], pa.int64())], ["met"])] if count else hits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["rows"]).reshape(row["n"], -1)
-                q = np.frombuffer(row["q_rows"]).reshape(row["q_n"], -1)
-                found: pd.DataFrame = nearest(x, np.array(row["ids"]), row["q_ids"], q, k, digits)
-                yield pa.record_batch([pa.repeat(pa.scalar(row["q_block"], pa.int64()), len(found)), pa.array(found["query_id"], pa.int64()), pa.array(found["seq"], pa.int64()), pa.array(found["dist"], pa.float64())], ["q_block", "query_id", "seq", "dist"])
+            turn, place, centre, radius, ids, rows = batch.columns
+            for i in range(batch.num_rows):
+                if place[i].as_py() != number:
+                    if shelf is not None:
+                        yield from out()
+                    shelf, number = _Shelf(k, digits), place[i].as_py()
+                own = ids[i].values.to_numpy(zero_copy_only=False)
+                # copied, as what waits outlives its batch
+                block = (centre[i].values.to_numpy(zero_copy_only=False).copy(), radius[i].as_py(), own.copy(), np.frombuffer(rows[i].as_py()).reshape(len(own), -1))
+                (shelf.pass_by if turn[i].as_py() else shelf.put)(*block)
+        if shelf is not None:
+            yield from out()
 
     return run
 
 
-HITS = "q_block long, query_id long, seq long, dist double"
+HITS = "query_id long, seq long, dist double"
 
 
 class Blocks:
@@ -143,48 +218,33 @@ class Blocks:
         chosen = pivots_of(rows, pivots)
         return cls(written(rows.mapInArrow(_blocks(chosen, VECTOR_BLOCK), BLOCKS), "vector-blocks"), chosen)
 
-    def groups(self) -> DataFrame:
-        """(group, heart, reach): each group's pivot, the origin where the sample had none, and how far from it its rows may lie."""
-        first = _group_numbers(self.pivots)
-        hearts = [(first[d] + i, x.tolist()) for d, p in self.pivots.items() for i, x in enumerate(p)]
-        known = self.table.sparkSession.createDataFrame(hearts, "group int, _pivot array<double>")
-        placed = self.table.select("group", "centre", "radius").join(F.broadcast(known), "group", "left")  # PIVOTS rows a dimension
-        placed = placed.withColumn("heart", F.coalesce("_pivot", F.array_repeat(F.lit(0.0), F.size("centre"))))
-        return placed.groupBy("group", "heart").agg(F.max(apart(F.col("centre"), F.col("heart")) + F.col("radius")).alias("reach"))
-
-    def pairs(self, queries: DataFrame, k: int, digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(hits of the own groups, their bounds by query block, the pairs of blocks that the bounds let through)."""
-        q = written(queries.mapInArrow(_blocks(self.pivots, QUERY_BLOCK), BLOCKS), "query-blocks").drop("salt")
-        q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
-        spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        own = q.withColumn("salt", spread).withColumn("group", F.col("q_group")).join(self.table, ["group", "salt"])
-        first = written(best(own.mapInArrow(_searched(k, digits), HITS), k).drop("rank"), "own-hits")
-        # the k-th distance of the worst query of a block; a query that has found fewer bounds nothing
-        each = first.groupBy("q_block", "query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_d"))
-        sizes = each.groupBy("q_block").agg(F.count(F.lit(1)).alias("_q"), F.min("_n").alias("_n"), F.max("_d").alias("_d"))
-        bound = q.select("q_block", "q_n").join(sizes, "q_block", "left").select("q_block", F.when((F.col("_q") == F.col("q_n")) & (F.col("_n") == k), F.sqrt(F.col("_d") + 10.0**-digits) * (1 + 1e-9) + 1e-9).alias("bound"))
-        # a few groups a query block: their number is fixed by the pivots
-        near = q.drop("q_rows", "q_ids").join(bound, "q_block").join(F.broadcast(self.groups()), F.size("q_centre") == F.size("heart"))
-        open_ = near.filter((F.col("group") != F.col("q_group")) & (F.col("bound").isNull() | (apart(F.col("q_centre"), F.col("heart")) - F.col("q_radius") - F.col("reach") <= F.col("bound"))))
-        asked = open_.select("q_block", "group", "bound").join(q, "q_block").withColumn("salt", spread)
-        met = asked.join(self.table, ["group", "salt"])
-        return first, bound, met.filter(F.col("bound").isNull() | (apart(F.col("q_centre"), F.col("centre")) - F.col("q_radius") - F.col("radius") <= F.col("bound")))
+    def shelves(self, queries: DataFrame) -> DataFrame:
+        """(turn, shelf, centre, radius, ids, rows): the query blocks on their shelves (turn 0), and for each shelf all vector blocks, those of its own groups (1) before
+        the others (2)."""
+        q = written(queries.mapInArrow(_blocks(self.pivots, QUERY_BLOCK), BLOCKS), "query-blocks")
+        blocks = q.count()
+        n = max(1, -(-blocks * QUERY_BLOCK // SHELF), min(q.sparkSession.sparkContext.defaultParallelism, blocks))
+        placed = written(q.repartitionByRange(n, "group", "block").withColumn("shelf", F.spark_partition_id()), "shelves")
+        homes = placed.select("shelf", "group").distinct().withColumn("_home", F.lit(1))  # pivots and shelves bound them, as shelves follow the groups
+        # numbers of the shelves
+        sent = self.table.crossJoin(F.broadcast(placed.select("shelf").distinct())).join(F.broadcast(homes), ["shelf", "group"], "left")
+        own = placed.withColumn("turn", F.lit(0))
+        both = own.unionByName(sent.withColumn("turn", F.when(F.col("_home").isNotNull(), 1).otherwise(2)).select(own.columns))
+        return both.select("turn", "shelf", "centre", "radius", "ids", "rows").repartitionById(n, F.col("shelf")).sortWithinPartitions("shelf", "turn")
 
     def top_k(self, queries: DataFrame, k: int, query_id: str = "query_id", embedding: str = "embedding", digits: int = 9) -> DataFrame:
         """(query_id, rank, seq, dist) as ``vector.top_k``, of the whole table."""
         asked = queries.select(F.col(query_id).cast("long").alias("seq"), F.col(embedding).cast("array<double>").alias("v")).filter("seq is not null and size(v) > 0")
-        first, _, met = self.pairs(asked, k, digits)
-        return best(first.unionByName(met.mapInArrow(_searched(k, digits), HITS)), k).select("query_id", "rank", "seq", "dist")
+        return best(self.shelves(asked).mapInArrow(_searched(k, digits), HITS), k).select("query_id", "rank", "seq", "dist")
 
     def passed_over(self, queries: DataFrame, k: int, query_id: str = "query_id", embedding: str = "embedding", digits: int = 9) -> DataFrame:
         """One row: pairs of query and vector blocks of one dimension, and how many of them are met."""
         asked = queries.select(F.col(query_id).cast("long").alias("seq"), F.col(embedding).cast("array<double>").alias("v")).filter("seq is not null and size(v) > 0")
-        _, bound, met = self.pairs(asked, k, digits)
+        met = self.shelves(asked).mapInArrow(_searched(k, digits, count=True), "met long").agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
         blocks = self.table.groupBy(F.size("centre").alias("d")).agg(F.count(F.lit(1)).alias("n"))
         q = asked.mapInArrow(_blocks(self.pivots, QUERY_BLOCK), BLOCKS)
         every = q.groupBy(F.size("centre").alias("d")).agg(F.count(F.lit(1)).alias("m")).join(blocks, "d").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
-        own = q.select("group").join(self.table.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own"))
-        return every.crossJoin(own).crossJoin(met.agg(F.count(F.lit(1)).alias("more"))).select("pairs", (F.col("own") + F.col("more")).alias("met"))  # one row each
+        return every.crossJoin(met).select("pairs", "met")  # one row each
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:

@@ -60,3 +60,16 @@ def test_many_queries_are_joined(spark, small, monkeypatch):
     few = sorted(map(tuple, vector.top_k(v, q, 3, v["seq"] % 2 == 0).collect()))
     monkeypatch.setattr(vector, "QUERY_BLOCK", 100)
     assert sorted(map(tuple, vector.top_k(v, q, 3, v["seq"] % 2 == 0).collect())) == few == brute(rows[::2], rows, 3)
+
+
+def test_vectors_travel_once_a_shelf(spark, small, monkeypatch):
+    """A vector block is sent once to a shelf of queries, whatever the number of groups; no list of a pair of blocks is sent."""
+    monkeypatch.setattr(vecjoin, "SHELF", 64)
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(3).normal(size=(600, 16)).tolist())]
+    v = spark.createDataFrame(rows, KIND).repartition(3)
+    blocks = vecjoin.Blocks.of(v)
+    sent = blocks.shelves(v.selectExpr("seq", "embedding v")).selectExpr("turn", "shelf", "size(ids) n").collect()
+    shelves = {r.shelf for r in sent if r.turn == 0}
+    assert len(shelves) > 4 and sum(r.n for r in sent if r.turn == 0) == 600
+    assert sum(r.n for r in sent if r.turn) == 600 * len(shelves)
+    assert sorted(map(tuple, blocks.top_k(v, 4, "seq").collect())) == brute(rows, rows, 4)

@@ -1,9 +1,10 @@
 """BM25 over materialised postings.
 
 The index is three tables: ``postings(term, seq, tf, len)``, ``terms(term, df, idf)`` and one row of corpus figures.
-A document is one row, so its tokens are counted where it lies, in Arrow batches: only a document's distinct terms leave
-the scan, and nothing is shuffled for the postings. A query batch touches only the postings of its own terms, by an equi-join;
-documents that share no term are never read.
+A document is one row, so its tokens are counted where it lies, in Arrow batches: for the terms' figures a task adds up its own documents first, and
+nothing is shuffled for the postings. The terms of a batch of up to ``TRAVELLING`` query terms travel to the documents: where an index was just built, a task
+scores its documents as it reads them; of a stored index the postings of the batch's terms, each once, meet by document. Either way a task keeps
+the best ``k`` of each query, so no pair of query and document travels but those. A larger batch meets the postings in an equi-join.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,14 +32,20 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
-    #: What ``docs`` and ``postings`` are made from, if the index was just built.
-    counted: DataFrame | None = None
+    #: The (seq, text) that the other tables are made from and the terms' figures, if the index was just built.
+    texts: DataFrame | None = None
+    figures: DataFrame | None = None
 
     def _held(self) -> list[DataFrame]:
-        return [*([self.docs, self.postings] if self.counted is None else [self.counted]), self.terms, self.stats]
+        return [*([self.docs, self.postings] if self.texts is None else [self.figures]), self.terms, self.stats]
+
+    @cached_property
+    def single(self) -> bool:
+        """Whether every document is one row of ``texts``."""
+        return self.texts is not None and self.texts.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
     def persist(self) -> LexicalIndex:
-        """Keeps the tables for several uses; ``release`` lets them go. A lost executor's part is counted again."""
+        """Keeps the tables for several uses, of an index that was just built the figures alone; ``release`` lets them go. A lost executor's part is counted again."""
         for t in self._held():
             t.persist()
         return self
@@ -48,7 +57,7 @@ class LexicalIndex:
     def write(self, path: str) -> None:
         """Postings sorted by term inside files, so that a term's rows are found by file statistics."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "seq").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("term", "seq").sortWithinPartitions("term", "seq").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -88,9 +97,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def with_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf) of all terms."""
-    return idf_of(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, text) to partial sums (term, df, n): the documents of each term; without a term, the documents with words and their words."""
+    df: Counter = Counter()
+    docs = words = 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array([None, *df], pa.string()), pa.array([docs, *df.values()], pa.int64()), pa.array([words, *[0] * len(df)], pa.int64())], ["term", "df", "n"])
+        df.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(1):
+            tokens = (text.as_py() or "").split()
+            if tokens:
+                docs, words = docs + 1, words + len(tokens)
+                df.update(set(tokens))
+                if len(df) >= 4 * ROWS:
+                    yield flush()
+                    docs = words = 0
+    yield flush()
 
 
 def idf_of(terms: DataFrame, stats: DataFrame) -> DataFrame:
@@ -108,8 +134,10 @@ def build(docs: DataFrame, seq: str = "seq", text: str = "text") -> LexicalIndex
     counted = own.mapInArrow(_counted, "seq long, len int, term string, tf long")
     each = counted.filter("term is null").select("seq", "len")
     postings = counted.filter("term is not null").select("term", "seq", "tf", "len")
-    stats = each.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    return LexicalIndex(each, postings, with_idf(postings, stats), stats, counted)
+    figures = own.mapInArrow(_figures, "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    whole = figures.filter("term is null")
+    stats = whole.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.sum(F.col("n") / F.nullif(F.col("df"), F.lit(0))).alias("avg_len"))
+    return LexicalIndex(each, postings, idf_of(figures.filter("term is not null").select("term", "df"), stats), stats, own, figures)
 
 
 def score(index: LexicalIndex, queries: DataFrame, query_id: str | list[str] = "query_id", text: str = "query") -> DataFrame:
@@ -122,6 +150,130 @@ def score(index: LexicalIndex, queries: DataFrame, query_id: str | list[str] = "
     return hits.groupBy(*ids, "seq").agg(T.rounded(F.sum(weight), 9).alias("score"))
 
 
+#: Query terms that travel to the documents.
+TRAVELLING = 1 << 17
+#: Pairs of query and document that a task scores at once.
+PAIRS = 1 << 16
+#: Stands for a null id in a task, and sorts first, too.
+NO_ID = -(1 << 63)
+
+
+class _Asked:
+    """A batch of queries in a task: their terms with weights, and the best ``k`` documents of each so far.
+
+    ``rows(query, term, weight)`` are sorted by term; a term's number is its place among the distinct ones.
+    """
+
+    def __init__(self, queries: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, avg_len: float):
+        self.queries, self.weights, self.k, self.avg_len, self.n = queries, weights, k, avg_len, n
+        self.start = np.searchsorted(terms, np.arange(terms[-1] + 2))
+        self.scores, self.seqs = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.full = np.zeros((n, k), bool)
+
+    def add(self, seq: np.ndarray, lens: np.ndarray, at: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        """Whole documents: ``seq`` and ``lens``, and for each of their terms the document's place, the term's number and its count; ``at`` ascends."""
+        size = max(1, PAIRS // self.n)
+        for low in range(0, len(seq), size):
+            i, j = np.searchsorted(at, (low, low + size))
+            if j > i:
+                self._add(seq[low : low + size], lens[low : low + size], at[i:j] - low, term[i:j], tf[i:j].astype(np.float64))
+
+    def _add(self, seq: np.ndarray, lens: np.ndarray, at: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[at] / self.avg_len))
+        first, times = self.start[term], self.start[term + 1] - self.start[term]
+        row = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        key = self.queries[row] * len(seq) + np.repeat(at, times)
+        size = self.n * len(seq)
+        score = np.floor(np.bincount(key, self.weights[row] * np.repeat(weight, times), size) * 1e9 + 0.5) / 1e9
+        met = np.bincount(key, minlength=size) > 0
+        q, d = np.nonzero(met.reshape(self.n, -1) & (score.reshape(self.n, -1) >= self.scores[:, -1][:, None]))
+        if not len(q):
+            return
+        k, rows = self.k, np.unique(q)
+        row = np.concatenate([np.repeat(np.arange(len(rows)), k), np.searchsorted(rows, q)])
+        scores, seqs = np.concatenate([self.scores[rows].ravel(), score[q * len(seq) + d]]), np.concatenate([self.seqs[rows].ravel(), seq[d]])
+        full = np.concatenate([self.full[rows].ravel(), np.ones(len(q), bool)])
+        order = np.lexsort((seqs, -scores, ~full, row))
+        top = order[np.searchsorted(row[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+        self.scores[rows], self.seqs[rows], self.full[rows] = scores[top], seqs[top], full[top]
+
+    def hits(self) -> pa.RecordBatch:
+        q, i = np.nonzero(self.full)
+        return pa.record_batch([pa.array(q, pa.int64()), pa.array(self.seqs[q, i], pa.int64()), pa.array(self.scores[q, i])], ["q", "seq", "score"])
+
+
+def _of_texts(numbers: dict[str, int], asked: tuple):
+    """(seq, text) to the best of each query in this task."""
+    known = numbers.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ = _Asked(*asked)
+        for batch in batches:
+            seqs = batch.column(0).to_numpy(zero_copy_only=False)
+            at, lens, terms, tfs = [], np.zeros(len(seqs), np.int64), [], []
+            for i, text in enumerate(batch.column(1)):
+                tokens = (text.as_py() or "").split()
+                lens[i] = len(tokens)
+                own = Counter(tokens)
+                mine = own.keys() & known
+                at += [i] * len(mine)
+                terms += [numbers[t] for t in mine]
+                tfs += [own[t] for t in mine]
+            best_.add(seqs, lens, np.array(at, np.int64), np.array(terms, np.int64), np.array(tfs, np.int64))
+        yield best_.hits()
+
+    return run
+
+
+def _of_postings(asked: tuple):
+    """(seq, t, tf, len), sorted by seq, to the best of each query in this task. A document's rows may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ = _Asked(*asked)
+        left = [np.zeros(0, np.int64)] * 4
+
+        def add(rows: list[np.ndarray]) -> None:
+            seq, term, tf, lens = rows
+            own, first, at = np.unique(seq, return_index=True, return_inverse=True)
+            best_.add(own, lens[first], at, term, tf)
+
+        for batch in batches:
+            rows = [np.concatenate([a, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for a, c in zip(left, batch.columns, strict=True)]
+            whole = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
+            add([r[:whole] for r in rows])
+            left = [r[whole:] for r in rows]
+        add(left)
+        yield best_.hits()
+
+    return run
+
+
+def scored(index: LexicalIndex, queries: DataFrame, k: int, ids: list[str], text: str = "query") -> DataFrame:
+    """(ids, seq, score): the ``k`` best of the documents of ``score`` for each query."""
+    q = queries.select(*ids, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("times"))
+    known = q.join(index.terms, "term").select("term", *ids, "times", "idf").limit(TRAVELLING + 1).collect()
+    if len(known) > TRAVELLING or (index.texts is not None and not index.single):
+        return best(score(index, queries, ids, text), k, ids).drop("rank")
+    spark, kinds = queries.sparkSession, queries.select(*ids).schema
+    named = list(dict.fromkeys(tuple(r[1 : 1 + len(ids)]) for r in known))
+    place = {name: i for i, name in enumerate(named)}
+    names = spark.createDataFrame([(i, *n) for i, n in enumerate(named)], "q long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds))
+    if not known:
+        return names.select(*ids, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("score"))
+    known.sort(key=lambda r: r[0])
+    numbers = {t: i for i, t in enumerate(dict.fromkeys(r[0] for r in known))}
+    rows = [np.array([place[tuple(r[1 : 1 + len(ids)])] for r in known]), np.array([numbers[r[0]] for r in known]), np.array([r["times"] * r["idf"] for r in known], np.float64)]
+    asked = (*rows, len(named), k, index.stats.first()["avg_len"])
+    kind, known_id = "q long, seq long, score double", F.coalesce("seq", F.lit(NO_ID))
+    if index.texts is not None:
+        hits = index.texts.withColumn("seq", known_id).mapInArrow(_of_texts(numbers, asked), kind)
+    else:
+        table = spark.createDataFrame(list(numbers.items()), "term string, t int")  # the batch's terms
+        own = index.postings.join(F.broadcast(table), "term").select(known_id.alias("seq"), "t", "tf", "len")
+        hits = own.repartition("seq").sortWithinPartitions("seq").mapInArrow(_of_postings(asked), kind)
+    return best(hits, k, ["q"]).join(F.broadcast(names), "q").select(*ids, F.nullif(F.col("seq"), F.lit(NO_ID)).alias("seq"), "score")
+
+
 def best(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str | list[str] = "seq", down: bool = True) -> DataFrame:
     """The first ``k`` of each group, ties by ``tie``, with their rank."""
     order = F.col(score).desc() if down else F.col(score).asc()
@@ -139,7 +291,8 @@ def top_k(index: LexicalIndex, queries: DataFrame, k: int, query_id: str | list[
 
         return blockmax.top_k(index, queries, k, query_id, text)
     ids = [query_id] if isinstance(query_id, str) else query_id
-    return filled(best(score(index, queries, ids, text), k, ids).drop("rank"), queries, index.docs, k, ids)
+    docs = index.docs if index.texts is None else index.texts.filter(~T.is_blank(F.col("text")))
+    return filled(scored(index, queries, k, ids, text), queries, docs, k, ids)
 
 
 def filled(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, ids: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
 from tarn.operators import context, embed, fusion, lexical, profile, rerank, retrieve, vector
 
 
@@ -174,3 +176,24 @@ def test_retrieve_sections(spark):
     q = spark.createDataFrame([(1, "two three", "summary", ["section"])], "query_id long, query string, intent string, node_types array<string>")
     out = retrieve.retrieve(retrieve.Corpus.of(passages, nodes=nodes), q).orderBy("slot").collect()
     assert out[0].packed_id == "s"
+
+
+def test_bm25_pairs_stay_in_their_task(spark, tmp_path, monkeypatch):
+    """What a task hands on is k rows a query, of a built index and of a stored one; larger batches, repeated and null ids give the same list by a join."""
+    rows = [(i, " ".join(["the", f"w{i % 7}", f"x{i % 3}", "of"] * (1 + i % 4))) for i in range(120)] + [(None, "the w1 w1"), (200, None), (201, " ")]
+    docs = spark.createDataFrame(rows, "seq long, text string").repartition(3)
+    q = spark.createDataFrame([("a", 1, "the w1"), ("a", 2, "of x2 the the"), ("b", 1, "nothing"), ("b", 2, None), (None, 3, "w3")], "name string, part int, query string")
+    got = lambda df: sorted(map(tuple, df.collect()), key=str)
+    built = lexical.build(docs)
+    want = got(lexical.best(lexical.score(built, q, ["name", "part"]), 4, ["name", "part"]).drop("rank"))
+    assert len(want) == 12 and got(lexical.scored(built, q, 4, ["name", "part"])) == want
+    built.write(str(tmp_path / "index"))
+    assert got(lexical.scored(lexical.LexicalIndex.read(spark, str(tmp_path / "index")), q, 4, ["name", "part"])) == want
+    monkeypatch.setattr(lexical, "score", lambda *a: pytest.fail("joined"))
+    assert got(lexical.scored(built, q, 4, ["name", "part"])) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(lexical, "TRAVELLING", 3)
+    assert got(lexical.scored(built, q, 4, ["name", "part"])) == want
+    monkeypatch.undo()
+    twice = lexical.build(docs.union(docs.filter("seq < 5")))
+    assert got(lexical.scored(twice, q, 4, ["name", "part"])) == got(lexical.best(lexical.score(twice, q, ["name", "part"]), 4, ["name", "part"]).drop("rank"))

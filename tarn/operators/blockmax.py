@@ -35,6 +35,8 @@ from .lexical import K1, B, best
 #: Postings of a block, and those a task orders at once.
 BLOCK = 128
 CHUNK = 1 << 20
+#: Counted terms that a task holds as Python objects.
+COUNTED = 1 << 16
 #: The first pass reads terms until their lists have so many times k postings, and scores so many times k documents exactly.
 SEED_POSTINGS = 20
 SEEDS = 8
@@ -73,15 +75,25 @@ class BlockIndex:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seq, text) to one row a document that has a token."""
+    rows: list = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        rows.clear()
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], ["seq", "len", "terms", "tfs"])
+
     for batch in batches:
-        rows: list = []
         for seq, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             tokens = (text.as_py() or "").split()
             if tokens:
                 own = Counter(tokens)
                 rows.append((seq, len(tokens), list(own), list(own.values())))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())), strict=True)], ["seq", "len", "terms", "tfs"])
+                held += len(own)
+                if held >= COUNTED:
+                    yield flush()
+                    held = 0
+    yield flush()
 
 
 def weight(tf, length, average: float):

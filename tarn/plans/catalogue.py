@@ -661,7 +661,8 @@ def node_store_upsert(spark, sf_dir):
 def incremental_postings(spark, sf_dir):
     """Documents that a stream of files brings, indexed as they come."""
     base = shared_path(spark, "stream")
-    corpus(spark, sf_dir).select("seq", "text").repartition(3).write.parquet(f"{base}/in")
+    docs = corpus(spark, sf_dir).select("seq", "text")
+    docs.repartition(max(3, docs.rdd.getNumPartitions())).write.parquet(f"{base}/in")
     session.ingest(spark, f"{base}/in", f"{base}/postings", f"{base}/state").awaitTermination()
     return session.index_of(spark, f"{base}/postings").terms.select("term", "df", T.rounded(F.col("idf"), 6).alias("idf"))
 

@@ -22,6 +22,14 @@ DIMENSIONS = 384
 SUMS = 4096
 
 
+def _vectors(rows: list[np.ndarray | None]) -> pa.Array:
+    """Vectors as one Arrow list array, without a Python object a component."""
+    ends = np.cumsum([0] + [0 if v is None else len(v) for v in rows]).astype(np.int32)
+    flat = [v for v in rows if v is not None]
+    mask = pa.array([v is None for v in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0), pa.float64()), mask=mask)
+
+
 def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """SHA-256 digests of the text with a 4-byte little-endian counter, one after the other; every byte is a component between 0 and 1."""
     digests = [F.sha2(F.concat(F.coalesce(text, F.lit("")).cast("binary"), F.unhex(F.lit((i).to_bytes(4, "little").hex()))), 256) for i in range(-(-dimensions // 32))]
@@ -75,14 +83,14 @@ def pooled(nodes: DataFrame, parent: str = "parent_id", embedding: str = "embedd
                 else:
                     held[0] += x
                     held[1] += n
-            if len(sums) >= SUMS:
-                yield pack(sums)
+                if len(sums) >= SUMS:
+                    yield pack(sums)
         yield pack(sums)
 
     def pack(sums: dict) -> pa.RecordBatch:
         keys, values = list(sums), list(sums.values())
         sums.clear()
-        return pa.record_batch([pa.array(keys, kind), pa.array([None if s is None else s.tolist() for s, _ in values], pa.list_(pa.float64())), pa.array([n for _, n in values], pa.int64())], ["parent", "embedding", "children"])
+        return pa.record_batch([pa.array(keys, kind), _vectors([s for s, _ in values]), pa.array([n for _, n in values], pa.int64())], ["parent", "embedding", "children"])
 
     own = nodes.filter(F.col(embedding).isNotNull() & F.col(parent).isNotNull()).select(F.col(parent).alias("parent"), F.col(embedding).cast("array<double>").alias("embedding"), F.lit(1).cast("long").alias("children"))
     kind = to_arrow_type(own.schema["parent"].dataType)
@@ -99,14 +107,14 @@ def _lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict = {}
 
     def pack() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["of", "part"])
+        out = pa.record_batch([pa.array(list(sums), pa.string()), _vectors(list(sums.values()))], ["of", "part"])
         sums.clear()
         return out
 
     for batch in batches:
-        for ups, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for ups, v in zip(batch.column(0), batch.column(1), strict=True):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            for up in ups:
+            for up in ups.as_py():
                 held = sums.get(up["a"])
                 if held is None:
                     sums[up["a"]] = up["w"] * x
@@ -114,8 +122,8 @@ def _lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held += up["w"] * x
                 else:
                     sums[up["a"]] = np.zeros(0)
-        if len(sums) >= SUMS:
-            yield pack()
+            if len(sums) >= SUMS:
+                yield pack()
     yield pack()
 
 

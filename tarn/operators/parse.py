@@ -6,10 +6,10 @@ source, page`` and ``ancestors`` (ids from the root down). Orders count through
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,21 +58,52 @@ def _paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     return body.select(*keys, F.posexplode(T.split_paragraphs(F.col("_body"))).alias("_i", "text"))
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once a row; an expression used inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _text_entries(lines: Column, stem: Column, root_text: Column) -> Column:
+    """A file's nodes in order from its root: (kind, title, text, heading, back), ``back`` being how far before the node its section stands, null below the root."""
+    none = F.lit(None).cast("string")
+
+    def entry(kind: str, title: Column, text: Column, heading: Column, back: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), title.alias("title"), text.alias("text"), heading.alias("heading"), back.cast("int").alias("back"))
+
+    def segment(ls: Column, ss: Column, hs: Column, h: Column, j: Column) -> Column:
+        body = F.array_join(F.slice(ls, h + 2, F.coalesce(F.get(hs, j), F.size(ls)) - h - 1), "\n")
+        title = F.when(h >= 0, F.regexp_replace(F.get(ss, h), "[:：]+$", ""))
+        own = F.when(h >= 0, F.array(entry("section", title, F.lit(""), title, F.lit(None)))).otherwise(F.array().cast(own_kind))
+        return F.concat(own, F.transform(T.split_paragraphs(body), lambda t, i: entry("paragraph", none, t, title, F.when(h >= 0, i + 1))))
+
+    own_kind = "array<struct<kind:string,title:string,text:string,heading:string,back:int>>"
+
+    def all_of(ls: Column, ss: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: T.heading_line(F.get(ss, i), F.coalesce(F.get(ss, i - 1), F.lit("")) == "", F.coalesce(F.get(ss, i + 1), F.lit("")) == ""))
+        return _let(heads, lambda hs: F.flatten(F.transform(F.concat(F.array(F.lit(-1)), hs), lambda h, j: segment(ls, ss, hs, h, j))))
+
+    body = _let(lines, lambda ls: _let(F.transform(ls, T.strip), lambda ss: all_of(ls, ss)))
+    return F.concat(F.array(entry("document", stem, root_text, none, F.lit(None))), body)
+
+
 def plain_text(files: DataFrame) -> DataFrame:
-    """Plain text: flat sections from lines that look like headings; a trailing colon is not part of a title. Relational throughout."""
-    named = _lines(files).withColumn("root_text", T.normalize_text(F.col("text")))
-    by_line = W.partitionBy("doc_id").orderBy("at")
-    lines = named.select("doc_id", F.posexplode("lines").alias("at", "line"))
-    lines = lines.withColumn("_head", T.text_heading(F.col("line"), F.lag("line").over(by_line), F.lead("line").over(by_line)))
-    lines = lines.withColumn("head", F.last(F.when(F.col("_head"), F.col("at")), ignorenulls=True).over(by_line))
-    titles = lines.filter("_head").select("doc_id", F.col("at").alias("head"), F.regexp_replace(T.strip(F.col("line")), "[:：]+$", "").alias("title"))
-    none = F.array().cast("array<long>")
-    sections = titles.select("doc_id", F.struct((F.col("head") * 2 + 1).cast("long").alias("a"), F.lit(-1).alias("b")).alias("place"), F.lit("section").alias("kind"), "title", F.lit("").alias("text"), F.lit(1).alias("depth"), F.array("title").alias("section_path"), F.lit(None).cast("int").alias("page"), none.alias("_up"))
-    paras = _paragraphs(lines.filter("not _head"), ["doc_id", "head"]).join(titles, ["doc_id", "head"], "left")
-    start = F.coalesce(F.col("head") * 2 + 1, F.lit(0)).cast("long")
-    body = paras.select("doc_id", F.struct(start.alias("a"), F.col("_i").alias("b")).alias("place"), F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("title"), "text", F.when(F.col("head").isNull(), 1).otherwise(2).alias("depth"), F.when(F.col("title").isNotNull(), F.array("title")).otherwise(F.array().cast("array<string>")).alias("section_path"), F.lit(None).cast("int").alias("page"), F.when(F.col("head").isNotNull(), F.array(start)).otherwise(none).alias("_up"))
-    every = sections.unionByName(body)
-    return _assembled(named, every.withColumn("chain", F.transform("_up", lambda a: F.struct(a.alias("a"), F.lit(-1).alias("b")))).drop("_up"), "txt")
+    """Plain text: flat sections from lines that look like headings; a trailing colon is not part of a title.
+
+    A file is a row, so its nodes are made where it lies, by array functions: nothing is shuffled.
+    """
+    named = _lines(files)
+    entries = _text_entries(F.col("lines"), F.col("stem"), T.normalize_text(F.col("text")))
+    e = named.select("doc_id", "source", "file_name", "stem", F.posexplode(entries).alias("order", "e")).select("doc_id", "source", "file_name", "stem", "order", "e.*")
+    none = F.array().cast("array<string>")
+    root, inner = F.col("kind") == "document", F.col("back").isNotNull()
+    root_id = T.node_id(F.col("doc_id"), F.lit("document"), F.lit(0))
+    section_id = T.node_id(F.col("doc_id"), F.lit("section"), F.col("order") - F.col("back"))
+    path = F.when(F.col("heading").isNotNull(), F.array("heading")).otherwise(none)
+    return e.select(
+        T.node_id(F.col("doc_id"), F.col("kind"), F.col("order")).alias("node_id"), F.when(root, F.lit(None)).when(inner, section_id).otherwise(root_id).alias("parent_id"), "doc_id", F.col("kind").alias("node_type"), "title", "text", "order",
+        F.when(root, 0).when(inner, 2).otherwise(1).alias("level"), path.alias("section_path"), F.concat(F.array("stem"), path).alias("title_path"), "source", "file_name", F.lit("txt").alias("source_type"), F.lit(None).cast("int").alias("page"),
+        F.when(root, none).when(inner, F.array(root_id, section_id)).otherwise(F.array(root_id)).alias("ancestors"),
+    )
 
 
 def paged(pages: DataFrame) -> DataFrame:

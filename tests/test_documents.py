@@ -97,3 +97,12 @@ def test_files(spark, tmp_path):
         files.pages(spark, str(tmp_path), None)
     (tmp_path / "d.pdf").write_bytes(b"p1|p2")
     assert [x.page for x in files.pages(spark, str(tmp_path), lambda b: b.decode().split("|")).orderBy("page").collect()] == [1, 2]
+
+
+def test_plain_text_needs_no_exchange(spark):
+    """A file's nodes are made in its own row."""
+    df = parse.plain_text(spark.createDataFrame([("/a/b.txt", "Title\n\nbody\n\nmore")], "path string, text string").repartition(2).cache())
+    plan = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange" not in plan and "Window" not in plan
+    rows = {r.node_type + str(r.order): r for r in df.collect()}
+    assert rows["paragraph2"].parent_id == rows["section1"].node_id and rows["paragraph3"].ancestors == [rows["document0"].node_id, rows["section1"].node_id]

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.sources.lineage import written
 
 from . import vector
 
@@ -87,18 +88,25 @@ def claimed(keys: DataFrame) -> DataFrame:
     return keys.groupBy("query_id").applyInPandas(fold, f"query_id {kinds['query_id']}, at {kinds['at']}, first {kinds['at']}")
 
 
+def keyed(passages: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_key`` and ``_text_key``, by which ``deduplicated`` tells candidates apart: a passage's are computed once, however many queries it is a candidate of."""
+    has = lambda c: F.col(c) if c in passages.columns else None
+    digest = T.document_key(F.col(text), source=has("source"), page=has("page"))
+    key = F.coalesce(F.nullif(T.strip(F.coalesce("node_id", F.lit(""))), F.lit("")), digest) if "node_id" in passages.columns else digest
+    return passages.withColumns({"_key": key, "_text_key": F.sha2(T.dedupe_key(F.coalesce(text, F.lit(""))), 256)})
+
+
 def deduplicated(candidates: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
     """Candidates with one id, or one folded text, are merged as ``claimed`` says: the first one's passage stays, with the largest score and, for each
     source, the last score given. The id is ``node_id``; where that is blank or missing, a digest of source, page and text.
     """
-    names = [c for c in candidates.columns if c not in ("query_id", score, "at", "vector", "bm25", "structured")]
-    has = lambda c: F.col(c) if c in candidates.columns else None
-    digest = T.document_key(F.col(text), source=has("source"), page=has("page"))
-    key = F.coalesce(F.nullif(T.strip(F.coalesce("node_id", F.lit(""))), F.lit("")), digest) if "node_id" in candidates.columns else digest
-    first = claimed(candidates.select("query_id", "at", key.alias("key"), T.dedupe_key(F.coalesce(text, F.lit(""))).alias("text_key")))
-    keyed = candidates.join(first.withColumnRenamed("first", "_to"), ["query_id", "at"])
+    sources = [c for c in ("vector", "bm25", "structured") if c in candidates.columns]
+    names = [c for c in candidates.columns if c not in ("query_id", score, "at", "_key", "_text_key", *sources)]
+    own = candidates if "_key" in candidates.columns else keyed(candidates, text)
+    # merged without the passages, of which the first ones alone are looked up again
+    slim = written(own.select("query_id", "at", score, *sources, "_key", "_text_key"), "candidates")
+    first = claimed(slim.select("query_id", "at", F.col("_key").alias("key"), F.col("_text_key").alias("text_key")))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    out = keyed.groupBy("query_id", "_to").agg(
-        F.min_by(F.struct(*names), "at").alias("_first"), F.max(score).alias(score), F.min("at").alias("at"), F.count(F.lit(1)).alias("merged"), *[last(c) for c in ("vector", "bm25", "structured") if c in candidates.columns]
-    )
-    return out.select("query_id", "_first.*", score, "at", "merged", *[c for c in ("vector", "bm25", "structured") if c in candidates.columns])
+    sums = [F.max(score).alias(score), F.count(F.lit(1)).alias("merged"), *[last(c) for c in sources]]
+    merged = slim.join(first.withColumnRenamed("first", "_to"), ["query_id", "at"]).groupBy("query_id", "_to").agg(*sums).withColumnRenamed("_to", "at")
+    return candidates.select("query_id", "at", *names).join(merged, ["query_id", "at"]).select("query_id", *names, score, "at", "merged", *sources)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as T
 
-from tarn.sources.lineage import cut
+from tarn.sources.lineage import among, cut, written
 
 from . import blockmax, context, embed, fusion, lexical, rerank, vector
 from .profile import Profile
@@ -42,10 +42,12 @@ class Corpus:
     @classmethod
     def of(cls, passages: DataFrame, embedder: Callable[[Column], Column] | None = None, nodes: DataFrame | None = None, pruned: bool = False) -> Corpus:
         """Vectors by ``embedder`` (the hashed embedding if none is given), unless passages bring an ``embedding``. ``pruned`` builds blocks of postings
-        with their largest weights, which takes longer and lets a search leave most of long lists unread: for large corpora."""
+        with their largest weights, which takes longer and lets a search leave most of long lists unread: for large corpora. Vectors of a given ``embedder``
+        are kept; hashed ones cost less anew than kept, as a vector takes as much room as a text."""
         fn = embedder or embed.hashed
-        vectors = passages.select("seq", (F.col("embedding") if "embedding" in passages.columns else fn(F.col("text"))).alias("embedding"))
-        return cls(passages.drop("embedding"), vectors.persist(), blockmax.build(passages) if pruned else lexical.build(passages).persist(), nodes)
+        brought = "embedding" in passages.columns
+        vectors = passages.select("seq", (F.col("embedding") if brought else fn(F.col("text"))).alias("embedding"))
+        return cls(passages.drop("embedding"), vectors.persist() if embedder and not brought else vectors, blockmax.build(passages) if pruned else lexical.build(passages).persist(), nodes)
 
     def release(self) -> None:
         """Lets go of what ``of`` keeps."""
@@ -60,13 +62,16 @@ def candidates(corpus: Corpus, planned: DataFrame, limits: Limits, embedder: Cal
     asked = subs.select("qs", "query", (embedder or embed.hashed)(F.col("query")).alias("embedding"))
     near = vector.top_k(corpus.vectors, asked, limits.fetch_k, query_id="qs").withColumnRenamed("query_id", "qs")
     words = lexical.top_k(corpus.index, asked.select("qs", "query"), limits.fetch_k, "qs")
-    both = fusion.fused(near, words, limits.alpha, by=("qs",))
-    out = both.join(subs.select("qs", "query_id", "sub"), "qs").drop("qs").join(corpus.passages, "seq").withColumns({"stage": F.lit(0), "structured": F.lit(None).cast("double")})
+    # the pools are ids and scores, read several times; their passages are picked out where they lie
+    both = written(fusion.fused(near, words, limits.alpha, by=("qs",)).join(subs.select("qs", "query_id", "sub"), "qs").drop("qs"), "pools")
+    held = cut(fusion.keyed(among(corpus.passages, both, "seq")))
+    out = both.join(held, "seq").withColumns({"stage": F.lit(0), "structured": F.lit(None).cast("double")})
     if corpus.nodes is not None:
         kinds = planned.join(subs.select("query_id", "sub", F.col("query").alias("_sub_query")), "query_id").filter(F.size(F.array_remove("node_types", "paragraph")) > 0)
         hits = lexical.structured(corpus.nodes, kinds, F.array_remove("node_types", "paragraph"), limits.fetch_k, ["query_id", "sub"], "_sub_query")
         shared = [c for c in corpus.passages.columns if c in corpus.nodes.columns and c not in ("node_id", "seq")]
-        found = hits.select("query_id", "sub", "node_id", "score", F.col("rank").alias("place")).join(corpus.nodes.select("node_id", *shared), "node_id")
+        hits = written(hits.select("query_id", "sub", "node_id", "score", F.col("rank").alias("place")), "structured")
+        found = hits.join(cut(fusion.keyed(among(corpus.nodes.select("node_id", *shared), hits, "node_id"))), "node_id")
         found = found.withColumns({"structured": F.col("score"), "stage": F.lit(1)})
         out = out.unionByName(found, allowMissingColumns=True)
     return fusion.listed(out)
@@ -94,8 +99,11 @@ def ranked(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, pro
 def retrieve(corpus: Corpus, queries: DataFrame, limits: Limits | None = None, profile: Profile | None = None, scorer: rerank.Scorer | None = None, embedder: Callable[[Column], Column] | None = None, counter: Callable[[Column], Column] = T.token_count) -> DataFrame:
     """The packed passages of each query in slots from 0, with ``total_tokens`` and ``dropped``."""
     limits = (limits or Limits()).checked()
+    order = ranked(corpus, queries, limits, profile, scorer, embedder)
+    if corpus.nodes is not None:
+        order = cut(order)  # its families are looked up before it is read
     # some hundred rows a query, read twice below
-    grown = cut(context.expanded(ranked(corpus, queries, limits, profile, scorer, embedder), corpus.nodes, counter))
+    grown = cut(context.expanded(order, corpus.nodes, counter))
     blank = lambda c: F.col(c) if c in grown.columns else None
     grown = grown.withColumn("packed_key", T.document_key(F.col("packed_text"), F.col("packed_id"), blank("source"), blank("page")))
     slots = context.packed(grown, limits.k, limits.token_budget)

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ QUERY_BLOCK = 1024
 #: Pairs whose exact distances are computed at once.
 SLICE = 1 << 14
 EPSILON = 1e-8
+#: Stands for a null id in a task, and sorts first, too.
+NO_ID = -(1 << 63)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -58,27 +62,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
         from .vecjoin import Blocks
 
         return Blocks.of(kept, seq, embedding).top_k(asked, k, query_id, embedding, digits)
-    rows = kept.select(F.col(seq).alias("seq"), F.col(embedding).alias("v")).filter("v is not null and size(v) > 0")
+    # no filter on the vectors: where they are computed from a text as they are read, it would compute them twice
+    rows = kept.select(F.coalesce(F.col(seq).cast("long"), F.lit(NO_ID)).alias("seq"), F.col(embedding).cast("array<double>").alias("v"))
     by_dim: dict[int, list] = {}
     for r in few:
         by_dim.setdefault(len(r[1]), []).append(r)
     mats = {d: ([r[0] for r in rs], np.array([r[1] for r in rs], np.float64)) for d, rs in by_dim.items()}
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sizes = pdf["v"].map(len)
+    kind = pa.schema([("query_id", pa.int64()), ("seq", pa.int64()), ("dist", pa.float64())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs, v = batch.column(0).to_numpy(), batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
             for d, (ids, q) in mats.items():
-                part = pdf[sizes == d]
-                if not len(part):
+                at = np.flatnonzero(sizes == d)
+                if not d or not len(at):
                     continue
-                x = np.array(part["v"].tolist(), np.float64)
+                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 fine = np.isfinite(x).all(1)
-                x, own = x[fine], part["seq"].to_numpy()[fine]
-                if not len(x):
-                    continue
-                yield nearest(x, own, ids, q, k, digits)
+                if fine.any():
+                    yield pa.RecordBatch.from_pandas(nearest(x[fine], seqs[at[fine]], ids, q, k, digits), kind, preserve_index=False)
 
-    out = rows.mapInPandas(near, "query_id long, seq long, dist double")
+    out = rows.mapInArrow(near, "query_id long, seq long, dist double").withColumn("seq", F.nullif(F.col("seq"), F.lit(NO_ID)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("dist", "seq"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "seq", "dist")
 

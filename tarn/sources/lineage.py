@@ -8,6 +8,10 @@ import uuid
 from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that travel to a table; more meet it in a join.
+KEYS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def among(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``table`` whose ``on`` is among ``keys``, a table cheap to read. Few keys travel to the table, which then isn't shuffled."""
+    wanted = keys.select(on).filter(F.col(on).isNotNull()).distinct()
+    few = wanted.limit(KEYS + 1).count() <= KEYS
+    return table.join(F.broadcast(wanted) if few else wanted, on, "left_semi")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, keeps columns apart and survives lost executors."""
     path = shared_path(df.sparkSession, name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from tarn.operators import context, embed, fusion, lexical, profile, rerank, retrieve, vector
+from tarn.sources import lineage
 
 
 def test_bm25_against_formula(spark):
@@ -197,3 +198,38 @@ def test_bm25_pairs_stay_in_their_task(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     twice = lexical.build(docs.union(docs.filter("seq < 5")))
     assert got(lexical.scored(twice, q, 4, ["name", "part"])) == got(lexical.best(lexical.score(twice, q, ["name", "part"]), 4, ["name", "part"]).drop("rank"))
+
+
+def test_a_retrieval_reads_each_text_few_times(spark, tmp_path, monkeypatch):
+    """Vectors and passages are computed once a retrieval, and a passage's keys once, however many queries it is a candidate of."""
+    docs = [(i, f"word{i % 5} other {i}", "s") for i in range(40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    passages = spark.createDataFrame(docs, "seq long, text string, source string").mapInArrow(seen, "seq long, text string, source string")
+    q = spark.createDataFrame([(i, f"word{i % 5}") for i in range(20)], "query_id long, query string")
+    corpus = retrieve.Corpus.of(passages)
+    assert not corpus.vectors.is_cached
+    assert retrieve.retrieve(corpus, q).count() > 20
+    assert read.value <= 7 * len(docs)
+    corpus.release()
+
+
+def test_keys_of_passages_do_not_change_what_is_merged(spark):
+    rows = [(1, i, 1.0 / i, f" Text  {i % 3}" if i % 2 else f"text {i % 3}", f"n{i % 4}" if i % 5 else None, 0.5, None) for i in range(1, 25)]
+    c = spark.createDataFrame(rows, "query_id long, at int, score double, text string, node_id string, vector double, bm25 double")
+    got = sorted(map(tuple, fusion.deduplicated(c).collect()))
+    assert got == sorted(map(tuple, fusion.deduplicated(fusion.keyed(c)).collect())) and sum(r[5] for r in got) == 24
+    assert fusion.deduplicated(fusion.keyed(c)).columns == ["query_id", "text", "node_id", "score", "at", "merged", "vector", "bm25"]
+
+
+def test_few_keys_travel_and_many_are_joined(spark, monkeypatch):
+    table, keys = spark.range(100).withColumnRenamed("id", "k"), spark.createDataFrame([(3,), (3,), (None,), (50,)], "k long")
+    few = lineage.among(table, keys, "k")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().toString() and sorted(r.k for r in few.collect()) == [3, 50]
+    monkeypatch.setattr(lineage, "KEYS", 1)
+    assert sorted(r.k for r in lineage.among(table, keys, "k").collect()) == [3, 50]

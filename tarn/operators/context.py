@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.sources.lineage import among, written
 
 LEAST_BUDGET = 200
 
@@ -42,10 +43,10 @@ def expanded(candidates: DataFrame, nodes: DataFrame | None, counter: Callable[[
     c = candidates.withColumn("_tokens", own)
     if nodes is None:
         return c.withColumns({"packed_text": F.col("text"), "packed_id": F.col("node_id") if "node_id" in c.columns else F.lit(None).cast("string"), "packed_tokens": F.col("_tokens"), "merged_ids": F.array().cast("array<string>"), "expansion": F.lit("none"), "is_parent_context": F.lit(False)}).drop("_tokens")
-    # only families that a candidate belongs to are merged
-    wanted = candidates.select("parent_id").filter(F.col("parent_id").isNotNull()).distinct()
-    merged = windows(nodes.join(wanted, "parent_id", "left_semi"), counter)
-    parents = nodes.select(F.col("node_id").alias("_pid"), F.col("node_type").alias("_ptype"), F.col("text").alias("_ptext"), F.coalesce(F.nullif("token_count", F.lit(0)), counter(F.col("text"))).alias("_ptokens"))
+    # only families that a candidate belongs to are merged, and only their parents are counted
+    wanted = written(candidates.select("parent_id").filter(F.col("parent_id").isNotNull()).distinct(), "families")
+    merged = windows(among(nodes, wanted, "parent_id"), counter)
+    parents = among(nodes, wanted.withColumnRenamed("parent_id", "node_id"), "node_id").select(F.col("node_id").alias("_pid"), F.col("node_type").alias("_ptype"), F.col("text").alias("_ptext"), F.coalesce(F.nullif("token_count", F.lit(0)), counter(F.col("text"))).alias("_ptokens"))
     c = c.join(parents, c["parent_id"] == parents["_pid"], "left").join(merged, "node_id", "left")
     section = (F.col("intent") == "summary") & F.array_contains("node_types", "section") & (F.col("node_type") == "paragraph") & (F.col("_ptype") == "section") & ~T.is_blank(F.col("_ptext")) & (F.col("_ptokens") <= F.greatest(F.lit(300), 3 * F.col("_tokens")))
     section, grown = F.coalesce(section, F.lit(False)), F.col("merged_text").isNotNull()

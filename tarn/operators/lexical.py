@@ -16,6 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tarn.functions import text as T
 from tarn.sources.lineage import written
 
+from .vector import NO_ID
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -154,8 +157,6 @@ def score(index: LexicalIndex, queries: DataFrame, query_id: str | list[str] = "
 TRAVELLING = 1 << 17
 #: Pairs of query and document that a task scores at once.
 PAIRS = 1 << 16
-#: Stands for a null id in a task, and sorts first, too.
-NO_ID = -(1 << 63)
 
 
 class _Asked:
@@ -309,12 +310,85 @@ def filled(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, ids: li
     return best(hits.unionByName(fill), k, ids)
 
 
+def _shares(terms: list[str], start: np.ndarray, asking: np.ndarray, sizes: np.ndarray, kinds: dict[str, int], allowed: np.ndarray, k: int):
+    """(node_id, node_type, seq, terms) to the best of each query in an Arrow batch, by the part of its ``sizes`` terms that a node has.
+
+    Term t is asked for by the queries ``asking[start[t] : start[t + 1]]``; ``allowed[query, kind]`` says which nodes a query wants, the last kind being none.
+    """
+    n, vocabulary = len(sizes), pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.zeros(n)  # the k-th score of each query so far
+        for batch in batches:
+            ids, kind, seq, words = batch.columns
+            size = max(1, PAIRS // n)
+            q, node, score = [], [], []
+            for low in range(0, batch.num_rows, size):
+                part = words.slice(low, size)
+                rows = len(part)
+                found = pc.index_in(part.flatten(), value_set=vocabulary)
+                own = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+                hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                term, own = found.filter(pa.array(hit)).to_numpy(zero_copy_only=False).astype(np.int64), own[hit]
+                first, times = start[term], start[term + 1] - start[term]
+                key = asking[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())] * rows + np.repeat(own, times)
+                share = np.bincount(key, minlength=n * rows).reshape(n, rows) / np.maximum(sizes, 1)[:, None]
+                of = np.array([kinds.get(x, len(kinds)) for x in kind.slice(low, size).to_pylist()])
+                at, place = np.nonzero((share > 0) & (share >= least[:, None]) & allowed[:, of])
+                q.append(at)
+                node.append(place + low)
+                score.append(share[at, place])
+            if not q:
+                continue
+            q, node, score = np.concatenate(q), np.concatenate(node), np.concatenate(score)
+            # the batch's nodes in order of (seq, id), null first; strings by code point, as in UTF-8
+            seqs, names = seq.to_pylist(), ids.to_pylist()
+            order = np.empty(batch.num_rows, np.int64)
+            order[sorted(range(batch.num_rows), key=lambda i: (seqs[i] is not None, seqs[i] or 0, names[i] is not None, names[i] or ""))] = np.arange(batch.num_rows)
+            best_ = np.lexsort((order[node], -score, q))
+            q, node, score = q[best_], node[best_], score[best_]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            last = rank == k - 1
+            least[q[last]] = np.maximum(least[q[last]], score[last])
+            top = rank < k
+            at = pa.array(node[top])
+            yield pa.record_batch([pa.array(q[top], pa.int64()), ids.take(at), seq.take(at), pa.array(score[top])], ["q", "node_id", "seq", "score"])
+
+    return run
+
+
 def structured(nodes: DataFrame, queries: DataFrame, wanted: Column, k: int, query_id: list[str], text: str = "query") -> DataFrame:
-    """Nodes of the ``wanted`` kinds (paragraphs aside) by the part of the query's terms in title and text, best ``k`` above 0."""
+    """Nodes of the ``wanted`` kinds (paragraphs aside) by the part of the query's terms in title and text, best ``k`` above 0.
+
+    Up to ``TRAVELLING`` query terms travel to the nodes, and a task hands on k rows a query and Arrow batch, of which it keeps k a query; more terms meet the nodes' in a join.
+    """
     kinds = nodes.filter((F.col("node_type") != "paragraph") & ~T.is_blank(F.col("text")))
-    words = kinds.select("node_id", "node_type", F.col("order").alias("seq"), F.explode(T.terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text"))).alias("term"))
+    own = kinds.select("node_id", "node_type", F.col("order").alias("seq"), T.terms(F.concat_ws(" ", F.coalesce("title", F.lit("")), "text")).alias("terms"))
     q = queries.withColumn("_terms", T.terms(F.col(text))).withColumn("_wanted", wanted)
     asked = q.select(*query_id, "_wanted", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
-    hits = asked.join(words, "term").filter(F.array_contains("_wanted", F.col("node_type")))
-    scored = hits.groupBy(*query_id, "node_id", "seq").agg((F.count(F.lit(1)) / F.first("_n")).alias("score"))
-    return best(scored, k, query_id, tie=["seq", "node_id"])
+    known = asked.limit(TRAVELLING + 1).collect()
+    ids = [tuple(r[: len(query_id)]) for r in known]
+    # one plan a query, one row a node: anything else is added up by the join
+    plans = {(i, tuple(r["_wanted"] or ()), r["_n"]) for i, r in zip(ids, known, strict=True)}
+    single = len(plans) == len(set(ids)) and len(set(zip(ids, (r["term"] for r in known), strict=True))) == len(known)
+    if len(known) > TRAVELLING or not single or not kinds.groupBy("node_id", "order").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        words = own.select("node_id", "node_type", "seq", F.explode("terms").alias("term"))
+        hits = asked.join(words, "term").filter(F.array_contains("_wanted", F.col("node_type")))
+        scored = hits.groupBy(*query_id, "node_id", "seq").agg((F.count(F.lit(1)) / F.first("_n")).alias("score"))
+        return best(scored, k, query_id, tie=["seq", "node_id"])
+    place = {i: n for n, i in enumerate(dict.fromkeys(ids))}
+    spark, types = queries.sparkSession, queries.select(*query_id).schema
+    names = spark.createDataFrame([(n, *i) for i, n in place.items()], "q long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types))
+    terms = sorted({r["term"] for r in known})
+    rows = sorted(zip((r["term"] for r in known), map(place.__getitem__, ids), strict=True))
+    start = np.searchsorted(np.array([t for t, _ in rows], object), np.array([*terms], object)) if rows else np.zeros(0, np.int64)
+    table = {t: n for n, t in enumerate(dict.fromkeys(t for r in known for t in r["_wanted"] or ()))}
+    sizes, allowed = np.zeros(len(place), np.int64), np.zeros((len(place), len(table) + 1), bool)
+    for i, r in zip(ids, known, strict=True):
+        sizes[place[i]] = r["_n"]
+        allowed[place[i], [table[t] for t in r["_wanted"] or () if t is not None]] = True
+    kind = f"q long, node_id {own.schema['node_id'].dataType.simpleString()}, seq {own.schema['seq'].dataType.simpleString()}, score double"
+    if not known:
+        return names.select(*query_id, *(F.lit(None).cast(t).alias(c) for c, t in (("node_id", own.schema["node_id"].dataType), ("seq", own.schema["seq"].dataType), ("score", "double"), ("rank", "int")))).limit(0)
+    hits = own.mapInArrow(_shares(terms, np.append(start, len(rows)), np.array([n for _, n in rows]), sizes, table, allowed, k), kind)
+    return best(hits, k, ["q"], tie=["seq", "node_id"]).join(F.broadcast(names), "q").select(*query_id, "node_id", "seq", "score", "rank")

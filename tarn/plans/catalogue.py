@@ -11,7 +11,7 @@ from tarn.functions import text as T
 from tarn.operators import agent, blockmax, chunk, context, embed, evidence, fusion, history, lexical, parse, profile, render, rerank, research, retrieve, sentences, vecjoin, vector
 from tarn.sources import files as scans
 from tarn.sources import stores
-from tarn.sources.lineage import shared_path
+from tarn.sources.lineage import shared_path, written
 from tarn.streaming import session
 
 from .oracles import ORACLES  # noqa: F401
@@ -684,7 +684,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_tree_retrieve(spark, sf_dir):
-    nodes = embed.hydrated(turns(spark, sf_dir)).withColumn("token_count", T.token_count(F.col("text")))
+    # the trees are a table, read several times
+    nodes = written(embed.hydrated(turns(spark, sf_dir)).withColumn("token_count", T.token_count(F.col("text"))), "trees")
     passages = parse.leaf_documents(nodes).withColumn("source", F.col("doc_id"))
     q = questions(spark, sf_dir).withColumns({"intent": F.lit("summary"), "node_types": F.array(F.lit("section"), F.lit("paragraph"))})
     out = retrieve.retrieve(retrieve.Corpus.of(passages, nodes=nodes.withColumn("source", F.col("doc_id"))), q)

@@ -200,6 +200,34 @@ def test_bm25_pairs_stay_in_their_task(spark, tmp_path, monkeypatch):
     assert got(lexical.scored(twice, q, 4, ["name", "part"])) == got(lexical.best(lexical.score(twice, q, ["name", "part"]), 4, ["name", "part"]).drop("rank"))
 
 
+def test_structured_nodes_are_found_where_they_lie(spark, monkeypatch):
+    """Terms that travel find what the join finds: ties, several kinds, repeated and unknown words, a node without text."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)] + ["Élan", "straße", "camelCase"]
+    rows = [(f"n{i % 7}-{i}", rng.choice(["section", "document", "table", "paragraph"]), rng.choice([None, "w1 w2", ""]), " ".join(rng.choices(words, k=rng.randrange(12))), rng.choice([None, 0, 1, 2])) for i in range(600)]
+    nodes = spark.createDataFrame(rows, "node_id string, node_type string, title string, text string, `order` int").repartition(5)
+    asked = [(q, s, " ".join(rng.choices([*words, "nowhere"], k=5)), rng.sample(["section", "document", "table", "none"], 2)) for q in range(12) for s in range(2)]
+    q = spark.createDataFrame([*asked, (99, 0, "nowhere", ["section"]), (98, 0, "", ["section"])], "query_id long, sub int, query string, kinds array<string>")
+
+    def run(nodes=nodes, q=q):
+        return sorted(map(tuple, lexical.structured(nodes, q, F.col("kinds"), 6, ["query_id", "sub"]).collect()), key=str)
+
+    got = run()
+    monkeypatch.setattr(lexical, "PAIRS", 64)
+    assert run() == got
+    plan = lexical.structured(nodes, q, F.col("kinds"), 6, ["query_id", "sub"])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan  # no pair of query and node is shuffled
+    assert run(q=q.filter("query_id > 97")) == [] and run(nodes=nodes.limit(0)) == []
+    monkeypatch.setattr(lexical, "TRAVELLING", 3)
+    assert run() == got and len(got) > 100
+
+
+def test_one_id_of_two_nodes_still_adds_up(spark):
+    nodes = spark.createDataFrame([("a", "section", None, "x y", 0), ("a", "section", None, "y z", 0)], "node_id string, node_type string, title string, text string, `order` int")
+    q = spark.createDataFrame([(1, "x y z v")], "query_id long, query string")
+    assert [(r.node_id, r.score) for r in lexical.structured(nodes, q, F.array(F.lit("section")), 3, ["query_id"]).collect()] == [("a", 1.0)]
+
+
 def test_a_retrieval_reads_each_text_few_times(spark, tmp_path, monkeypatch):
     """Vectors and passages are computed once a retrieval, and a passage's keys once, however many queries it is a candidate of."""
     docs = [(i, f"word{i % 5} other {i}", "s") for i in range(40)]

@@ -205,7 +205,7 @@ class _Asked:
 
 def _of_texts(numbers: dict[str, int], asked: tuple):
     """(seq, text) to the best of each query in this task."""
-    known = numbers.keys()
+    known = numbers.__contains__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_ = _Asked(*asked)
@@ -215,11 +215,10 @@ def _of_texts(numbers: dict[str, int], asked: tuple):
             for i, text in enumerate(batch.column(1)):
                 tokens = (text.as_py() or "").split()
                 lens[i] = len(tokens)
-                own = Counter(tokens)
-                mine = own.keys() & known
-                at += [i] * len(mine)
-                terms += [numbers[t] for t in mine]
-                tfs += [own[t] for t in mine]
+                own = Counter(filter(known, tokens))
+                at += [i] * len(own)
+                terms += map(numbers.__getitem__, own)
+                tfs += own.values()
             best_.add(seqs, lens, np.array(at, np.int64), np.array(terms, np.int64), np.array(tfs, np.int64))
         yield best_.hits()
 

@@ -1,104 +1,189 @@
 """A context-mixing range coder for 16-bit token ids: many blocks side by side, one numpy lane each.
 
-Every block starts from the same empty model, so blocks decode on their own. For each id the model offers
-the id last seen after the two ids before (order 2), after the one before (order 1), and 64 frequent ids of
-the block (order 0). One symbol says which of them was right, or how long the id's plain bits are. Each order
-predicts that symbol by an adaptive distribution of its own: order 2 by how sure its candidate is and which order was right last,
-order 1 by how sure its candidate is and whether both candidates agree, order 0 by the block as a whole. The three are mixed,
-with most weight on the one that did best of late. A slot of order 0 or the plain bits follow. All arithmetic is integer.
+All blocks of a call share one model, which learns from every lane at each step; they decode together. For each id
+the model offers the id last seen after the two ids before (order 2), after the one before (order 1), and the counts of the
+ids that neither foresaw (order 0). One symbol says which of them was right, or that the id is new. Each order predicts
+that symbol: order 2 by how sure its candidate is, order 1 by how sure its own is, both by whether the candidates agree and which order
+was right last, order 0 by the latter alone. The three are mixed by weights that are learnt for each context of all
+these (expectation and maximisation: a weight is the share of what came that its order answers for). As the contexts are few,
+predictions are mixed for all of them at once, every few steps. A place in order 0 or the plain bits follow. All arithmetic is integer.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SLOT_BITS = 6
-BITS1, BITS2 = 9, 10
-PLAIN0 = 3
-SYMBOLS = PLAIN0 + 17
-TOTAL_BITS = 14
-TOTAL = 1 << TOTAL_BITS
-RATE, SLOT_RATE, SCORE_RATE = 5, 5, 4
-TOP, BOTTOM = np.uint64(1 << 32), np.uint64(1 << 16)
-MASK = np.uint64((1 << 48) - 1)
-U16, U32 = np.uint64(16), np.uint64(32)
+FAR_BITS = 18
+SYMBOLS, NEW = 4, 3
+#: How sure each order is, whether they agree, which was right last.
+CONTEXTS = (4, 4, 2, SYMBOLS)
+FLAG_BITS, COUNT_BITS, PLAIN_BITS, SHARE_BITS = 15, 17, 16, 14
+#: Predictions and counts are made anew after each of the first steps, then after so many.
+MIX_EVERY, COUNT_EVERY = 16, 64
+DECAY = 5
+IDS = 1 << 16
+ONE_SURE, ID_MASK = np.int32(1 << 16), np.int32(IDS - 1)
+U32, LEAST = np.uint64(32), np.uint64(1 << 32)
+WORD = np.uint64((1 << 32) - 1)
+
+
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return ((counts + 1) << SHARE_BITS) // (counts.sum(-1, keepdims=True) + SYMBOLS)
 
 
 class _Model:
-    """The state of n lanes. ``look`` gives the candidates, ``update`` learns the id that came."""
+    """What n lanes share. ``look`` gives the candidates and the context, ``learn`` takes the ids that came."""
 
     def __init__(self, n: int):
-        self.n = n
-        lane = np.arange(n)
-        self.at1, self.at2, self.at0 = lane << BITS1, lane << BITS2, lane << SLOT_BITS
-        self.id1, self.sure1 = np.zeros(n << BITS1, np.int32), np.zeros(n << BITS1, np.int8)
-        self.id2, self.sure2 = np.zeros(n << BITS2, np.int32), np.zeros(n << BITS2, np.int8)
-        self.id0, self.sure0 = np.full(n << SLOT_BITS, -1, np.int32), np.zeros(n << SLOT_BITS, np.int8)
-        start = (np.arange(SYMBOLS + 1) * (TOTAL - SYMBOLS) // SYMBOLS).astype(np.int16)
-        # predictions of orders 2, 1 and 0
-        self.by2, self.by1, self.by0 = np.tile(start, (n * 16, 1)), np.tile(start, (n * 8, 1)), np.tile(start, (n, 1))
-        slots = 1 << SLOT_BITS
-        self.by_slot = np.tile((np.arange(slots + 1) * (TOTAL - slots) // slots).astype(np.int16), (n, 1))
-        # how each order did of late, and which one was right last (3: none)
-        self.score = np.zeros((3, n), np.int32)
-        self.last = np.full(n, 3, np.int64)
-        self.lane = lane
+        # an entry is an id with how sure it is above
+        self.near, self.far = np.zeros(IDS, np.int32), np.zeros(1 << FAR_BITS, np.int32)
         self.prev1, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.steps, self.slot_steps = np.arange(SYMBOLS + 1, dtype=np.int16), np.arange(slots + 1, dtype=np.int16)
+        self.last = np.full(n, 2, np.uint8)
+        self.step = 0
+        self.seen, self.fresh = np.zeros((*CONTEXTS, SYMBOLS), np.int64), np.zeros(np.prod(CONTEXTS) * SYMBOLS, np.int64)
+        self.credit = np.full((3, *CONTEXTS), 64, np.int64)
+        self._mix()
+        # order 0: the counts, and of those known at the last count a place each
+        self.counts = np.zeros(IDS, np.int64)
+        self.missed: list[np.ndarray] = []
+        self.kind = np.full(IDS, NEW, np.uint8)
+        self.start0, self.size0 = np.zeros(IDS, np.uint32), np.ones(IDS, np.uint32)
+
+    def _mix(self) -> None:
+        by2, by1, by0 = self.seen.sum(1), self.seen.sum(0), self.seen.sum((0, 1, 2))
+        self.predicted = [np.broadcast_to(p, (*CONTEXTS, SYMBOLS)) for p in (_shares(by2)[:, None], _shares(by1)[None], _shares(by0)[None, None, None])]
+        whole = self.credit.sum(0)
+        self.weights = [(c << SHARE_BITS) // whole for c in self.credit]
+        self.mixed = 1 + (sum(w[..., None] * p for w, p in zip(self.weights, self.predicted, strict=True)) >> SHARE_BITS)
+        cum = np.zeros((self.mixed.size // SYMBOLS, SYMBOLS + 1), np.int64)
+        np.cumsum(self.mixed.reshape(-1, SYMBOLS), 1, out=cum[:, 1:])
+        cum = cum * ((1 << FLAG_BITS) - SYMBOLS) // cum[:, -1:] + np.arange(SYMBOLS + 1)
+        self.start, self.size = cum[:, :-1].ravel().astype(np.uint64), np.diff(cum).ravel().astype(np.uint64)
+        self.bounds = [np.ascontiguousarray(cum[:, k]).astype(np.int16) for k in range(1, SYMBOLS)]
+
+    def _mix_again(self) -> None:
+        new = self.fresh.reshape(self.seen.shape) << 4
+        for k, (w, p) in enumerate(zip(self.weights, self.predicted, strict=True)):
+            own = (new * (w[..., None] * p // self.mixed) >> SHARE_BITS).sum(-1)
+            self.credit[k] += own - (self.credit[k] - 64 >> DECAY)
+        self.seen += new - (self.seen >> DECAY)
+        self.fresh[:] = 0
+        self._mix()
+
+    def _count_again(self) -> None:
+        self.counts += np.bincount(np.concatenate(self.missed), minlength=IDS)
+        self.missed.clear()
+        known = self.counts > 0
+        cum = np.zeros(IDS + 1, np.int64)
+        np.cumsum(self.counts, out=cum[1:])
+        if not cum[-1]:
+            return
+        places = np.concatenate([[0], np.cumsum(known)])
+        cum = cum * ((1 << COUNT_BITS) - int(places[-1])) // cum[-1] + places
+        self.kind = np.where(known, 2, NEW).astype(np.uint8)
+        self.start0, self.size0 = cum[:-1].astype(np.uint32), np.diff(cum).astype(np.uint32)
 
     def look(self) -> None:
-        self.h1 = self.at1 + ((self.prev1 * 40503 >> 4) & ((1 << BITS1) - 1))
-        self.h2 = self.at2 + (((self.prev1 * 40503 + self.prev2 * 60493) >> 5) & ((1 << BITS2) - 1))
-        self.c1, self.c2 = self.id1[self.h1], self.id2[self.h2]
-        self.s1, self.s2 = self.sure1[self.h1], self.sure2[self.h2]
-        self.row2 = (self.lane << 4) + (self.s2.astype(np.int64) << 2) + self.last
-        self.row1 = (self.lane << 3) + (self.s1.astype(np.int64) << 1) + (self.c1 == self.c2)
-        self.p2, self.p1, self.p0 = self.by2[self.row2], self.by1[self.row1], self.by0
-        # quarters, so that 16 bits hold the sum: the best order has two, the others one; every symbol keeps a share of one
-        best = self.score.argmax(0)
-        most = np.where((best == 0)[:, None], self.p2, np.where((best == 1)[:, None], self.p1, self.p0)).view(np.uint16)
-        self.cum = ((self.p2.view(np.uint16) + self.p1.view(np.uint16) + self.p0.view(np.uint16) + most) >> 2).view(np.int16) + self.steps
-
-    def symbol_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = slot_of(ids)
-        sym = np.where(self.id0[self.at0 + slot] == ids, 2, PLAIN0 + BIT_LENGTH[ids])
-        sym = np.where((self.s1 > 0) & (self.c1 == ids), 1, sym)
-        return np.where((self.s2 > 0) & (self.c2 == ids), 0, sym), slot
-
-    def learn_symbol(self, sym: np.ndarray) -> None:
-        goal = (self.steps > sym[:, None].astype(np.int16)) * np.int16(TOTAL - SYMBOLS)
-        for k, (table, row, p) in enumerate(((self.by2, self.row2, self.p2), (self.by1, self.row1, self.p1), (self.by0, self.lane, self.p0))):
-            share = (p[self.lane, sym + 1] - p[self.lane, sym]).astype(np.int32)
-            self.score[k] += (share - self.score[k]) >> SCORE_RATE
-            table[row] = p + ((goal - p) >> RATE)
-        self.last = np.minimum(sym, 3).astype(np.int64)
-
-    def slot_cum(self, lanes: np.ndarray) -> np.ndarray:
-        return self.by_slot[lanes] + self.slot_steps
-
-    def learn_slot(self, lanes: np.ndarray, slot: np.ndarray) -> None:
-        now = self.by_slot[lanes]
-        goal = (self.slot_steps > slot[:, None].astype(np.int16)) * np.int16(TOTAL - (1 << SLOT_BITS))
-        self.by_slot[lanes] = now + ((goal - now) >> SLOT_RATE)
-
-    def update(self, ids: np.ndarray, slot: np.ndarray) -> None:
-        for table, sure, at, had, conf in ((self.id1, self.sure1, self.h1, self.c1, self.s1), (self.id2, self.sure2, self.h2, self.c2, self.s2)):
-            right = had == ids
-            table[at] = np.where(conf > 1, had, ids)
-            sure[at] = np.where(right & (conf > 0), np.minimum(conf + 1, 3), np.maximum(conf - 1, 1))
-        at = self.at0 + slot
-        had, conf = self.id0[at], self.sure0[at]
-        right = had == ids
-        self.id0[at] = np.where(right | (conf > 0), had, ids)
-        self.sure0[at] = np.where(right, np.minimum(conf + 1, 15), np.maximum(conf - 1, 0))
-        self.prev2, self.prev1 = self.prev1, ids
-
-
-BIT_LENGTH = np.array([i.bit_length() for i in range(1 << 16)], np.int64)
-
-
-def slot_of(ids: np.ndarray) -> np.ndarray:
-    return (ids * 40503 >> 7) & ((1 << SLOT_BITS) - 1)
+        self.h2 = (self.prev1 * 40503 + self.prev2 * 60493 >> 3) & ((1 << FAR_BITS) - 1)
+        self.e1, self.e2 = self.near[self.prev1], self.far[self.h2]
+        self.c1, self.c2 = self.e1 & ID_MASK, self.e2 & ID_MASK
+        # how sure they are is below 4
+        sure = (self.e2 >> 16).astype(np.uint8) << 5 | (self.e1 >> 16).astype(np.uint8) << 3
+        self.context = (sure | (self.c1 == self.c2).view(np.uint8) << 2 | self.last).astype(np.int64)
+
+    def symbol_of(self, ids: np.ndarray) -> np.ndarray:
+        sym = self.kind[ids]
+        np.copyto(sym, 1, where=self.c1 == ids)
+        np.copyto(sym, 0, where=self.c2 == ids)
+        return sym
+
+    def learn(self, ids: np.ndarray, sym: np.ndarray, row: np.ndarray, missed: np.ndarray) -> bool:
+        """Whether order 0 was counted again."""
+        own = ids.astype(np.int32)
+        for table, at, had, candidate in ((self.near, self.prev1, self.e1, self.c1), (self.far, self.h2, self.e2, self.c2)):
+            surer = np.minimum(had + ONE_SURE, candidate + 3 * ONE_SURE)
+            table[at] = np.where(candidate == own, surer, np.where(had >= 2 * ONE_SURE, had - ONE_SURE, own + ONE_SURE))
+        self.fresh += np.bincount(row, minlength=len(self.fresh))
+        self.missed.append(missed)
+        self.last, self.prev2, self.prev1 = sym, self.prev1, ids
+        self.step += 1
+        if self.step < MIX_EVERY or not self.step % MIX_EVERY:
+            self._mix_again()
+        if not self.step % COUNT_EVERY or (self.step < COUNT_EVERY and not self.step & (self.step - 1)):
+            self._count_again()
+            return True
+        return False
+
+
+class _Writer:
+    """The codes of n lanes. Whole words of 32 bits leave at the top; what overflows is carried into those that have left."""
+
+    def __init__(self, n: int, length: int):
+        self.low, self.width = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+        self.out, self.fill = np.zeros((n, 2 * length + 2), "<u4"), np.zeros(n, np.int64)
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        at = self.fill[lanes] - 1
+        while len(lanes):
+            self.out[lanes, at] += np.uint32(1)
+            on = self.out[lanes, at] == 0
+            lanes, at = lanes[on], at[on] - 1
+
+    def put(self, start: np.ndarray, size: np.ndarray, bits: int, lanes: np.ndarray | None = None) -> None:
+        low, width = (self.low, self.width) if lanes is None else (self.low[lanes], self.width[lanes])
+        part = width >> np.uint64(bits)
+        moved, width = low + part * start, part * size
+        over = np.flatnonzero(moved < low)
+        if len(over):
+            self._carry(over if lanes is None else lanes[over])
+        short = np.flatnonzero(width < LEAST)
+        if len(short):
+            own, x = short if lanes is None else lanes[short], moved[short]
+            self.out[own, self.fill[own]] = x >> U32
+            self.fill[own] += 1
+            moved[short], width[short] = x << U32, width[short] << U32
+        if lanes is None:
+            self.low, self.width = moved, width
+        else:
+            self.low[lanes], self.width[lanes] = moved, width
+
+    def codes(self) -> list[bytes]:
+        """The shortest end: a word that every value of the last range shares, zeros behind."""
+        last = self.low + WORD
+        self._carry(np.flatnonzero(last < self.low))
+        self.out[np.arange(len(last)), self.fill] = last >> U32
+        return [row[: f + 1].tobytes() for row, f in zip(self.out, self.fill.tolist(), strict=True)]
+
+
+class _Reader:
+    """The way back: how far each lane's code lies into its range."""
+
+    def __init__(self, codes: list[bytes], length: int):
+        n, most = len(codes), max(map(len, codes)) // 4
+        self.words = np.zeros((n, max(most, 2 * length) + 4), np.uint64)  # a damaged code may ask for as much as the longest
+        for row, c in zip(self.words, codes, strict=True):
+            row[: len(c) // 4] = np.frombuffer(c, "<u4", len(c) // 4)
+        self.width, self.code = np.full(n, ~np.uint64(0)), self.words[:, 0] << U32 | self.words[:, 1]
+        self.fill = np.full(n, 2, np.int64)
+
+    def target(self, bits: int, lanes: np.ndarray | None = None) -> np.ndarray:
+        code, width = (self.code, self.width) if lanes is None else (self.code[lanes], self.width[lanes])
+        return np.minimum(code // (width >> np.uint64(bits)), np.uint64((1 << bits) - 1))
+
+    def take(self, start: np.ndarray, size: np.ndarray, bits: int, lanes: np.ndarray | None = None) -> None:
+        code, width = (self.code, self.width) if lanes is None else (self.code[lanes], self.width[lanes])
+        part = width >> np.uint64(bits)
+        code, width = code - part * start, part * size
+        short = np.flatnonzero(width < LEAST)
+        if len(short):
+            own = short if lanes is None else lanes[short]
+            code[short] = code[short] << U32 | self.words[own, self.fill[own]]
+            self.fill[own] += 1
+            width[short] <<= U32
+        if lanes is None:
+            self.code, self.width = code, width
+        else:
+            self.code[lanes], self.width[lanes] = code, width
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -106,115 +191,52 @@ def encode(ids: np.ndarray) -> list[bytes]:
     n, length = ids.shape
     if not n or not length:
         return [b""] * n
-    ids = np.ascontiguousarray(ids.T.astype(np.int64))
-    m = _Model(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, MASK)
-    out = np.zeros((n, 3 * length + 8), "<u2")
-    fill = np.zeros(n, np.int64)
-
-    def put(lanes, start, size, bits) -> None:
-        r = width[lanes] >> bits
-        lo, wi = low[lanes] + r * start, r * size
-        at = None
-        while True:
-            same = ((lo ^ (lo + wi)) < TOP)
-            go = same | (wi < BOTTOM)
-            if not go.any():
-                break
-            at = np.flatnonzero(go)
-            x, y = lo[at], wi[at]
-            y = np.where(same[at], y, (np.uint64(0) - x) & np.uint64(0xFFFF))
-            own = lanes[at]
-            out[own, fill[own]] = (x >> U32).astype(np.uint16)
-            fill[own] += 1
-            lo[at], wi[at] = (x << U16) & MASK, y << U16
-        low[lanes], width[lanes] = lo, wi
-
-    bits14 = np.uint64(TOTAL_BITS)
-    for t in range(length):
-        now = ids[t]
+    m, out = _Model(n), _Writer(n, length)
+    one = np.ones(n, np.uint64)
+    for now in np.ascontiguousarray(ids.astype(np.uint16).T):
+        now = now.astype(np.int64)
         m.look()
-        sym, slot = m.symbol_of(now)
-        start = m.cum[m.lane, sym]
-        put(m.lane, start.astype(np.uint64), (m.cum[m.lane, sym + 1] - start).astype(np.uint64), bits14)
-        m.learn_symbol(sym)
-        plain = np.flatnonzero(sym >= PLAIN0 + 2)
-        if len(plain):
-            bits = (sym[plain] - PLAIN0 - 1).astype(np.uint64)
-            put(plain, now[plain].astype(np.uint64) - (np.uint64(1) << bits), np.ones(len(plain), np.uint64), bits)
-        hit = np.flatnonzero(sym == 2)
-        if len(hit):
-            cum, s = m.slot_cum(hit), slot[hit]
-            k = np.arange(len(hit))
-            put(hit, cum[k, s].astype(np.uint64), (cum[k, s + 1] - cum[k, s]).astype(np.uint64), bits14)
-            m.learn_slot(hit, s)
-        m.update(now, slot)
-    for _ in range(3):
-        out[m.lane, fill] = (low >> U32).astype(np.uint16)
-        fill += 1
-        low = (low << U16) & MASK
-    return [out[i, : fill[i]].tobytes() for i in range(n)]
+        sym = m.symbol_of(now)
+        row = m.context * SYMBOLS + sym
+        out.put(m.start[row], m.size[row], FLAG_BITS)
+        known = np.flatnonzero(sym == 2)
+        if len(known):
+            own = now[known]
+            out.put(m.start0[own], m.size0[own], COUNT_BITS, known)
+        new = np.flatnonzero(sym == NEW)
+        if len(new):
+            out.put(now[new].astype(np.uint64), one[: len(new)], PLAIN_BITS, new)
+        m.learn(now, sym, row, now[sym >= 2])
+    return out.codes()
 
 
 def decode(codes: list[bytes], length: int) -> np.ndarray:
-    """The ids of blocks of one length, shape (blocks, length)."""
+    """The ids of blocks that were coded together, all of one length, shape (blocks, length)."""
     n = len(codes)
-    ids = np.zeros((length, n), np.int64)
+    ids = np.zeros((length, n), np.uint16)
     if not n or not length:
         return ids.T
-    sizes = np.array([len(c) // 2 for c in codes])
-    code = np.zeros((n, max(int(sizes.max()), 3 * length) + 8), "<u2")  # a damaged code may ask for as much as the longest
-    for i, c in enumerate(codes):
-        code[i, : sizes[i]] = np.frombuffer(c, "<u2")
-    m = _Model(n)
-    low, width, value, fill = np.zeros(n, np.uint64), np.full(n, MASK), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for _ in range(3):
-        value = (value << U16) | code[m.lane, fill]
-        fill += 1
-
-    def target(lanes, bits):
-        return np.minimum((((value[lanes] - low[lanes]) & MASK) // (width[lanes] >> bits)), (np.uint64(1) << bits) - np.uint64(1))
-
-    def take(lanes, start, size, bits) -> None:
-        r = width[lanes] >> bits
-        lo, wi, va = low[lanes] + r * start, r * size, value[lanes]
-        while True:
-            same = ((lo ^ (lo + wi)) < TOP)
-            go = same | (wi < BOTTOM)
-            if not go.any():
-                break
-            at = np.flatnonzero(go)
-            x, y = lo[at], wi[at]
-            y = np.where(same[at], y, (np.uint64(0) - x) & np.uint64(0xFFFF))
-            own = lanes[at]
-            va[at] = ((va[at] << U16) & MASK) | code[own, fill[own]]
-            fill[own] += 1
-            lo[at], wi[at] = (x << U16) & MASK, y << U16
-        low[lanes], width[lanes], value[lanes] = lo, wi, va
-
-    bits14 = np.uint64(TOTAL_BITS)
+    m, code = _Model(n), _Reader(codes, length)
+    one = np.ones(n, np.uint64)
+    place = np.zeros(1 << COUNT_BITS, np.uint16)
     for t in range(length):
         m.look()
-        want = target(m.lane, bits14).astype(np.int64)
-        sym = np.minimum((m.cum <= want[:, None].astype(np.int16)).sum(1) - 1, SYMBOLS - 1)
-        start = m.cum[m.lane, sym]
-        take(m.lane, start.astype(np.uint64), (m.cum[m.lane, sym + 1] - start).astype(np.uint64), bits14)
-        m.learn_symbol(sym)
-        now = np.where(sym == 0, m.c2, np.where(sym == 1, m.c1, np.maximum(sym - PLAIN0, 0))).astype(np.int64)
-        plain = np.flatnonzero(sym >= PLAIN0 + 2)
-        if len(plain):
-            bits = (sym[plain] - PLAIN0 - 1).astype(np.uint64)
-            rest = target(plain, bits)
-            take(plain, rest, np.ones(len(plain), np.uint64), bits)
-            now[plain] = ((np.uint64(1) << bits) + rest).astype(np.int64)
-        hit = np.flatnonzero(sym == 2)
-        if len(hit):
-            cum = m.slot_cum(hit)
-            s = np.minimum((cum <= target(hit, bits14)[:, None].astype(np.int16)).sum(1) - 1, (1 << SLOT_BITS) - 1)
-            k = np.arange(len(hit))
-            take(hit, cum[k, s].astype(np.uint64), (cum[k, s + 1] - cum[k, s]).astype(np.uint64), bits14)
-            m.learn_slot(hit, s)
-            now[hit] = m.id0[m.at0[hit] + s]
-        m.update(now, slot_of(now))
+        want = code.target(FLAG_BITS).astype(np.int16)
+        sym = sum((want >= b[m.context]).view(np.uint8) for b in m.bounds)
+        row = m.context * SYMBOLS + sym
+        code.take(m.start[row], m.size[row], FLAG_BITS)
+        now = np.where(sym == 0, m.c2, m.c1).astype(np.int64)
+        known = np.flatnonzero(sym == 2)
+        if len(known):
+            own = place[code.target(COUNT_BITS, known).astype(np.int64)].astype(np.int64)
+            code.take(m.start0[own], m.size0[own], COUNT_BITS, known)
+            now[known] = own
+        new = np.flatnonzero(sym == NEW)
+        if len(new):
+            own = code.target(PLAIN_BITS, new)
+            code.take(own, one[: len(new)], PLAIN_BITS, new)
+            now[new] = own.astype(np.int64)
+        if m.learn(now, sym, row, now[sym >= 2]) and m.counts.any():
+            place = np.repeat(np.arange(IDS, dtype=np.uint16), m.size0)
         ids[t] = now
     return ids.T

@@ -6,7 +6,8 @@ ids that neither foresaw (order 0). One symbol says which of them was right, or
 that symbol: order 2 by how sure its candidate is, order 1 by how sure its own is, both by whether the candidates agree and which order
 was right last, order 0 by the latter alone. The three are mixed by weights that are learnt for each context of all
 these (expectation and maximisation: a weight is the share of what came that its order answers for). As the contexts are few,
-predictions are mixed for all of them at once, every few steps. A place in order 0 or the plain bits follow. All arithmetic is integer.
+predictions are mixed for all of them at once, every few steps. A place in order 0 or the plain bits follow, in the same step of the
+coder (all of the range if an order was right). All arithmetic is integer.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ FAR_BITS = 18
 SYMBOLS, NEW = 4, 3
 #: How sure each order is, whether they agree, which was right last.
 CONTEXTS = (4, 4, 2, SYMBOLS)
-FLAG_BITS, COUNT_BITS, PLAIN_BITS, SHARE_BITS = 15, 17, 16, 14
-#: Predictions and counts are made anew after each of the first steps, then after so many.
+FLAG_BITS, COUNT_BITS, SHARE_BITS = 15, 17, 14
+#: Predictions and counts are made anew after 1, 2, 4 steps and so on, then after so many.
 MIX_EVERY, COUNT_EVERY = 16, 64
 DECAY = 5
 IDS = 1 << 16
 ONE_SURE, ID_MASK = np.int32(1 << 16), np.int32(IDS - 1)
 U32, LEAST = np.uint64(32), np.uint64(1 << 32)
+BY_FLAG, BY_COUNT = np.uint64(FLAG_BITS), np.uint64(COUNT_BITS)
 WORD = np.uint64((1 << 32) - 1)
 
 
@@ -43,11 +45,13 @@ class _Model:
         self.seen, self.fresh = np.zeros((*CONTEXTS, SYMBOLS), np.int64), np.zeros(np.prod(CONTEXTS) * SYMBOLS, np.int64)
         self.credit = np.full((3, *CONTEXTS), 64, np.int64)
         self._mix()
-        # order 0: the counts, and of those known at the last count a place each
+        # order 0: the counts; each id known at the last count has a place, a new one its plain bits and the same range as all
         self.counts = np.zeros(IDS, np.int64)
         self.missed: list[np.ndarray] = []
         self.kind = np.full(IDS, NEW, np.uint8)
-        self.start0, self.size0 = np.zeros(IDS, np.uint32), np.ones(IDS, np.uint32)
+        self.plain = np.arange(IDS, dtype=np.uint64) << np.uint64(1)
+        self.start0, self.size0 = self.plain, np.full(IDS, 2, np.uint64)
+        self.place = np.zeros(1 << COUNT_BITS, np.uint16)
 
     def _mix(self) -> None:
         by2, by1, by0 = self.seen.sum(1), self.seen.sum(0), self.seen.sum((0, 1, 2))
@@ -80,8 +84,10 @@ class _Model:
             return
         places = np.concatenate([[0], np.cumsum(known)])
         cum = cum * ((1 << COUNT_BITS) - int(places[-1])) // cum[-1] + places
+        size = np.diff(cum)
         self.kind = np.where(known, 2, NEW).astype(np.uint8)
-        self.start0, self.size0 = cum[:-1].astype(np.uint32), np.diff(cum).astype(np.uint32)
+        self.start0, self.size0 = np.where(known, cum[:-1].astype(np.uint64), self.plain), np.where(known, size, 2).astype(np.uint64)
+        self.place = np.repeat(np.arange(IDS, dtype=np.uint16), size)
 
     def look(self) -> None:
         self.h2 = (self.prev1 * 40503 + self.prev2 * 60493 >> 3) & ((1 << FAR_BITS) - 1)
@@ -97,22 +103,27 @@ class _Model:
         np.copyto(sym, 0, where=self.c2 == ids)
         return sym
 
-    def learn(self, ids: np.ndarray, sym: np.ndarray, row: np.ndarray, missed: np.ndarray) -> bool:
-        """Whether order 0 was counted again."""
+    def rest(self, ids: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What follows the symbol: where in order 0 or in the plain bits the ids are, or all of it."""
+        start, size, right = self.start0[ids], self.size0[ids], sym < 2
+        np.copyto(start, np.uint64(0), where=right)
+        np.copyto(size, np.uint64(1 << COUNT_BITS), where=right)
+        return start, size
+
+    def learn(self, ids: np.ndarray, sym: np.ndarray, row: np.ndarray) -> None:
         own = ids.astype(np.int32)
         for table, at, had, candidate in ((self.near, self.prev1, self.e1, self.c1), (self.far, self.h2, self.e2, self.c2)):
             surer = np.minimum(had + ONE_SURE, candidate + 3 * ONE_SURE)
             table[at] = np.where(candidate == own, surer, np.where(had >= 2 * ONE_SURE, had - ONE_SURE, own + ONE_SURE))
         self.fresh += np.bincount(row, minlength=len(self.fresh))
-        self.missed.append(missed)
+        self.missed.append(ids[sym >= 2])
         self.last, self.prev2, self.prev1 = sym, self.prev1, ids
         self.step += 1
-        if self.step < MIX_EVERY or not self.step % MIX_EVERY:
+        doubled = not self.step & (self.step - 1)
+        if doubled or not self.step % MIX_EVERY:
             self._mix_again()
-        if not self.step % COUNT_EVERY or (self.step < COUNT_EVERY and not self.step & (self.step - 1)):
+        if (doubled and self.step < COUNT_EVERY) or not self.step % COUNT_EVERY:
             self._count_again()
-            return True
-        return False
 
 
 class _Writer:
@@ -120,7 +131,7 @@ class _Writer:
 
     def __init__(self, n: int, length: int):
         self.low, self.width = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
-        self.out, self.fill = np.zeros((n, 2 * length + 2), "<u4"), np.zeros(n, np.int64)
+        self.out, self.fill = np.zeros((n, length + 2), "<u4"), np.zeros(n, np.int64)
 
     def _carry(self, lanes: np.ndarray) -> None:
         at = self.fill[lanes] - 1
@@ -129,23 +140,17 @@ class _Writer:
             on = self.out[lanes, at] == 0
             lanes, at = lanes[on], at[on] - 1
 
-    def put(self, start: np.ndarray, size: np.ndarray, bits: int, lanes: np.ndarray | None = None) -> None:
-        low, width = (self.low, self.width) if lanes is None else (self.low[lanes], self.width[lanes])
-        part = width >> np.uint64(bits)
-        moved, width = low + part * start, part * size
-        over = np.flatnonzero(moved < low)
-        if len(over):
-            self._carry(over if lanes is None else lanes[over])
+    def put(self, start: np.ndarray, size: np.ndarray, start2: np.ndarray, size2: np.ndarray) -> None:
+        part = self.width >> BY_FLAG
+        part2 = part * size >> BY_COUNT
+        low, width = self.low + part * start + part2 * start2, part2 * size2
+        self._carry(np.flatnonzero(low < self.low))
         short = np.flatnonzero(width < LEAST)
-        if len(short):
-            own, x = short if lanes is None else lanes[short], moved[short]
-            self.out[own, self.fill[own]] = x >> U32
-            self.fill[own] += 1
-            moved[short], width[short] = x << U32, width[short] << U32
-        if lanes is None:
-            self.low, self.width = moved, width
-        else:
-            self.low[lanes], self.width[lanes] = moved, width
+        x = low[short]
+        self.out[short, self.fill[short]] = x >> U32
+        self.fill[short] += 1
+        low[short], width[short] = x << U32, width[short] << U32
+        self.low, self.width = low, width
 
     def codes(self) -> list[bytes]:
         """The shortest end: a word that every value of the last range shares, zeros behind."""
@@ -158,32 +163,36 @@ class _Writer:
 class _Reader:
     """The way back: how far each lane's code lies into its range."""
 
-    def __init__(self, codes: list[bytes], length: int):
-        n, most = len(codes), max(map(len, codes)) // 4
-        self.words = np.zeros((n, max(most, 2 * length) + 4), np.uint64)  # a damaged code may ask for as much as the longest
-        for row, c in zip(self.words, codes, strict=True):
-            row[: len(c) // 4] = np.frombuffer(c, "<u4", len(c) // 4)
-        self.width, self.code = np.full(n, ~np.uint64(0)), self.words[:, 0] << U32 | self.words[:, 1]
-        self.fill = np.full(n, 2, np.int64)
-
-    def target(self, bits: int, lanes: np.ndarray | None = None) -> np.ndarray:
-        code, width = (self.code, self.width) if lanes is None else (self.code[lanes], self.width[lanes])
-        return np.minimum(code // (width >> np.uint64(bits)), np.uint64((1 << bits) - 1))
-
-    def take(self, start: np.ndarray, size: np.ndarray, bits: int, lanes: np.ndarray | None = None) -> None:
-        code, width = (self.code, self.width) if lanes is None else (self.code[lanes], self.width[lanes])
-        part = width >> np.uint64(bits)
-        code, width = code - part * start, part * size
+    def __init__(self, codes: list[bytes]):
+        # a word of zeros stands behind each code; what is asked for beyond, as by a damaged code, is that one
+        self.words = np.frombuffer(b"\0\0\0\0".join([*codes, b""]), "<u4").astype(np.uint64)
+        sizes = np.array([len(c) // 4 for c in codes])
+        self.end = np.cumsum(sizes + 1) - 1
+        self.at = self.end - sizes
+        self.width = np.full(len(codes), ~np.uint64(0))
+        self.code = self._next(np.arange(len(codes))) << U32 | self._next(np.arange(len(codes)))
+
+    def _next(self, lanes: np.ndarray) -> np.ndarray:
+        at = self.at[lanes]
+        self.at[lanes] = at + 1
+        return self.words[np.minimum(at, self.end[lanes])]
+
+    def flag(self) -> np.ndarray:
+        self.part = self.width >> BY_FLAG
+        return np.minimum(self.code // self.part, np.uint64((1 << FLAG_BITS) - 1))
+
+    def count(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        self.code -= self.part * start
+        self.part = self.part * size >> BY_COUNT
+        return np.minimum(self.code // self.part, np.uint64((1 << COUNT_BITS) - 1))
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.code -= self.part * start
+        width = self.part * size
         short = np.flatnonzero(width < LEAST)
-        if len(short):
-            own = short if lanes is None else lanes[short]
-            code[short] = code[short] << U32 | self.words[own, self.fill[own]]
-            self.fill[own] += 1
-            width[short] <<= U32
-        if lanes is None:
-            self.code, self.width = code, width
-        else:
-            self.code[lanes], self.width[lanes] = code, width
+        self.code[short] = self.code[short] << U32 | self._next(short)
+        width[short] <<= U32
+        self.width = width
 
 
 def encode(ids: np.ndarray) -> list[bytes]:
@@ -192,21 +201,13 @@ def encode(ids: np.ndarray) -> list[bytes]:
     if not n or not length:
         return [b""] * n
     m, out = _Model(n), _Writer(n, length)
-    one = np.ones(n, np.uint64)
     for now in np.ascontiguousarray(ids.astype(np.uint16).T):
         now = now.astype(np.int64)
         m.look()
         sym = m.symbol_of(now)
         row = m.context * SYMBOLS + sym
-        out.put(m.start[row], m.size[row], FLAG_BITS)
-        known = np.flatnonzero(sym == 2)
-        if len(known):
-            own = now[known]
-            out.put(m.start0[own], m.size0[own], COUNT_BITS, known)
-        new = np.flatnonzero(sym == NEW)
-        if len(new):
-            out.put(now[new].astype(np.uint64), one[: len(new)], PLAIN_BITS, new)
-        m.learn(now, sym, row, now[sym >= 2])
+        out.put(m.start[row], m.size[row], *m.rest(now, sym))
+        m.learn(now, sym, row)
     return out.codes()
 
 
@@ -216,27 +217,17 @@ def decode(codes: list[bytes], length: int) -> np.ndarray:
     ids = np.zeros((length, n), np.uint16)
     if not n or not length:
         return ids.T
-    m, code = _Model(n), _Reader(codes, length)
-    one = np.ones(n, np.uint64)
-    place = np.zeros(1 << COUNT_BITS, np.uint16)
+    m, code = _Model(n), _Reader(codes)
     for t in range(length):
         m.look()
-        want = code.target(FLAG_BITS).astype(np.int16)
+        want = code.flag().astype(np.int16)
         sym = sum((want >= b[m.context]).view(np.uint8) for b in m.bounds)
         row = m.context * SYMBOLS + sym
-        code.take(m.start[row], m.size[row], FLAG_BITS)
-        now = np.where(sym == 0, m.c2, m.c1).astype(np.int64)
-        known = np.flatnonzero(sym == 2)
-        if len(known):
-            own = place[code.target(COUNT_BITS, known).astype(np.int64)].astype(np.int64)
-            code.take(m.start0[own], m.size0[own], COUNT_BITS, known)
-            now[known] = own
-        new = np.flatnonzero(sym == NEW)
-        if len(new):
-            own = code.target(PLAIN_BITS, new)
-            code.take(own, one[: len(new)], PLAIN_BITS, new)
-            now[new] = own.astype(np.int64)
-        if m.learn(now, sym, row, now[sym >= 2]) and m.counts.any():
-            place = np.repeat(np.arange(IDS, dtype=np.uint16), m.size0)
+        want = code.count(m.start[row], m.size[row]).astype(np.int64)
+        now = m.place[want].astype(np.int64)
+        for k, other in ((0, m.c2), (1, m.c1), (NEW, want >> 1)):
+            np.copyto(now, other, where=sym == k)
+        code.take(*m.rest(now, sym))
+        m.learn(now, sym, row)
         ids[t] = now
     return ids.T

@@ -717,6 +717,56 @@ def test_topk_scores_few_pairs_of_clustered_vectors(spark):
     assert search.counts["second"] + search.counts["named"] < 0.1 * pairs
 
 
+def test_topk_sends_rows_of_tiles(spark, monkeypatch):
+    """Tables between the phases have a row for a tile, not for an entry, and a unit's vectors go to one task once."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    written, save = {}, topk.saved
+    monkeypatch.setattr(topk, "saved", lambda df, name, *a: written.setdefault(name, save(df, name, *a)))
+    r = np.random.default_rng(11)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(700, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(x) for x in topk.top_k(df, df.filter("vec_id % 20 = 0")).collect()} == brute_topk(rows)
+    blocks, queries = (written[n].filter("list = 0").count() for n in ("topk-blocks", "topk-query-blocks"))
+    assert blocks > 5 and queries > 2
+    assert 0 < written["topk-first"].count() <= 2 * blocks * queries
+    assert written["topk-limits"].count() == 2 * queries
+    # a list has four components that two bytes hold
+    assert written["topk-blocks"].agg(F.max(F.length("part") / (F.length("alone") / 8))).first()[0] < 4 * 2 + 1
+
+
+@pytest.mark.parametrize(("lists", "dims"), [(2, 1), (3, 7)])
+def test_topk_other_lists(spark, monkeypatch, lists, dims):
+    """One list has no entries to complete, three have two steps of it; nearly all scores are ties."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 8), ("LISTS", lists), ("STEP", 3), ("SENT", 5), ("WAITING", 50)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(12)
+    rows = [(i, (r.integers(-2, 3, dims) / 64).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(x) for x in topk.top_k(df, df.filter("vec_id % 20 = 0")).collect()} == brute_topk(rows)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64, np.int64])
+def test_topk_best_places(kind):
+    r = np.random.default_rng(13)
+    for size, n in [(5, 5), (40, 7), (2048, 30), (5000, 30), (5000, 1)]:
+        near = r.integers(-50, 50 if n == 7 else 5000, (9, size)).astype(kind)
+        near[3] = 7  # ties
+        near[4, 1:] = topk.LEAST
+        near[5] = topk.LEAST
+        high, rows, cols = topk._best_places(near, n)
+        assert high.tolist() == near.max(1).tolist() and (np.diff(rows) >= 0).all()
+        for i in range(9):
+            got, want = sorted(near[i, cols[rows == i]].tolist()), sorted(near[i].tolist())[size - n :]
+            assert got == [x for x in want if x > topk.LEAST] and len(set(cols[rows == i].tolist())) == len(got)
+
+
+def test_topk_thresholds_are_rounded_down():
+    for x in [0, 1, -1, (1 << 24) + 1, -(1 << 24) - 1, (1 << 53) - 1, -(1 << 53) + 1, topk.MOST_PART, topk.LEAST]:
+        for kind in (np.float32, np.float64, np.int64):
+            assert int(topk._below(np.array([x]), np.dtype(kind))[0]) <= x
+
+
 def test_topk_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     one = spark.createDataFrame([(20, [1.0])], "vec_id long, embedding array<float>")
